@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, exact, shards
+from loomspan.llm import bpe, exact, shards, simhash
 from loomspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), words_per_shingle=4, within=4)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
@@ -31,7 +35,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op7_sharding, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op6_simhash, op7_sharding, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
