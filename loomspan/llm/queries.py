@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, exact, shards, simhash
+from loomspan.llm import bpe, exact, shards, simhash, substring
 from loomspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), length=35, digest=True)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -35,7 +39,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op6_simhash, op7_sharding, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op5_exact_dedup, op6_simhash, op7_sharding, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
