@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, exact, shards, simhash, substring
+from loomspan.llm import bpe, exact, quality, shards, simhash, substring, toxicity
 from loomspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), length=35, digest=True)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -35,11 +39,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op5_exact_dedup, op6_simhash, op7_sharding, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op5_exact_dedup, op6_simhash, op7_sharding, op8_quality, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
