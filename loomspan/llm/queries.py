@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, exact, quality, shards, simhash, substring, toxicity
+from loomspan.llm import bpe, decontaminate, exact, quality, shards, simhash, substring, toxicity
 from loomspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +43,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=5, share=0.8)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op5_exact_dedup, op6_simhash, op7_sharding, op8_quality, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op5_exact_dedup, op6_simhash, op7_sharding, op8_quality, op9_decontamination, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
