@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate, exact, quality, shards, simhash, substring, toxicity
+from loomspan.llm import bpe, decontaminate, exact, pii, quality, shards, simhash, substring, toxicity
 from loomspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), length=35, digest=True)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1)
 
@@ -51,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op5_exact_dedup, op6_simhash, op7_sharding, op8_quality, op9_decontamination, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_toxicity, op5_exact_dedup, op6_simhash, op7_sharding, op8_quality, op9_decontamination, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
