@@ -1,8 +1,73 @@
-"""Corpus pipeline; stages follow as the operators they call are built."""
+"""Corpus pipeline: toxicity, exact dedup, SimHash near-dedup, benchmark decontamination, BPE.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; the result is written as Parquet and read
+again as the next stage's ``docs``.  All stages but the last return the columns of ``documents``; the last returns what
+the encoder says of each document that is left.  Rows of a filtering stage pass through whole.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.llm import bpe, decontaminate, exact, simhash, toxicity
+from loomspan.llm.common import table
+from loomspan.llm.queries import tokenizer_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents that score 0.7 or more go."""
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: of equal texts the document with the largest id stays."""
+    groups = exact.exact_groups(docs, keep="largest").where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return docs.join(groups, docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each group of linked documents the one with the smallest id stays."""
+    groups = simhash.near_groups(docs, words_per_shingle=4, within=4).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(groups, docs["doc_id"] == F.col("_id"), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: ids and decoded text of every document left, as digests."""
+    return bpe.digests(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE", encode),
+]
+#: The toxicity network has no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between two stages is a table in the shared checkpoint folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = f"{root}/pipeline-{uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

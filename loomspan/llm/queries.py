@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate, exact, pii, quality, shards, simhash, substring, toxicity
+from loomspan.llm import bpe, decontaminate, exact, ngrams, pii, quality, shards, simhash, substring, toxicity
 from loomspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_texts(table(spark, sf_dir, "documents"), folds=10, held=0)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -55,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_toxicity, op5_exact_dedup, op6_simhash, op7_sharding, op8_quality, op9_decontamination, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_toxicity, op4_lm_scoring, op5_exact_dedup, op6_simhash, op7_sharding, op8_quality, op9_decontamination, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
