@@ -119,7 +119,7 @@ class _Packer:
         yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["known"]), *(pa.array(out[c], pa.binary()) for c in list(out)[2:])], names=list(out))
 
 
-def _repeated(packed: pa.Table) -> pa.Table:
+def _repeated(packed: pa.Table, dests: int) -> pa.Table:
     """Of one bucket: per text, the positions whose key occurs at two positions or more, and those already known."""
     known = packed.filter(packed.column("known"))
     fresh = packed.filter(pa.compute.invert(packed.column("known")))
@@ -133,14 +133,29 @@ def _repeated(packed: pa.Table) -> pa.Table:
 
     again = np.flatnonzero(_repeats(*_same(read(fresh, "high", np.uint64), read(fresh, "low", np.uint32))))
     k1, k2, pos = (np.concatenate([x, y[again]]) for x, y in zip(places(known), places(fresh), strict=True))
+    dest = (k1.view(np.uint64) % np.uint64(dests)).astype(np.int32)
+    turn = np.argsort(dest, kind="stable")
+    dest, k1, k2, pos = dest[turn], k1[turn], k2[turn], pos[turn]
+    cuts = np.append(_new(dest), len(dest)).tolist()
+    part = list(zip(cuts[:-1], cuts[1:], strict=True))
+    blobs = [pa.array([c[x:y].tobytes() for x, y in part], pa.binary()) for c in (k1, k2, pos)]
+    return pa.table([pa.array(dest[cuts[:-1]]), *blobs], names=["dest", "k1", "k2", "pos"])
+
+
+def _gathered(answers: pa.Table) -> pa.Table:
+    """One row a text: all its positions."""
+    k1, k2, pos = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in answers.column(c).to_pylist())]) for c, t in (("k1", np.int64), ("k2", np.int64), ("pos", np.int32)))
+    order = np.lexsort((pos, k2, k1))
+    k1, k2, pos = k1[order], k2[order], pos[order]
     new = _new(k1, k2)
     lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(pos)).astype(np.int32)), pa.array(pos))
     return pa.table([pa.array(k1[new]), pa.array(k2[new]), lists], names=["k1", "k2", "pos"])
 
 
-def _positions(packed: DataFrame) -> DataFrame:
-    found = packed.groupBy("bucket").applyInArrow(_repeated, "k1 long, k2 long, pos array<int>")
-    return found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+def _positions(packed: DataFrame, dests: int) -> DataFrame:
+    """k1, k2, pos: what the buckets answer, packed by destination so that a text's answers meet in one row."""
+    answers = packed.groupBy("bucket").applyInArrow(lambda t: _repeated(t, dests), "dest int, k1 binary, k2 binary, pos binary")
+    return answers.groupBy("dest").applyInArrow(_gathered, "k1 long, k2 long, pos array<int>")
 
 
 def _packing(buckets: int, keys: Callable) -> Callable:
@@ -250,11 +265,11 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
     """
     if length <= PERIOD:
         raise ValueError(f"windows have more than {PERIOD} words")
-    buckets = 4 * width(docs.sparkSession)
+    buckets = width(docs.sparkSession)
     texts = distinct_texts(docs, text_col)
-    anchors = _positions(texts.mapInArrow(_packing(buckets, _anchors(length)), _PACKED))
+    anchors = _positions(texts.mapInArrow(_packing(buckets, _anchors(length)), _PACKED), buckets)
     near = texts.join(anchors, ["k1", "k2"])
-    windows = _positions(near.mapInArrow(_packing(buckets, _windows(length)), _PACKED))
+    windows = _positions(near.mapInArrow(_packing(buckets, _windows(length)), _PACKED), buckets)
     cut, kind = _cut_out(length), "k1 long, k2 long, n_words long, n_removed long"
     last = (lambda batches: _digest(cut(batches))) if digest else cut
     done = texts.join(windows, ["k1", "k2"], "left").mapInArrow(last, f"{kind}, {'kept_sha256 string' if digest else 'kept binary'}")
