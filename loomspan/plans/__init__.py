@@ -1 +1 @@
-
+"""Ready-made queries over the driver's tables."""
