@@ -49,7 +49,7 @@ def classify(rows: DataFrame, existing: DataFrame, pos: str = "pos") -> DataFram
     """
     keyed = rows.withColumn("key", joined_key(F.col("brand"), F.col("model"), F.col("color"))).withColumn("bare", joined_key(F.col("brand"), F.col("model"), F.lit("")))
     stored = existing.select(joined_key(F.col("brand"), F.col("model"), F.col("color")).alias("stored")).distinct()
-    stash = fold(F.coalesce("status", F.lit("in stash"))) == "in stash"
+    stash = fold(F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("in stash"))) == "in stash"
     exact = stored.select(F.col("stored").alias("key"), F.lit(True).alias("known"))
     bare = stored.select(F.col("stored").alias("bare"), F.lit(True).alias("known_bare"))
     seen = F.row_number().over(Window.partitionBy("key", "in_stash").orderBy(pos)) > 1

@@ -57,7 +57,7 @@ def test_text_keys(spark):
     assert column(spark, ["Écru", " ÉCRU ", "ecru", "Ñandú", None], text.fold(F.col("v"))) == ["ecru", "ecru", "ecru", "nandu", None]
     assert column(spark, ["Yarn_Name", "yarn--name ", "Total  Paid"], text.header_key(F.col("v"))) == ["yarn name", "yarn name", "total paid"]
     assert column(spark, ["Été à la mer!", "--", "a" * 80], text.slug(F.col("v"))) == ["ete-a-la-mer", "", "a" * 60]
-    assert column(spark, ["Sock yarn", "DK", "odd"], text.first_keyword(F.col("v"), catalogues.WEIGHT_KEYWORDS)) == ["fingering", "dk", None]
+    assert column(spark, ["Super Bulky (6 wpi)", "Bulky", "DK", "odd"], text.first_keyword(F.col("v"), catalogues.WEIGHT_KEYWORDS)) == ["superbulky", "bulky", "dk", None]
     assert column(spark, ["scarf [12]", "none", "[3] x"], text.trailing_id(F.col("v"))) == [12, None, None]
     assert column(spark, ["a\n\n b \r\nc", None], text.lines(F.col("v"))) == [["a", "b", "c"], []]
 

@@ -130,12 +130,12 @@ def test_tools(spark):
 
 
 def test_import(spark):
-    sheet = spark.createDataFrame([("In Stash", "Écru", "Cascade", "220", "4", "10,0"), ("used up", "x", "Cascade", "221", "", ""), ("", "ecru", "CASCADE", "220", "1", "3"), ("", " ", "", "", "", "")], "Status string, `Color` string, `Yarn-Company` string, yarn_name string, Skeins string, `Total Paid` string")
+    sheet = spark.createDataFrame([("In Stash", "Écru", "Cascade", "220", "4", "10,0"), ("used up", "x", "Cascade", "221", "", ""), ("", "ecru", "CASCADE", "220", "1", "3"), ("", " ", "", "", "", "")], "Status string, `Colorway` string, BRAND string, Yarn string, Skeins string, `Price_Paid` string")
     found = imports.map_rows(imports.rename_sheet(sheet.coalesce(1))).withColumn("pos", F.monotonically_increasing_id())
     assert found.count() == 3
     assert rows(found, "brand", "unit_price") == [("CASCADE", 3.0), ("Cascade", 2.5), ("Cascade", None)]
     stored = spark.createDataFrame([("cascade", "221", "x")], "brand string, model string, color string")
-    assert rows(imports.classify(found.withColumn("status", F.nullif("status", F.lit(""))), stored), "model", "class") == [("220", "new"), ("220", "present"), ("221", "status")]
+    assert rows(imports.classify(found, stored), "model", "class") == [("220", "new"), ("220", "present"), ("221", "status")]
 
 
 def test_mutations(spark):
