@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.lineage import cut
+
 
 def rows_of(items: DataFrame, most_gap: float = 3.0) -> DataFrame:
     """Glyph runs (doc, page, x, y, width, text) to lines: a new row where y falls by more than the gap, cells in order of
@@ -43,7 +45,7 @@ def merge_boxes(boxes: DataFrame, gap: float = 8.0, least_side: float = 40.0, le
     regions = boxes.select("doc", "page", F.col("box").alias("id"), "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("paths"))
     before = -1
     for _ in range(rounds):
-        regions = regions.checkpoint()
+        regions = cut(regions)
         now = regions.count()
         if now == before:
             break

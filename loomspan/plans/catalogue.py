@@ -196,17 +196,17 @@ def unknown_prices(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("category").agg(F.count(F.lit(1)).alias("lines"), F.count_if(ledger.price_unknown()).alias("unknown"), F.count_if(F.col("kind") == "gift").alias("gifts"))
 
 
-@query(sql("SELECT category, coalesce(nullif(CASE WHEN y.id % 3 = 0 THEN NULL ELSE y.model END, ''), e.label) AS label, count(*) AS lines FROM expenses e LEFT JOIN yarns y ON e.yarn_id = y.id AND y.id % 3 <> 0 GROUP BY 1, 2", "lines", "expenses", "yarns"))
+@query(sql("SELECT category, coalesce(nullif(y.model, ''), e.label) AS label, count(*) AS lines FROM expenses e LEFT JOIN yarns y ON e.yarn_id = y.id AND y.grams <> 13 GROUP BY 1, 2", "lines", "expenses", "yarns"))
 def expense_labels(spark: SparkSession, d: str) -> DataFrame:
-    live = table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    live = table(spark, d, "part").where("p_size <> 13").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
     return ledger.labelled(_expenses(spark, d), live).groupBy("category", "label").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query(sql("SELECT y.id AS yarn_id, 'buy' AS kind, coalesce(CAST(y.price AS VARCHAR), '') AS unit_price, CASE WHEN y.currency = '' THEN 'CHF' ELSE y.currency END AS currency, '' AS date, TRUE AS reconstructed FROM yarns y WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.yarn_id = y.id AND l.gift AND l.q > 40)", "lines", "yarns"))
 def ledger_backfill(spark: SparkSession, d: str) -> DataFrame:
-    y = S.yarns(spark, d).select("id", "quantity", "price", "currency")
+    y = S.yarns(spark, d).select("id", "quantity", "price", "currency", "weight")
     known = S.lines(spark, d).where("kind = 'gift' AND cast(quantity AS double) > 40")
-    return ledger.backfill(y.where("id % 2 = 0"), y, known, "CHF").drop("quantity")
+    return ledger.backfill(y.where("weight = 'SMALL'"), y, known, "CHF").drop("quantity")
 
 
 @query(sql(f"SELECT CASE WHEN currency = '' THEN 'EUR' ELSE currency END AS currency, {R2.format('sum(price * quantity)')} AS amount FROM yarns WHERE price IS NOT NULL GROUP BY 1", "yarns"))
@@ -257,11 +257,11 @@ def stock_search(spark: SparkSession, d: str) -> DataFrame:
     return S.yarns(spark, d).where(stock.matches(query=" Red ", weight="PROMO", label="vegan")).select("id", "brand", "model", "weight")
 
 
-@query(sql("SELECT id, CAST(row_number() OVER (ORDER BY CASE weight WHEN 'LARGE' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'PROMO' THEN 3 ELSE 999 END, lower(brand), id) AS INT) AS place FROM yarns QUALIFY place <= 50", "yarns"))
+@query(sql("SELECT id, CASE weight WHEN 'LARGE' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'PROMO' THEN 3 ELSE 999 END AS place, lower(brand) AS brand_key FROM yarns", "yarns"))
 def stock_sort(spark: SparkSession, d: str) -> DataFrame:
-    first = S.yarns(spark, d).orderBy(stock.weight_rank(F.col("weight"), ("LARGE", "SMALL", "PROMO")), F.lower("brand"), "id").limit(50)
-    listed = first.agg(F.collect_list(F.struct(stock.weight_rank(F.col("weight"), ("LARGE", "SMALL", "PROMO")).alias("r"), F.lower("brand").alias("b"), "id")).alias("x"))
-    return listed.select(F.posexplode(F.sort_array("x")).alias("i", "s")).select("s.id", (F.col("i") + 1).alias("place"))
+    """The whole stock in order, with the keys it is sorted by."""
+    order = ("LARGE", "SMALL", "PROMO")
+    return stock.sort_yarns(S.yarns(spark, d), "weight", order).select("id", stock.weight_rank(F.col("weight"), order).alias("place"), F.lower("brand").alias("brand_key"))
 
 
 @query(sql("SELECT CAST(grams AS DOUBLE) AS value, CAST(grams AS VARCHAR) AS grams FROM yarns GROUP BY ALL", "yarns"))
@@ -308,9 +308,9 @@ def _tool_projects(spark: SparkSession, d: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_orderkey") % 3 == 0, "done").otherwise("wip").alias("status"), F.transform("x", lambda s: s["l_partkey"]).alias("tool_ids"))
 
 
-@query(f"WITH {_TOOLS} SELECT project_id, tool_id, CAST(min(ord) - 1 AS INT) AS place, name FROM (SELECT id AS project_id, unnest(tool_ids) AS tool_id, generate_subscripts(tool_ids, 1) AS ord FROM orders_) x JOIN tools t ON t.id = x.tool_id WHERE t.id % 3 <> 0 GROUP BY project_id, tool_id, name")
+@query(f"WITH {_TOOLS} SELECT project_id, tool_id, CAST(min(ord) - 1 AS INT) AS place, name FROM (SELECT id AS project_id, unnest(tool_ids) AS tool_id, generate_subscripts(tool_ids, 1) AS ord FROM orders_) x JOIN tools t ON t.id = x.tool_id JOIN part ON p_partkey = t.id AND p_size <> 13 GROUP BY project_id, tool_id, name")
 def linked_tools(spark: SparkSession, d: str) -> DataFrame:
-    return tools.linked_tools(_tool_projects(spark, d), _tools(spark, d).where("id % 3 <> 0"))
+    return tools.linked_tools(_tool_projects(spark, d), _tools(spark, d).where("coalesce(size_mm, kit_sizes[0], 0) <> 3.25"))
 
 
 @query(f"WITH {_TOOLS} SELECT tool_id, min(project_id) AS project_id, count(*) AS holders FROM (SELECT DISTINCT id AS project_id, unnest(tool_ids) AS tool_id FROM orders_ WHERE status = 'wip') GROUP BY 1")
@@ -318,9 +318,9 @@ def tools_in_use(spark: SparkSession, d: str) -> DataFrame:
     return tools.in_use(_tool_projects(spark, d))
 
 
-@query(f"WITH {_TOOLS} SELECT t.id, CAST(2 - coalesce(h.n, 0) AS BIGINT) AS free FROM tools t LEFT JOIN (SELECT tool_id, count(*) AS n FROM (SELECT DISTINCT id AS project_id, unnest(tool_ids) AS tool_id FROM orders_ WHERE status = 'wip' AND id % 40 = 1) GROUP BY 1) h ON h.tool_id = t.id WHERE 2 - coalesce(h.n, 0) > 0")
+@query(f"WITH {_TOOLS} SELECT t.id, CAST(20 - coalesce(h.n, 0) AS BIGINT) AS free FROM tools t LEFT JOIN (SELECT tool_id, count(*) AS n FROM (SELECT DISTINCT id AS project_id, unnest(tool_ids) AS tool_id FROM orders_ WHERE status = 'wip') GROUP BY 1) h ON h.tool_id = t.id WHERE 20 - coalesce(h.n, 0) > 0")
 def kit_availability(spark: SparkSession, d: str) -> DataFrame:
-    return tools.free_tools(_tools(spark, d), _tool_projects(spark, d).where("id % 40 = 1")).select("id", "free")
+    return tools.free_tools(_tools(spark, d).withColumn("quantity", F.lit(20)), _tool_projects(spark, d)).select("id", "free")
 
 
 @query(f"WITH {_TOOLS} SELECT id AS tool_id, unnest(list_distinct(sizes)) AS size_mm FROM tools WHERE len(sizes) > 0 UNION ALL SELECT id, NULL FROM tools WHERE len(sizes) = 0")
@@ -342,15 +342,15 @@ def tools_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT c_custkey AS pos, c_mktsegment AS brand, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || ' Écru' ELSE lower(c_mktsegment) || ' ecru' END AS model, CAST(c_nationkey AS VARCHAR) AS color, CASE WHEN c_custkey % 9 = 0 THEN 'Used up' WHEN c_custkey % 9 = 1 THEN NULL ELSE 'In Stash' END AS status FROM customer),
-    k AS (SELECT pos, coalesce(status, 'In Stash') = 'In Stash' AS s, lower(brand) || '|' || strip_accents(lower(model)) || '|' || color AS key, lower(brand) || '|' || strip_accents(lower(model)) || '|' AS bare FROM r),
-    e AS (SELECT key AS stored FROM k WHERE pos % 50 = 7 UNION SELECT bare FROM k WHERE pos = 30)
+    k AS (SELECT pos, color, coalesce(status, 'In Stash') = 'In Stash' AS s, lower(brand) || '|' || strip_accents(lower(model)) || '|' || color AS key, lower(brand) || '|' || strip_accents(lower(model)) || '|' AS bare FROM r),
+    e AS (SELECT key AS stored FROM k WHERE color = '7' UNION SELECT bare FROM k WHERE pos = 30)
     SELECT pos, key, CASE WHEN NOT s THEN 'status' WHEN key IN (SELECT stored FROM e) OR bare IN (SELECT stored FROM e) OR row_number() OVER (PARTITION BY key, s ORDER BY pos) > 1 THEN 'present' ELSE 'new' END AS class FROM k""")
 def import_classify(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     model = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.upper("c_mktsegment"), F.lit(" Écru"))).otherwise(F.concat(F.lower("c_mktsegment"), F.lit(" ecru")))
     status = F.when(F.col("c_custkey") % 9 == 0, "Used up").when(F.col("c_custkey") % 9 != 1, "In Stash")
     rows = c.select(F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("brand"), model.alias("model"), F.col("c_nationkey").cast("string").alias("color"), status.alias("status"))
-    stored = rows.where("pos % 50 = 7").select("brand", "model", "color").union(rows.where("pos = 30").select("brand", "model", F.lit("")))
+    stored = rows.where("color = '7'").select("brand", "model", "color").union(rows.where("pos = 30").select("brand", "model", F.lit("")))
     return imports.classify(rows, stored).select("pos", "key", "class")
 
 
@@ -401,14 +401,14 @@ def cascade_bundle(spark: SparkSession, d: str) -> DataFrame:
     return bundle["orders"].select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
 
 
-_STEPS = "steps AS (SELECT l_orderkey AS doc, CAST(l_suppkey % 2 AS INT) AS section, l_partkey * 10 + l_linenumber AS pos, CAST(l_partkey % 50 AS VARCHAR) AS t FROM lineitem WHERE l_orderkey % 5 = 0), fresh AS (SELECT doc, section, pos + 1000 AS pos, t FROM steps WHERE pos % 7 <> 0)"
+_STEPS = "steps AS (SELECT l_orderkey AS doc, CAST(l_suppkey % 2 AS INT) AS section, l_partkey * 10 + l_linenumber AS pos, CAST(l_partkey % 50 AS VARCHAR) AS t FROM lineitem), fresh AS (SELECT doc, section, pos + 1000 AS pos, t FROM steps WHERE t <> '13')"
 
 
 @query(f"WITH {_STEPS}, o AS (SELECT doc, section, t, min(pos) AS pos FROM steps GROUP BY ALL HAVING count(*) = 1), n AS (SELECT doc, section, t, min(pos) AS new_pos FROM fresh GROUP BY ALL HAVING count(*) = 1) SELECT s.doc, count(m.new_pos) AS kept, count_if(m.new_pos IS NULL) AS lost, CASE WHEN count_if(m.new_pos IS NULL) > 0 THEN 'modal' WHEN count(m.new_pos) > 0 THEN 'snackbar' ELSE 'none' END AS show FROM (SELECT DISTINCT doc, section, pos FROM steps) s LEFT JOIN (SELECT o.doc, o.section, o.pos, n.new_pos FROM o JOIN n USING (doc, section, t)) m USING (doc, section, pos) GROUP BY 1")
 def reconcile_state(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    li = table(spark, d, "lineitem")
     old = li.select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") % 2).cast("int").alias("section"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_partkey") % 50).cast("string").alias("text"))
-    new = old.where("pos % 7 <> 0").withColumn("pos", F.col("pos") + 1000)
+    new = old.where("text <> '13'").withColumn("pos", F.col("pos") + 1000)
     return mutations.reconcile_report(mutations.reconcile_steps(old, new, old.select("doc", "section", "pos").distinct()))
 
 
