@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions import dates, numbers, text
-from loomspan.operators import activity, documents, imports, ledger, mutations, progress, stock, tools
-from loomspan.operators import sessionize
+from loomspan.functions import catalogues, dates, numbers, text
+from loomspan.operators import activity, documents, exports, imports, layout, ledger, mutations, progress, sessionize, steps, stock, tools
 from loomspan.plans import standins as S
 from loomspan.plans.standins import REF, REF_DAY, sql, table
 
@@ -462,3 +461,96 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def reflow_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return documents.reflow(S.document_lines(spark, d))
+
+
+# more of activity, tools, progress and state --------------------------------------------------------------------------
+
+
+@query(sql(f"SELECT project_id, min(d) AS start_day, greatest({REF}, max(d)) AS end_day FROM sessions WHERE project_id IN (SELECT id FROM projects) GROUP BY 1 UNION ALL SELECT id, {REF}, {REF} FROM projects WHERE id NOT IN (SELECT project_id FROM sessions)", "sessions", "projects").replace("SELECT project_id, min(d) AS start_day", f"SELECT project_id, least({REF}, min(d)) AS start_day"))
+def project_windows(spark: SparkSession, d: str) -> DataFrame:
+    p = S.projects(spark, d).withColumn("started_at", F.lit("2024-01-24")).withColumn("finished_at", F.lit(""))
+    return activity.project_windows(p, S.sessions(spark, d), REF_DAY).select("project_id", "start_day", "end_day")
+
+
+@query(sql(", r AS (SELECT project_id, d, d - CAST(row_number() OVER (PARTITION BY project_id ORDER BY d) AS INT) AS g FROM (SELECT DISTINCT project_id, d FROM sessions)), b AS (SELECT project_id, max(n) AS best FROM (SELECT project_id, g, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1) SELECT s.project_id, CAST(sum(duration_sec) AS BIGINT) AS total_sec, count(*) AS sessions, count(DISTINCT d) AS active_days, CAST(any_value(best) AS BIGINT) AS best_streak FROM sessions s JOIN projects p ON p.id = s.project_id JOIN b ON b.project_id = s.project_id GROUP BY 1", "sessions", "projects").replace("\n, r", ",\nr"))
+def project_stats(spark: SparkSession, d: str) -> DataFrame:
+    p = S.projects(spark, d).withColumn("started_at", F.lit("")).withColumn("finished_at", F.lit(""))
+    return activity.project_stats(p, S.sessions(spark, d), REF_DAY).select("project_id", "total_sec", "sessions", "active_days", "best_streak")
+
+
+@query(sql("SELECT count_if(status = 'wip') AS under_way, count_if(status = 'done') AS undated, CAST(0 AS BIGINT) AS finished FROM projects", "projects"))
+def project_counts(spark: SparkSession, d: str) -> DataFrame:
+    return activity.finished_in_window(S.projects(spark, d).withColumn("finished_at", F.lit("")), START, END)
+
+
+@query(sql("SELECT status, id, place, CAST(rank AS INT) AS rank FROM (SELECT status, id, CASE status WHEN 'wip' THEN 1 ELSE 2 END AS place, row_number() OVER (PARTITION BY status ORDER BY name DESC, id) AS rank FROM projects WHERE status IN ('wip', 'done')) WHERE rank <= 3", "projects"))
+def top_per_status(spark: SparkSession, d: str) -> DataFrame:
+    return activity.top_per_status(S.projects(spark, d).withColumn("last_worked_at", F.col("name")), ["wip", "done"], 3)
+
+
+@query("WITH t AS (SELECT user_id AS doc, event_id, event_type, ts FROM events) SELECT p.doc, p.event_id AS id, s.event_id AS section FROM (SELECT * FROM t WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM t WHERE event_type = 'signup') s ON p.doc = s.doc AND p.ts >= s.ts")
+def as_of_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """For each purchase the user's last signup at or before it."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc"), F.lit(0).alias("page"), F.col("ts").alias("y"), "event_id", "event_type")
+    return documents.active_section(e.where("event_type = 'signup'").withColumnRenamed("event_id", "section"), e.where("event_type = 'purchase'").withColumnRenamed("event_id", "id"))
+
+
+_SIZES = ", ".join(f"({mm}, {'NULL' if us is None else repr(us)}, {'NULL' if uk is None else repr(uk)})" for mm, us, uk in catalogues.KNITTING_SIZES)
+
+
+@query(f"SELECT p_partkey AS id, s.us, s.uk FROM part LEFT JOIN (VALUES {_SIZES}) s(mm, us, uk) ON CAST(floor(p_size / 4.0 * 100 + 0.5) AS INT) = CAST(floor(s.mm * 100 + 0.5) AS INT)")
+def size_equivalents(spark: SparkSession, d: str) -> DataFrame:
+    return exports.with_equivalents(table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 4).alias("size_mm"))).select("id", "us", "uk")
+
+
+@query("SELECT doc, section, pos, row_number() OVER (PARTITION BY doc, section ORDER BY pos) AS place, count(*) OVER (PARTITION BY doc, section) AS of FROM (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS section, l_partkey AS pos FROM lineitem WHERE l_returnflag <> 'R')")
+def step_positions(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    steps_ = li.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("section"), F.col("l_partkey").alias("pos")).distinct()
+    return progress.step_positions(steps_.withColumn("note", F.lit(False))).select("doc", "section", "pos", F.col("place").cast("long").alias("place"), "of")
+
+
+@query("SELECT l_orderkey AS doc, l_linenumber AS section, l_partkey AS copy FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity >= 40, l_quantity, l_partkey) = 1")
+def working_copy(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return progress.working_copy(li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("section"), F.col("l_partkey").alias("copy"), F.col("l_quantity").alias("done"), F.lit(40.0).alias("total")))
+
+
+@query("SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_nationkey < 10 UNION ALL SELECT c_name, CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_nationkey >= 10")
+def merge_settings(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    snapshot = c.where("c_nationkey < 10").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    return mutations.merge_settings(snapshot, c.select(F.col("c_name").alias("key"), F.col("c_nationkey").cast("string").alias("value")), [])
+
+
+_TYPED = "CASE WHEN length(text) <= 4000 AND regexp_matches(text, '(?i)^(notes?|nb|remarques?|hinweis|nota)\\s*:') THEN 'note' WHEN length(text) <= 4000 AND regexp_matches(text, '(?i)^(rows?|rnds?|rounds?|rangs?|tours?|reihen?|runden?|vueltas?|hileras?)\\s*\\d+') THEN 'row' ELSE 'text' END"
+
+
+@query(sql(f"SELECT doc, {_TYPED} AS kind, count(*) AS n, count_if(length(text) <= 4000 AND len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) >= 3 AND length(regexp_replace(text, '[^\\pL]', '', 'g')) <= len(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) * 4) AS tables FROM doc_lines GROUP BY 1, 2", "doc_lines"))
+def line_types(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return S.document_lines(spark, d).groupBy("doc", steps.step_type(t).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(steps.table_row(t)).alias("tables"))
+
+
+@query("SELECT doc_id AS doc, count_if(t LIKE '## %') AS sections, count_if(regexp_matches(t, '^[-*+]\\s+\\S')) AS bullets, count_if(t <> '') AS lines FROM (SELECT doc_id, trim(unnest(string_split(coalesce(text, ''), chr(10))), ' ') AS t FROM documents) GROUP BY 1 HAVING count_if(t <> '') > 0")
+def markdown_types(spark: SparkSession, d: str) -> DataFrame:
+    parsed = steps.parse_markdown(table(spark, d, "documents"), "doc_id", "text")
+    return parsed.groupBy("doc").agg(F.count_if(F.col("type") == "section").alias("sections"), F.count_if(F.col("type") == "bullet").alias("bullets"), F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT conv_id AS doc, turn, role, CASE WHEN count(*) OVER (PARTITION BY conv_id, role) > 1 THEN role || ' ' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) ELSE role END AS numbered FROM conversations")
+def numbered_titles(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.col("role").alias("title"))
+    return documents.number_duplicates(c).select("doc", F.col("pos").alias("turn"), F.col("title").alias("role"), "numbered")
+
+
+@query("SELECT o_orderkey AS doc, list_sort(list(l_quantity))[CAST(floor(count(*) / 2.0) AS INT) + 1] AS median FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def upper_median(spark: SparkSession, d: str) -> DataFrame:
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy(F.col("o_orderkey").alias("doc")).agg(documents.upper_median(F.collect_list("l_quantity")).alias("median"))
+
+
+@query("SELECT o_custkey AS id, first_x, last_x, n FROM (SELECT o_custkey, g, min(x) AS first_x, max(x) AS last_x, count(*) AS n FROM (SELECT o_custkey, x, sum(f) OVER (PARTITION BY o_custkey ORDER BY x ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT o_custkey, o_totalprice AS x, CASE WHEN o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice) >= 20000 THEN 1 ELSE 0 END AS f FROM orders)) GROUP BY 1, 2)")
+def value_gaps(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("x"))
+    return layout.gaps(o, 20000.0, "id").select("id", "first_x", "last_x", "n")
