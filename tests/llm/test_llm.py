@@ -497,5 +497,18 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == left
 
 
+def test_stages_keep_columns_with_clashing_names(spark, odd, nothing):
+    """Columns named like internal ones pass through; documents without text or id are handled."""
+    clash = odd.select("*", F.lit("x").alias("_id"), F.lit(1).alias("_sha"), F.lit("y").alias("text_sha256"), F.lit(2.5).alias("component_id"), F.lit("z").alias("id"))
+    rows = pairs(clash)
+    stay = {t: max((i for i, u in rows if (u or "") == t and i is not None), default=None) for t in {u or "" for _, u in rows}}
+    got = corpus_pipeline.drop_copies(spark, clash, SF)
+    assert got.columns == clash.columns and sorted(pairs(got), key=repr) == sorted(((i, t) for i, t in rows if i == stay[t or ""]), key=repr)
+    near = corpus_pipeline.drop_near_copies(spark, clash, SF)
+    assert near.columns == clash.columns and 0 < near.count() <= clash.count()
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_leaks):
+        assert stage(spark, nothing, SF).count() == 0
+
+
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
