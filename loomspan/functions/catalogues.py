@@ -31,6 +31,7 @@ RECOMMENDED_MM = {
     "knitting": [2.0, 2.25, 2.5, 2.75, 3.0, 3.25, 3.5, 3.75, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0],
     "crochet": [2.25, 2.75, 3.25, 3.5, 3.75, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5, 8.0, 9.0, 10.0, 12.0, 15.0, 19.0],
 }
+#: Category of each tool type (inventory G15).
 TOOL_TYPES = {
     "straight": "needle", "circular": "needle", "dpn": "needle", "flexible": "needle", "tips": "needle", "cable": "needle", "other": "needle",
     "interchangeable": "kit", "hookKit": "kit", "standard": "hook", "tunisian": "hook",

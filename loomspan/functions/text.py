@@ -87,3 +87,8 @@ def expand_counts(template: Column, counts: Column, size: Column) -> Column:
     filled = F.transform(counts, lambda c: F.coalesce(F.try_element_at(c, (size + 1).cast("int")), F.lit("")))
     indexed = F.transform(filled, lambda v, i: F.struct(F.concat(F.lit("{{"), i.cast("string"), F.lit("}}")).alias("k"), v.alias("v")))
     return F.aggregate(indexed, template, lambda acc, p: F.replace(acc, p["k"], p["v"]))
+
+
+def fold_eszett(x: Column) -> Column:
+    """Capital sharp s to the small one, for comparison only."""
+    return F.replace(x, F.lit("\u1e9e"), F.lit("\u00df"))

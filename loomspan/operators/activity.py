@@ -234,3 +234,11 @@ def top_per_status(projects: DataFrame, order: list[str], most: int = 3) -> Data
     rank = F.row_number().over(Window.partitionBy("status").orderBy(F.desc_nulls_last("last_worked_at"), "id"))
     place = F.array_position(F.array(*map(F.lit, order)), F.col("status"))
     return projects.where(F.col("status").isin(order)).select("status", "id", place.cast("int").alias("place"), rank.alias("rank")).where(F.col("rank") <= most)
+
+
+def has_any(*relations: DataFrame) -> DataFrame:
+    """Whether any of the unfiltered relations has a row; each is read up to its first."""
+    out = relations[0].select(F.lit(1).alias("x")).limit(1)
+    for r in relations[1:]:
+        out = out.unionByName(r.select(F.lit(1).alias("x")).limit(1))
+    return out.agg((F.count("x") > 0).alias("any"))

@@ -1,5 +1,5 @@
 """Line-oriented text dataflow: repeated-line removal, language, genre and legibility gates, similarity (inventory C25,
-C26, D43-D46, E20, F9, L3-L52).
+D43, D44, D45, D46, E20, L1, L2, L3, L4, L5, L6, L7, L9, L10, L11, L12, L13, L15, L16, L17, L19, L27, L34, L35, L38, L45, L52).
 
 A line row has ``doc``, ``page``, ``line_no`` and ``text``.
 """
@@ -72,10 +72,14 @@ def is_spaced(text: Column) -> Column:
     return (F.size(w) >= 6) & (F.size(F.filter(w, lambda x: F.length(x) == 1)) >= F.size(w) * 0.7)
 
 
+#: What counts as a word and as a number in a page of measurements (fixed values).
+TABLE_WORD, TABLE_NUMBER = r"^\p{L}{3,}[.,:;!?)]*$", r"^\(?[0-9¼½¾.,/%-]+\)?$"
+
+
 def is_tabular(text: Column) -> Column:
     """Under 60 words, at least 40 numbers and twice as many numbers as words."""
     w = words(text)
-    numbers, plain = F.size(F.filter(w, lambda x: x.rlike(r"^[0-9][0-9.,/]*$"))), F.size(F.filter(w, lambda x: x.rlike(r"\p{L}{2,}")))
+    numbers, plain = F.size(F.filter(w, lambda x: x.rlike(TABLE_NUMBER))), F.size(F.filter(w, lambda x: x.rlike(TABLE_WORD)))
     return (plain < 60) & (numbers >= 40) & (numbers >= plain * 2)
 
 
@@ -184,3 +188,63 @@ def reflow(lines: DataFrame, most: int = 60) -> DataFrame:
     part = F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     grouped = lines.withColumn("paragraph", part).groupBy("doc", "page", "paragraph").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("x"))
     return grouped.select("doc", "page", "paragraph", F.array_join(F.transform("x", lambda s: s["text"]), " ").alias("text"))
+
+
+def page_subset(lines: DataFrame, chosen: list[int]) -> DataFrame:
+    """Chosen pages only, numbered from 0 in the order given (L2)."""
+    place = F.array_position(F.array(*map(F.lit, chosen)), F.col("page"))
+    return lines.withColumn("page", (place - 1).cast("int")).where("page >= 0")
+
+
+def illegible(text: Column, stem: str, contra: str = "(?!)", least_chars: int = 300, share: float = 0.6) -> Column:
+    """Letter-spaced text: spaced lines hold 300 characters or more and at least 60 % of all, and what they say without
+    blanks holds a stem of the genre and none of another (L5)."""
+    lines = F.split(text, "\n")
+    spaced = F.filter(lines, lambda s: is_spaced(s))
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, s: n + F.length(s))
+    letters = F.array_join(F.transform(spaced, lambda s: F.regexp_replace(s, r"\s+", "")), "\n")
+    enough = (size(lines) > 0) & (size(spaced) >= least_chars) & (size(spaced) >= size(lines) * share)
+    return F.coalesce(enough & letters.rlike(f"(?iu){stem}") & ~letters.rlike(f"(?iu){contra}"), F.lit(False))
+
+
+def caption_pages(lines: DataFrame, short: int = 20) -> DataFrame:
+    """Pages most of whose right-column lines are short: captions, not prose (L13).  ``lines`` has ``right``."""
+    return lines.where("right").groupBy("doc", "page").agg(F.avg((F.length("text") <= short).cast("int")).alias("share")).where("share > 0.5").select("doc", "page")
+
+
+def multi_column_pages(lines: DataFrame) -> DataFrame:
+    """Pages with a line in several columns, a document (D45).  ``lines`` has ``multi``."""
+    return lines.groupBy("doc", "page").agg(F.max("multi").alias("m")).groupBy("doc").agg(F.count_if("m").alias("pages"))
+
+
+def rejection(docs: DataFrame) -> DataFrame:
+    """First failing gate and all reasons (L3, L9).  ``docs`` has scanned, reason (of the genre gate) and several."""
+    gates = F.array(F.when(F.col("scanned"), "scanned"), F.when(F.col("reason").isNotNull(), "not_pattern"), F.when(F.col("several"), "several"))
+    found = F.array_compact(gates)
+    return docs.withColumn("reasons", found).withColumn("rejected", F.try_element_at(found, F.lit(1)))
+
+
+def continuity(keys: Column, anchor: Column, text: Column, most: int = 8) -> Column:
+    """-1 if the line at ``anchor`` (from 0) is not in the step's text, else how many lines before it, eight at most, can be
+    put in front with the whole still in that text (L34)."""
+    tail = F.try_element_at(keys, (anchor + 1).cast("int"))
+    before = F.slice(F.reverse(F.slice(keys, F.lit(1), anchor)), 1, most)
+    start = F.struct(tail.alias("tail"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+    longer = lambda a, k: F.when(k == "", a["tail"]).otherwise(F.concat_ws(" ", k, a["tail"]))
+    walked = F.aggregate(
+        before, start,
+        lambda a, k: F.when(a["on"] & F.contains(text, longer(a, k)), F.struct(longer(a, k).alias("tail"), (a["n"] + 1).alias("n"), F.lit(True).alias("on")))
+        .otherwise(F.struct(a["tail"].alias("tail"), a["n"].alias("n"), F.lit(False).alias("on"))),
+    )
+    there = (F.coalesce(tail, F.lit("")) != "") & F.contains(text, tail)
+    return F.when(F.coalesce(there, F.lit(False)), walked["n"]).otherwise(-1)
+
+
+def read_documents(lines: DataFrame, is_title: Column, kinds: list[tuple[str, str]], other: str) -> DataFrame:
+    """The whole flow over lines: repeated lines go, sections are cut at titles and get a kind, lines get a type."""
+    from loomspan.operators.steps import step_type
+
+    kept = segment(strip_boilerplate(lines), is_title)
+    titles = kept.where(is_title).select("doc", "section", F.col("text").alias("title"))
+    named = kept.where(~F.coalesce(is_title, F.lit(False))).join(titles, ["doc", "section"], "left")
+    return named.withColumn("kind", title_kind(F.coalesce("title", F.lit("")), kinds, other)).withColumn("type", step_type(F.col("text")))

@@ -64,16 +64,16 @@ def yarn_export(yarns: DataFrame, totals: DataFrame, system: str = "metric", mar
 
 
 def project_export(projects: DataFrame) -> DataFrame:
-    """(A29)"""
+    """Twelve columns of a project; needles as texts joined by a slash."""
     return projects.select("id", "name", "technique", "status", "started_at", "finished_at", F.array_join(F.transform("needles", lambda n: F.concat(n["mm"].cast("string"), F.lit(" mm"))), " / ").alias("needles"), F.array_join("sizes", " / ").alias("sizes"), "stars")
 
 
 def pattern_export(patterns: DataFrame) -> DataFrame:
-    """(A30)"""
+    """A pattern with the number of its sections."""
     return patterns.select("id", "name", "category", "author", F.size("sections").alias("sections"), "price", "currency")
 
 
 def tool_export(tools: DataFrame) -> DataFrame:
-    """(A31)"""
+    """A tool with its size numbers, kit sizes and cables as text."""
     cables = F.array_join(F.transform("kit_cables", lambda c: F.concat(c["cm"].cast("int").cast("string"), F.lit(" cm"), F.coalesce(F.concat(F.lit(" "), F.upper(c["join"])), F.lit("")))), " ; ")
     return with_equivalents(tools).select("id", "name", "category", "type", "size_mm", "us", "uk", F.array_join(F.transform("kit_sizes", lambda s: s.cast("string")), " / ").alias("kit_sizes"), cables.alias("kit_cables"), "quantity", "status")

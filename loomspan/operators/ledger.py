@@ -49,7 +49,7 @@ def expense_lines(purchases: DataFrame, patterns: DataFrame, tools: DataFrame) -
 
 
 def filter_year(lines: DataFrame, which: str) -> DataFrame:
-    """``all``, ``unknown`` (blank date) or a year."""
+    """``all``, ``unknown`` (blank date) or a year; chained with the category filter."""
     return lines if which in ("", "all") else lines.where(year() == ("" if which == "unknown" else which))
 
 

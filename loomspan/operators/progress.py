@@ -52,3 +52,19 @@ def combined_progress(sections: DataFrame, reader: DataFrame) -> DataFrame:
     s, r = sections.select("project_id", F.struct("done", "total").alias("s")), reader.select("project_id", F.struct("done", "total").alias("r"))
     p = F.coalesce(F.when(F.col("s.total") > 0, F.col("s")), F.col("r"))
     return s.join(r, "project_id", "full").select("project_id", p["done"].alias("done"), p["total"].alias("total"))
+
+
+def last_place(last: DataFrame, steps: DataFrame) -> DataFrame:
+    """The step last touched if it still exists, else null; there is no fallback."""
+    there = steps.select("doc", "pos", F.lit(True).alias("there")).distinct()
+    return last.join(there, ["doc", "pos"], "left").select("doc", F.when(F.col("there"), F.col("pos")).alias("pos"))
+
+
+def chart_before(steps: DataFrame) -> DataFrame:
+    """For each step the nearest visible chart before it, looking back no further than the last tracked step.
+    ``steps`` has ``is_chart``, ``visible`` and ``tracked``."""
+    order = Window.partitionBy("doc").orderBy("pos")
+    run = F.coalesce(F.sum(F.col("tracked").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = Window.partitionBy("doc", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    chart = F.last(F.when(F.col("is_chart") & F.col("visible"), F.col("pos")), ignorenulls=True).over(within)
+    return steps.withColumn("run", run).select("doc", "pos", chart.alias("chart"))

@@ -1,5 +1,5 @@
-"""Instruction lines: size vectors, placeholders, step types, Markdown lines (inventory H39-H41, L18, L20-L24, L26-L28, L36-L44,
-L46, L50, L51)."""
+"""Instruction lines: size vectors, placeholders, step types, Markdown lines (inventory H39, H40, H41, L14, L18,
+L20, L21, L23, L25, L26, L28, L29, L36, L37, L38, L39, L40, L44, L46, L50, L51)."""
 
 from __future__ import annotations
 
@@ -119,3 +119,31 @@ def reader_faults(sections: DataFrame) -> DataFrame:
 def lexicon_hit(text: Column, words: list[str]) -> Column:
     """Whether a text holds one of the words, whole and in any case."""
     return text.rlike(r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(words) + r")(?![\p{L}\p{N}])")
+
+
+def row_start(line: Column) -> Column:
+    """Whether a line starts a numbered row; such lines are never taken for running heads."""
+    return F.when(F.length(line) <= LONGEST, line.rlike(ROW)).otherwise(F.lit(False))
+
+
+def glossary(lines: DataFrame) -> DataFrame:
+    """Abbreviation and meaning from "k2tog = knit two together", "k: knit" or columns two blanks apart."""
+    pattern = r"^\s*([\p{L}0-9][\p{L}0-9./-]{0,11})\s*(?:=|:|\s{2,}|–)\s*(\p{L}.{2,200})$"
+    short = F.when(F.length("text") <= LONGEST, F.regexp_extract("text", pattern, 1)).otherwise("")
+    out = lines.withColumn("abbreviation", short).withColumn("meaning", F.trim(F.regexp_extract("text", pattern, 2)))
+    return out.where("abbreviation <> '' AND meaning <> ''")
+
+
+def first_hint(lines: DataFrame, pattern: str, priority: list[str]) -> DataFrame:
+    """First line that matches, sections in their order of priority (L29).  ``lines`` has ``kind``."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, priority)), F.col("kind")), F.lit(0).cast("long")), F.lit(len(priority) + 1).cast("long"))
+    hit = lines.where((F.length("text") <= LONGEST) & F.col("text").rlike(pattern))
+    return hit.groupBy("doc").agg(F.min_by("text", F.struct(place, "page", "line_no")).alias("hint"))
+
+
+def to_reader(sections: DataFrame) -> DataFrame:
+    """Sections of plain text to nested steps, one a line that is not blank."""
+    from loomspan.functions.text import lines as cut
+
+    steps = F.transform(cut(F.col("instructions")), lambda t: F.struct(t.alias("t"), step_type(t).alias("type")))
+    return sections.select("doc", "id", "kind", "title", steps.alias("steps"))

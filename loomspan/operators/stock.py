@@ -173,3 +173,10 @@ def count_by_category(patterns: DataFrame, catalogue: list[str]) -> DataFrame:
     dim = patterns.sparkSession.createDataFrame([(c,) for c in catalogue], "category string")
     each = dim.join(patterns.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category", "left").select("category", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return each.unionByName(patterns.agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("category"), "n"))
+
+
+def composition_summary(usage: DataFrame, yarns: DataFrame) -> DataFrame:
+    """Fibres of a project's yarns, ordered distinct, first seen first (D41).  ``usage`` has project_id, yarn_id and pos."""
+    listed = usage.join(yarns.select(F.col("id").alias("yarn_id"), F.posexplode(distinct_trimmed(F.col("composition"))).alias("place", "fibre")), "yarn_id")
+    first = listed.groupBy("project_id", "fibre").agg(F.min(F.struct("pos", "place")).alias("at"))
+    return first.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "fibre"))), lambda s: s["fibre"]), ", ").alias("fibres"))

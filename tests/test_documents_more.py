@@ -59,3 +59,37 @@ def test_steps(spark):
     parsed = steps.parse_markdown(spark.createDataFrame([(1, md)], "doc int, text string"))
     assert rows(parsed.where("type = 'bullet'"), "title", "content") == [("Body", "row one"), ("Sleeve", "row two")]
     assert steps.write_markdown(parsed).first()["text"] == md
+
+
+def test_document_flow(spark):
+    from loomspan.operators import documents, progress
+
+    text = lambda i: f"Head\nMATERIALS\nyarn {i} grams\nBODY\nRow {i}: knit all\nplain line {i} words\nfoot {i}"
+    lines = documents.lines_of(spark.createDataFrame([("d", i, text(i)) for i in range(3)], "doc string, page int, text string"), "doc", "page", "text")
+    got = documents.read_documents(lines, F.col("text").rlike("^[A-Z]{4,}$"), [("material", "supplies"), ("body", "piece")], "other")
+    assert rows(got.where("page = 0"), "text", "kind", "type") == [("Row 0: knit all", "piece", "row"), ("plain line 0 words", "piece", "text"), ("yarn 0 grams", "supplies", "text")]
+    assert rows(documents.page_subset(lines, [2, 0]).where("line_no = 2"), "page", "text") == [(0, "yarn 2 grams"), (1, "yarn 0 grams")]
+    glued = spark.createDataFrame([("k n i t  t h e  n e x t\n" * 30,), ("knit the next\n" * 40,)], "t string")
+    assert [r["x"] for r in glued.select(documents.illegible(F.col("t"), "knit").alias("x")).collect()] == [True, False]
+    gates = spark.createDataFrame([(False, None, True), (True, "x", False), (False, None, False)], "scanned boolean, reason string, several boolean")
+    assert [(r["rejected"], r["reasons"]) for r in documents.rejection(gates).collect()] == [("several", ["several"]), ("scanned", ["scanned", "not_pattern"]), (None, [])]
+    k = spark.sql("SELECT array('other', 'knit two', 'then purl') AS k, 'so knit two then purl' AS t").select(documents.continuity(F.col("k"), F.lit(2), F.col("t")).alias("n"))
+    assert k.first()["n"] == 1
+    off = spark.sql("SELECT array('a', 'b') AS k, 'zzz' AS t").select(documents.continuity(F.col("k"), F.lit(1), F.col("t")).alias("n"))
+    assert off.first()["n"] == -1
+    st = spark.createDataFrame([(1, 0, True, True, False), (1, 1, False, True, True), (1, 2, False, True, True), (1, 3, True, False, False), (1, 4, False, True, False)], "doc long, pos int, is_chart boolean, visible boolean, tracked boolean")
+    assert rows(progress.chart_before(st), "pos", "chart") == [(0, None), (1, 0), (2, None), (3, None), (4, None)]
+    gl = spark.createDataFrame([("k2tog = knit two together",), ("A long sentence that is no definition",), ("yo   yarn over",)], "text string")
+    assert rows(steps.glossary(gl), "abbreviation", "meaning") == [("k2tog", "knit two together"), ("yo", "yarn over")]
+
+
+def test_tables_and_spaced_lines(spark):
+    from loomspan.operators import documents
+
+    data = [("1 2 3 4 5 " * 10 + "size chart",), ("1 2 3 4 5 " * 10 + "word " * 70,), ("1 2",)]
+    df = spark.createDataFrame(data, "t string")
+    assert [r["x"] for r in df.select(documents.is_tabular(F.col("t")).alias("x")).collect()] == [True, False, False]
+    lines = spark.createDataFrame([("k n i t t w o",), ("k n i t two words here and more",), ("a b c",)], "t string")
+    assert [r["x"] for r in lines.select(documents.is_spaced(F.col("t")).alias("x")).collect()] == [True, False, False]
+    scored = documents.genre(spark.createDataFrame([(1, "knit purl knit"), (2, "sewing seam"), (3, "nothing")], "id int, text string"), [("k", "knit", 3.0), ("p", "purl", 2.0)], [("s", "sewing", 4.0)], 4.0, 2.0)
+    assert rows(scored, "id", "score", "markers", "reason") == [(1, 5.0, "k,p", None), (2, 0.0, "", "other"), (3, 0.0, "", "no_markers")]
