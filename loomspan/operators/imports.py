@@ -35,7 +35,9 @@ def map_rows(rows: DataFrame) -> DataFrame:
     """Typed yarn and purchase of each sheet row."""
     quantity, paid = to_number(F.col("quantity")), to_number(F.col("total_price"))
     yards = to_number(F.col("yards"))
-    return rows.select(
+    own, family = (F.nullif(F.trim(c), F.lit("")) for c in ("color", "color_family"))
+    typed = rows.withColumn("color_from_family", own.isNull() & family.isNotNull()).withColumn("color", F.coalesce(own, family, F.lit("")))
+    return typed.select(
         "*", quantity.alias("skeins"), F.when(quantity > 0, round2(paid / quantity)).alias("unit_price"),
         F.coalesce(to_number(F.col("metres")), round2(yards * METRES_PER_YARD)).alias("length_m"), to_number(F.col("grams")).alias("weight_g"),
         first_keyword(F.col("weight"), catalogues.WEIGHT_KEYWORDS).alias("weight_class"), import_date(F.col("date")).alias("bought_on"),
@@ -45,16 +47,18 @@ def map_rows(rows: DataFrame) -> DataFrame:
 def classify(rows: DataFrame, existing: DataFrame, pos: str = "pos") -> DataFrame:
     """status (not in stash), present (in stock, or seen before in the sheet) or new, for every row.
 
-    A yarn is known by its folded brand, model and colour; one stored without colour is known by brand and model.
+    A yarn is known by its folded brand, model and colour; a row whose colour was taken from its family also by one stored
+    without colour.
     """
     keyed = rows.withColumn("key", joined_key(F.col("brand"), F.col("model"), F.col("color"))).withColumn("bare", joined_key(F.col("brand"), F.col("model"), F.lit("")))
     stored = existing.select(joined_key(F.col("brand"), F.col("model"), F.col("color")).alias("stored")).distinct()
-    stash = fold(F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("in stash"))) == "in stash"
+    stash = F.coalesce(fold(F.col("status")) == "in stash", F.lit(False))
+    family = F.coalesce("color_from_family", F.lit(False)) if "color_from_family" in rows.columns else F.lit(False)
     exact = stored.select(F.col("stored").alias("key"), F.lit(True).alias("known"))
     bare = stored.select(F.col("stored").alias("bare"), F.lit(True).alias("known_bare"))
     seen = F.row_number().over(Window.partitionBy("key", "in_stash").orderBy(pos)) > 1
     joined = keyed.withColumn("in_stash", stash).join(exact, "key", "left").join(bare, "bare", "left")
-    kind = F.when(~F.col("in_stash"), "status").when(F.col("known") | F.col("known_bare") | seen, "present").otherwise("new")
+    kind = F.when(~F.col("in_stash"), "status").when(F.col("known") | (F.col("known_bare") & family) | seen, "present").otherwise("new")
     return joined.withColumn("class", kind).drop("bare", "known", "known_bare", "in_stash")
 
 

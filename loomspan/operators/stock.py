@@ -43,8 +43,10 @@ def reserve(yarns: DataFrame, project: Column, amount: Column) -> DataFrame:
 
 
 def consume(yarns: DataFrame, project: Column, used: Column) -> DataFrame:
-    """A project's reservation becomes consumption: the stock falls by what was used, at most what it may take (K9)."""
-    took = F.greatest(F.least(round2(used), available_for(project)), F.lit(0.0))
+    """A project's reservation becomes consumption: the stock falls by what was used, at most what it may take; without a
+    reservation nothing is used (K9)."""
+    own = F.coalesce(F.try_element_at(quantities(F.col("reservations")), project.cast("bigint")), F.lit(0.0))
+    took = F.when(own > 0, F.greatest(F.least(round2(used), available_for(project)), F.lit(0.0))).otherwise(0.0)
     before = F.coalesce(F.try_element_at(quantities(F.col("consumed")), project.cast("bigint")), F.lit(0.0))
     others = F.map_filter(quantities(F.col("consumed")), lambda k, _: k != project)
     out = yarns.withColumns({"_took": took, "_before": before, "_others": others})
@@ -80,10 +82,11 @@ def usage_state(yarns: DataFrame, projects: DataFrame) -> DataFrame:
     held = edges(yarns).join(projects.select(F.col("id").alias("project_id"), "status"), "project_id", "left")
     # a project that is gone is never done
     held = held.groupBy("yarn_id").agg(F.bool_and(F.coalesce(F.col("status") == "done", F.lit(False))).alias("all_done"))
-    consumed = total(F.col("consumed")) > 0
+    stock = F.coalesce("quantity", F.lit(0.0))
+    used = F.least(total(F.col("reservations")), stock)
     state = (
-        F.when((F.coalesce("quantity", F.lit(0.0)) <= 0) & consumed, "used")
-        .when(F.col("all_done"), "used").when(F.col("all_done").isNotNull(), "reserved").when(consumed, "usedPartial").otherwise("free")
+        F.when((stock == 0) & (F.size(quantities(F.col("consumed"))) > 0), "used").when(used <= 0, "free").when(~F.coalesce("all_done", F.lit(False)), "reserved")
+        .when(used >= stock, "used").otherwise("usedPartial")
     )
     return yarns.join(held, yarns["id"] == held["yarn_id"], "left").select("id", state.alias("state"))
 
@@ -95,9 +98,9 @@ def project_usage(yarns: DataFrame) -> DataFrame:
 
 
 def project_cost(yarns: DataFrame, fallback: str) -> DataFrame:
-    """Cost of each project a currency, and how many of its yarns have a price."""
-    price = F.when(has_value(F.col("price")), parse_decimal(F.col("price")))
-    side = yarns.select(F.col("id").alias("yarn_id"), price.alias("price"), F.coalesce(F.nullif(F.col("currency"), F.lit("")), F.lit(fallback)).alias("currency"))
+    """Cost of each project a currency, and how many of its yarns have a price noted; an unreadable one counts as 0."""
+    price = F.when(has_value(F.col("price")), F.coalesce(parse_decimal(F.col("price")), F.lit(0.0)))
+    side = yarns.select(F.col("id").alias("yarn_id"), price.alias("price"), F.coalesce(F.nullif(F.trim("currency"), F.lit("")), F.lit(fallback)).alias("currency"))
     return project_usage(yarns).join(side, "yarn_id").groupBy("project_id", "currency").agg(
         round2(F.sum(F.coalesce(F.col("price") * F.col("skeins"), F.lit(0.0)))).alias("amount"), F.count("price").alias("priced"), F.count_if(F.col("price").isNull()).alias("unpriced")
     )

@@ -231,9 +231,9 @@ def stock_available(spark: SparkSession, d: str) -> DataFrame:
     return stock.with_availability(S.yarns(spark, d)).select("id", "reserved", "available")
 
 
-@query(sql("""SELECT y.id, CASE WHEN y.quantity <= 0 AND c.q > 0 THEN 'used' WHEN r.all_done THEN 'used' WHEN r.all_done IS NOT NULL THEN 'reserved' WHEN c.q > 0 THEN 'usedPartial' ELSE 'free' END AS state
+@query(sql("""SELECT y.id, CASE WHEN y.quantity = 0 AND c.q > 0 THEN 'used' WHEN least(coalesce(r.q, 0), y.quantity) <= 0 THEN 'free' WHEN NOT r.all_done THEN 'reserved' WHEN r.q >= y.quantity THEN 'used' ELSE 'usedPartial' END AS state
     FROM yarns y LEFT JOIN (SELECT yarn_id, sum(q) AS q FROM consumed GROUP BY 1) c ON c.yarn_id = y.id
-    LEFT JOIN (SELECT r.yarn_id, bool_and(coalesce(p.status = 'done', FALSE)) AS all_done FROM reserved r LEFT JOIN stock_projects p ON p.id = r.project_id WHERE r.q > 0 GROUP BY 1) r ON r.yarn_id = y.id""", "yarns", "reserved", "consumed", "stock_projects"))
+    LEFT JOIN (SELECT r.yarn_id, sum(r.q) AS q, bool_and(coalesce(p.status = 'done', FALSE)) AS all_done FROM reserved r LEFT JOIN stock_projects p ON p.id = r.project_id WHERE r.q > 0 GROUP BY 1) r ON r.yarn_id = y.id""", "yarns", "reserved", "consumed", "stock_projects"))
 def stock_state(spark: SparkSession, d: str) -> DataFrame:
     return stock.usage_state(S.yarns(spark, d), S.stock_projects(spark, d))
 
@@ -340,15 +340,15 @@ def tools_by_type(spark: SparkSession, d: str) -> DataFrame:
 # import and export ---------------------------------------------------------------------------------------------------
 
 
-@query("""WITH r AS (SELECT c_custkey AS pos, c_mktsegment AS brand, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || ' Écru' ELSE lower(c_mktsegment) || ' ecru' END AS model, CAST(c_nationkey AS VARCHAR) AS color, CASE WHEN c_custkey % 9 = 0 THEN 'Used up' WHEN c_custkey % 9 = 1 THEN NULL ELSE 'In Stash' END AS status FROM customer),
-    k AS (SELECT pos, color, coalesce(status, 'In Stash') = 'In Stash' AS s, lower(brand) || '|' || strip_accents(lower(model)) || '|' || color AS key, lower(brand) || '|' || strip_accents(lower(model)) || '|' AS bare FROM r),
+@query("""WITH r AS (SELECT c_custkey AS pos, c_mktsegment AS brand, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || ' Écru' ELSE lower(c_mktsegment) || ' ecru' END AS model, CAST(c_nationkey AS VARCHAR) AS color, CASE WHEN c_custkey % 9 = 0 THEN 'Used up' WHEN c_custkey % 9 = 1 THEN NULL ELSE 'In Stash' END AS status, c_acctbal > 5000 AS fam FROM customer),
+    k AS (SELECT pos, color, fam, coalesce(status, '') = 'In Stash' AS s, lower(brand) || '|' || strip_accents(lower(model)) || '|' || color AS key, lower(brand) || '|' || strip_accents(lower(model)) || '|' AS bare FROM r),
     e AS (SELECT key AS stored FROM k WHERE color = '7' UNION SELECT bare FROM k WHERE pos = 30)
-    SELECT pos, key, CASE WHEN NOT s THEN 'status' WHEN key IN (SELECT stored FROM e) OR bare IN (SELECT stored FROM e) OR row_number() OVER (PARTITION BY key, s ORDER BY pos) > 1 THEN 'present' ELSE 'new' END AS class FROM k""")
+    SELECT pos, key, CASE WHEN NOT s THEN 'status' WHEN key IN (SELECT stored FROM e) OR (fam AND bare IN (SELECT stored FROM e)) OR row_number() OVER (PARTITION BY key, s ORDER BY pos) > 1 THEN 'present' ELSE 'new' END AS class FROM k""")
 def import_classify(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     model = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.upper("c_mktsegment"), F.lit(" Écru"))).otherwise(F.concat(F.lower("c_mktsegment"), F.lit(" ecru")))
     status = F.when(F.col("c_custkey") % 9 == 0, "Used up").when(F.col("c_custkey") % 9 != 1, "In Stash")
-    rows = c.select(F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("brand"), model.alias("model"), F.col("c_nationkey").cast("string").alias("color"), status.alias("status"))
+    rows = c.select(F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("brand"), model.alias("model"), F.col("c_nationkey").cast("string").alias("color"), status.alias("status"), (F.col("c_acctbal") > 5000).alias("color_from_family"))
     stored = rows.where("color = '7'").select("brand", "model", "color").union(rows.where("pos = 30").select("brand", "model", F.lit("")))
     return imports.classify(rows, stored).select("pos", "key", "class")
 

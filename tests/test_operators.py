@@ -105,7 +105,10 @@ def yarns(spark):
 def test_stock(spark, yarns):
     assert rows(stock.with_availability(yarns), "id", "reserved", "available") == [(1, 0.3, 9.7), (2, 0.0, 0.0), (3, 5.0, 0.0), (4, 0.0, 5.0)]
     projects = spark.createDataFrame([(1, "done"), (2, "wip")], "id long, status string")
-    assert rows(stock.usage_state(yarns, projects), "id", "state") == [(1, "reserved"), (2, "used"), (3, "reserved"), (4, "usedPartial")]
+    assert rows(stock.usage_state(yarns, projects), "id", "state") == [(1, "reserved"), (2, "used"), (3, "reserved"), (4, "free")]
+    both = spark.createDataFrame([(1, "done"), (2, "done"), (9, "done")], "id long, status string")
+    assert rows(stock.usage_state(yarns, both), "id", "state") == [(1, "usedPartial"), (2, "used"), (3, "used"), (4, "free")]
+    assert rows(stock.consume(yarns, F.lit(7).cast("long"), F.lit(1.0)), "id", "quantity")[0] == (1, 10.0)
     more = stock.reserve(yarns, F.lit(7).cast("long"), F.lit(100.0))
     assert rows(more, "id", "reservations") == [(1, {1: 0.1, 2: 0.2, 7: 9.7}), (2, {}), (3, {9: 5.0}), (4, {7: 5.0})]
     used = stock.consume(yarns, F.lit(1).cast("long"), F.lit(0.1))
@@ -130,7 +133,7 @@ def test_tools(spark):
 
 
 def test_import(spark):
-    sheet = spark.createDataFrame([("In Stash", "Écru", "Cascade", "220", "4", "10,0"), ("used up", "x", "Cascade", "221", "", ""), ("", "ecru", "CASCADE", "220", "1", "3"), ("", " ", "", "", "", "")], "Status string, `Colorway` string, BRAND string, Yarn string, Skeins string, `Price_Paid` string")
+    sheet = spark.createDataFrame([("In Stash", "Écru", "Cascade", "220", "4", "10,0"), ("used up", "x", "Cascade", "221", "", ""), ("IN STASH ", "ecru", "CASCADE", "220", "1", "3"), ("", " ", "", "", "", "")], "Status string, `Colorway` string, BRAND string, Yarn string, Skeins string, `Price_Paid` string")
     found = imports.map_rows(imports.rename_sheet(sheet.coalesce(1))).withColumn("pos", F.monotonically_increasing_id())
     assert found.count() == 3
     assert rows(found, "brand", "unit_price") == [("CASCADE", 3.0), ("Cascade", 2.5), ("Cascade", None)]
