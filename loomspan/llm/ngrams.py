@@ -314,7 +314,7 @@ def totals(docs: DataFrame, shards: int) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["v"] or 0)
 
 
-def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float = 20.0, chunk_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float = 20.0, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     size = text_bytes(docs, text_col)
     chunks = max(-(-size // chunk_bytes), min(width(docs.sparkSession), -(-size // (1 << 20))), 1)
