@@ -28,14 +28,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of equal texts the document with the largest id stays."""
-    groups = exact.exact_groups(docs, keep="largest").where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    groups = exact.exact_groups(docs, keep="largest").where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
     return docs.join(groups, docs["doc_id"].eqNullSafe(groups["_id"]) & (sha == groups["_sha"]), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group of linked documents the one with the smallest id stays."""
-    groups = simhash.near_groups(docs, words_per_shingle=4, within=4).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    groups = simhash.near_groups(docs, words_per_shingle=4, within=4).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
     return docs.join(groups, docs["doc_id"] == groups["_id"], "left_anti")
 
 
