@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loomspan.llm import bpe, decontaminate, exact, simhash, toxicity
 from loomspan.llm.common import table
 from loomspan.llm.queries import tokenizer_path
+from loomspan.shipping import shipped
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,11 +51,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("exact dedup", drop_copies),
-    ("SimHash near-dedup", drop_near_copies),
-    ("benchmark decontamination", drop_leaks),
-    ("BPE", encode),
+    ("toxicity", shipped(drop_toxic)),
+    ("exact dedup", shipped(drop_copies)),
+    ("SimHash near-dedup", shipped(drop_near_copies)),
+    ("benchmark decontamination", shipped(drop_leaks)),
+    ("BPE", shipped(encode)),
 ]
 #: The toxicity network has no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -63,7 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between two stages is a table in the shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")  # each stage ships the package first, so the last one's plan can run too
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
