@@ -268,15 +268,14 @@ def find_pii(docs: DataFrame, field: Field, sure: float = 0.95, id_col: str = "d
 
 def _spans(column: pa.Array, field: Field, sure: float) -> tuple[list[list[Span]], list[list[Span]]]:
     """Base and added spans of every text; a text without digit and ``@`` holds none and is not decoded."""
-    buf, offsets = textops.buffers(column)
-    held = np.concatenate([[0], np.cumsum(_HOLDS[buf], dtype=np.int64)])
-    some = np.flatnonzero(held[offsets[1:]] > held[offsets[:-1]])
     base: list[list[Span]] = [[] for _ in range(len(column))]
     more: list[list[Span]] = [[] for _ in range(len(column))]
-    for i in some.tolist():
-        text = textops.text_of(buf, offsets, i).decode("utf-8", "replace")
-        base[i] = base_spans(text)
-        more[i] = added_spans(text, base[i], field, sure)
+    for begin, _, buf, offsets in textops.slices(column):
+        held = np.concatenate([[0], np.cumsum(_HOLDS[buf], dtype=np.int32)])
+        for i in np.flatnonzero(held[offsets[1:]] > held[offsets[:-1]]).tolist():
+            text = textops.text_of(buf, offsets, i).decode("utf-8", "replace")
+            base[begin + i] = base_spans(text)
+            more[begin + i] = added_spans(text, base[begin + i], field, sure)
     return base, more
 
 
