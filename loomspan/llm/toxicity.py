@@ -197,7 +197,10 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5) -> Net
         pos += np.bincount(row[y[text] == 1], minlength=len(pos))
         neg += np.bincount(row[y[text] == 0], minlength=len(neg))
     odds = np.log((pos + 0.1) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
-    telling = np.where(pos[rows] + neg[rows] > 1, odds[rows], 0).max(1) if len(rows) else np.zeros(0)
+    odds = np.where(pos + neg > 1, odds, 0).astype(np.float32)
+    telling = odds[rows[:, 0]]
+    for f in range(1, _FEATURES):
+        np.maximum(telling, odds[rows[:, f]], out=telling)
     text, at = windows(n)
     toxic = np.flatnonzero((y == 1) & (n > 0))
     best = np.array([words.first[i] + telling[words.first[i] : words.first[i + 1]].argmax() - words.first[i] for i in toxic])
