@@ -29,24 +29,30 @@ def line_key(text: Column) -> Column:
     return F.when(F.length(text) <= LONGEST_LINE, F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "#"), r"\s+", " ")))
 
 
-def edge_lines(lines: DataFrame, band: float = 0.12) -> DataFrame:
-    """Lines within the outer bands of their page, by position."""
+def _with_edge(lines: DataFrame, band: float = 0.12) -> DataFrame:
+    """Lines with ``_edge``: whether they are within the outer bands of their page, by position."""
     page = Window.partitionBy("doc", "page")
     last, reach = F.max("line_no").over(page), F.floor((F.max("line_no").over(page) + 1) * band)
-    return lines.withColumn("_last", last).withColumn("_reach", F.greatest(reach, F.lit(1))).where("line_no < _reach OR line_no > _last - _reach").drop("_last", "_reach")
+    return lines.withColumn("_last", last).withColumn("_reach", F.greatest(reach, F.lit(1))).withColumn("_edge", F.expr("line_no < _reach OR line_no > _last - _reach")).drop("_last", "_reach")
+
+
+def edge_lines(lines: DataFrame, band: float = 0.12) -> DataFrame:
+    """Lines within the outer bands of their page, by position."""
+    return _with_edge(lines, band).where("_edge").drop("_edge")
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
-    """Keys of edge lines that stand on at least max(2, half the pages) pages of their document."""
+def repeated_lines(lines: DataFrame, one_in: int = 2) -> DataFrame:
+    """Keys of edge lines that stand on at least max(2, one in ``one_in`` of the pages) pages of their document."""
     pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("pages"))
-    on = edge_lines(lines).withColumn("key", line_key(F.col("text"))).where("key IS NOT NULL").groupBy("doc", "key").agg(F.count_distinct("page").alias("on_pages"))
-    return on.join(pages, "doc").where(F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2)))
+    on = edge_lines(lines).withColumn("key", line_key(F.col("text"))).where("key IS NOT NULL").groupBy("doc", "key").agg(F.count_distinct("page").alias("on_pages")).where("on_pages >= 2")
+    return on.join(pages, "doc").where(F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / one_in)))
 
 
-def strip_boilerplate(lines: DataFrame) -> DataFrame:
+def strip_boilerplate(lines: DataFrame, one_in: int = 2) -> DataFrame:
     """Lines without those that repeat in the outer bands; the same words inside a page stay."""
-    spots = edge_lines(lines).withColumn("key", line_key(F.col("text"))).join(repeated_lines(lines).select("doc", "key"), ["doc", "key"], "left_semi")
-    return lines.join(spots.select("doc", "page", "line_no"), ["doc", "page", "line_no"], "left_anti")
+    marked = _with_edge(lines)
+    edge = marked.where("_edge").withColumn("key", line_key(F.col("text"))).join(repeated_lines(lines, one_in).select("doc", "key"), ["doc", "key"], "left_anti")
+    return marked.where("NOT _edge").select(lines.columns).unionByName(edge.select(lines.columns))
 
 
 def words(text: Column) -> Column:

@@ -416,10 +416,7 @@ def reconcile_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT doc, key, count(DISTINCT page) AS on_pages, any_value(pages) AS pages FROM (SELECT e.*, CASE WHEN length(text) <= 4000 THEN trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) END AS key FROM (SELECT *, max(line_no) OVER (PARTITION BY doc, page) AS last_no FROM doc_lines) e WHERE line_no < greatest(floor((last_no + 1) * 0.12), 1) OR line_no > last_no - greatest(floor((last_no + 1) * 0.12), 1)) JOIN (SELECT doc, count(DISTINCT page) AS pages FROM doc_lines GROUP BY 1) USING (doc) WHERE key IS NOT NULL GROUP BY doc, key HAVING count(DISTINCT page) >= greatest(2, ceil(any_value(pages) / 10))", "doc_lines"))
 def doc_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    lines = S.document_lines(spark, d)
-    pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("pages"))
-    on = documents.edge_lines(lines).withColumn("key", documents.line_key(F.col("text"))).where("key IS NOT NULL").groupBy("doc", "key").agg(F.count_distinct("page").alias("on_pages"))
-    return on.join(pages, "doc").where(F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 10))).select("doc", "key", "on_pages", "pages")
+    return documents.repeated_lines(S.document_lines(spark, d), one_in=10).select("doc", "key", "on_pages", "pages")
 
 
 @query("SELECT doc_id, n >= 20 AND m >= n / 30.0 AS german FROM (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS n, len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda w: w IN (" + ", ".join(f"'{w}'" for w in documents.GERMAN) + "))) AS m FROM documents)")
@@ -452,10 +449,10 @@ def doc_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of the raw web pages without those that repeat."""
-    from loomspan.sources.tables import read_html_lines
+    """Lines of the raw web pages without those that repeat on the pages of their site (the host of the address)."""
+    from loomspan.sources.tables import host, read_html_lines
 
-    return documents.strip_boilerplate(read_html_lines(table(spark, d, "pages")))
+    return documents.strip_boilerplate(read_html_lines(table(spark, d, "pages"), host(F.col("url"))))
 
 
 @query()

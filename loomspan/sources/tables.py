@@ -6,7 +6,7 @@ reaches the files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,12 +87,22 @@ def read_snapshot(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{base}/{n}") for n in names}
 
 
-def read_html_lines(pages: DataFrame) -> DataFrame:
-    """Text lines of raw web pages: scripts, styles and tags go, block tags end a line (A32 on web pages)."""
+def host(url: Column) -> Column:
+    """Host of a web address in lower case, without user and port; null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+
+
+def read_html_lines(pages: DataFrame, site: Column | None = None) -> DataFrame:
+    """Text lines of raw web pages: scripts, styles and tags go, block tags end a line (A32 on web pages).
+
+    With ``site`` that is the document and ``page_id`` its page; without, each page is a document of its own.  Lines are
+    numbered among those with text, as the blank ones come from the markup.
+    """
     plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " ")
     broken = F.regexp_replace(plain, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav)\b[^>]*>", "\n")
     text = F.regexp_replace(broken, r"<[^>]*>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    cut = F.posexplode(F.split(text, "\n")).alias("line_no", "raw")
-    return pages.select(F.col("page_id").alias("doc"), cut).select("doc", F.lit(0).alias("page"), "line_no", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("text")).where("text <> ''")
+    clean = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    doc, page = (F.col("page_id"), F.lit(0)) if site is None else (site, F.col("page_id"))
+    return pages.select(doc.alias("doc"), page.alias("page"), F.posexplode(clean).alias("line_no", "text"))

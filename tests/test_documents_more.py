@@ -93,3 +93,20 @@ def test_tables_and_spaced_lines(spark):
     assert [r["x"] for r in lines.select(documents.is_spaced(F.col("t")).alias("x")).collect()] == [True, False, False]
     scored = documents.genre(spark.createDataFrame([(1, "knit purl knit"), (2, "sewing seam"), (3, "nothing")], "id int, text string"), [("k", "knit", 3.0), ("p", "purl", 2.0)], [("s", "sewing", 4.0)], 4.0, 2.0)
     assert rows(scored, "id", "score", "markers", "reason") == [(1, 5.0, "k,p", None), (2, 0.0, "", "other"), (3, 0.0, "", "no_markers")]
+
+
+def test_lines_shared_by_the_pages_of_a_site_go(spark, tmp_path):
+    from loomspan.operators import documents
+    from loomspan.plans.catalogue import QUERIES
+
+    html = lambda i: f"\n\n<html><nav>Start</nav>{''.join(f'<p>text {i} {chr(97 + k)}</p>' for k in range(9))}<p>start</p><footer>&copy; site</footer></html>"
+    urls = ["http://a.example/x", "HTTPS://u@A.example:80/y?q", "http://a.example", "http://b_c.example/", None, "no address"]
+    data = [(i, u, html(chr(112 + i))) for i, u in enumerate(urls)]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = rows(QUERIES["page_lines"](spark, str(tmp_path)), "doc", "page", "line_no", "text")
+    for i, doc in enumerate(["a.example", "a.example", "a.example", "b_c.example", None, None]):
+        mine = [r[2:] for r in got if r[:2] == (doc, i)]
+        whole = [(0, "Start"), *((k + 1, f"text {chr(112 + i)} {chr(97 + k)}") for k in range(9)), (10, "start"), (11, "© site" if False else "&copy; site")]
+        assert sorted(mine) == (whole[1:-1] if i < 3 else whole)
+    ten = spark.createDataFrame([("d", p, n, "head" if p < 3 and n == 0 else f"x{chr(97 + p)}") for p in range(21) for n in range(2)], "doc string, page int, line_no int, text string")
+    assert documents.repeated_lines(ten).count() == 0 and rows(documents.repeated_lines(ten, one_in=10), "key", "on_pages") == [("head", 3)]
