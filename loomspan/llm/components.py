@@ -1,44 +1,5 @@
-"""Connected components of an undirected graph by alternating large-star and small-star steps.
+"""Connected components, which the library outside of this removable part has too."""
 
-Every step is a grouped minimum and a join on the node, so nothing is gathered on the driver but two numbers a round,
-and a hub is only a hot key of a join whose other side has one row for it.  Each round is cut through the shared
-checkpoint folder.
-"""
+from loomspan.operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from loomspan.llm.common import cut
-
-
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20)).alias("s")).first()
-    return row["n"], row["s"]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``edges`` has long columns u and v.  Returns node, label: the smallest node reachable, for every node of an edge."""
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _mark(edges)
-    while before[0]:
-        edges = cut(_small(_large(edges)))
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+__all__ = ["components"]

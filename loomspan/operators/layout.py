@@ -2,7 +2,7 @@
 L30-L33, L41-L43, L45, L48).
 
 Everything that walks a page's items in order is a window over one page; the transitive merge of boxes is a graph of
-overlapping boxes whose components are found by grouped minima, page by page.
+overlapping boxes whose components are found by star steps.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.components import components
 from loomspan.operators.lineage import cut
 
 
@@ -36,15 +37,16 @@ def _touch(a: str, b: str, gap: float) -> Column:
     return (c(a, "x0") - gap <= c(b, "x1")) & (c(b, "x0") - gap <= c(a, "x1")) & (c(a, "y0") - gap <= c(b, "y1")) & (c(b, "y0") - gap <= c(a, "y1"))
 
 
-def merge_boxes(boxes: DataFrame, gap: float = 8.0, least_side: float = 40.0, least_paths: int = 8, cell: float = 64.0, rounds: int = 30) -> DataFrame:
+def merge_boxes(boxes: DataFrame, gap: float = 8.0, least_side: float = 40.0, least_paths: int = 8, cell: float = 64.0) -> DataFrame:
     """Boxes (doc, page, box, x0, y0, x1, y1) that touch within ``gap``, merged; small and sparse regions go.
 
-    Neighbours are found over grid cells, so only boxes that share a cell meet.  Merging repeats until no two regions
-    touch, as the reach of a merged region is that of its outline.
+    Neighbours are found over grid cells, so only boxes that share a cell meet.  A round joins whole components of touching
+    regions; rounds repeat until no two regions touch, as the reach of a merged region is that of its outline.
     """
+    at = ["doc", "page", "id"]
     regions = boxes.select("doc", "page", F.col("box").alias("id"), "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("paths"))
     before = -1
-    for _ in range(rounds):
+    while True:
         regions = cut(regions)
         now = regions.count()
         if now == before:
@@ -54,9 +56,11 @@ def merge_boxes(boxes: DataFrame, gap: float = 8.0, least_side: float = 40.0, le
         cells = regions.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
         a, b = cells.alias("a"), cells.alias("b")
         same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("doc", "page", "cx", "cy")]
-        near = a.join(b, [*same, F.col("b.id") < F.col("a.id"), _touch("a", "b", gap)]).groupBy(F.col("a.doc").alias("doc"), F.col("a.page").alias("page"), F.col("a.id").alias("id")).agg(F.min("b.id").alias("to"))
-        joined = regions.join(near, ["doc", "page", "id"], "left").withColumn("id", F.coalesce("to", "id"))
-        regions = joined.groupBy("doc", "page", "id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("paths").alias("paths"))
+        touching = a.join(b, [*same, F.col("b.id") < F.col("a.id"), _touch("a", "b", gap)])
+        edges = touching.select(*(F.struct(*(F.col(f"{t}.{k}").alias(k) for k in at)).alias(n) for t, n in (("a", "u"), ("b", "v"))))
+        to = components(edges).select(*(F.col(f"node.{k}").alias(k) for k in at), F.col("label.id").alias("to"))
+        joined = regions.join(to, at, "left").withColumn("id", F.coalesce("to", "id"))
+        regions = joined.groupBy(at).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("paths").alias("paths"))
     return regions.where((F.col("x1") - F.col("x0") >= least_side) & (F.col("y1") - F.col("y0") >= least_side) & (F.col("paths") >= least_paths))
 
 

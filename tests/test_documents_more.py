@@ -110,3 +110,11 @@ def test_lines_shared_by_the_pages_of_a_site_go(spark, tmp_path):
         assert sorted(mine) == (whole[1:-1] if i < 3 else whole)
     ten = spark.createDataFrame([("d", p, n, "head" if p < 3 and n == 0 else f"x{chr(97 + p)}") for p in range(21) for n in range(2)], "doc string, page int, line_no int, text string")
     assert documents.repeated_lines(ten).count() == 0 and rows(documents.repeated_lines(ten, one_in=10), "key", "on_pages") == [("head", 3)]
+
+
+def test_merging_boxes_ends_when_nothing_touches(spark):
+    box = [("d", 0, i, 10.0 * i, 0.0, 10.0 * i + 8, 50.0) for i in range(100)]
+    # the outline of the first two of page 1 reaches the third, which neither of them touches
+    box += [("d", 1, 0, 0.0, 0.0, 10.0, 100.0), ("d", 1, 1, 15.0, 0.0, 100.0, 10.0), ("d", 1, 2, 60.0, 60.0, 70.0, 70.0), ("d", 1, 3, 200.0, 200.0, 270.0, 270.0)]
+    got = layout.merge_boxes(spark.createDataFrame(box, "doc string, page int, box int, x0 double, y0 double, x1 double, y1 double"), least_paths=1)
+    assert rows(got, "page", "id", "x0", "x1", "y1", "paths") == [(0, 0, 0.0, 998.0, 50.0, 100), (1, 0, 0.0, 100.0, 100.0, 3), (1, 3, 200.0, 270.0, 270.0, 1)]
