@@ -3,15 +3,19 @@
 Every token is cut to its core (outer punctuation goes, ASCII letters become lower case) and typed: a number, a number
 with a unit, a unit, or a name (capitalised inside a sentence) becomes a placeholder, other words stay.  Windows of
 ``size`` consecutive typed tokens are hash-joined between the benchmark and the documents.  Windows on one diagonal
-(document position less item position) must fill the slots consistently: an item's value always meets the same value
-of the document and no two values of the item meet the same one.  A document holds an item if at least ``share`` of the item's windows are
-found so; a question whose numbers, names or units were exchanged still matches.
+(document position less item position) fill the item's slots with values of the document; the diagonal's mapping joins
+each value of the item to the one it meets most, one to one.  A window is found if its slots are verbatim or if all
+of them agree with that mapping.  Beside its template every window of an item is looked up by its exact token values,
+which finds windows that are all placeholders and names that stand at the start of a sentence on one side.  A document
+holds an item if at least ``share`` of the item's windows, or of those with a literal word, are found so; a question
+whose numbers, names or units were exchanged still matches.  An item of fewer than ``size`` tokens is held where
+its token values stand in a row.
 
 The benchmark is a stated query set: it is taken in blocks of at most ``block`` bytes of text, each of them sent to
-the tasks once, and every block meets all documents.  A window that is all placeholders is never looked up.
+the tasks once, and every block meets all documents.
 
-Cases: null or empty texts match nothing; items of fewer than ``size`` tokens have no window and are never reported;
-null ids stay null; repeated rows are reported as often as they occur; empty tables give no rows; other columns are
+Cases: null or empty texts match nothing; an item of fewer than ``size`` tokens counts as one window; items without
+a token are never reported; null ids stay null; repeated rows are reported as often as they occur; empty tables give no rows; other columns are
 ignored.
 """
 
@@ -94,6 +98,19 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(np.where(kind == WORD, value, _PLACE[kind]), value, kind, first)
 
 
+#: Keeps hashes of exact values apart from those of templates.
+_EXACT = np.uint64(0x2545F4914F6CDD1D)
+
+
+def exact_windows(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the token values, text and position of every window inside one text."""
+    n = np.diff(t.first)
+    text = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(text)) - np.repeat(t.first[:-1], n)
+    at = np.flatnonzero(np.repeat(n, n) - pos >= size)
+    return textops.window_hashes(t.value, size)[at] ^ _EXACT, text[at], pos[at]
+
+
 def template_windows(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and position of every window inside one text that has at least one literal word."""
     n = np.diff(t.first)
@@ -107,15 +124,20 @@ def template_windows(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Items(NamedTuple):
-    """A block of the benchmark: sorted window hashes with item and position, windows and tokens of each item."""
+    """A block of the benchmark: sorted window hashes with item and position, windows, windows with a literal word (by
+    item, and which they are by token) and tokens of each item, and for each length under the window size the sorted
+    hashes of the whole items of that length, with item."""
 
     ids: list
     hashes: np.ndarray
     item: np.ndarray
     pos: np.ndarray
     count: np.ndarray
+    literal_count: np.ndarray
+    literal: np.ndarray
     tokens: Tokens
     filter: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 _FILTER_BITS = 22
@@ -125,14 +147,37 @@ def prepare(rows: list[tuple], size: int) -> Items:
     buf, offsets = textops.buffers(pa.array([t or "" for _, t in rows], pa.string()))
     t = tokens(buf, offsets)
     h, item, pos = template_windows(t, size)
+    literal = np.zeros(len(t.key), bool)
+    literal[t.first[item] + pos] = True
+    literal_count = np.bincount(item, minlength=len(rows))
+    exact, exact_item, exact_pos = exact_windows(t, size)
+    count = np.bincount(exact_item, minlength=len(rows))
+    h, item, pos = np.concatenate([h, exact]), np.concatenate([item, exact_item]), np.concatenate([pos, exact_pos])
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Items([i for i, _ in rows], h[order], item[order], pos[order], np.bincount(item, minlength=len(rows)), t, seen)
+    short = {}
+    for n in range(1, size):
+        whole, of, _ = exact_windows(t, n)
+        mine = np.flatnonzero(np.diff(t.first)[of] == n)
+        by = mine[np.argsort(whole[mine], kind="stable")]
+        if len(by):
+            short[n] = whole[by], of[by]
+    return Items([i for i, _ in rows], h[order], item[order], pos[order], count, literal_count, literal, t, seen, short)
+
+
+def _most(keys: list, values: list, verbatim: list) -> dict:
+    """For each key the value it meets most; of equally frequent ones the verbatim one, then the first."""
+    seen = {}
+    for k, v, same in zip(keys, values, verbatim, strict=True):
+        per = seen.setdefault(k, {})
+        n, _ = per.get(v, (0, same))
+        per[v] = (n + 1, same)
+    return {k: max(per, key=per.get) for k, per in seen.items()}
 
 
 def _consistent(items: Items, doc: Tokens, item: int, base: int, pairs: np.ndarray, size: int) -> np.ndarray:
-    """Of (document position, item position) windows, those on diagonals whose slots agree."""
+    """Of (document position, item position) windows, those whose slots are verbatim or agree with their diagonal's mapping."""
     keep = np.zeros(len(pairs), bool)
     diagonal = pairs[:, 0] - pairs[:, 1]
     origin = items.tokens.first[item]
@@ -140,39 +185,79 @@ def _consistent(items: Items, doc: Tokens, item: int, base: int, pairs: np.ndarr
         on = np.flatnonzero(diagonal == d)
         at = np.unique((pairs[on, 1][:, None] + np.arange(size)).ravel())
         slots = at[items.tokens.kind[origin + at] != WORD]
-        asked = list(zip(items.tokens.kind[origin + slots].tolist(), items.tokens.value[origin + slots].tolist(), strict=True))
-        given = doc.value[base + slots + d].tolist()
-        both = set(zip(asked, given, strict=True))
-        keep[on] = len(both) == len(set(asked)) == len({(k, g) for (k, _), g in both})
+        kinds, values, met = items.tokens.kind[origin + slots], items.tokens.value[origin + slots], doc.value[base + slots + d]
+        verbatim = values == met
+        if verbatim.all():
+            keep[on] = True
+            continue
+        same = verbatim.tolist()
+        asked = list(zip(kinds.tolist(), values.tolist(), strict=True))
+        given = list(zip(kinds.tolist(), met.tolist(), strict=True))
+        there, back = _most(asked, given, same), _most(given, asked, same)
+        agrees = np.array([there[a] == g and back[g] == a for a, g in zip(asked, given, strict=True)])
+        # slots up to each place of the diagonal that differ, and that disagree
+        places = np.searchsorted(slots, pairs[on, 1]), np.searchsorted(slots, pairs[on, 1] + size)
+        for fits in (verbatim, agrees):
+            bad = np.concatenate([[0], np.cumsum(~fits)])
+            keep[on] |= bad[places[1]] == bad[places[0]]
     return keep
 
 
+def _held(items: Items, item: int, at: np.ndarray, share: float) -> tuple[int, int] | None:
+    """Windows found and windows of the item, with a literal word or all, if one of the two has its share at ``at``."""
+    at = np.unique(at)
+    for found, total in ((int(items.literal[items.tokens.first[item] + at].sum()), int(items.literal_count[item])), (len(at), int(items.count[item]))):
+        if found and found >= share * total:
+            return found, total
+    return None
+
+
 def find(items: Items, column: pa.Array, size: int, share: float) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(row, item, windows found, windows of the item, slots changed) for every row that holds an item."""
+    """(row, item, windows found, windows of the item, slots changed) for every row that holds an item by its windows."""
     if not len(items.hashes):
         return
+    for begin, _, buf, offsets in textops.slices(column):
+        yield from ((begin + doc, *x) for doc, *x in _by_windows(items, tokens(buf, offsets), size, share))
+
+
+def find_all(items: Items, column: pa.Array, size: int, share: float) -> Iterator[tuple[int, int, int, int, bool]]:
+    """As ``find``, with the items of fewer tokens than a window has, each of them one window."""
     for begin, _, buf, offsets in textops.slices(column):
         t = tokens(buf, offsets)
-        h, text, pos = template_windows(t, size)
+        if len(items.hashes):
+            yield from ((begin + doc, *x) for doc, *x in _by_windows(items, t, size, share))
+        for n, (whole, item) in items.short.items():
+            h, text, _ = exact_windows(t, n)
+            lo, hi = np.searchsorted(whole, h), np.searchsorted(whole, h, "right")
+            some = np.flatnonzero(hi > lo)
+            for doc, a, b in np.unique(np.stack([text[some], lo[some], hi[some]], 1), axis=0).tolist():
+                yield from ((begin + doc, i, 1, 1, False) for i in item[a:b].tolist())
+
+
+def _by_windows(items: Items, t: Tokens, size: int, share: float) -> Iterator[tuple[int, int, int, int, bool]]:
+    parts = []
+    for exact, (h, text, pos) in enumerate((template_windows(t, size), exact_windows(t, size))):
         near = np.flatnonzero(items.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         h, text, pos = h[near], text[near], pos[near]
         lo, hi = np.searchsorted(items.hashes, h), np.searchsorted(items.hashes, h, "right")
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        rows = np.stack([np.repeat(text, n), items.item[at], np.repeat(pos, n), items.pos[at]], 1)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        cuts = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], 1)) + 1
-        for group in np.split(rows, cuts) if len(rows) else ():
-            doc, item = int(group[0, 0]), int(group[0, 1])
-            total = int(items.count[item])
-            if len(np.unique(group[:, 3])) < share * total:
-                continue
-            good = group[_consistent(items, t, item, int(t.first[doc]), group[:, 2:], size)]
-            found = len(np.unique(good[:, 3]))
-            if found and found >= share * total:
-                a = (good[:, 3][:, None] + np.arange(size)).ravel() + items.tokens.first[item]
-                b = (good[:, 2][:, None] + np.arange(size)).ravel() + t.first[doc]
-                yield begin + doc, item, found, total, bool((items.tokens.value[a] != t.value[b]).any())
+        parts.append(np.stack([np.repeat(text, n), items.item[at], np.repeat(pos, n), items.pos[at], np.full(len(at), exact)], 1))
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    cuts = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], 1)) + 1
+    for group in np.split(rows, cuts) if len(rows) else ():
+        doc, item = int(group[0, 0]), int(group[0, 1])
+        if not _held(items, item, group[:, 3], share):
+            continue
+        sure = group[:, 4] == 1
+        sure[~sure] = _consistent(items, t, item, int(t.first[doc]), group[~sure, 2:4], size)
+        good = group[sure]
+        held = _held(items, item, good[:, 3], share)
+        if held:
+            a = (good[:, 3][:, None] + np.arange(size)).ravel() + items.tokens.first[item]
+            b = (good[:, 2][:, None] + np.arange(size)).ravel() + t.first[doc]
+            yield doc, item, *held, bool((items.tokens.value[a] != t.value[b]).any())
 
 
 def blocks(benchmark: DataFrame, size: int, item_col: str, text_col: str, block: int) -> Iterator[Items]:
@@ -197,7 +282,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: fl
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for b in batches:
-                hits = list(find(items, b.column("text"), size, share))
+                hits = list(find_all(items, b.column("text"), size, share))
                 ids = b.column("doc_id").take(pa.array([x[0] for x in hits], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([items.ids[x[1]] for x in hits]).cast(arrow_type), pa.array([x[2] for x in hits], pa.int64()), pa.array([x[3] for x in hits], pa.int64()), pa.array([x[4] for x in hits], pa.bool_())],
@@ -217,7 +302,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, shar
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[x[0] for x in find(sent.value, b.column(text_col), size, share)]] = False
+                keep[[x[0] for x in find_all(sent.value, b.column(text_col), size, share)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

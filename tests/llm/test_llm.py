@@ -440,6 +440,27 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.contaminated(odd, bench.where("false")).count() == 0
 
 
+def test_one_changed_slot_and_short_or_numeric_items(spark):
+    find = lambda item, doc: [x[2:] for x in decontaminate.find_all(decontaminate.prepare([(1, item)], 5), pa.array([doc]), 5, 0.8)]
+    item = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59)]
+    item[10] = item[40] = "7"
+    item[25] = "8"
+    for at, value in ((40, "9"), (25, "7")):
+        doc = [*item[:at], value, *item[at + 1 :]]
+        assert find(" ".join(item), "so " + " ".join(doc) + " so") == [(50, 55, False)]
+    both = [{"7": "9", "8": "7"}.get(w, w) for w in item]
+    assert find(" ".join(item), " ".join(both)) == [(55, 55, True)]
+    digits = "1 2 3 4 5 6 7 8 9 10"
+    assert find(digits, f"count {digits} up") == [(6, 6, False)] and find(digits, "count 2 1 4 3 6 5 8 7 10 9 up") == []
+    assert find("Sum: " + digits, f"the sum: {digits}") == [(1, 1, False)]
+    assert find("Paris is the capital of", "that Paris is the capital of it") == [(1, 1, False)]
+    assert find("Who is Ada?", "one asked: who is Ada") == [(1, 1, False)] and find("Who is Ada?", "who is Bob, Ada is who") == [] and find("?!", "?!") == []
+    bench = spark.createDataFrame([(1, "Who is Ada?"), (2, digits), (3, "?")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {digits}"), (2, "asks who is Ada"), (3, "1 2 3 ? who is"), (4, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()) == [(1, 2), (2, 1)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [3, 4]
+
+
 # 10 BPE
 
 
