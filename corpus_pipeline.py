@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, decontaminate, exact, simhash, toxicity
-from loomspan.llm.common import table
+from loomspan.llm.common import cut, table
 from loomspan.llm.queries import tokenizer_path
 from loomspan.shipping import shipped
 
@@ -28,16 +28,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of equal texts the document with the largest id stays."""
+    """Operator 5: of equal texts the document with the largest id stays, with rows that repeat its id; null ids go unless
+    all are null.  What this leaves twice, the near-dedup stage takes once."""
     groups = exact.exact_groups(docs, keep="largest").where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
     return docs.join(groups, docs["doc_id"].eqNullSafe(groups["_id"]) & (sha == groups["_sha"]), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of linked documents the one with the smallest id stays."""
-    groups = simhash.near_groups(docs, words_per_shingle=4, within=4).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(groups, docs["doc_id"] == groups["_id"], "left_anti")
+    """Operator 6: of each group of linked rows exactly one stays, that with the smallest id (null ids last, then the
+    smallest hash of the text); ids may repeat, and of rows that repeat id and text any one stays."""
+    rows = cut(simhash.near_rows(docs, words_per_shingle=4, within=4))
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    same = lambda x: docs["doc_id"].eqNullSafe(x["_id"]) & (sha == x["_sha"])
+    named = [F.col("doc_id").alias("_id"), F.col("hash").alias("_sha")]
+    gone, twice = (rows.where(w).select(named) for w in ("NOT kept OR rows > 1", "kept AND rows > 1"))
+    key = f"_{uuid4().hex}"
+    once = docs.join(twice, same(twice), "left_semi").withColumn(key, sha).dropDuplicates(["doc_id", key]).drop(key)
+    return docs.join(gone, same(gone), "left_anti").unionByName(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

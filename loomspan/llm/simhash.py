@@ -71,15 +71,16 @@ def fingerprint_batch(column: pa.Array, words_per_shingle: int = 4) -> np.ndarra
     return out
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", *, more: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row, and a text column ``more``."""
+    others = [more] if more else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprint_batch(b.column("text"), words_per_shingle).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprint_batch(b.column("text"), words_per_shingle).view(np.int64)), *map(b.column, others)], names=["doc_id", "fp", *others])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *others)
+    return rows.mapInArrow(run, ", ".join([f"doc_id {dict(rows.dtypes)['doc_id']}", "fp long", *(f"{c} string" for c in others)]))
 
 
 def linked(diff: np.ndarray, within: int, chain: int = 4) -> np.ndarray:
@@ -195,12 +196,31 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _labels(nodes: DataFrame, within: int) -> DataFrame:
+    """fp and the label of its component, for every distinct fingerprint."""
+    labels = components(links(nodes.select("fp"), within)).select(F.col("node").alias("fp"), "label")
+    return nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_groups(docs: DataFrame, words_per_shingle: int = 4, within: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id (smallest id reachable over links, itself included)."""
     rows = cut(fingerprints(docs, words_per_shingle, id_col, text_col))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(links(nodes.select("fp"), within)).select(F.col("node").alias("fp"), "label")
-    labelled = nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
+    labelled = _labels(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), within).select("fp", "label", "least")
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     known = labelled.join(least, "label").select("fp", "component_id")
     return rows.join(known, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def near_rows(docs: DataFrame, words_per_shingle: int = 4, within: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per distinct id and text: doc_id, hash (of the text), rows (that repeat both), kept.
+
+    One of a component is kept: that with the smallest id, null ids last, then with the smallest hash.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    rows = fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("hash")), words_per_shingle, more="hash")
+    rows = cut(rows.groupBy("doc_id", "hash", "fp").agg(F.count(F.lit(1)).alias("rows")))
+    rank = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    labelled = _labels(rows.groupBy("fp").agg(F.min(rank()).alias("least")), within)
+    least = labelled.groupBy("label").agg(F.min("least").alias("first"))
+    known = labelled.join(least, "label").select("fp", "first")
+    return rows.join(known, "fp").select("doc_id", "hash", "rows", rank().eqNullSafe(F.col("first")).alias("kept"))

@@ -531,5 +531,19 @@ def test_stages_keep_columns_with_clashing_names(spark, odd, nothing):
         assert stage(spark, nothing, SF).count() == 0
 
 
+def test_near_stage_keeps_one_row_of_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    t = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(999)) for _ in range(300)) for _ in range(5)]
+    data = [(1, t[0]), (2, t[0] + " x"), (2, t[1]), (3, t[2]), (3, t[2]), (None, t[3]), (None, t[3] + " y"), (None, t[4]), (None, t[4])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for stages in ((corpus_pipeline.drop_near_copies,), (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies)):
+        got = docs
+        for stage in stages:
+            got = stage(spark, got, SF)
+        kept = pairs(got)
+        assert sorted((i for i, _ in kept), key=repr) == [1, 2, 3, None, None]
+        assert {(1, t[0]), (2, t[1]), (3, t[2]), (None, t[4])} < set(kept) and ((None, t[3]) in kept) != ((None, t[3] + " y") in kept)
+
+
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
