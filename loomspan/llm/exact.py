@@ -1,14 +1,15 @@
 """Exact dedup (operator 5): Patricia-trie owners.
 
-Texts are dealt by (byte length, 64-bit content hash).  In each such partition full byte strings go into a compressed
-radix trie whose terminal nodes hold the smallest and the largest identifier and the number of rows, so texts are
-equal exactly if they end at the same node, whatever the hash says.  Tries are built twice: in each map task, which
-folds copies before anything is shuffled, and after the shuffle, where a group of copies arrives as one row per task.
-A map task whose tries outgrow ``budget`` bytes sends its heaviest subtree on and forgets it.
-
-Cases: a null text is the empty text; null ids never own a group unless all are null; rows that repeat both id and
-text are one document seen twice, both are reported and both count in the group size; an empty table gives no rows;
-columns other than the two named are ignored.
+Texts are dealt to partitions by byte length and 64-bit content hash.  Every partition inserts full byte strings into
+one compressed radix trie, whose terminal nodes hold the smallest and the largest identifier and the number of rows,
+so texts are equal exactly if they end at the same node, whatever a hash says.  Tries are built twice: in each map
+task, which folds copies before anything is shuffled, and in each partition after the shuffle, where a group of copies
+arrives as one row per task.  A trie that outgrows ``budget`` bytes cuts off its heaviest subtree and sends it on: a map
+task sends what it has so far, and a partition, which reads its texts in order of length and hash, sends owners that
+are settled.
+
+Cases: a null text is the empty text; null ids never own a group unless all are null; of rows that repeat both the id and
+the text of an owner exactly one is kept; an empty table gives no rows; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import width
+from loomspan.llm.common import text_digest, width
+
+#: What a node weighs beside its bytes.
+_NODE = 400
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -49,36 +52,39 @@ class Node:
 
 
 class PatriciaTrie:
-    """A compressed radix trie over bytes; every edge carries the run of bytes to the next branching."""
+    """A compressed radix trie over bytes; every edge carries the run of bytes to the next branching.
+
+    ``weight`` is the bytes held under each first byte, ``held`` their sum."""
 
     def __init__(self) -> None:
-        self.root, self.held = Node(b""), 0
+        self.root, self.held, self.weight = Node(b""), 0, {}
 
     def insert(self, text: bytes, first: int | None, last: int | None, rows: int = 1) -> Node:
-        node, at = self.root, 0
-        while at < len(text):
+        node, at, end, grown = self.root, 0, len(text), 0
+        while at < end:
             child = node.children.get(text[at])
             if child is None:
-                child = Node(text[at:] if at else text)
-                node.children[text[at]] = child
-                self.held += len(child.label) + 200
-                node, at = child, len(text)
-                break
-            same = common_prefix(child.label, text[at:] if at else text)
-            if same < len(child.label):
-                split = Node(child.label[:same])
+                child = node.children[text[at]] = Node(text[at:] if at else text)
+                grown, at = grown + end - at + _NODE, end
+            elif text.startswith(child.label, at):
+                at += len(child.label)
+            else:
+                same = common_prefix(child.label, text[at : at + len(child.label)])
+                split = node.children[text[at]] = Node(child.label[:same])
                 child.label = child.label[same:]
                 split.children[child.label[0]] = child
-                node.children[text[at]] = split
-                child = split
-            node, at = child, at + same
+                child, grown, at = split, grown + _NODE, at + same
+            node = child
+        if grown:
+            self.weight[text[0]] = self.weight.get(text[0], 0) + grown
+            self.held += grown
         node.rows += rows
         node.first = first if node.first is None else node.first if first is None else min(node.first, first)
         node.last = last if node.last is None else node.last if last is None else max(node.last, last)
         return node
 
-    def terminals(self, node: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, Node]]:
-        stack = [(node or self.root, prefix)]
+    def terminals(self, node: Node | None = None) -> Iterator[tuple[bytes, Node]]:
+        stack = [(node or self.root, b"")]
         while stack:
             node, text = stack.pop()
             text += node.label
@@ -87,114 +93,106 @@ class PatriciaTrie:
             stack.extend((c, text) for c in node.children.values())
 
     def spill(self) -> list[tuple[bytes, Node]]:
-        """Cut off and return the heaviest subtree under the root (or the root's own terminal)."""
-        out = []
-        if self.root.children:
-            weigh = {k: sum(len(t) for t, _ in self.terminals(c)) for k, c in self.root.children.items()}
-            key = max(weigh, key=weigh.get)
-            out = list(self.terminals(self.root.children.pop(key)))
-        if self.root.rows:
-            out.append((b"", self.root))
+        """Cut off the heaviest subtree under the root, with the root's own terminal, and return its terminals."""
+        out = [(b"", self.root)] if self.root.rows else []
+        if out:
             kept, self.root = self.root.children, Node(b"")
             self.root.children = kept
-        self.held = sum(len(t) + 200 for t, _ in self.terminals())
+        if self.weight:
+            key = max(self.weight, key=self.weight.get)
+            self.held -= self.weight.pop(key)
+            out += self.terminals(self.root.children.pop(key))
         return out
 
 
-_OWNERS = "size long, content long, text binary, first long, last long, rows long"
+_KINDS = {"text": pa.binary(), "first": pa.int64(), "last": pa.int64(), "rows": pa.int64(), "digest": pa.binary()}
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    size, content, text, first, last, n = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(size, pa.int64()), pa.array(content, pa.int64()), pa.array(text, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(n, pa.int64())],
-        names=["size", "content", "text", "first", "last", "rows"],
-    )
+def _batches(rows: Iterator[tuple], names: list[str], weight: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``weight`` bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += 64 + sum(len(x) for x in r if isinstance(x, bytes))
+        if size >= weight:
+            yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for n, c in zip(names, zip(*held, strict=True), strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for n, c in zip(names, zip(*held, strict=True), strict=True)], names=names)
 
 
 def _fold(budget: int):
-    """Map side: one trie per (length, hash) met in this task."""
+    """Map side: texts, identifiers and rows of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[tuple[int, int], PatriciaTrie] = {}
-        held = 0
-
-        def out(keys: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-            rows, weight = [], 0
-            for k in keys:
-                trie = tries[k]
-                while found := trie.spill():
-                    rows += [(*k, t, n.first, n.last, n.rows) for t, n in found]
-                    weight += sum(len(t) for t, _ in found)
-                del tries[k]
-                if weight > 4 << 20:
-                    yield _batch(rows)
-                    rows, weight = [], 0
-            if rows:
-                yield _batch(rows)
-
-        for b in batches:
-            for i, text, size, content in zip(*(b.column(c).to_pylist() for c in ("id", "text", "size", "content")), strict=True):
-                trie = tries.get((size, content))
-                if trie is None:
-                    trie = tries[size, content] = PatriciaTrie()
-                before = trie.held
-                trie.insert(text, i, i)
-                held += trie.held - before
-                if held > budget:
-                    heavy = sorted(tries, key=lambda k: -tries[k].held)[: max(1, len(tries) // 2)]
-                    yield from out(heavy)
-                    held = sum(t.held for t in tries.values())
-        yield from out(list(tries))
+        trie = PatriciaTrie()
 
-    return run
+        def folded() -> Iterator[tuple]:
+            for b in batches:
+                for i, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+                    trie.insert(text.as_py(), i, i)
+                    while trie.held > budget:
+                        yield from ((t, n.first, n.last, n.rows) for t, n in trie.spill())
+            while found := trie.spill():
+                yield from ((t, n.first, n.last, n.rows) for t, n in found)
 
+        yield from _batches(folded(), ["text", "first", "last", "rows"])
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """After the shuffle: rows of one (length, hash) are adjacent; settle each such run in one trie."""
-    key, trie = None, None
+    return run
 
-    def close(trie: PatriciaTrie) -> list[tuple]:
-        return [(hashlib.sha256(t).hexdigest(), n.first, n.last, n.rows) for t, n in trie.terminals()]
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        sha, first, last, n = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(sha, pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(n, pa.int64())], names=["sha", "first", "last", "rows"])
+def _settle(budget: int):
+    """After the shuffle: texts of one partition in order of length and hash; a subtree is only cut off between two
+    hashes, when all copies of what the trie holds have met in it."""
 
-    for b in batches:
-        done: list[tuple] = []
-        sizes, contents = b.column("size").to_numpy(), b.column("content").to_numpy()
-        first, last, rows = (b.column(c).to_pylist() for c in ("first", "last", "rows"))
-        texts = b.column("text")
-        for j in range(b.num_rows):
-            k = (sizes[j], contents[j])
-            if k != key:
-                if trie:
-                    done += close(trie)
-                key, trie = k, PatriciaTrie()
-            trie.insert(texts[j].as_py(), first[j], last[j], rows[j])
-        if done:
-            yield emit(done)
-    if trie:
-        yield emit(close(trie))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = PatriciaTrie()
+
+        def settled() -> Iterator[tuple]:
+            reading = None
+            for b in batches:
+                keys = zip(b.column("size").to_pylist(), b.column("content").to_pylist(), strict=True)
+                for key, text, first, last, rows in zip(keys, b.column("text"), *(b.column(c).to_pylist() for c in ("first", "last", "rows")), strict=True):
+                    if trie.held > budget and key != reading:
+                        while trie.held > budget // 2:
+                            yield from ((hashlib.sha256(t).digest(), n.first, n.last, n.rows) for t, n in trie.spill())
+                    reading = key
+                    trie.insert(text.as_py(), first, last, rows)
+            while found := trie.spill():
+                yield from ((hashlib.sha256(t).digest(), n.first, n.last, n.rows) for t, n in found)
+
+        yield from _batches(settled(), ["digest", "first", "last", "rows"])
+
+    return run
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 48 << 20) -> DataFrame:
-    """One row per distinct text: sha, first (smallest id), last (largest id), rows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("content"))
+    """One row per distinct text: digest, first (smallest id), last (largest id), rows."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    folded = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(_fold(budget), "text binary, first long, last long, rows long")
     return (
-        keyed.mapInArrow(_fold(budget), _OWNERS)
+        folded.select(F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("content"), "*")
         .repartition(width(docs.sparkSession), "size", "content")
         .sortWithinPartitions("size", "content")
-        .mapInArrow(_settle, "sha string, first long, last long, rows long")
+        .mapInArrow(_settle(budget), "digest binary, first long, last long, rows long")
     )
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.  ``keep``: largest or smallest id stays."""
+def decided(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each id and text: doc_id, digest, rows (that have both), keep_id, group_size, kept."""
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
-    owner = owners(docs, id_col, text_col).select(F.col("sha").alias("text_sha256"), F.col("last" if keep == "largest" else "first").alias("keep_id"), F.col("rows").alias("group_size"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256"))
-    return rows.join(owner, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    owner = owners(docs, id_col, text_col).select("digest", F.col("last" if keep == "largest" else "first").alias("keep_id"), F.col("rows").alias("group_size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest")).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.join(owner, "digest").select("doc_id", "digest", "rows", "keep_id", "group_size", F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")).alias("kept"))
+
+
+def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", piece: int = 1 << 16) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.  ``keep``: largest or smallest id stays.
+
+    Rows that repeat id and text are written out again in pieces of ``piece``, the first of them as the kept one.
+    """
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / piece).cast("long")))
+    one = F.explode(F.sequence(F.col("part") * piece, F.least(F.col("rows"), (F.col("part") + 1) * piece) - 1))
+    rows = decided(docs, keep, id_col, text_col).withColumn("part", part).withColumn("one", one)
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("kept") & (F.col("one") == 0)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -65,6 +65,6 @@ ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
-        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.body) AS text_sha256
+        SELECT d.doc_id, g.keep_id, g.group_size, row_number() OVER (PARTITION BY d.body ORDER BY d.doc_id DESC NULLS LAST) = 1 AS kept, sha256(d.body) AS text_sha256
         FROM d JOIN g ON d.body = g.body""",
 }
