@@ -37,12 +37,7 @@ class Model(NamedTuple):
 
 
 def _dictionary(texts: list[bytes], size: int, piece: int = 256) -> bytes:
-    pieces, total = [], 0
-    for t in texts:
-        pieces += [t[i : i + piece] for i in range(0, len(t), piece)]
-        total += len(t)
-        if total > 100 * size:
-            break
+    pieces = [t[i : i + piece] for t in texts for i in range(0, len(t), piece)]
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text for a trained dictionary
@@ -81,7 +76,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(sample: list[tuple[str, int]], size: int = 112 << 10, block: int = 512, level: int = 3) -> Model:
-    """Dictionaries from the first half of the sample, calibration from the second."""
+    """Dictionaries of ``size`` bytes from all texts of the first half of the sample, calibration from the second."""
     classes = {y for _, y in sample}
     if len(classes) < 2:
         return Model(b"", b"", np.zeros(0), np.array([float(classes.pop()) if classes else 0.5]), block, level)

@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, chars: int) -> list[tuple[str, int]]:
     """(text, label) of at most ``rows`` labelled documents of at most ``chars`` characters, in a fixed order.
 
-    ``keep`` is a condition on ``doc_id``.  Only the chosen ids (at most ``rows``) are broadcast, so the documents are
-    read once and never shuffled; rows x chars bounds what reaches the driver.  Ids labelled both ways are left out.
+    ``keep`` is a condition on ``doc_id``; ids labelled both ways are left out.  Rows are drawn among documents whose text
+    exists and fits: up to half of them of either class, and where a class has fewer, more of the other.  The draw is on
+    ids; then the texts of the drawn ids (at most ``rows``, which are broadcast) are read, so rows x chars bounds what
+    reaches the driver and no text is shuffled that was not drawn.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & keep).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
-    chosen = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = (
-        docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= chars))
-        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    )
-    return [(r["text"], int(r["y"])) for r in found.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows).collect()]
+    fits = docs.where((F.length("text") > 0) & (F.length("text") <= chars))
+    there = known.select("doc_id", "y").join(fits.select("doc_id"), "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = [c for y in (0, 1) for c in there.where(F.col("y") == y).orderBy(*order).limit(rows).collect()]
+    ones = [r for r in ids if r["y"] == 1]
+    zeros = [r for r in ids if r["y"] == 0]
+    many = min(len(ones), max(rows // 2, rows - len(zeros)))
+    drawn = [(r["doc_id"], int(r["y"])) for r in ones[:many] + zeros[: rows - many]]
+    if not drawn:
+        return []
+    chosen = docs.sparkSession.createDataFrame(drawn, f"doc_id {dict(known.dtypes)['doc_id']}, y int")
+    found = fits.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return [(r["text"], int(r["y"])) for r in found.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").collect()]
