@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import textops
-from loomspan.llm.common import width
+from loomspan.llm.common import text_bytes, width
 
 PERIOD = 21
 #: A perfect difference cover modulo 21 (fixed values).
@@ -258,14 +258,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], sha], names=["k1", "k2", "n_words", "n_removed", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, bucket_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed and ``kept`` (the words left, joined by one space).
 
+    A bucket is a group held whole by one task; there is one for each ``bucket_bytes`` of text (at least one for each
+    partition of a shuffle), so that groups stay as small when the texts grow.
+
     With ``digest`` the column is ``kept_sha256`` instead and the texts themselves are not sent on.
     """
     if length <= PERIOD:
         raise ValueError(f"windows have more than {PERIOD} words")
-    buckets = width(docs.sparkSession)
+    buckets = max(width(docs.sparkSession), -(-text_bytes(docs, text_col) // bucket_bytes))
     texts = distinct_texts(docs, text_col)
     anchors = _positions(texts.mapInArrow(_packing(buckets, _anchors(length)), _PACKED), buckets)
     near = texts.join(anchors, ["k1", "k2"])
