@@ -268,11 +268,18 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def _firsts(nodes: DataFrame, within: int) -> DataFrame:
-    """fp and ``first``: the least rank of its component, for every distinct fingerprint with its own least ``rank``."""
-    ends = [nodes.select(F.col("fp").alias(c), F.col("rank").alias(f"{c}_rank")) for c in "uv"]
-    edges = links(nodes.select("fp"), within).join(ends[0], "u").join(ends[1], "v").select(F.col("u_rank").alias("u"), F.col("v_rank").alias("v"))
-    known = components(edges).select(F.col("node").alias("rank"), "label")
-    return nodes.join(known, "rank", "left").select("fp", F.coalesce("label", "rank").alias("first"))
+    """For every distinct fingerprint with its own least ``rank`` (none, doc_id, tie): fp, rank, doc_id of the least rank of
+    its component as ``first``, and whether that rank is its own as ``mine``.
+
+    Components are taken over ids where no two fingerprints have the same least id and none lacks one, else over ranks.
+    """
+    plain = nodes.groupBy("rank.doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
+    own = F.col("rank.doc_id") if plain else F.col("rank")
+    ends = [nodes.select(F.col("fp").alias(c), own.alias(f"{c}_node")) for c in "uv"]
+    edges = links(nodes.select("fp"), within).join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    known = components(edges)
+    label = F.coalesce("label", own)
+    return nodes.withColumn("node", own).join(known, "node", "left").select("fp", "rank", (label if plain else label["doc_id"]).alias("first"), label.eqNullSafe(own).alias("mine"))
 
 
 def near_groups(docs: DataFrame, words_per_shingle: int = 4, within: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +287,7 @@ def near_groups(docs: DataFrame, words_per_shingle: int = 4, within: int = 4, id
     rows = cut(fingerprints(docs, words_per_shingle, id_col, text_col))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = _firsts(cut(least.select("fp", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("fp").alias("tie")).alias("rank"))), within)
-    return rows.join(known, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    return rows.join(known, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def near_rows(docs: DataFrame, words_per_shingle: int = 4, within: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,4 +299,4 @@ def near_rows(docs: DataFrame, words_per_shingle: int = 4, within: int = 4, id_c
     rows = cut(fingerprints(named, words_per_shingle, more="digest").groupBy("doc_id", "digest", "fp").agg(F.count(F.lit(1)).alias("rows")))
     rank = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("digest").alias("tie"))
     known = _firsts(cut(rows.groupBy("fp").agg(F.min(rank()).alias("rank"))), within)
-    return rows.join(known, "fp").select("doc_id", "digest", "rows", rank().eqNullSafe(F.col("first")).alias("kept"))
+    return rows.join(known, "fp").select("doc_id", "digest", "rows", (F.col("mine") & rank().eqNullSafe(F.col("rank"))).alias("kept"))
