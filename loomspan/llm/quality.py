@@ -62,12 +62,13 @@ class Scorer:
         return np.interp(raw, self.model.raw, self.model.probability) if len(self.model.raw) else np.full(len(raw), float(self.model.probability[0]))
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: mean x and mean y of each pool, smoothed by half an example of either class."""
     order = np.argsort(x, kind="stable")
+    w = np.ones(len(x)) if weight is None else weight
     pools: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([a, b, 1.0])
+    for a, b, c in zip(*((z * w)[order].tolist() for z in (x, y)), w[order].tolist(), strict=True):
+        pools.append([a, b, c])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
@@ -75,8 +76,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p[:, 0] / p[:, 2], (p[:, 1] + 0.5) / (p[:, 2] + 1)
 
 
-def fit(sample: list[tuple[str, int]], size: int = 112 << 10, block: int = 512, level: int = 3) -> Model:
-    """Dictionaries of ``size`` bytes from all texts of the first half of the sample, calibration from the second."""
+def fit(sample: list[tuple[str, int]], share: float | None = None, size: int = 112 << 10, block: int = 512, level: int = 3) -> Model:
+    """Dictionaries of ``size`` bytes from all texts of the first half of the sample, calibration from the second, with
+    rows weighted so that ``share`` of them are of class 1 (as many as in the sample if it is not given)."""
     classes = {y for _, y in sample}
     if len(classes) < 2:
         return Model(b"", b"", np.zeros(0), np.array([float(classes.pop()) if classes else 0.5]), block, level)
@@ -86,7 +88,10 @@ def fit(sample: list[tuple[str, int]], size: int = 112 << 10, block: int = 512,
         built = [(t.encode(), y) for t, y in sample]
     scorer = Scorer(Model(*(_dictionary([t for t, y in built if y == c], size) for c in (0, 1)), np.zeros(0), np.zeros(1), block, level))
     held = [sample[i] for i in half[1]]
-    x, p = isotonic(np.array([scorer.raw(t.encode()) for t, _ in held]), np.array([y for _, y in held], float))
+    y = np.array([y for _, y in held], float)
+    now = y.mean()
+    weight = np.where(y == 1, share / now, (1 - share) / (1 - now)) if share is not None and 0 < now < 1 else np.ones(len(y))
+    x, p = isotonic(np.array([scorer.raw(t.encode()) for t, _ in held]), y, weight)
     return scorer.model._replace(raw=x, probability=np.maximum.accumulate(p))
 
 
@@ -111,5 +116,5 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, id_col:
 def classify_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: int = 20_000, folds: int = 5, held: int = 0) -> DataFrame:
     """Fit on labelled rows outside the held-out fold and score all documents; adds held_out."""
     sample = labelled_sample(docs, labels, "quality", remainder(F.col("doc_id"), folds) != held, fit_rows, fit_chars)
-    scored = score_quality(docs, fit(sample))
+    scored = score_quality(docs, fit(*sample))
     return scored.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "score", "predicted", "raw_gain")

@@ -1,14 +1,16 @@
 """Toxicity (operator 3): a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word enters as the sum of five learned vectors: one for the word, four for its characters (its first four, six
-and seven bytes and its last three, all lower-cased and hashed into tables), so an unseen form of a known stem is read
-by its characters.  A text is cut into overlapping windows of ``span`` words, one starting every ``stride``
-words; every window runs through the network (forward and backward GRU, attention over the words, logistic output),
-and a text's score is that of its highest window.
+Word input: five learned vectors, one for the word and four for its stem and ending (its first four, six and seven bytes
+and its last three, all lower-cased and hashed into tables).  Character input: every three bytes in a row pass learned
+filters, each filter's highest response over the word enters, so a word is read byte by byte whatever its length.
+The sum of both runs through a forward and a backward GRU.  Every window of ``SPAN`` consecutive words, one starting at
+each word, is pooled by attention and scored by a logistic output; a text's score is that of its highest window.
+Windows share the states: a state is that of a GRU started at the block of ``BLOCK`` words before its own block, and the
+two sums of the attention come from running totals, so all overlapping windows cost no more than the words.
 
 Training is multiple-instance: of a toxic text the window holding the word most telling for the class is the positive
-example (chosen again by the network itself after some passes), of other texts random windows are negative.  At most
-``fit_rows`` labelled rows of at most ``fit_chars`` characters are used; scoring reads whole texts.
+example, of other texts random windows and those scored highest so far are negative.  At most ``fit_rows`` labelled rows
+of at most ``fit_chars`` characters are used; scoring reads whole texts.
 
 Cases: a null or empty text is scored as one empty window; ids may be null or repeat; without both classes in the
 sample all scores are the share of class 1 (0 with no labels); an empty table gives no rows; other columns are ignored.
@@ -17,6 +19,7 @@ sample all scores are the share of class 1 (0 with no labels); an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,37 @@ from loomspan.llm import textops
 from loomspan.llm.common import remainder
 from loomspan.llm.sampling import labelled_sample
 
-SPAN, STRIDE = 32, 16
+SPAN, STRIDE, BLOCK = 32, 16, 16
 BUCKETS, DEPTH, HIDDEN = 1 << 15, 8, 8
 _FEATURES = 5
+#: Filters over three bytes.
+FILTERS = 12
+#: Share of words hidden in training from the table of whole words and from the filters.
+HIDE = {0: 0.5, _FEATURES: 0.3}
 
 
-def word_features(words: textops.Words) -> np.ndarray:
-    """Rows of the four tables for every word (words x 5); row 0 of each table means no word."""
+class Letters(NamedTuple):
+    """Byte strings of distinct words, one after the other: word i has ``begin[i]`` to ``begin[i + 1]``; word 0 is none."""
+
+    flat: np.ndarray
+    begin: np.ndarray
+
+    def some(self, which: np.ndarray) -> Letters:
+        size = self.begin[which + 1] - self.begin[which]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        return Letters(self.flat[np.repeat(self.begin[which] - begin[:-1], size) + np.arange(begin[-1])], begin)
+
+    def threes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte before, byte and byte after of every place; 0 outside the word."""
+        before, after = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        before[1:], after[:-1] = self.flat[:-1], self.flat[1:]
+        before[self.begin[:-1][self.begin[:-1] < len(before)]] = 0
+        after[self.begin[1:][self.begin[1:] > 0] - 1] = 0
+        return before, self.flat, after
+
+
+def word_features(words: textops.Words) -> tuple[np.ndarray, Letters]:
+    """Rows of the five tables and number among the distinct words for every word (words x 6; 0: no word), their bytes."""
     buf = textops.LOWER[words.buf]
     core = ((buf >= 97) & (buf <= 122)) | ((buf >= 48) & (buf <= 57)) | (buf >= 128)
     at = np.flatnonzero(core)
@@ -41,11 +68,17 @@ def word_features(words: textops.Words) -> np.ndarray:
     some = hi > lo
     start, end = words.starts.copy(), words.ends.copy()
     start[some], end[some] = at[lo[some]], at[hi[some] - 1] + 1
-    out = np.empty((len(start), _FEATURES), np.int32)
+    out = np.empty((len(start), _FEATURES + 1), np.int32)
     ranges = ((start, end), (start, np.minimum(start + 4, end)), (start, np.minimum(start + 6, end)), (start, np.minimum(start + 7, end)), (np.maximum(end - 3, start), end))
     for i, (s, e) in enumerate(ranges):
-        out[:, i] = (textops.hash_ranges(buf, s, e) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1 + i * BUCKETS
-    return out
+        h = textops.hash_ranges(buf, s, e)
+        out[:, i] = (h % np.uint64(BUCKETS - 1)).astype(np.int32) + 1 + i * BUCKETS
+        if not i:
+            _, one, number = np.unique(h, return_index=True, return_inverse=True)
+            out[:, _FEATURES] = number + 1
+    begin = np.concatenate([[0, 0], np.cumsum(end[one] - start[one])])
+    letters = Letters(buf[np.repeat(start[one] - begin[1:-1], end[one] - start[one]) + np.arange(begin[-1])], begin)
+    return out, letters
 
 
 def windows(n: np.ndarray, span: int = SPAN, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -56,36 +89,58 @@ def windows(n: np.ndarray, span: int = SPAN, stride: int = STRIDE) -> tuple[np.n
 
 
 def _gather(rows: np.ndarray, first: np.ndarray, n: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows (windows x span x 5, zeros beyond the text) and the mask of words."""
+    """Feature rows (windows x span x 6, zeros beyond the text) and the mask of words."""
     pos = at[:, None] + np.arange(SPAN)
     mask = pos < n[text][:, None]
     index = np.where(mask, first[text][:, None] + pos, len(rows))
-    padded = np.concatenate([rows, np.zeros((1, _FEATURES), rows.dtype)])
+    padded = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
     return padded[index], mask
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
 class Network:
-    """Weights: table (5 BUCKETS x DEPTH), per direction W (DEPTH x 3 HIDDEN), U, b; attention A, v; output o, c."""
+    """Weights: table (5 BUCKETS x DEPTH), byte filters T (3 x 256 x FILTERS) and P (FILTERS x DEPTH), per direction W (DEPTH x
+    3 HIDDEN), U, b; attention A, v; output o, c."""
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[-2] if len(s) > 1 else s[0]), s).astype(np.float32)
         self.p = {
             "table": rng.normal(0, 0.1, (_FEATURES * BUCKETS, DEPTH)).astype(np.float32),
+            "T": rng.normal(0, 0.3, (3, 256, FILTERS)).astype(np.float32), "P": (0.1 * draw(FILTERS, DEPTH)).astype(np.float32),
             "W": draw(2, DEPTH, 3 * HIDDEN), "U": draw(2, HIDDEN, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32),
             "A": draw(2 * HIDDEN, HIDDEN), "v": draw(HIDDEN), "o": draw(2 * HIDDEN), "c": np.zeros(1, np.float32),
         }
         self.prior: float | None = None
 
-    def forward(self, rows: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logit of every window; with ``keep`` also what the backward pass needs."""
+    def read(self, letters: Letters) -> tuple[np.ndarray, np.ndarray]:
+        """Highest response of every filter over each word (0 for a word of no bytes), and all responses."""
+        threes, size = letters.threes(), np.diff(letters.begin)
+        all_of = sum(self.p["T"][k][b] for k, b in enumerate(threes))
+        best, some = np.zeros((len(size), FILTERS), self.p["T"].dtype), np.flatnonzero(size)
+        if len(some):
+            best[some] = np.maximum.reduceat(all_of, letters.begin[some], axis=0)
+        return np.tanh(best), all_of
+
+    def inputs(self, rows: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Input vectors of words from their table rows and what ``spelled`` says of their bytes."""
+        x = spelled[rows[..., _FEATURES]]
+        for i in range(_FEATURES):
+            x = x + self.p["table"][rows[..., i]]
+        return x
+
+    def forward(self, rows: np.ndarray, mask: np.ndarray, letters: Letters, keep: bool = False):
+        """Logit of every window by itself; with ``keep`` also what the backward pass needs."""
         p, n, H = self.p, len(rows), HIDDEN
-        x = p["table"][rows[:, :, 0]]
-        for i in range(1, _FEATURES):
+        used, place = np.unique(rows[:, :, _FEATURES], return_inverse=True)
+        few = letters.some(used)
+        best, responses = self.read(few)
+        there = (used > 0)[:, None]
+        x = ((best @ p["P"]) * there)[place.reshape(rows.shape[:2])]
+        for i in range(_FEATURES):
             x = x + p["table"][rows[:, :, i]]
         states = np.zeros((n, SPAN, 2 * H), np.float32)
         cache = []
@@ -111,11 +166,11 @@ class Network:
         w /= np.maximum(w.sum(1, keepdims=True), 1e-9)
         pooled = (w[:, None, :] @ states)[:, 0]
         logit = pooled @ p["o"] + p["c"][0]
-        return (logit, (x, states, cache, a, w, pooled)) if keep else logit
+        return (logit, (x, states, cache, a, w, pooled, few, place, there, best, responses)) if keep else logit
 
-    def gradients(self, rows: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, rows: np.ndarray, mask: np.ndarray, y: np.ndarray, letters: Letters) -> dict[str, np.ndarray]:
         p, H, n = self.p, HIDDEN, len(rows)
-        logit, (x, states, cache, a, w, pooled) = self.forward(rows, mask, keep=True)
+        logit, (x, states, cache, a, w, pooled, few, place, there, best, responses) = self.forward(rows, mask, letters, keep=True)
         g = {k: np.zeros_like(v) for k, v in p.items() if k != "table"}
         dl = ((_sigmoid(logit) - y) / n).astype(np.float32)
         g["o"], g["c"] = pooled.T @ dl, np.array([dl.sum()], np.float32)
@@ -143,15 +198,29 @@ class Network:
             g["U"][d] += h.T @ gu
             dx[:, t] += gx @ p["W"][d].T
             dh[d] = np.where(m, live * z, dn) + gu @ p["U"][d].T
-        used, back = np.unique(rows, return_inverse=True)
+        spelled = np.zeros((len(best), DEPTH), x.dtype)
+        np.add.at(spelled, place.ravel(), dx.reshape(-1, DEPTH))
+        spelled *= there
+        g["P"] = best.T @ spelled
+        size = np.diff(few.begin)
+        word = np.repeat(np.arange(len(size)), size)
+        # a filter's gradient goes to the places of its highest response, in equal shares
+        top = np.tanh(responses) == best[word]
+        share = np.zeros_like(best)
+        np.add.at(share, word, top)
+        each = top * ((spelled @ p["P"].T) * (1 - best**2) / np.maximum(share, 1))[word]
+        for k, b in enumerate(few.threes()):
+            np.add.at(g["T"][k], b, each)
+        used, back = np.unique(rows[:, :, :_FEATURES], return_inverse=True)
         grad = np.zeros((len(used), DEPTH), np.float32)
         np.add.at(grad, back.reshape(-1), np.repeat(dx.reshape(-1, DEPTH), _FEATURES, 0))
         grad[used == 0] = 0
         g["table"] = (used, grad)
         return g
 
-    def train(self, rows: np.ndarray, mask: np.ndarray, y: np.ndarray, passes: int, rate: float, rng: np.random.Generator, size: int = 64) -> None:
-        """Adam; the table's moments are kept for touched rows only."""
+    def train(self, rows: np.ndarray, mask: np.ndarray, y: np.ndarray, letters: Letters, passes: int, rate: float, rng: np.random.Generator, size: int = 64) -> None:
+        """Adam; the table's moments are kept for touched rows only.  In each batch words are hidden from the table of whole
+        words and others from the filters, so that neither learns a word by heart."""
         if not hasattr(self, "m"):
             self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
             self.s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -161,26 +230,64 @@ class Network:
             for at in range(0, len(y), size):
                 i = order[at : at + size]
                 self.step += 1
-                for k, grad in self.gradients(rows[i], mask[i], y[i]).items():
+                seen = rows[i]
+                for column, share in HIDE.items():
+                    seen[..., column][rng.random(seen.shape[:2]) < share] = 0
+                for k, grad in self.gradients(seen, mask[i], y[i], letters).items():
                     where, grad = grad if k == "table" else (slice(None), grad)
                     m = self.m[k][where] = 0.9 * self.m[k][where] + 0.1 * grad
                     s = self.s[k][where] = 0.99 * self.s[k][where] + 0.01 * grad**2
                     self.p[k][where] -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(s / (1 - 0.99**self.step)) + 1e-6)
 
 
-def text_scores(net: Network, words: textops.Words, most: int = 4096) -> np.ndarray:
-    """Probability of the highest window of every text."""
-    rows, n = word_features(words), np.diff(words.first)
-    text, at = windows(n)
-    logit = np.empty(len(text), np.float32)
-    for b in range(0, len(text), most):
-        logit[b : b + most] = net.forward(*_gather(rows, words.first, n, text[b : b + most], at[b : b + most]))
-    best = np.maximum.reduceat(logit, np.flatnonzero(np.diff(text, prepend=-1)))
-    return _sigmoid(best.astype(np.float64))
+def states(net: Network, x: np.ndarray, words: textops.Words, d: int, most: int = 4096) -> np.ndarray:
+    """State after each word in direction ``d`` (0 forward, 1 backward), of a GRU that starts with the block of BLOCK
+    words before the word's own (with the text, in its first block), so it has read as much as in training."""
+    p, H = net.p, HIDDEN
+    gx = x @ p["W"][d] + p["b"][d]
+    out = np.zeros((len(x), H), np.float32)
+    n, first = np.diff(words.first), words.first[:-1]
+    blocks = -(-n // BLOCK)
+    text = np.repeat(np.arange(len(n)), blocks)
+    block = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    for warm in (0, BLOCK):
+        those = np.flatnonzero(block > 0 if warm else block == 0)
+        for at in range(0, len(those), most):
+            t, b = text[those[at : at + most]], block[those[at : at + most]]
+            h = np.zeros((len(t), H), np.float32)
+            for step in range(-warm, BLOCK):
+                pos = b * BLOCK + step
+                inside = pos < n[t]
+                index = first[t] + np.where(d == 0, np.minimum(pos, n[t] - 1), np.maximum(n[t] - 1 - pos, 0))
+                g, gu = gx[index], h @ p["U"][d]
+                zr = _sigmoid(g[:, : 2 * H] + gu[:, : 2 * H])
+                h = zr[:, :H] * h + (1 - zr[:, :H]) * np.tanh(g[:, 2 * H :] + zr[:, H:] * gu[:, 2 * H :])
+                if step >= 0:
+                    out[index[inside]] = h[inside]
+    return out
+
+
+def text_scores(net: Network, words: textops.Words) -> np.ndarray:
+    """Probability of the highest of all windows of every text."""
+    p, n = net.p, np.diff(words.first)
+    rows, letters = word_features(words)
+    spelled = net.read(letters)[0] @ p["P"]
+    spelled[0] = 0
+    x = net.inputs(rows, spelled)
+    s = np.concatenate([states(net, x, words, d) for d in (0, 1)], 1)
+    e = np.exp((np.tanh(s @ p["A"]) @ p["v"]).astype(np.float64))
+    totals = [np.concatenate([[0.0], np.cumsum(c)]) for c in (e, e * (s @ p["o"]))]
+    many = np.maximum(1, n - SPAN + 1)
+    text = np.repeat(np.arange(len(n)), many)
+    begin = words.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    end = np.minimum(begin + SPAN, words.first[text + 1])
+    weight, pooled = (c[end] - c[begin] for c in totals)
+    logit = np.where(end > begin, pooled / np.maximum(weight, 1e-12), 0) + p["c"][0]
+    return _sigmoid(np.maximum.reduceat(logit, np.cumsum(many) - many)) if len(n) else np.zeros(0)
 
 
-def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5) -> Network:
-    """Train on a sample of (text, label)."""
+def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns: int = 8, examples: int = 10_240) -> Network:
+    """Train on a sample of (text, label), in each turn on about ``examples`` windows (several passes where there are fewer)."""
     net, rng = Network(seed), np.random.default_rng(seed)
     y = np.array([c for _, c in sample], np.float32)
     if not 0 < y.sum() < len(y):
@@ -188,7 +295,7 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5) -> Net
         return net
     buf, offsets = textops.buffers(pa.array([t for t, _ in sample]))
     words = textops.find_words(buf, offsets)
-    rows, n = word_features(words), np.diff(words.first)
+    (rows, letters), n = word_features(words), np.diff(words.first)
     owner = np.repeat(np.arange(len(n)), n)
     # how telling each table row is: log odds of texts that hold it, smoothed
     pos, neg = np.zeros(_FEATURES * BUCKETS), np.zeros(_FEATURES * BUCKETS)
@@ -205,28 +312,31 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5) -> Net
     toxic = np.flatnonzero((y == 1) & (n > 0))
     best = np.array([words.first[i] + telling[words.first[i] : words.first[i + 1]].argmax() - words.first[i] for i in toxic])
     clean = np.flatnonzero(y[text] == 0)
-
-    def batch(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        other = rng.choice(clean, min(len(clean), negatives * 3 * len(toxic)), replace=False)
-        hard = clean[np.argsort(-logits[clean])[: negatives * len(toxic)]] if logits is not None else other[:0]
-        t = np.concatenate([toxic, text[other], text[hard]])
-        a = np.concatenate([starts, at[other], at[hard]])
+    most = max(1, examples // (1 + 4 * negatives))
+
+    def batch(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Letters]:
+        some = np.sort(rng.permutation(len(toxic))[:most])
+        other = rng.choice(clean, min(len(clean), negatives * 3 * len(some)), replace=False)
+        hard = clean[np.argsort(-logits[clean])[: negatives * len(some)]] if logits is not None else other[:0]
+        t = np.concatenate([toxic[some], text[other], text[hard]])
+        a = np.concatenate([starts[some], at[other], at[hard]])
         r, m = _gather(rows, words.first, n, t, a)
-        return r, m, y[t]
+        return r, m, y[t], letters
 
     logits = None
-    for turn in range(8):
+    for turn in range(turns):
         # the word moves about in its window, so that no position is learned by heart
         starts = np.maximum(0, np.minimum(best - rng.integers(0, SPAN, len(best)), n[toxic] - 1))
         starts = np.minimum(starts, best)
         chosen = batch(starts)
-        net.train(*chosen, passes=max(2, -(-160 * 64 // len(chosen[2]))), rate=0.01 if turn < 5 else 0.003, rng=rng)
+        net.train(*chosen, passes=max(2, -(-examples // len(chosen[2]))), rate=0.01 if turn < 5 else 0.003, rng=rng)
         if turn in (2, 5):
-            logits = np.concatenate([net.forward(*_gather(rows, words.first, n, text[b : b + 4096], at[b : b + 4096])) for b in range(0, len(text), 4096)])
+            logits = np.concatenate([net.forward(*_gather(rows, words.first, n, text[b : b + 4096], at[b : b + 4096]), letters) for b in range(0, len(text), 4096)])
     return net
 
 
 def _weights(net: Network) -> dict:
+    """What is sent to the tasks: about 3 MB, whatever the sample."""
     return {"prior": net.prior, **{k: v.astype(np.float16) if k == "table" else v for k, v in net.p.items()}}
 
 
@@ -272,7 +382,7 @@ def drop_toxic(docs: DataFrame, net: Network, threshold: float = 0.7, text_col:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fit_chars: int = 20_000, folds: int = 3, held: int = 1) -> Network:
-    return fit(labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), folds) != held, fit_rows, fit_chars))
+    return fit(labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), folds) != held, fit_rows, fit_chars)[0])
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, **options) -> DataFrame:

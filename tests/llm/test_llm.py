@@ -175,16 +175,19 @@ def test_gradients():
     net, rng = toxicity.Network(1), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     mask = np.arange(toxicity.SPAN) < np.array([[32], [5], [1]])
-    rows = rng.integers(1, 50, (3, toxicity.SPAN, toxicity._FEATURES)) * mask[:, :, None]
+    rows = rng.integers(1, 50, (3, toxicity.SPAN, toxicity._FEATURES + 1)) * mask[:, :, None]
+    begin = np.concatenate([[0, 0], np.cumsum(rng.integers(1, 12, 49))])
+    letters = toxicity.Letters(rng.integers(97, 123, begin[-1]).astype(np.uint8), begin)
     y = np.array([1.0, 0, 1])
-    g = net.gradients(rows, mask, y)
+    g = net.gradients(rows, mask, y, letters)
 
     def loss():
-        z = net.forward(rows, mask)
+        z = net.forward(rows, mask, letters)
         return np.mean(np.log1p(np.exp(z)) - y * z)
 
     for k in net.p:
-        at, value = (((int(g[k][0][5]), 2), g[k][1][5, 2]) if k == "table" else (tuple(0 for _ in net.p[k].shape), g[k].flat[0]))
+        index = np.unravel_index(np.abs(g[k]).argmax(), net.p[k].shape) if k != "table" else None
+        at, value = ((int(g[k][0][5]), 2), g[k][1][5, 2]) if k == "table" else (index, g[k][index])
         old = net.p[k][at]
         net.p[k][at] = old + 1e-4
         up = loss()
@@ -203,6 +206,43 @@ def test_windows_cover_every_word():
         assert k <= starts[-1] + toxicity.SPAN and (k == 0 or starts[-1] < k)
 
 
+def test_every_window_is_scored():
+    """Against a plain recurrence, one word and one window at a time."""
+    net, rng = toxicity.Network(3), random.Random(9)
+    texts = [" ".join(rng.choice(["bad", "good", "Fool!", "x", "...", "éa", "w" * 40]) for _ in range(n)) for n in (0, 1, 5, 31, 32, 33, 64, 65, 150)]
+    buf, offsets = textops.buffers(pa.array(texts))
+    found = textops.find_words(buf, offsets)
+    rows, letters = toxicity.word_features(found)
+    p, H, S, B = net.p, toxicity.HIDDEN, toxicity.SPAN, toxicity.BLOCK
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def spelled(i):
+        b = [0, *letters.flat[letters.begin[i] : letters.begin[i + 1]].tolist(), 0]
+        return np.tanh(np.max([p["T"][0][b[j - 1]] + p["T"][1][b[j]] + p["T"][2][b[j + 1]] for j in range(1, len(b) - 1)], 0)) @ p["P"]
+
+    want = []
+    for i in range(len(texts)):
+        x = [sum(p["table"][f] for f in r[:-1]) + spelled(r[-1]) for r in rows[found.first[i] : found.first[i + 1]]]
+        n = len(x)
+        states = np.zeros((n, 2 * H))
+        for d in (0, 1):
+            seq = x if d == 0 else x[::-1]
+            for t in range(n):
+                h = np.zeros(H)
+                for u in range(max(0, t // B * B - B), t + 1):
+                    g, gu = seq[u] @ p["W"][d] + p["b"][d], h @ p["U"][d]
+                    z, r = sigmoid(g[:H] + gu[:H]), sigmoid(g[H : 2 * H] + gu[H : 2 * H])
+                    h = z * h + (1 - z) * np.tanh(g[2 * H :] + r * gu[2 * H :])
+                states[t if d == 0 else n - 1 - t, d * H : (d + 1) * H] = h
+        logits = []
+        for a in range(max(1, n - S + 1)):
+            part = states[a : a + S]
+            w = np.exp(np.tanh(part @ p["A"]) @ p["v"])
+            logits.append((w / w.sum()) @ part @ p["o"] + p["c"][0] if len(part) else p["c"][0])
+        want.append(sigmoid(max(logits)))
+    assert np.allclose(toxicity.text_scores(net, found), want, atol=1e-5)
+
+
 def held_out_accuracy(scored, labels, column):
     rows = scored.where("held_out").join(labels.groupBy("doc_id").agg(F.max(column).alias("y")), "doc_id").select("score", "predicted", "y").collect()
     return np.array([r["score"] for r in rows]), np.array([r["predicted"] for r in rows]), np.array([r["y"] for r in rows])
