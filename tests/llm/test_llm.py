@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,7 +166,39 @@ def test_skip_edges_make_labels_agree():
     field.skip = np.where(np.eye(5, dtype=bool), 3.0, -3.0)
     tokens = pii.Tokens("x12345y then words x12345y")
     observed = np.array([1, 0])
-    assert tokens.skip == [(0, 1)] and field.marginals(tokens, observed)[1].argmax() == 1
+    assert tokens.skip.tolist() == [[0, 1]] and field.marginals(tokens, observed)[1].argmax() == 1
+
+
+def test_marginals_are_exact_on_a_tree():
+    rng = np.random.default_rng(4)
+    field = pii.Field()
+    field.ready = True
+    field.node, field.chain, field.skip = rng.normal(size=field.node.shape), rng.normal(size=(5, 5)), rng.normal(size=(5, 5))
+    field.skip = (field.skip + field.skip.T) / 2
+    tokens = pii.Tokens("12 34 word 56 word 12")
+    assert tokens.chain.tolist() == [[0, 1]] and tokens.skip.tolist() == [[0, 3]]
+    for observed in ([0, 0, 0, 0], [0, 2, 0, 0]):
+        unary = field.node[tokens.features].sum(1)
+        want = np.zeros((4, 5))
+        for y in np.ndindex(5, 5, 5, 5):
+            if all(o in (0, k) for o, k in zip(observed, y, strict=True)):
+                want[range(4), y] += np.exp(unary[range(4), y].sum() + field.chain[y[0], y[1]] + field.skip[y[0], y[3]])
+        want /= want.sum(1, keepdims=True)
+        assert np.allclose(field.marginals(tokens, np.array(observed), rounds=80), want, atol=1e-6)
+
+
+def test_hidden_spans_come_back_and_long_texts_are_linear(spark):
+    texts = [t for _, t in sorted(pairs(table(spark, "/root/testdata/sf0.1", "documents"))) if t and re.search("[0-9@]", t)][:3000]
+    field = pii.fit_texts(texts[::2])
+    found = pii.recovered(texts[1::2], field)
+    hidden, back, other = (sum(v[i] for v in found.values()) for i in range(3))
+    assert hidden > 50 and back / hidden > 0.8 and other < 0.2 * back, found
+    rng = random.Random(1)
+    text = " ".join(str(rng.randrange(10**9)) for _ in range(100_000))
+    began = time.process_time()
+    base = pii.base_spans(text)
+    pii.added_spans(text, base, field, 0.95)
+    assert time.process_time() - began < 6
 
 
 # 3 toxicity
