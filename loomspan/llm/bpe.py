@@ -4,6 +4,8 @@ Every pre-token is a row of symbols.  Leaf i of its segment tree holds ``rank *
 symbol i, so the root is the lowest rank and, among equals, the leftmost pair.  One merge changes three leaves, each
 re-aggregated along its path to the root; merging ends when the root holds no mergeable pair.  Many pre-tokens are
 merged side by side: a tree is one row of a matrix, and a step merges the root pair of every row that still has one.
+In a pre-token of over ``LONG`` bytes a step merges all pairs of the root's rank, found from the root down, where the
+vocabulary makes no pair of a new symbol rank before the pair that made it; else they too go one by one.
 
 The vocabulary is read from a ``tokenizers`` JSON file (its path is a parameter); nothing is trained.  Special tokens
 in a text become their own ids, as the library does when ``encode_special_tokens`` is left off.
@@ -29,6 +31,7 @@ from loomspan.llm import textops
 #: The pattern that splits a text before merging, as the byte-level vocabularies define it (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.int64(1 << 62)
+LONG = 512
 
 
 def byte_characters() -> list[str]:
@@ -57,6 +60,10 @@ class Vocabulary:
         key = np.array([a * len(self.table) + b for a, b, _ in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.merged = key[order], order.astype(np.int64), np.array([m for *_, m in pairs], np.int64)
+        made = np.full(len(self.table), -1, np.int64)
+        np.maximum.at(made, self.merged, np.arange(len(pairs)))
+        parts = np.array([(a, b) for a, b, _ in pairs], np.int64).reshape(-1, 2)
+        self.in_order = bool((made[parts].max(1) < np.arange(len(pairs))).all())
         self.slots = 1 << 19
         self.slot = self._hashed()
         self.split = regex.compile(SPLIT)
@@ -94,6 +101,8 @@ class Vocabulary:
         rows, n = symbols.shape
         if n < 2:
             return symbols
+        if n > LONG and self.in_order:
+            return np.stack([self.merge_long(row) for row in symbols])
         width = 1 << (n - 1).bit_length()
         sym = symbols.copy()
         after = np.tile(np.arange(1, n + 1), (rows, 1))
@@ -132,6 +141,44 @@ class Vocabulary:
             live = live[tree[live, 1] < _NONE]
         return sym
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """As ``merge`` for one row, all pairs of the lowest rank in one step."""
+        n = len(symbols)
+        width = 1 << (n - 1).bit_length()
+        sym, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        tree = np.full(2 * width, _NONE)
+        rank = self.find(sym[:-1], sym[1:])
+        tree[width : width + n - 1] = np.where(rank >= 0, rank * width + np.arange(n - 1), _NONE)
+        level = width
+        while level > 1:
+            level //= 2
+            tree[level : 2 * level] = np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2])
+        while tree[1] < _NONE:
+            r, nodes = tree[1] // width, np.ones(1, np.int64)
+            while nodes[0] < width:
+                nodes = np.stack([2 * nodes, 2 * nodes + 1], 1).ravel()
+                nodes = nodes[tree[nodes] // width == r]
+            i = nodes - width
+            # of pairs that share a symbol, the first, third, ... are merged
+            at = np.arange(len(i))
+            joined = np.zeros(len(i), bool)
+            joined[1:] = after[i[:-1]] == i[1:]
+            i = i[(at - np.maximum.accumulate(np.where(joined, 0, at))) % 2 == 0]
+            j = after[i]
+            k = after[j]
+            sym[i], sym[j], after[i] = self.merged[r], -1, k
+            before[k[k < n]] = i[k < n]
+            tree[width + i] = tree[width + j] = _NONE
+            x = np.unique(np.concatenate([i[k < n], before[i][before[i] >= 0]]))
+            rank = self.find(sym[x], sym[after[x]])
+            tree[width + x] = np.where(rank >= 0, rank * width + x, _NONE)
+            up = np.unique(np.concatenate([i, j, x]) + width >> 1)
+            while up[0]:
+                tree[up] = np.minimum(tree[2 * up], tree[2 * up + 1])
+                up = up >> 1
+                up = up[np.concatenate([[True], up[1:] != up[:-1]])]
+        return sym
+
     def words(self, tokens: list[str]) -> dict[str, bytes]:
         """Ids (little-endian unsigned 32-bit) of each pre-token."""
         out: dict[str, bytes] = {}

@@ -576,6 +576,8 @@ def test_bpe_matches_the_library(spark, odd, nothing):
     texts = ["", "a<|endoftext|>b <|endoftext|><|endoftext|>", "x" * 3000, " \t\n  hello　 world\x1c\x1d y\x85z  ", "I'll don't 'S é́ ²½ ١٢ 日本語 \U0001f600‍"]
     texts += [chr(a) + "a " + chr(a) + " 1" for a in range(0, 0x110000, 97) if not 0xD800 <= a < 0xE000]
     texts += ["".join(rng.choice("ab 'st<|endof>\n\t12é") for _ in range(rng.randrange(1, 40))) for _ in range(1000)]
+    texts += ["".join(rng.choice(a) for _ in range(n)) for n in (600, 4000) for a in ("ab", "the cat", "aaab", "etaoinshrdlu")] + ["a" * 5001, "ab" * 3000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))]
+    assert bpe.Vocabulary(path).in_order
     for remember in (400_000, 50):
         coder = bpe.Coder(path, remember)
         for at in range(0, len(texts), 400):
