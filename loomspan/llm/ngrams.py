@@ -1,18 +1,21 @@
 """LM scoring (operator 4): an Elias-Fano n-gram trie.
 
-The model is a bigram model over words (A-Z lower-cased) and one end token a text.  A bigram count is smoothed towards
-the unigram probability with a Dirichlet prior: p(w | v) = (c(vw) + k p(w)) / (c(v) + k), p(w) = (c(w) + 0.1) /
-(N + 0.1 (V + 1)); the first word's context is the start of a text, which occurs once a training text.
-
-Counts cover every training document.  The trie is dealt into shards by n-gram, so that no context gathers in one
-place, and each shard builds its part in its own task: level one holds the words and the contexts, a monotone pointer
-sequence leads from a context to its successors in level two, and the successors of a context are found by a search
-relative to that context.  Words, contexts, pointers and successors are Elias-Fano sequences, bigram counts are
-quantised to a byte on a logarithmic scale; the levels lie in one anonymous memory map.
-
-Documents are dealt into chunks.  A chunk asks each shard once for all its distinct n-grams (packed arrays, one row
-for each pair of chunk and shard that has any), which carries the chunk's training counts along; the shard counts,
-builds, searches and answers in the order of the request.  Texts are shuffled once, and both uses read that shuffle.
+A trigram model over words (A-Z lower-cased) and one end token a text, smoothed with Dirichlet priors and interpolated:
+p(w | uv) = q(uvw) + g(uv) p(w | v), p(w | v) = q(vw) + g(v) p(w), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), where
+q(hw) = c(hw) / (c(h) + k) is the smoothed probability a trie level stores, quantised to a byte on a logarithmic scale, and
+g(h) = k / (c(h) + k) the mass the prior leaves to the shorter context.  Two start tokens stand before a text.
+
+Counts cover every training document and are 64 bits wide.  A trie level holds contexts, a monotone pointer sequence from
+a context to its successors, the successors, and running totals of counts; all four are Elias-Fano sequences in one memory
+map.  They are searched as they lie: the high bits by select over sampled counts, the low bytes in place, and a
+successor within the pointer range of its context.
+
+Documents are dealt into chunks, packed and compressed, and shuffled once; every later pass reads that shuffle.  For each
+order in turn a chunk asks the shards of that order for its distinct n-grams, one packed row for each shard that has any,
+along with its own training counts; a shard sums the counts of all chunks, builds its trie and answers from it.  A
+request carries the count of the context, which the order before has answered, so a shard smooths by itself.  Shards are
+dealt by n-gram, so no context gathers in one place.  N-grams whose context occurs in no other chunk need no request: the
+chunk, which knows it from the counts of all texts, builds the trie of these itself.  Rows between chunks and shards never outnumber the distinct n-grams of the chunks.
 
 Cases: a null text is the empty text (one token, the end); ids may be null (crc of the empty text decides the fold)
 or repeat; without training documents all counts are 0; an empty table gives no rows; other columns are ignored.
@@ -22,254 +25,389 @@ from __future__ import annotations
 
 import mmap
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomspan.llm import textops
 from loomspan.llm.common import remainder, text_bytes, width
 
-_CONTEXT_BITS = 24
-_LOW = np.uint64(64 - _CONTEXT_BITS)
-_SUCCESSOR = np.uint64((1 << (64 - _CONTEXT_BITS)) - 1)
-END, START = np.uint64(0x8A5CD789635D2DFF), np.uint64(0x121FD2155C472F96)
+U64 = np.uint64
+END, START, BEFORE = U64(0x8A5CD789635D2DFF), U64(0x121FD2155C472F96), U64(0x6C62272E07BB0142)
+#: A key has 24 bits of its context and 32 of the whole n-gram; 32 more bits choose the shard.
+_SUCCESSOR = U64(32)
 _STEPS = 254 / 48
 
 
+def _nth_bit(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Place of set bit number n (from 0) in each 64-bit word."""
+    place, word, n = np.zeros(len(word), np.int64), word.copy(), n.copy()
+    for half in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count(word & U64((1 << half) - 1)).astype(np.int64)
+        up = n >= low
+        n -= np.where(up, low, 0)
+        place += np.where(up, half, 0)
+        word = np.where(up, word >> U64(half), word)
+    return place
+
+
 class EliasFano:
-    """A non-decreasing sequence: low bytes kept as they are, high parts in unary, one set bit an element."""
+    """A non-decreasing sequence: low bytes as they are, high parts in unary (element i of part p is set bit p + i), and the
+    number of set bits before every 64.  Nothing is unpacked to be searched."""
 
-    def __init__(self, n: int, nbytes: int, low: np.ndarray, high: np.ndarray, zeros: int):
-        self.n, self.nbytes, self.low, self.high, self.zeros = n, nbytes, low, high, zeros
+    def __init__(self, n: int, nbytes: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.nbytes, self.low, self.high, self.ones = n, nbytes, low, high, ones
+        self.shift = U64(8 * nbytes)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         if not n:
-            return cls(0, 0, np.zeros((0, 0), np.uint8), np.zeros(0, np.uint8), 0)
+            return cls(0, 0, np.zeros((0, 0), np.uint8), np.zeros(1, U64), np.zeros(2, np.int64))
         top = int(values[-1])
         nbytes = min(7, -(-max(0, (top // n).bit_length() - 1) // 8))
-        shift = np.uint64(8 * nbytes)
-        part = (values >> shift).astype(np.int64)
-        zeros = int(part[-1]) + 1
-        bits = np.zeros(n + zeros, bool)
-        bits[part + np.arange(n)] = True
+        part = (values >> U64(8 * nbytes)).astype(np.int64)
+        bits = np.zeros(-(-(n + int(part[-1]) + 2) // 64) * 64, np.uint8)
+        bits[part + np.arange(n)] = 1
+        high = np.packbits(bits, bitorder="little").view("<u8")
         low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :nbytes].copy()
-        return cls(n, nbytes, low, np.packbits(bits, bitorder="little"), zeros)
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.low.ravel(), self.high]
+        return cls(n, nbytes, low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]))
 
-    def opened(self) -> Opened:
-        return Opened(self)
+    def arrays(self) -> list[np.ndarray]:
+        return [self.low, self.high, self.ones]
 
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), U64)
+        for k in range(self.nbytes):
+            out |= self.low[i, k].astype(U64) << U64(8 * k)
+        return out
 
-class Opened:
-    """A sequence ready for many searches: where each high part begins, and the low parts as integers."""
-
-    def __init__(self, s: EliasFano):
-        self.n, self.shift = s.n, np.uint64(8 * s.nbytes)
-        bits = np.unpackbits(s.high, bitorder="little")[: s.n + s.zeros].astype(bool)
-        stops = np.flatnonzero(~bits) - np.arange(s.zeros)
-        self.begin = np.concatenate([[0], stops])
-        wide = np.zeros((s.n, 8), np.uint8)
-        wide[:, : s.nbytes] = s.low
-        self.low = wide.view("<u8").ravel()
-        self.part = np.flatnonzero(bits) - np.arange(s.n)
-
-    def values(self) -> np.ndarray:
-        return (self.part.astype(np.uint64) << self.shift) | self.low
+    def _part(self, i: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.ones, i, "right") - 1
+        return word * 64 + _nth_bit(self.high[word], i - self.ones[word]) - i
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return (self._part(i).astype(U64) << self.shift) | self._low(i)
+
+    def below(self, part: np.ndarray) -> np.ndarray:
+        """Elements whose high part is below ``part``: what stands before the clear bit that ends part - 1."""
+        zeros = np.arange(len(self.ones)) * 64 - self.ones
+        want = part - 1
+        here = (want >= 0) & (want < zeros[-1])
+        word = np.searchsorted(zeros, want[here], "right") - 1
+        out = np.where(want < 0, 0, self.n)
+        out[here] = np.minimum(word * 64 + _nth_bit(~self.high[word], want[here] - zeros[word]) - want[here], self.n)
+        return out
 
     def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of the first element that is at least x, within [lo, hi)."""
         if not self.n:
             return np.zeros(len(x), np.int64)
         part = (x >> self.shift).astype(np.int64)
-        last = len(self.begin) - 2
-        inside = part <= last
-        p = np.minimum(part, last)
-        a = np.where(inside, self.begin[p], self.n)
-        b = np.where(inside, self.begin[p + 1], self.n)
+        a, b = self.below(part), self.below(part + 1)
         if lo is not None:
             a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
-        want = x & ((np.uint64(1) << self.shift) - np.uint64(1))
+        want = x & ((U64(1) << self.shift) - U64(1))
         while (go := np.flatnonzero(a < b)).size:
             mid = (a[go] + b[go]) >> 1
-            small = self.low[mid] < want[go]
+            small = self._low(mid) < want[go]
             a[go[small]] = mid[small] + 1
             b[go[~small]] = mid[~small]
         return a
 
+    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each x, and whether it is there."""
+        i = self.successor(x, lo, hi)
+        there = i < (self.n if hi is None else hi)
+        there[there] = self.at(i[there]) == x[there]
+        return i, there
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """Count to a code of 1 to 255 (0: none), even on a logarithmic scale up to 2**48."""
-    return np.where(counts > 0, 1 + np.rint(np.log2(np.maximum(counts, 1)) * _STEPS), 0).astype(np.uint8)
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Probability to a code of 1 to 255 (0: none), even on a logarithmic scale down to 2**-48."""
+    return np.where(p > 0, 1 + np.rint(-np.log2(np.clip(p, 2.0**-48, 1)) * _STEPS), 0).astype(np.uint8)
 
 
 def dequantise(codes: np.ndarray) -> np.ndarray:
-    table = np.concatenate([[0.0], 2.0 ** (np.arange(255) / _STEPS)])
-    return table[codes]
+    return np.concatenate([[0.0], 2.0 ** (-np.arange(255) / _STEPS)])[codes]
 
 
 class Trie:
-    """One shard: word counts, and for every context the quantised counts of its successors."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        context = pairs >> _LOW
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(pairs) else np.zeros(0, np.int64)
-        rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pairs)))).astype(np.uint64)
-        levels = [EliasFano.of(words), EliasFano.of(context[first]), EliasFano.of(np.append(first, len(pairs)).astype(np.uint64)), EliasFano.of((rank << _LOW) | (pairs & _SUCCESSOR))]
-        blobs = [p for s in levels for p in s.parts()] + [counts.astype("<u4").view(np.uint8), quantise(pair_counts)]
-        self.map = mmap.mmap(-1, max(1, sum(len(b) for b in blobs)))
+    """The n-grams of one order and shard: quantised smoothed probabilities and counts, found by context."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, prior: float):
+        """``keys`` ascend and differ, ``counts`` are positive, ``totals`` are the counts of the contexts."""
+        context = keys >> _SUCCESSOR
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys)))).astype(U64)
+        levels = [EliasFano.of(context[first]), EliasFano.of(np.append(first, len(keys)).astype(U64)), EliasFano.of((rank << _SUCCESSOR) | (keys & U64(0xFFFFFFFF))), EliasFano.of(np.cumsum(counts).astype(U64))]
+        arrays = [a for s in levels for a in s.arrays()] + [quantise(counts / (totals + prior))]
+        self.map = mmap.mmap(-1, sum(a.nbytes + 8 for a in arrays) + 8)
         at, mapped = 0, []
-        for b in blobs:
-            self.map[at : at + len(b)] = b.tobytes()
-            mapped.append((at, len(b)))
-            at += len(b)
-        view = [np.frombuffer(self.map, np.uint8, n, a) for a, n in mapped]
-        for i, s in enumerate(levels):
-            s.low, s.high = view[2 * i].reshape(s.n, s.nbytes), view[2 * i + 1]
-        self.words, self.contexts, self.pointers, self.successors = (s.opened() for s in levels)
-        self.counts, self.codes = view[-2].view("<u4"), view[-1]
-
-    def count(self, words: np.ndarray) -> np.ndarray:
-        return self._at(self.words, self.counts, words, self.words.successor(words))
-
-    def code(self, pairs: np.ndarray) -> np.ndarray:
-        """Codes of bigrams: the context, its pointer range, then the successor within that range."""
-        if not self.successors.n:
-            return np.zeros(len(pairs), np.uint8)
-        context = pairs >> _LOW
-        c = self.contexts.successor(context)
-        known = np.flatnonzero(self._at(self.contexts, None, context, c))
-        pointers = self.pointers.values().astype(np.int64)
-        c = c[known]
-        x = (c.astype(np.uint64) << _LOW) | (pairs[known] & _SUCCESSOR)
-        out = np.zeros(len(pairs), np.uint8)
-        out[known] = self._at(self.successors, self.codes, x, self.successors.successor(x, pointers[c], pointers[c + 1]))
-        return out
+        for a in arrays:
+            view = np.frombuffer(self.map, a.dtype, a.size, at).reshape(a.shape)
+            view[...] = a
+            mapped.append(view)
+            at += -(-a.nbytes // 8) * 8
+        self.contexts, self.pointers, self.successors, self.running = (EliasFano(s.n, s.nbytes, *mapped[3 * i : 3 * i + 3]) for i, s in enumerate(levels))
+        self.codes = mapped[-1]
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code and count of each key: the context, its pointer range, then the successor within that range."""
+        codes, counts = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.int64)
+        c, there = self.contexts.find(keys >> _SUCCESSOR)
+        known = np.flatnonzero(there)
+        if len(known):
+            c = c[known]
+            ends = self.pointers.at(np.concatenate([c, c + 1])).astype(np.int64)
+            i, there = self.successors.find((c.astype(U64) << _SUCCESSOR) | (keys[known] & U64(0xFFFFFFFF)), ends[: len(c)], ends[len(c) :])
+            known, i = known[there], i[there]
+            codes[known] = self.codes[i]
+            running = self.running.at(np.concatenate([i, np.maximum(i - 1, 0)])).astype(np.int64)
+            counts[known] = running[: len(i)] - np.where(i > 0, running[len(i) :], 0)
+        return codes, counts
 
-    @staticmethod
-    def _at(level: Opened, payload: np.ndarray | None, x: np.ndarray, i: np.ndarray) -> np.ndarray:
-        if not level.n:
-            return np.zeros(len(x), bool if payload is None else payload.dtype)
-        j = np.minimum(i, level.n - 1)
-        hit = (i < level.n) & (level.low[j] == (x & ((np.uint64(1) << level.shift) - np.uint64(1)))) & (level.part[j] == (x >> level.shift).astype(np.int64))
-        return hit if payload is None else np.where(hit, payload[j], 0).astype(payload.dtype)
+
+def _squeeze(a: np.ndarray) -> bytes:
+    """Integers byte by byte, lowest bytes first, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _loosen(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Sorted 64-bit integers as differences, byte by byte, compressed."""
-    d = np.diff(a, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.T).tobytes())
+    """Ascending integers as differences."""
+    return _squeeze(np.diff(a, prepend=U64(0)))
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_loosen(b), dtype=U64)
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+class Grams(NamedTuple):
+    """Distinct n-grams of a chunk: context (an index), key, what deals it to a shard, hash, count in training and in other
+    texts; and the n-gram of every token."""
 
+    context: np.ndarray
+    key: np.ndarray
+    deal: np.ndarray
+    full: np.ndarray
+    count: np.ndarray
+    rest: np.ndarray
+    of: np.ndarray
 
-def _loosen(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, one end after each text, and the text of each."""
+    hashes, texts, row = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+    for _, _, buf, offsets in textops.slices(column):
+        w = textops.find_words(textops.LOWER[buf], offsets)
+        n = np.diff(w.first)
+        out = np.full(len(w.starts) + len(n), END)
+        out[np.arange(len(w.starts)) + np.repeat(np.arange(len(n)), n)] = textops.word_hashes(w)
+        hashes.append(out)
+        texts.append(np.repeat(np.arange(row, row + len(n)), n + 1))
+        row += len(n)
+    return np.concatenate(hashes), np.concatenate(texts)
 
 
 class Chunk:
-    """Tokens of some texts: hashes with one end each, the hash before each, the text of each."""
-
-    def __init__(self, column: pa.Array):
-        hashes, texts, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-        for _, _, buf, offsets in textops.slices(column):
-            w = textops.find_words(textops.LOWER[buf], offsets)
-            n = np.diff(w.first)
-            out = np.full(len(w.starts) + len(n), END)
-            out[np.arange(len(w.starts)) + np.repeat(np.arange(len(n)), n)] = textops.word_hashes(w)
-            hashes.append(out)
-            texts.append(np.repeat(np.arange(row, row + len(n)), n + 1))
-            row += len(n)
-        self.token, self.text = np.concatenate(hashes), np.concatenate(texts)
-        self.before = np.concatenate([[START], self.token[:-1]])[: len(self.token)]
-        self.before[np.flatnonzero(self.before == END)] = START
-
-    def pairs(self) -> np.ndarray:
-        both = textops.mix(self.before * np.uint64(0x9E3779B97F4A7C15) + textops.mix(self.token))
-        return ((self.before >> _LOW) << _LOW) | (both & _SUCCESSOR)
-
-
-def _distinct(keys: np.ndarray, train: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ordered by shard and key, where each key of ``keys`` is among them, shard bounds, training counts."""
-    found, where = np.unique(keys, return_inverse=True)
-    shard = ((found & _SUCCESSOR) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    where = place[where]
-    counts = np.bincount(where, train, len(found)).astype(np.uint32)
-    return found[order], where, np.searchsorted(shard[order], np.arange(shards + 1)), counts
-
-
-def _requests(shards: int):
-    def run(key: tuple, docs: pa.Table) -> pa.Table:
-        chunk = Chunk(docs.column("text"))
-        train = docs.column("train").to_numpy()[chunk.text].astype(np.float64)
-        u, _, ub, uc = _distinct(chunk.token, train, shards)
-        p, _, pb, pc = _distinct(chunk.pairs(), train, shards)
-        rows = [s for s in range(shards) if ub[s + 1] > ub[s] or pb[s + 1] > pb[s]]
-        part = lambda a, b, f: pa.array([f(a[b[s] : b[s + 1]]) for s in rows], pa.binary())
-        return pa.table(
-            [pa.array(rows, pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), part(u, ub, _pack), part(uc, ub, _squeeze), part(p, pb, _pack), part(pc, pb, _squeeze)],
-            names=["shard", "chunk", "words", "word_counts", "pairs", "pair_counts"],
-        )
+    """Tokens of some texts as numbers of the distinct words, and the n-grams that end at each."""
+
+    def __init__(self, parts: list[dict]):
+        self.ids, train, hashes, texts = [], [np.zeros(0, bool)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for p in parts:
+            offsets = np.concatenate([[0], np.cumsum(np.frombuffer(p["sizes"], "<i8"))]).astype(np.int64)
+            body = zstandard.ZstdDecompressor().decompress(p["texts"])
+            column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+            h, t = tokens(column)
+            hashes.append(h)
+            texts.append(t + len(self.ids))
+            self.ids += p["ids"]
+            train.append(np.frombuffer(p["train"], bool))
+        self.train, self.text = np.concatenate(train), np.concatenate(texts)
+        self.words, self.word = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.weight = self.train[self.text].astype(np.float64)
+        self.count, self.rest = self._counts(self.word, len(self.words))
+        self.starts = np.flatnonzero(np.diff(self.text, prepend=-1))
+        self.end = int(np.searchsorted(self.words, END))
+
+    def _counts(self, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(of, self.weight, n).astype(np.int64), np.bincount(of, 1 - self.weight, n).astype(np.int64)
+
+    def _previous(self, of: np.ndarray, none: int) -> np.ndarray:
+        """What stands one token before, ``none`` before a text."""
+        out = np.concatenate([[none], of[:-1]])[: len(of)]
+        out[self.starts] = none
+        return out
+
+    def _grams(self, context: np.ndarray, hashes: np.ndarray) -> Grams:
+        n = len(self.words)
+        both, of = np.unique(context * n + self.word, return_inverse=True)
+        c, w = np.divmod(both, n)
+        full = textops.mix(hashes[c] * U64(0x9E3779B97F4A7C15) + textops.mix(self.words[w]))
+        key = ((textops.mix(hashes[c]) >> U64(40)) << _SUCCESSOR) | (full >> U64(32))
+        return Grams(c, key, (full & U64(0xFFFFFFFF)).astype(np.int64), full, *self._counts(of, len(both)), of)
+
+    def grams(self, order: int) -> Grams:
+        if order == 2:
+            return self._grams(self._previous(self.word, len(self.words)), np.append(self.words, START))
+        two = self.grams(2)
+        return self._grams(self._previous(two.of, len(two.full)), np.append(two.full, BEFORE))
+
+
+def _split(keys: np.ndarray, deal: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with any key, and the places of its keys in order."""
+    shard = deal % shards
+    order = np.lexsort((keys, shard))
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, order[cuts[s] : cuts[s + 1]]
+
+
+def _same(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, the sums of the first column, and the first value of the others."""
+    found, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, of, sums[0])
+    return found, total, *(c[first] for c in sums[1:])
+
+
+def _answered(rows: list[dict], of_shard: list[tuple[int, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts (in training, in other texts) and codes in the order of the chunk's own n-grams."""
+    counts, rests, codes = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint8)
+    got = {r["shard"]: r for r in rows}
+    for s, at in of_shard:
+        if got[s]["counts"]:
+            counts[at], rests[at] = (_loosen(got[s][c]).astype(np.int64) for c in ("counts", "rests"))
+        if got[s]["codes"]:
+            codes[at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(got[s]["codes"]), np.uint8)
+    return counts, rests, codes
+
+
+class Known(NamedTuple):
+    """The n-grams of one order in a chunk with what is known of them."""
+
+    grams: Grams
+    total: np.ndarray
+    asked: np.ndarray
+    counts: np.ndarray
+    codes: np.ndarray
+
+
+class Scheme(NamedTuple):
+    """How n-grams are dealt and smoothed."""
+
+    shards: int
+    order: int
+    prior: float
+
+
+def _knowledge(chunk: Chunk, row: dict, scheme: Scheme, upto: int) -> tuple[np.ndarray, list[Known]]:
+    """Word counts, and the n-grams of orders 2 to ``upto``; of the last one what is to be asked if ``row`` has no answers."""
+    counts, rests, _ = _answered(row["answers1"], list(_split(chunk.words, (chunk.words >> U64(3)).astype(np.int64), scheme.shards)), len(chunk.words))
+    out: list[Known] = []
+    # counts of the contexts, the start of a text last, which is met as often as the end
+    here, everywhere = ([np.append(c, c[chunk.end]) for c in both] for both in ((chunk.count, chunk.rest), (counts, rests)))
+    for order in range(2, upto + 1):
+        g = chunk.grams(order)
+        total = everywhere[0][g.context]
+        own = (here[0] == everywhere[0])[g.context] & (here[1] == everywhere[1])[g.context] & (total > 0)
+        asked = np.flatnonzero((total > 0) & ~own)
+        n, rest, codes = np.where(own, g.count, 0), np.where(own, g.rest, 0), np.zeros(len(g.key), np.uint8)
+        mine = np.flatnonzero(own)
+        if row.get(f"answers{order}") is not None:
+            shared = _split(g.key[asked], g.deal[asked], scheme.shards)
+            n[asked], rest[asked], codes[asked] = _answered(row[f"answers{order}"], list(shared), len(asked))
+            trained = mine[g.count[mine] > 0]
+            if len(trained):
+                keys, sums, totals = _same(g.key[trained], g.count[trained], total[trained])
+                codes[mine] = Trie(keys, sums, totals, scheme.prior).look_up(g.key[mine])[0]
+        out.append(Known(g, total, asked, n, codes))
+        here, everywhere = ([np.append(c, e[-1]) for c, e in zip(now, before, strict=True)] for now, before in (((g.count, g.rest), here), ((n, rest), everywhere)))
+    return counts, out
+
+
+_REQUEST = "shard int, chunk int, keys binary, counts binary, rests binary, totals binary"
+
+
+def _request_rows(chunk: int, rows: list[tuple]) -> pa.Table:
+    shard, *packed = zip(*rows, strict=True) if rows else ((),) * 5
+    return pa.table([pa.array(shard, pa.int32()), pa.array([chunk] * len(rows), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["shard", "chunk", "keys", "counts", "rests", "totals"])
+
+
+def _ask(order: int, scheme: Scheme):
+    """One chunk: what it asks the shards of an order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (row,) = table.to_pylist()
+        chunk = Chunk(row["parts"])
+        if order == 1:
+            parts = _split(chunk.words, (chunk.words >> U64(3)).astype(np.int64), scheme.shards)
+            return _request_rows(row["chunk"], [(s, _pack(chunk.words[at]), _squeeze(chunk.count[at]), _squeeze(chunk.rest[at]), b"") for s, at in parts])
+        g, total, asked, *_ = _knowledge(chunk, row, scheme, order)[1][-1]
+        key, deal, count, rest, total = g.key[asked], g.deal[asked], g.count[asked], g.rest[asked], total[asked]
+        last = order == scheme.order
+        return _request_rows(row["chunk"], [(s, _pack(key[at]), _squeeze(count[at]), b"" if last else _squeeze(rest[at]), _squeeze(total[at])) for s, at in _split(key, deal, scheme.shards)])
 
     return run
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with a training count, and their sums."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    k, c = k[c > 0], c[c > 0]
-    found, where = np.unique(k, return_inverse=True)
-    return found, np.bincount(where, c, len(found)).astype(np.int64)
+def _looked(names: EliasFano, values: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
+    return [values[names.successor(x)] for x in keys]
 
 
-def _answers(asked: pa.Table) -> pa.Table:
+def _answer(order: int, scheme: Scheme):
     """One shard: sum the counts, build the trie, look every request up in it."""
-    words, pairs = ([_unpack(b) for b in asked.column(c).to_pylist()] for c in ("words", "pairs"))
-    wc, pc = ([_loosen(b, "<u4") for b in asked.column(c).to_pylist()] for c in ("word_counts", "pair_counts"))
-    trie = Trie(*_summed(words, wc), *_summed(pairs, pc))
-    return pa.table(
-        [asked.column("chunk"), asked.column("shard"), pa.array([_squeeze(trie.count(w)) for w in words], pa.binary()), pa.array([_squeeze(trie.code(p)) for p in pairs], pa.binary())],
-        names=["chunk", "shard", "counts", "codes"],
-    )
+
+    def run(asked: pa.Table) -> pa.Table:
+        read = lambda c: [_loosen(b).astype(np.int64) for b in asked.column(c).to_pylist()]
+        keys = [_unpack(b) for b in asked.column("keys").to_pylist()]
+        k, c, last = np.concatenate(keys), np.concatenate(read("counts")), order == scheme.order
+        codes: list = [b""] * len(keys)
+        if order > 1:
+            t, some = np.concatenate(read("totals")), c > 0
+            trie = Trie(*_same(k[some], c[some], t[some]), scheme.prior)
+            found = [trie.look_up(x) for x in keys]
+            codes = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x, _ in found]
+        if not last:
+            # held-out texts ask too: what they hold only tells a chunk whether it is alone with a context
+            known, rest = _same(k, np.concatenate(read("rests")))
+            names = EliasFano.of(known)
+            counts = [_squeeze(n) for _, n in found] if order > 1 else [_squeeze(x) for x in _looked(names, _same(k, c)[1], keys)]
+            rests = [_squeeze(x) for x in _looked(names, rest, keys)]
+        columns = [counts, rests, codes] if not last else [[b""] * len(keys), [b""] * len(keys), codes]
+        return pa.table([asked.column("chunk"), asked.column("shard"), *(pa.array(x, pa.binary()) for x in columns)], names=["chunk", "shard", "counts", "rests", "codes"])
+
+    return run
 
 
-def _scores(shards: int, total: int, distinct: int, prior: float):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(docs.column("text"))
-        n = docs.num_rows
-        u, token, ub, _ = _distinct(chunk.token, np.zeros(len(chunk.token)), shards)
-        p, pair, pb, _ = _distinct(chunk.pairs(), np.zeros(len(chunk.token)), shards)
-        counts, codes = np.zeros(len(u)), np.zeros(len(p), np.uint8)
-        for s, a, b in zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), answers.column("codes").to_pylist(), strict=True):
-            counts[ub[s] : ub[s + 1]] = _loosen(a, "<u4")
-            codes[pb[s] : pb[s + 1]] = _loosen(b, "u1")
-        c = counts[token]
+def _score(scheme: Scheme, total: int, distinct: int, id_type: pa.DataType):
+    def run(table: pa.Table) -> pa.Table:
+        (row,) = table.to_pylist()
+        chunk = Chunk(row["parts"])
+        counts, known = _knowledge(chunk, row, scheme, scheme.order)
+        c = counts[chunk.word]
         alone = (c + 0.1) / (total + 0.1 * (distinct + 1))
-        ends = c[chunk.token == END][:1]
-        context = np.concatenate([[0.0], c[:-1]])[: len(c)]
-        context[chunk.before == START] = ends[0] if len(ends) else 0.0
-        model = (np.minimum(dequantise(codes[pair]), context) + prior * alone) / (context + prior)
+        model = alone
+        for k in known:
+            context = k.total[k.grams.of]
+            model = dequantise(k.codes)[k.grams.of] + scheme.prior / (context + scheme.prior) * model
+        n = len(chunk.ids)
         sums = lambda x: np.bincount(chunk.text, x, n)
         whole = lambda x: pa.array(sums(x).astype(np.int64))
+        score, many = sums(np.log10(np.minimum(model, 1))), sums(np.ones(len(c)))
         return pa.table(
-            [docs.column("doc_id"), pa.array(~docs.column("train").to_numpy()), whole(np.ones(len(c))), whole(c > 0), pa.array(np.full(n, total)), pa.array(sums(np.log10(alone))), pa.array(sums(np.log10(model)))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [pa.array(chunk.ids, id_type), pa.array(~chunk.train), pa.array(many.astype(np.int64)), whole(c > 0), pa.array(np.full(n, total)), pa.array(sums(np.log10(alone))), pa.array(score), pa.array(score / many)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_per_token"],
         )
 
     return run
@@ -280,20 +418,20 @@ def totals(docs: DataFrame, shards: int) -> tuple[int, int]:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        tokens = size = 0
+        many = size = 0
 
         def out() -> pa.RecordBatch:
-            found, _, bounds, _ = _distinct(np.concatenate(held), np.zeros(sum(map(len, held))), shards)
-            rows = [s for s in range(shards) if bounds[s + 1] > bounds[s]]
+            found = np.unique(np.concatenate(held))
+            rows = list(_split(found, (found >> U64(3)).astype(np.int64), shards))
             return pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int32()), pa.array([_pack(found[bounds[s] : bounds[s + 1]]) for s in rows], pa.binary()), pa.array([tokens if s == rows[0] else 0 for s in rows], pa.int64())],
+                [pa.array([s for s, _ in rows], pa.int32()), pa.array([_pack(found[at]) for _, at in rows], pa.binary()), pa.array([many if not i else 0 for i in range(len(rows))], pa.int64())],
                 names=["shard", "words", "tokens"],
             )
 
         for b in batches:
             for begin in range(0, b.num_rows, 1000):
-                token = Chunk(b.column("text").slice(begin, 1000)).token
-                tokens += len(token)
+                token, _ = tokens(b.column("text").slice(begin, 1000))
+                many += len(token)
                 held.append(np.unique(token))
                 size += len(held[-1])
                 if size > 1 << 21:
@@ -301,7 +439,7 @@ def totals(docs: DataFrame, shards: int) -> tuple[int, int]:
                     size = len(held[0])
                     if size > 1 << 20:
                         yield out()
-                        held, size, tokens = [], 0, 0
+                        held, size, many = [], 0, 0
         if held:
             yield out()
 
@@ -314,20 +452,62 @@ def totals(docs: DataFrame, shards: int) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["v"] or 0)
 
 
-def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float = 20.0, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    size = text_bytes(docs, text_col)
-    chunks = max(-(-size // chunk_bytes), min(width(docs.sparkSession), -(-size // (1 << 20))), 1)
+def _packing(chunks: int, most: int = 32 << 20):
+    """Map side: texts of one task by chunk, compressed, in rows for at most ``most`` bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        names = ["chunk", "ids", "train", "sizes", "texts"]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            chunk = t.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
+                some = t.take(pa.array(at))
+                buf, offsets = textops.buffers(some.column("text"))
+                texts = zstandard.ZstdCompressor(level=3).compress(buf.tobytes())
+                ids = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), some.column("doc_id").combine_chunks())
+                train = some.column("train").to_numpy().astype(bool).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([int(chunk[at[0]])], pa.int32()), ids, *(pa.array([x], pa.binary()) for x in (train, np.diff(offsets).astype("<i8").tobytes(), texts))], names=names)
+
+        for b in batches:
+            held.append(b)
+            if sum(x.nbytes for x in held) > most:
+                yield from out()
+                held = []
+        if held and sum(b.num_rows for b in held):
+            yield from out()
+
+    return run
+
+
+def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float = 20.0, order: int = 3, chunk_bytes: int = 8 << 20, shard_tokens: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), score_per_token.
+
+    ``chunk_bytes`` of text and ``shard_tokens`` training tokens bound what one task holds at a time.
+    """
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
+    n, size = width(docs.sparkSession), text_bytes(docs, text_col)
+    chunks = max(-(-size // chunk_bytes), min(n, -(-size // (1 << 20))), 1)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.col(text_col).alias("text"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         (remainder(F.col(id_col), folds) != held).alias("train"),
         F.pmod(F.xxhash64(F.col(text_col), F.col(id_col)), F.lit(chunks)).cast("int").alias("chunk"),
     )
-    total, distinct = totals(rows, chunks)
-    asked = rows.groupBy("chunk").applyInArrow(_requests(chunks), "shard int, chunk int, words binary, word_counts binary, pairs binary, pair_counts binary")
-    answers = asked.groupBy("shard").applyInArrow(_answers, "chunk int, shard int, counts binary, codes binary")
+    total, distinct = totals(rows, max(n, -(-size // chunk_bytes)))
+    scheme = Scheme(max(-(-total // shard_tokens), min(n, -(-total // 200_000)), 1), order, prior)
     id_type = dict(rows.dtypes)["doc_id"]
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _scores(chunks, total, distinct, prior), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    packed = rows.mapInArrow(_packing(chunks), f"chunk int, ids array<{id_type}>, train binary, sizes binary, texts binary")
+    known = packed.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("ids", "train", "sizes", "texts")).alias("parts"))
+    for k in range(1, order + 1):
+        asked = known.groupBy("chunk").applyInArrow(_ask(k, scheme), _REQUEST)
+        answered = asked.repartition(n, "shard").groupBy("shard").applyInArrow(_answer(k, scheme), "chunk int, shard int, counts binary, rests binary, codes binary")
+        by_chunk = answered.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("shard", "counts", "rests", "codes")).alias(f"answers{k}"))
+        known = known.join(by_chunk, "chunk", "left").withColumn(f"answers{k}", F.coalesce(f"answers{k}", F.array()))
+    arrow_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    return known.groupBy("chunk").applyInArrow(
+        _score(scheme, total, distinct, arrow_type), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double"
     )

@@ -299,47 +299,74 @@ def test_toxicity_held_out(spark, odd, nothing):
 def test_elias_fano_and_quantisation():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 3000):
-        v = np.unique(rng.integers(0, 1 << 62, n, dtype=np.int64).astype(np.uint64) >> rng.integers(0, 40, n).astype(np.uint64))
-        level = ngrams.EliasFano.of(v).opened()
-        assert (level.values() == v).all()
-        x = np.concatenate([v, rng.integers(0, 1 << 62, 500, dtype=np.int64).astype(np.uint64)])
-        assert (level.successor(x) == np.searchsorted(v, x)).all()
-    c = np.array([0, 1, 2, 3, 10, 1000, 123_456_789])
-    q = ngrams.dequantise(ngrams.quantise(c))
-    assert q[0] == 0 and q[1] == 1 and (abs(q[1:] / c[1:] - 1) < 0.07).all()
+        for spread in (40, 63):
+            v = np.sort(rng.integers(0, 1 << 62, n, dtype=np.int64).astype(np.uint64) >> rng.integers(0, spread, n).astype(np.uint64))
+            level = ngrams.EliasFano.of(v)
+            assert (level.at(np.arange(n)) == v).all()
+            x = np.concatenate([v, v + np.uint64(1), rng.integers(0, 1 << 62, 500, dtype=np.int64).astype(np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+            assert (level.successor(x) == np.searchsorted(v, x)).all()
+            lo = rng.integers(0, n + 1, len(x))
+            hi = rng.integers(lo, n + 1)
+            assert (level.successor(x, lo, hi) == np.clip(np.searchsorted(v, x), lo, hi)).all()
+            there = level.find(x)[1]
+            assert (there == np.isin(x, v)).all()
+    p = np.array([0, 1, 0.5, 1e-9, 1 / 21])
+    q = ngrams.dequantise(ngrams.quantise(p))
+    assert q[0] == 0 and q[1] == 1 and (abs(q[1:] / p[1:] - 1) < 0.07).all()
     k = np.sort(rng.integers(0, 1 << 62, 999, dtype=np.int64).astype(np.uint64))
     assert (ngrams._unpack(ngrams._pack(k)) == k).all()
 
 
-def brute_lm(rows, prior=20.0):
+def test_trie_finds_by_context_and_counts_beyond_32_bits():
+    rng = np.random.default_rng(2)
+    keys = np.unique((rng.integers(0, 200, 5000).astype(np.uint64) << np.uint64(32)) | rng.integers(0, 1 << 20, 5000).astype(np.uint64))
+    counts = rng.integers(1, 1 << 40, len(keys))
+    counts[7] = (1 << 32) + 7
+    totals = counts * 3
+    trie = ngrams.Trie(keys, counts, totals, 20.0)
+    codes, found = trie.look_up(keys)
+    assert (found == counts).all() and (codes == ngrams.quantise(counts / (totals + 20.0))).all()
+    other = np.setdiff1d((rng.integers(0, 300, 5000).astype(np.uint64) << np.uint64(32)) | rng.integers(0, 1 << 20, 5000).astype(np.uint64), keys)
+    assert not trie.look_up(other)[1].any() and not ngrams.Trie(keys[:0], counts[:0], totals[:0], 1.0).look_up(keys)[0].any()
+
+
+def brute_lm(rows, order=3, prior=20.0):
     docs = [(i, [*words(lower(t)), "</s>"]) for i, t in rows]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    c, b = Counter(), Counter()
+    c = {k: Counter() for k in range(order + 1)}
+    grams = lambda w, k: zip(*([*["<s>"] * (k - 1), *w][j:] for j in range(k)), strict=False)
     for i, w in docs:
         if not held(i):
-            c.update(w)
-            b.update(zip(["<s>", *w], w, strict=False))
-    n, v = sum(c.values()), len(c)
-    q = lambda k: float(ngrams.dequantise(ngrams.quantise(np.array([k])))[0])
+            for k in range(1, order + 1):
+                c[k].update(grams(w, k))
+    n, v = sum(c[1].values()), len(c[1])
+    history = {k: Counter() for k in range(1, order)}
+    for k in range(2, order + 1):
+        for g, m in c[k].items():
+            history[k - 1][g[:-1]] += m
+    q = lambda p: float(ngrams.dequantise(ngrams.quantise(np.array([p])))[0])
     out = []
     for i, w in docs:
         base = model = 0.0
-        for a, x in zip(["<s>", *w], w, strict=False):
-            p = (c[x] + 0.1) / (n + 0.1 * (v + 1))
-            c1 = c["</s>"] if a == "<s>" else c[a]
+        for g in grams(w, order):
+            p = (c[1][g[-1:]] + 0.1) / (n + 0.1 * (v + 1))
             base += math.log10(p)
-            model += math.log10((min(q(b[a, x]), c1) + prior * p) / (c1 + prior))
-        out.append((i, held(i), len(w), sum(c[x] > 0 for x in w), n, base, model))
+            for k in range(2, order + 1):
+                h = history[k - 1][g[-k:-1]]
+                p = q(c[k][g[-k:]] / (h + prior)) + prior / (h + prior) * p
+            model += math.log10(min(p, 1))
+        out.append((i, held(i), len(w), sum(c[1][x,] > 0 for x in w), n, base, model, model / len(w)))
     return out
 
 
-@pytest.mark.parametrize("chunk", [200_000, 12 << 20])
-def test_language_model(spark, odd, nothing, chunk):
+@pytest.mark.parametrize("chunk", [100_000, 12 << 20])
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, odd, nothing, chunk, order):
     for df in (table(spark, SF, "documents"), odd):
         key = lambda r: (repr(r[0]), r[2], r[5])
-        got, want = (sorted(x, key=key) for x in ([tuple(r) for r in ngrams.score_texts(df, chunk_bytes=chunk).collect()], brute_lm(pairs(df))))
+        got, want = (sorted(x, key=key) for x in ([tuple(r) for r in ngrams.score_texts(df, chunk_bytes=chunk, order=order, shard_tokens=20_000).collect()], brute_lm(pairs(df), order)))
         assert [g[:5] for g in got] == [w[:5] for w in want]
-        assert all(abs(g[k] - w[k]) <= 1e-9 * abs(w[k]) + 1e-9 for g, w in zip(got, want, strict=True) for k in (5, 6))
+        assert all(abs(g[k] - w[k]) <= 1e-9 * abs(w[k]) + 1e-9 for g, w in zip(got, want, strict=True) for k in (5, 6, 7))
     assert ngrams.score_texts(nothing).count() == 0
 
 
