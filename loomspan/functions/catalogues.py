@@ -36,21 +36,40 @@ TOOL_TYPES = {
     "straight": "needle", "circular": "needle", "dpn": "needle", "flexible": "needle", "tips": "needle", "cable": "needle", "other": "needle",
     "interchangeable": "kit", "hookKit": "kit", "standard": "hook", "tunisian": "hook",
 }
+#: Whether a tool type has a size of its own, may have one, has none, or is a kit of sizes; which have a tunisian mark.
+TOOL_SIZES = {
+    "straight": "required", "circular": "required", "dpn": "required", "tips": "required", "flexible": "required", "cable": "none", "other": "optional",
+    "interchangeable": "kit", "hookKit": "kit", "standard": "required", "tunisian": "required",
+}
+TUNISIAN_TYPES = ("hookKit", "tunisian")
+#: Colours that can be chosen: name, hue, saturation, lightness.
+PALETTE = (
+    ("noir", 0, 0, 17), ("gris", 220, 6, 62), ("anthracite", 220, 8, 32), ("blanc", 40, 28, 92), ("ecru", 38, 38, 86), ("beige", 38, 30, 76),
+    ("taupe", 30, 12, 58), ("camel", 33, 45, 58), ("marron", 25, 40, 34), ("chocolat", 22, 38, 28), ("rouge", 4, 65, 49), ("bordeaux", 348, 55, 32),
+    ("rose", 340, 60, 75), ("fuchsia", 320, 70, 58), ("corail", 12, 72, 67), ("orange", 28, 78, 57), ("moutarde", 44, 70, 47), ("jaune", 50, 78, 62),
+    ("vert", 135, 35, 46), ("sauge", 110, 18, 60), ("kaki", 70, 28, 42), ("emeraude", 160, 45, 40), ("turquoise", 180, 45, 46), ("bleu", 212, 55, 52),
+    ("marine", 222, 45, 28), ("ciel", 205, 60, 72), ("lavande", 265, 40, 72), ("violet", 285, 40, 45), ("prune", 300, 35, 38), ("mauve", 300, 25, 65),
+)
+#: Lightness a colour is stored with at least and at most.
+LIGHTNESS = (6, 94)
 HOOK_SCALE_TYPES = ("standard", "tunisian", "hookKit")
 OWNED_STATUSES = ("available", "damaged", "replace")
 CABLE_JOINS = ("s", "l", "mini")
 #: Fibre names, folded, by origin.
 FIBRES = {
     "animal": (
-        "laine merinos alpaga mohair soie cachemire angora yak chameau lama vigogne qiviut wool merino alpaca llama vicuna silk cashmere camel "
-        "wolle alpaka vikunja seide kaschmir kamel lana seda cachemira camello"
-    ).split(),
+        "laine", "merinos", "alpaga", "mohair", "soie", "cachemire", "angora", "yak", "chameau", "lama",
+        "vigogne", "qiviut", "wool", "merino", "alpaca", "llama", "vicuna", "silk", "cashmere", "camel",
+        "wolle", "alpaka", "vikunja", "seide", "kaschmir", "kamel", "lana", "seda", "cachemira", "camello",
+    ),
     "plant": (
-        "coton lin bambou chanvre ramie jute soja ortie cotton linen flax bamboo hemp soy nettle baumwolle leinen bambus hanf nessel "
-        "algodon lino bambu canamo ortiga yute ramio"
-    ).split(),
+        "coton", "lin", "bambou", "chanvre", "ramie", "jute", "soja", "ortie", "cotton", "linen",
+        "flax", "bamboo", "hemp", "soy", "nettle", "baumwolle", "leinen", "bambus", "hanf", "nessel",
+        "algodon", "lino", "bambu", "canamo", "ortiga", "yute", "ramio",
+    ),
     "synthetic": (
-        "viscose lyocell tencel modal acetate rayon viskose viscosa acetat acetato acrylique polyamide polyester nylon elasthanne polypropylene "
-        "acrylic elastane spandex acryl polyacryl polyamid elasthan polypropylen acrilico poliamida poliester elastano polipropileno"
-    ).split(),
-}
+        "viscose", "lyocell", "tencel", "modal", "acetate", "rayon", "viskose", "viscosa", "acetat", "acetato",
+        "acrylique", "polyamide", "polyester", "nylon", "elasthanne", "polypropylene", "acrylic", "elastane", "spandex", "acryl",
+        "polyacryl", "polyamid", "elasthan", "polypropylen", "acrilico", "poliamida", "poliester", "elastano", "polipropileno",
+    ),
+}

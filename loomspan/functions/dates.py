@@ -1,4 +1,5 @@
-"""Local days, weeks that start on a chosen day, period keys (inventory I1-I19, B16, E1-E4)."""
+"""Local days, weeks that start on a chosen day, period keys (inventory I1-I19, B16, E1-E4).  Names are English; other
+languages are left to the reader of the result."""
 
 from __future__ import annotations
 
@@ -76,3 +77,38 @@ def finished_at(before_status: Column, after_status: Column, before: Column, pat
 def started_at(before: Column, today: Column) -> Column:
     """The first write wins."""
     return F.coalesce(F.nullif(before, F.lit("")), today)
+
+
+def shift_day(day: Column, by: Column | int) -> Column:
+    """The day ``by`` days later, or earlier if negative."""
+    return F.date_add(day, F.lit(by) if isinstance(by, int) else by)
+
+
+def weekday_names(first_day: int = 1, long: bool = True) -> Column:
+    """The seven weekday names from the chosen first day on."""
+    sunday = date(2024, 1, 7)
+    return F.array(*(F.date_format(F.lit(sunday + timedelta(days=first_day + i)), "EEEE" if long else "EEE") for i in range(7)))
+
+
+def local_noon(day_text: Column) -> Column:
+    """Noon of a written day, the one time that no clock change moves to another date; null if it is no day."""
+    return F.try_to_timestamp(F.concat(F.regexp_extract(day_text, r"^(\d{1,4}-\d{1,2}-\d{1,2})$", 1), F.lit(" 12:00:00")), F.lit("y-M-d HH:mm:ss"))
+
+
+def shown_day(value: Column, zone: str | None = None) -> Column:
+    """Day of a stored text: ten characters are a day as it stands, longer ones or ones with a T are an instant, whose day
+    depends on the zone; what cannot be read is shown as it is, null as nothing (I14)."""
+    instant = (F.length(value) > 10) | F.contains(value, F.lit("T"))
+    at = value.try_cast("timestamp")
+    day = F.try_to_date(F.substring(value, 1, 10), "y-M-d")
+    shown = lambda d: F.date_format(d, "yyyy-MM-dd")
+    return F.coalesce(F.when(instant, F.coalesce(shown(local_day(at, zone)), value)).otherwise(F.coalesce(shown(day), F.substring(value, 1, 10))), F.lit(""))
+
+
+def derives_done(before_status: Column, before_day: Column, new_status: Column, new_day: Column) -> Column:
+    """Whether a change that sets an end date finishes the project: the day is new, the change does not itself choose
+    another status, and the status is not done already (I18).  ``before_status`` is null for a new project."""
+    day = lambda c: F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, 10)
+    chosen = before_status.isNotNull() & new_status.isNotNull() & (new_status != before_status)
+    done = F.coalesce(new_status, before_status, F.lit("")) == "done"
+    return (day(new_day) != "") & (day(new_day) != day(before_day)) & ~F.coalesce(chosen, F.lit(False)) & ~done

@@ -92,3 +92,9 @@ def expand_counts(template: Column, counts: Column, size: Column) -> Column:
 def fold_eszett(x: Column) -> Column:
     """Capital sharp s to the small one, for comparison only."""
     return F.replace(x, F.lit("\u1e9e"), F.lit("\u00df"))
+
+
+def canonical_name(raw: Column, catalogue: list[str]) -> Column:
+    """The catalogue's spelling of a name that differs from it in case only; other names stay, trimmed."""
+    name = F.trim(F.coalesce(raw, F.lit("")))
+    return F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, catalogue)), lambda n: F.lower(n) == F.lower(name)), F.lit(1)), name)

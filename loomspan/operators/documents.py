@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Frequent German function words (fixed values) and the least share of words for the gate.
-GERMAN = "und nicht für mit ist sind wird werden wurde nach der die das den dem eine einen einem einer auf sich im zu".split()
+GERMAN = [
+    "und", "nicht", "für", "mit", "ist", "sind", "wird", "werden", "wurde", "nach", "der", "die",
+    "das", "den", "dem", "eine", "einen", "einem", "einer", "auf", "sich", "im", "zu",
+]
 GERMAN_SHARE, GERMAN_LEAST_WORDS = 1 / 30, 20
 SCANNED_CHARS_PER_PAGE, LONGEST_LINE = 50, 4000
 

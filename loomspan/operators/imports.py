@@ -3,6 +3,9 @@ B33, C24, H31, H32)."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +17,28 @@ from loomspan.functions.text import csv_cell, first_keyword, fold, header_key, j
 FIELDS = sorted({*catalogues.HEADERS.values()})
 
 
-def header_fields(headers: list[str], spark) -> list[tuple[str, str | None]]:
+def _key(header: str) -> str:
+    """``header_key`` of a column name; names are few and known before anything runs."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", header.lower()) if not unicodedata.combining(c))
+    return " ".join(re.sub("[_-]+", " ", plain).split())
+
+
+def header_fields(headers: list[str]) -> list[tuple[str, str | None]]:
     """Field of every header, "" for derived columns to skip, null for unknown ones."""
-    frame = spark.createDataFrame([(i, h) for i, h in enumerate(headers)], "i int, h string")
-    key = {r["i"]: r["k"] for r in frame.select("i", header_key(F.col("h")).alias("k")).collect()}
-    return [(h, "" if key[i] in catalogues.IGNORED_HEADERS else catalogues.HEADERS.get(key[i])) for i, h in enumerate(headers)]
+    return [(h, "" if _key(h) in catalogues.IGNORED_HEADERS else catalogues.HEADERS.get(_key(h))) for h in headers]
+
+
+def header_rows(headers: DataFrame, column: str = "header") -> DataFrame:
+    """The same for headers that are data: ``field`` is "" for derived ones and null for unknown ones."""
+    known = F.create_map(*(F.lit(x) for kv in catalogues.HEADERS.items() for x in kv))
+    key = header_key(F.col(column))
+    return headers.withColumn("field", F.when(key.isin(list(catalogues.IGNORED_HEADERS)), "").otherwise(F.try_element_at(known, key)))
 
 
 def rename_sheet(sheet: DataFrame) -> DataFrame:
     """A sheet with its columns renamed by their headers, whatever their order; unknown columns go, blank rows too."""
     known: dict[str, Column] = {}
-    for name, field in header_fields(sheet.columns, sheet.sparkSession):
+    for name, field in header_fields(sheet.columns):
         if field and field not in known:
             known[field] = F.col(f"`{name}`").cast("string").alias(field)
     out = sheet.select(*known.values(), *(F.lit(None).cast("string").alias(f) for f in FIELDS if f not in known))
@@ -69,6 +83,9 @@ def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
-    """Export with a header line in every part file, CRLF ends; the byte order mark is the reader's concern."""
-    out = csv_lines(df, columns)
-    out.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    """Export as part files with CRLF ends, each with a byte order mark and the header line before its rows."""
+    header = ";".join(columns)
+    out = csv_lines(df, columns).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    first = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) == 1
+    out = out.withColumn("_first", first).withColumn("line", F.when(F.col("_first"), F.concat(F.lit(f"\ufeff{header}\r\n"), "line")).otherwise(F.col("line")))
+    out.sortWithinPartitions("_part", "_at").select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)

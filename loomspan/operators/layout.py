@@ -1,5 +1,5 @@
-"""Positioned text and shapes: rows from glyphs, columns, merged boxes, images next to lines (inventory C26-C28, F9, L8,
-L30-L33, L41-L43, L45, L48).
+"""Positioned text and shapes: rows from glyphs, columns, merged boxes, images next to lines (inventory C26-C28, F9,
+L30-L33, L41-L43).
 
 Everything that walks a page's items in order is a window over one page; the transitive merge of boxes is a graph of
 overlapping boxes whose components are found by star steps.

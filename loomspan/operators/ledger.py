@@ -141,3 +141,9 @@ def price_state() -> Column:
     """none, unknown (unreadable), free or amount."""
     p = F.col("price")
     return F.when(~has_value(p), "none").when(~is_readable(p), "unknown").when(parse_decimal(p) == 0, "free").otherwise("amount")
+
+
+def year_options(lines: DataFrame) -> DataFrame:
+    """Values a year filter may have now: all, the years that occur, and unknown if some line has no date."""
+    found = years(lines).select(F.when(F.col("year") == "", "unknown").otherwise(F.col("year")).alias("year"))
+    return lines.sparkSession.createDataFrame([("all",)], "year string").union(found)

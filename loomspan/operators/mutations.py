@@ -1,5 +1,5 @@
 """Versioned tables: cascades with undo, trash, snapshot merge, change detection, state carried over to a new version
-(inventory A20-A25, C28-C34, D42, G4, G5, K1-K7, K15-K28).
+(inventory A11, A12, A15, A20-A25, A33, C29-C34, D42, G4, G5, K1-K7, K16-K28).
 
 Nothing is updated in place: each function returns the relations that replace the old ones.
 """
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import trailing_id
+
 
 def split_cascade(tables: dict[str, DataFrame], removed: DataFrame, key: str = "project_id") -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """What stays and what goes with the removed keys, for each child table (K1); the second part is the undo bundle."""
@@ -129,3 +131,76 @@ def nested(parents: DataFrame, **children: DataFrame) -> DataFrame:
         rows = child.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("id", *(c for c in child.columns if c not in ("id", "project_id"))))).alias(name))
         parents = parents.join(rows.withColumnRenamed("project_id", "id"), "id", "left")
     return parents
+
+
+def get_setting(settings: DataFrame, key: str) -> DataFrame:
+    """The value under a key, pushed to the scan as a filter."""
+    return settings.where(F.col("key") == key).select("value")
+
+
+def set_settings(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """Keys and values with the changed ones replaced or added."""
+    return settings.join(changes.select("key"), "key", "left_anti").unionByName(changes.select("key", "value"))
+
+
+def resolve_references(refs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Archive entry of each reference: inline ones stay as they are, others by their exact path, then by their file name
+    (of equally named entries the last path); ``missing`` marks what an archive lacks (A33).
+
+    ``refs`` has ref; ``entries`` has path."""
+    base = lambda c: F.substring_index(c, "/", -1)
+    by_path = entries.select(F.col("path").alias("ref"), F.col("path").alias("_exact")).distinct()
+    by_base = entries.groupBy(base(F.col("path")).alias("_base")).agg(F.max("path").alias("_named"))
+    inline = F.startswith(F.col("ref"), F.lit("data:"))
+    found = F.when(inline, F.col("ref")).otherwise(F.coalesce("_exact", "_named"))
+    joined = refs.withColumn("_base", base(F.col("ref"))).join(by_path, "ref", "left").join(by_base, "_base", "left")
+    return joined.withColumn("resolved", found).withColumn("missing", F.col("ref").isNotNull() & F.col("resolved").isNull()).drop("_base", "_exact", "_named")
+
+
+def name_index(names: DataFrame) -> DataFrame:
+    """id and name of entry folders by the number in their name; of folders with one number the first listed.
+    ``names`` has name, pos and is_dir."""
+    numbered = names.where("is_dir").withColumn("id", trailing_id(F.col("name"))).where("id IS NOT NULL")
+    return numbered.groupBy("id").agg(F.min_by("name", "pos").alias("name"))
+
+
+def backfill_readers(patterns: DataFrame, reader: Column) -> DataFrame:
+    """Older patterns with the fields that later ones have: reader, pdf, gallery, cover_index; ``changed`` tells which rows
+    differ, and a second run changes none (K22)."""
+    fills = {"reader": reader, "pdf": F.lit(""), "gallery": F.array().cast("array<string>"), "cover_index": F.lit(0)}
+    changed = F.lit(False)
+    for c in fills:
+        changed = changed | F.col(c).isNull()
+    return patterns.withColumn("changed", changed).withColumns({c: F.coalesce(F.col(c), v.cast(patterns.schema[c].dataType)) for c, v in fills.items()})
+
+
+#: A merge is refused if less than this share of sections or steps is left, or with more warnings than this.
+LEAST_LEFT, MOST_WARNINGS = 0.5, 10
+
+
+def merge_veto() -> Column:
+    """Why an outside version must not replace the inner one: null if it may, else the first of no_sections,
+    fewer_sections, fewer_steps, too_many_warnings.  Reads sections, steps, live_sections, live_steps and warnings (K26)."""
+    s, t, u, v = (F.coalesce(c, F.lit(0)) for c in ("sections", "live_sections", "steps", "live_steps"))
+    return (
+        F.when((s == 0) & (t > 0), "no_sections").when((t > 0) & (s < t * LEAST_LEFT), "fewer_sections")
+        .when((v > 0) & (u < v * LEAST_LEFT), "fewer_steps").when(F.coalesce("warnings", F.lit(0)) > MOST_WARNINGS, "too_many_warnings")
+    )
+
+
+def sync_documents(external: DataFrame, live: DataFrame) -> DataFrame:
+    """What happens to each outside document, and the witness to store.
+
+    ``external`` has id, content_hash, disk_hash (the witness stored beside it), sections, steps, warnings; ``live`` has id,
+    sync_hash, live_sections, live_steps.  ``aligned``: the database's witness says so; ``healed``: only the one beside it
+    does, and the database's is set; ``orphan``: nothing to merge into; ``vetoed`` with the reason, no witness changes;
+    ``merged``: the outside version is taken and both witnesses become its hash.
+    """
+    both = external.join(live.withColumn("_live", F.lit(True)), "id", "left")
+    action = (
+        F.when(F.col("_live") & F.col("sync_hash").eqNullSafe(F.col("content_hash")), "aligned")
+        .when(F.col("disk_hash").eqNullSafe(F.col("content_hash")), F.when(F.col("_live"), "healed").otherwise("aligned"))
+        .when(F.col("_live").isNull(), "orphan").when(merge_veto().isNotNull(), "vetoed").otherwise("merged")
+    )
+    out = both.withColumn("action", action)
+    return out.select("id", "action", F.when(F.col("action") == "vetoed", merge_veto()).alias("reason"), F.when(F.col("action").isin("healed", "merged"), F.col("content_hash")).otherwise(F.col("sync_hash")).alias("sync_hash"))

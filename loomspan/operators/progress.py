@@ -68,3 +68,9 @@ def chart_before(steps: DataFrame) -> DataFrame:
     within = Window.partitionBy("doc", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     chart = F.last(F.when(F.col("is_chart") & F.col("visible"), F.col("pos")), ignorenulls=True).over(within)
     return steps.withColumn("run", run).select("doc", "pos", chart.alias("chart"))
+
+
+def section_instructions(size: Column) -> Column:
+    """Text of a section for a size, else the common one, else "" (B43).  Reads ``by_size`` (map) and ``instructions``."""
+    own = F.nullif(F.try_element_at(F.coalesce("by_size", F.create_map().cast("map<string,string>")), size), F.lit(""))
+    return F.coalesce(own, "instructions", F.lit(""))

@@ -12,18 +12,19 @@ GAP_SEC = 7200
 def merge_sessions(chunks: DataFrame, *keys: str) -> DataFrame:
     """One row a session of each key.
 
-    ``chunks`` has the keys, ``id``, ``started``, ``duration_sec`` and ``manual``.  The gap is measured from the last contact (start
-    plus duration of the chunk before); rows entered by hand stand alone and are not returned.
+    ``chunks`` has the keys, ``id``, ``started``, ``duration_sec`` and ``manual``.  The gap is measured, to the microsecond, from the last
+    contact: the latest end of all chunks before; rows entered by hand stand alone and are not returned.
     """
     timed = chunks.where(~F.coalesce("manual", F.lit(False)))
     order = Window.partitionBy(*keys).orderBy("started", "id")
-    ended = F.col("started").cast("timestamp").cast("long") + F.coalesce("duration_sec", F.lit(0))
-    begins = F.col("started").cast("timestamp").cast("long")
-    new = F.coalesce((begins - F.lag(ended).over(order) >= GAP_SEC).cast("int"), F.lit(1))
+    begins = F.unix_micros(F.col("started").cast("timestamp"))
+    ended = begins + F.coalesce("duration_sec", F.lit(0)) * 1_000_000
+    contact = F.max(ended).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((begins - contact >= GAP_SEC * 1_000_000).cast("int"), F.lit(1))
     return (
         timed.withColumn("new", new).withColumn("episode", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*keys, "episode")
-        .agg(F.min("id").alias("first_id"), F.min("started").alias("started"), F.sum("duration_sec").alias("duration_sec"), F.count(F.lit(1)).alias("chunks"))
+        .agg(F.min_by("id", F.struct("started", "id")).alias("first_id"), F.min("started").alias("started"), F.sum("duration_sec").alias("duration_sec"), F.count(F.lit(1)).alias("chunks"))
     )
 
 

@@ -1,11 +1,12 @@
-"""Stock and reservations: maps of project to quantity, availability, states, searches and facets (inventory B1-B10, B27,
-C20-C22, D27, D28, D31-D34, F1, F2, G5-G14, K8-K14)."""
+"""Stock and reservations: maps of project to quantity, availability, states, searches and facets (inventory B1-B9, B27,
+C20-C22, D27, D28, D31-D34, F1, F2, G5-G13, K8-K15)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions import catalogues
 from loomspan.functions.numbers import has_value, parse_decimal, round2
 from loomspan.functions.text import distinct_trimmed
 
@@ -112,6 +113,30 @@ def projects_all_labelled(yarns: DataFrame, label: str) -> DataFrame:
     return project_usage(yarns).join(mark, "yarn_id").groupBy("project_id").agg(F.bool_and("has").alias("all")).where("all").select("project_id")
 
 
+def color_family(color: Column) -> Column:
+    """Name of the palette colour that is stored exactly so, ``__custom__`` for another colour, "" for none."""
+    low, high = catalogues.LIGHTNESS
+    names = F.create_map(*(F.lit(x) for name, h, s, light in catalogues.PALETTE for x in (f"hsl({h} {s}% {min(max(light, low), high)}%)", name)))
+    return F.when(F.coalesce(color, F.lit("")) == "", "").otherwise(F.coalesce(F.try_element_at(names, color), F.lit("__custom__")))
+
+
+def matches_color(family: str) -> Column:
+    """An empty family keeps everything; a yarn without colour is of none."""
+    return F.lit(True) if not family else color_family(F.col("color_value")) == family
+
+
+def matches_state(state: str) -> Column:
+    """Predicate over the derived ``state``."""
+    return F.lit(True) if not state else F.col("state") == state
+
+
+def asks_consumption(changes: DataFrame, yarns: DataFrame) -> DataFrame:
+    """Status changes (project_id, status) that must ask first what was used: to done or abandoned, of a project that some
+    yarn is reserved for; ``asks`` tells (K15)."""
+    held = edges(yarns).select("project_id").distinct().withColumn("held", F.lit(True))
+    return changes.join(held, "project_id", "left").withColumn("asks", F.col("status").isin("done", "abandoned") & F.coalesce("held", F.lit(False))).drop("held")
+
+
 def matches(query: str = "", brand: str = "", weight: str = "", grams: str = "", material: str = "", label: str = "") -> Column:
     """The combined search predicate over a yarn; empty criteria keep everything."""
     out = F.lit(True)

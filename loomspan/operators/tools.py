@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.numbers import hundredths
+from loomspan.functions import catalogues
+from loomspan.functions.fibres import cables
+from loomspan.functions.numbers import hundredths, with_decimal_mark
 
 
 def sizes() -> Column:
@@ -98,3 +100,30 @@ def relink(current: DataFrame, parked: DataFrame, *keys: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("rank")
     both = current.withColumn("rank", F.lit(0)).unionByName(parked.withColumn("rank", F.lit(1)))
     return both.withColumn("first", F.row_number().over(order)).where("first = 1").drop("rank", "first")
+
+
+def is_kit() -> Column:
+    """Whether the type of a tool is a kit of sizes."""
+    return F.col("type").isin([t for t, size in catalogues.TOOL_SIZES.items() if size == "kit"])
+
+
+def tool_cables() -> Column:
+    """Cables of a kit, sorted; other tools have none."""
+    return F.when(is_kit(), cables(F.col("kit_cables"))).otherwise(F.array().cast("array<struct<cm:double,join:string>>"))
+
+
+def size_text(us: Column, mark: str = ".") -> Column:
+    """Size of a tool as a label: the span of a kit of several sizes, else millimetres and the US number if there is one, ""
+    without a size (B38)."""
+    mm = lambda c: with_decimal_mark(F.regexp_replace(c.cast("string"), r"\.0$", ""), mark)
+    own = sizes_by_type()
+    one = F.try_element_at(own, F.lit(1))
+    single = F.concat(mm(one), F.lit(" mm"), F.coalesce(F.concat(F.lit(" · US "), us), F.lit("")))
+    span = F.concat(mm(one), F.lit(" – "), mm(F.try_element_at(own, F.lit(-1))), F.lit(" mm"))
+    return F.when(is_kit() & (F.size(own) > 1), span).otherwise(F.coalesce(single, F.lit("")))
+
+
+def sizes_by_type() -> Column:
+    """Sizes of a tool by its type: a kit's own list, ascending and distinct, else its size."""
+    own = F.when(F.col("size_mm").isNotNull(), F.array("size_mm")).otherwise(F.array().cast("array<double>"))
+    return F.when(is_kit(), F.array_sort(F.array_distinct(F.coalesce("kit_sizes", F.array().cast("array<double>"))))).otherwise(own)

@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import catalogues, dates, numbers, text
 from loomspan.operators import activity, documents, exports, imports, layout, ledger, mutations, progress, sessionize, steps, stock, tools
 from loomspan.plans import standins as S
+from loomspan.plans.registry import query
 from loomspan.plans.standins import REF, REF_DAY, sql, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 LAST_YEAR = REF_DAY.year + 1
 START, END = dates.window_bounds(REF_DAY, "month")
 R2 = "floor(({}) * 100 + 0.5) / 100"
 
 
-def query(oracle: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def _daily(spark: SparkSession, d: str, *keys: str) -> DataFrame:
     return activity.by_day(S.sessions(spark, d), LAST_YEAR, *keys)
 
@@ -137,9 +124,9 @@ def last_session_per_project(spark: SparkSession, d: str) -> DataFrame:
     return activity.last_timed_session(S.sessions(spark, d))
 
 
-@query(sql("""SELECT project_id, CAST(episode AS BIGINT) AS episode, min(id) AS first_id, min(started) AS started, CAST(sum(duration_sec) AS BIGINT) AS duration_sec, count(*) AS chunks FROM (
+@query(sql("""SELECT project_id, CAST(episode AS BIGINT) AS episode, arg_min(id, (started, id)) AS first_id, min(started) AS started, CAST(sum(duration_sec) AS BIGINT) AS duration_sec, count(*) AS chunks FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY started, id ROWS UNBOUNDED PRECEDING) AS episode FROM (
-    SELECT *, CASE WHEN floor(epoch(started)) - lag(floor(epoch(started)) + duration_sec) OVER (PARTITION BY project_id ORDER BY started, id) < 7200 THEN 0 ELSE 1 END AS fresh FROM sessions WHERE NOT manual)) GROUP BY project_id, episode""", "sessions"))
+    SELECT *, CASE WHEN epoch_us(started) - max(epoch_us(started) + duration_sec * 1000000) OVER (PARTITION BY project_id ORDER BY started, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM sessions WHERE NOT manual)) GROUP BY project_id, episode""", "sessions"))
 def session_merge(spark: SparkSession, d: str) -> DataFrame:
     return sessionize.merge_sessions(S.sessions(spark, d), "project_id")
 

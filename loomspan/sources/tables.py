@@ -1,4 +1,4 @@
-"""Tables, sheets, JSON trees and CSV (inventory A1-A33, K18, K22).
+"""Tables, sheets, JSON trees and CSV (inventory A1-A10, A13-A16, A20-A24, A32, K17, K18).
 
 Readers are lazy; defaults for fields that older rows lack are column expressions on top of the scan, so a filter still
 reaches the files.

@@ -1,57 +1,37 @@
-"""Streaming sessions and journals (inventory J1-J18).
+"""Streaming sessions and journals (inventory J2-J5, J7, J10, J11, J15-J17).
 
-The batch forms live in ``loomspan.operators.sessionize``; these keep the same rules on unbounded input.
+The batch forms live in ``loomspan.operators.sessionize``; these keep the same rules on unbounded input.  State lives in
+Spark's own session windows and deduplication and goes with the watermark.  What only one running device needs (locks,
+debouncing, discarding what was not committed) has no form here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomspan.operators.sessionize import GAP_SEC
 
-OUTPUT = "project_id long, section_id long, started timestamp, ended timestamp, duration_sec long, chunks long"
-STATE = "started double, ended double, duration_sec long, chunks long"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds the chunks of one project and section; a gap of two hours closes the session and opens the next."""
-    out: list[tuple] = []
-
-    def close(s: tuple) -> None:
-        out.append((*key, pd.Timestamp(s[0], unit="s"), pd.Timestamp(s[1], unit="s"), s[2], s[3]))
 
-    if state.hasTimedOut:
-        close(state.get)
-        state.remove()
-    else:
-        now = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["started", "id"])
-        for started, seconds in zip(rows["started"].astype("datetime64[us]").astype("int64") / 1e6, rows["duration_sec"].fillna(0).astype("int64"), strict=True):
-            if now is not None and started - now[1] < GAP_SEC:
-                now = (now[0], max(now[1], started + seconds), now[2] + int(seconds), now[3] + 1)
-            else:
-                if now is not None:
-                    close(now)
-                now = (float(started), float(started + seconds), int(seconds), 1)
-        state.update(now)
-        state.setTimeoutTimestamp(max(int((now[1] + GAP_SEC) * 1000), state.getCurrentWatermarkMs() + 1))
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+def session_gap() -> Column:
+    """How long a chunk keeps its session open: its duration and two hours, less a microsecond, as a window takes in what
+    starts at its very end and a gap of exactly two hours splits."""
+    micros = F.coalesce("duration_sec", F.lit(0)).cast("long") * 1_000_000 + (GAP_SEC * 1_000_000 - 1)
+    return F.concat(micros.cast("string"), F.lit(" microseconds"))
 
 
 def session_stream(chunks: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Closed sessions of a stream of timed chunks (project_id, section_id, id, started, duration_sec, manual).
 
-    State is one row a project and section; it goes when the watermark passes the gap, so it is bounded by open
-    sessions.  Rows entered by hand are not merged.
+    A session closes when the watermark passes its last contact and the gap, so state is bounded by open sessions.
+    Sections keep sessions of their own; rows entered by hand are not merged.
     """
     timed = chunks.where(~F.coalesce("manual", F.lit(False))).withColumn("started", F.col("started").cast("timestamp")).withWatermark("started", lateness)
-    return timed.groupBy("project_id", "section_id").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    merged = timed.groupBy("project_id", "section_id", F.session_window("started", session_gap()).alias("w")).agg(
+        F.min("started").alias("begun"), F.sum(F.coalesce("duration_sec", F.lit(0))).cast("long").alias("duration_sec"), F.count(F.lit(1)).alias("chunks")
+    )
+    ended = F.timestamp_micros(F.unix_micros("w.end") - (GAP_SEC * 1_000_000 - 1))
+    return merged.select("project_id", "section_id", F.col("begun").alias("started"), ended.alias("ended"), "duration_sec", "chunks")
 
 
 def day_journal(events: DataFrame, lateness: str = "2 days") -> DataFrame:

@@ -60,6 +60,23 @@ def test_session_stream(spark, tmp_path):
     assert (1, 1200, 2) in got and (2, 10, 2) not in got
 
 
+def test_stream_and_batch_find_the_same_sessions(spark, tmp_path):
+    """Long chunks that cover short ones, fractions of a second, a gap of exactly two hours, rows out of order."""
+    from loomspan.operators import sessionize
+
+    t = lambda h, m=0, s=0, us=0: datetime(2026, 1, 1 + h // 24, h % 24, m, s, us)
+    schema = "project_id long, section_id long, id long, started timestamp, duration_sec long, manual boolean"
+    rows = [(1, 1, 2, t(9), 600, False), (1, 1, 1, t(8), 6 * 3600, False), (1, 1, 3, t(14, 30), 60, False), (1, 1, 4, t(16, 31), 60, False), (2, 1, 5, t(1), 0, False), (2, 1, 6, t(3), 5, False), (3, 1, 7, t(1, 0, 0, 900_000), 0, False)]
+    rows += [(3, 1, 8, t(3, 0, 0, 100_000), 5, False), (3, 1, 9, t(3, 0, 1), 5, True), (3, 2, 10, t(3), None, False), (9, 9, 11, t(40), 1, False)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(9, 9, 12, t(60), 1, False)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    _drain(streams.session_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), "same_sessions")
+    got = sorted(tuple(r) for r in spark.table("same_sessions").where("project_id < 9").select("project_id", "section_id", "started", "duration_sec", "chunks").collect())
+    batch = sessionize.merge_sessions(spark.createDataFrame(rows, schema), "project_id", "section_id").where("project_id < 9")
+    want = sorted((r["project_id"], r["section_id"], r["started"], r["duration_sec"] or 0, r["chunks"]) for r in batch.collect())
+    assert got == want and (1, 1, t(8), 6 * 3600 + 660, 3) in got and len([r for r in got if r[0] == 2]) == 2 and (3, 1, t(1, 0, 0, 900_000), 5, 2) in got
+
+
 def test_day_journal_and_once_only(spark, tmp_path):
     spark.createDataFrame([(datetime(2026, 1, 1, h), "a" if h < 3 else "b") for h in range(5)], "started timestamp, tap_id string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema("started timestamp, tap_id string").parquet(str(tmp_path / "in"))
