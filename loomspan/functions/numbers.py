@@ -12,7 +12,9 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def parse_decimal(raw: Column) -> Column:
     """The first comma becomes a dot; blank is 0; anything unreadable is null (H1)."""
-    text = F.trim(F.regexp_replace(raw.cast("string"), "^([^,]*),", "$1."))
+    typed = raw.cast("string")
+    comma = F.instr(typed, ",")
+    text = F.trim(F.when(comma > 0, F.overlay(typed, F.lit("."), comma, 1)).otherwise(typed))
     return F.when(text == "", F.lit(0.0)).when(text.rlike(_NUMBER), text.try_cast("double"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,14 +163,20 @@ def confidence(df: DataFrame) -> DataFrame:
 
 
 def common_lines(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of lines, one row of the table at a time."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence of lines: common ends first, then one row of the table at a time."""
+    same = 0
+    while same < min(len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
+    while a and b and a[-1] == b[-1]:
+        a, b, same = a[:-1], b[:-1], same + 1
+    number = {x: i for i, x in enumerate(dict.fromkeys(b))}
+    other = np.array([number[x] for x in b], np.int64)
+    row = np.zeros(len(b) + 1, np.int64)
     for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-            left = up
-    return row[-1]
+        if x in number:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (other == number[x])))
+    return same + int(row[-1])
 
 
 def similarity(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

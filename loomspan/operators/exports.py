@@ -45,7 +45,7 @@ def recommended_mm(label_mm: Column, label_stitches: Column, target_stitches: Co
 def normalized_tool() -> list[Column]:
     """Category from the type, and no size, kit sizes or cables where the type has none."""
     pairs = F.create_map(*(F.lit(x) for kv in catalogues.TOOL_TYPES.items() for x in kv))
-    kit = pairs[F.col("type")] == "kit"
+    kit = F.coalesce(pairs[F.col("type")] == "kit", F.lit(False))
     return [
         F.coalesce(pairs[F.col("type")], F.lit("needle")).alias("category"), F.when(~kit & (F.col("type") != "cable"), F.col("size_mm")).alias("size_mm"),
         F.when(kit, F.col("kit_sizes")).otherwise(F.array().cast("array<double>")).alias("kit_sizes"),

@@ -21,6 +21,12 @@ def amount() -> Column:
     return F.when(F.col("kind") == "gift", zero).otherwise(F.coalesce(parse_decimal(F.col("unit_price")), zero) * F.coalesce(parse_decimal(F.col("quantity")), zero))
 
 
+def money(column: str | Column) -> Column:
+    """Sum of amounts, rounded; summed as decimals, so that it does not depend on the order of the rows."""
+    c = F.col(column) if isinstance(column, str) else column
+    return round2(F.sum(c.cast("decimal(24,6)")).cast("double"))
+
+
 def price_unknown() -> Column:
     """Not a gift, and the price is blank or unreadable."""
     return ~F.coalesce(F.col("kind") == "gift", F.lit(False)) & ~(has_value(F.col("unit_price")) & is_readable(F.col("unit_price")))
@@ -59,15 +65,15 @@ def filter_category(lines: DataFrame, which: str) -> DataFrame:
 
 def by_currency(lines: DataFrame, *keys: str) -> DataFrame:
     """Total a currency; lines of amount 0 make no group."""
-    priced = lines.withColumn("amount", amount()).where("amount <> 0")
-    return priced.groupBy(*keys, F.coalesce("currency", F.lit("")).alias("currency")).agg(round2(F.sum("amount")).alias("amount"))
+    priced = lines.withColumn("amount", amount()).groupBy(*keys, F.coalesce("currency", F.lit("")).alias("currency"))
+    return priced.agg(money("amount").alias("amount"), F.count_if(F.col("amount") != 0).alias("n")).where("n > 0").drop("n")
 
 
 def stock_value(items: DataFrame, fallback: str) -> DataFrame:
     """Value of a stock a currency; priced items of value 0 do make a group."""
     worth = F.coalesce(parse_decimal(F.col("price")), F.lit(0.0)) * F.coalesce(F.col("quantity").cast("double"), F.lit(0.0))
     currency = F.coalesce(F.nullif(F.col("currency"), F.lit("")), F.lit(fallback))
-    return items.where(has_value(F.col("price"))).groupBy(currency.alias("currency")).agg(round2(F.sum(worth)).alias("amount"))
+    return items.where(has_value(F.col("price"))).groupBy(currency.alias("currency")).agg(money(worth).alias("amount"))
 
 
 def by_category(lines: DataFrame) -> DataFrame:
@@ -80,9 +86,9 @@ def by_category(lines: DataFrame) -> DataFrame:
 def rollup(lines: DataFrame) -> DataFrame:
     """Totals a month and a year for each currency; undated lines are the year "" (D20)."""
     dated = lines.select(F.coalesce("currency", F.lit("")).alias("currency"), amount().alias("amount"), year().alias("year"), F.substring(F.trim(F.coalesce("date", F.lit(""))), 1, 7).alias("month"))
-    months = dated.groupBy("year", "month", "currency").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("lines"))
+    months = dated.groupBy("year", "month", "currency").agg(F.sum(F.col("amount").cast("decimal(24,6)")).alias("amount"), F.count(F.lit(1)).alias("lines"))
     years = months.groupBy("year", "currency").agg(F.sum("amount").alias("amount"), F.sum("lines").alias("lines")).withColumn("month", F.lit(None).cast("string"))
-    return months.unionByName(years).withColumn("amount", round2(F.col("amount")))
+    return months.unionByName(years).withColumn("amount", round2(F.col("amount").cast("double")))
 
 
 def newest_first(lines: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def yarn_totals(purchases: DataFrame) -> DataFrame:
     first = purchases.where(lot.isNotNull()).groupBy("yarn_id", lot.alias("lot")).agg(F.min("id").alias("at"))
     lots = first.groupBy("yarn_id").agg(F.sort_array(F.collect_list(F.struct("at", "lot"))).alias("x")).select("yarn_id", F.array_join(F.transform("x", lambda s: s["lot"]), " · ").alias("lots"))
     totals = purchases.groupBy("yarn_id").agg(
-        round2(F.sum(F.coalesce(parse_decimal(F.col("quantity")), F.lit(0.0)))).alias("skeins"), F.coalesce(F.max(F.nullif(F.col("date"), F.lit(""))), F.lit("")).alias("last_date")
+        money(F.coalesce(parse_decimal(F.col("quantity")), F.lit(0.0))).alias("skeins"), F.coalesce(F.max(F.nullif(F.col("date"), F.lit(""))), F.lit("")).alias("last_date")
     )
     return totals.join(lots, "yarn_id", "left").withColumn("lots", F.coalesce("lots", F.lit("")))
 

@@ -171,7 +171,7 @@ def backfill_readers(patterns: DataFrame, reader: Column) -> DataFrame:
     changed = F.lit(False)
     for c in fills:
         changed = changed | F.col(c).isNull()
-    return patterns.withColumn("changed", changed).withColumns({c: F.coalesce(F.col(c), v.cast(patterns.schema[c].dataType)) for c, v in fills.items()})
+    return patterns.withColumn("changed", changed).withColumns({c: F.coalesce(F.col(c), v) for c, v in fills.items()})
 
 
 #: A merge is refused if less than this share of sections or steps is left, or with more warnings than this.

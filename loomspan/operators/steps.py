@@ -59,7 +59,7 @@ def table_row(line: Column, least: int = 3) -> Column:
 
 def author(line: Column) -> Column:
     """Name after "by", "par", "von" or "de" in a designer line."""
-    found = F.regexp_extract(line, r"(?i)^(?:(?:design(?:ed)?|pattern|patron|modèle|entwurf|diseño)\s+)?(?:by|par|von|de)\s*:?\s+(\p{Lu}[\p{L}.'-]+(?:\s+\p{Lu}[\p{L}.'-]+){0,3})\s*$", 1)
+    found = F.regexp_extract(line, r"^(?i:(?:(?:design(?:ed)?|pattern|patron|modèle|entwurf|diseño)\s+)?(?:by|par|von|de)\s*:?\s+)(\p{Lu}[\p{L}.'-]+(?:\s+\p{Lu}[\p{L}.'-]+){0,3})\s*$", 1)
     return F.nullif(found, F.lit(""))
 
 

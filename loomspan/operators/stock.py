@@ -103,7 +103,7 @@ def project_cost(yarns: DataFrame, fallback: str) -> DataFrame:
     price = F.when(has_value(F.col("price")), F.coalesce(parse_decimal(F.col("price")), F.lit(0.0)))
     side = yarns.select(F.col("id").alias("yarn_id"), price.alias("price"), F.coalesce(F.nullif(F.trim("currency"), F.lit("")), F.lit(fallback)).alias("currency"))
     return project_usage(yarns).join(side, "yarn_id").groupBy("project_id", "currency").agg(
-        round2(F.sum(F.coalesce(F.col("price") * F.col("skeins"), F.lit(0.0)))).alias("amount"), F.count("price").alias("priced"), F.count_if(F.col("price").isNull()).alias("unpriced")
+        round2(F.sum(F.coalesce(F.col("price") * F.col("skeins"), F.lit(0.0)).cast("decimal(24,6)")).cast("double")).alias("amount"), F.count("price").alias("priced"), F.count_if(F.col("price").isNull()).alias("unpriced")
     )
 
 

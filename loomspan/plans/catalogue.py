@@ -426,15 +426,24 @@ def marker_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def doc_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Each document with the next of its source."""
-    from pyspark.sql import Window
-
+    """Each document with the one whose id is the next number; the pairs meet by a join on the id."""
     docs = table(spark, d, "documents")
-    pairs = docs.select("doc_id", F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")).alias("b")).where("b IS NOT NULL")
+    pairs = docs.select("doc_id", F.col("text").alias("a")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b")), "doc_id")
     return documents.similarity(pairs).select("doc_id", "ratio", "missing", "extra")
 
 
-@query()
+_TAGS = "</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav)\\b[^>]*>"
+_PLAIN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?i){_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
+for _entity, _sign in _ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_sign}')"
+
+
+@query(f"""WITH h AS (SELECT nullif(lower(regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS doc, page_id AS page, list_filter(list_transform(string_split({_PLAIN}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS x FROM pages),
+    l AS (SELECT doc, page, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS line_no FROM h),
+    e AS (SELECT *, line_no < greatest(floor((last_no + 1) * 0.12), 1) OR line_no > last_no - greatest(floor((last_no + 1) * 0.12), 1) AS edge, CASE WHEN length(text) <= 4000 THEN trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) END AS key FROM (SELECT *, max(line_no) OVER (PARTITION BY doc, page) AS last_no FROM l)),
+    p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY 1), r AS (SELECT e.doc, key FROM e JOIN p ON p.doc = e.doc WHERE edge AND key IS NOT NULL GROUP BY e.doc, key, pages HAVING count(DISTINCT page) >= greatest(2, ceil(pages / 2.0)))
+    SELECT e.doc, e.page, CAST(e.line_no AS INT) AS line_no, e.text FROM e LEFT JOIN r ON r.doc = e.doc AND r.key = e.key WHERE NOT edge OR r.key IS NULL""")
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the raw web pages without those that repeat on the pages of their site (the host of the address)."""
     from loomspan.sources.tables import host, read_html_lines
@@ -442,7 +451,9 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
     return documents.strip_boilerplate(read_html_lines(table(spark, d, "pages"), host(F.col("url"))))
 
 
-@query()
+@query(sql("""SELECT doc, page, CAST(paragraph AS BIGINT) AS paragraph, string_agg(text, ' ' ORDER BY line_no) AS text FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc, page ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS paragraph FROM (
+    SELECT *, CASE WHEN before IS NOT NULL AND NOT regexp_matches(before, '[.!?:;]$') AND NOT regexp_matches(text, '^(\\p{Lu}|[-*•]|[0-9]+[.)])') AND length(before) >= 30 THEN 0 ELSE 1 END AS fresh
+    FROM (SELECT *, lag(text) OVER (PARTITION BY doc, page ORDER BY line_no) AS before FROM doc_lines))) GROUP BY 1, 2, 3""", "doc_lines"))
 def reflow_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return documents.reflow(S.document_lines(spark, d))
 
