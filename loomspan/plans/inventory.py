@@ -607,14 +607,14 @@ def genre_gates(spark: SparkSession, d: str) -> DataFrame:
 _EDGE = """e AS (SELECT *, line_no < greatest(floor((last_no + 1) * 0.12), 1) OR line_no > last_no - greatest(floor((last_no + 1) * 0.12), 1) AS edge, CASE WHEN length(text) <= 4000 THEN trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) END AS key
         FROM (SELECT *, max(line_no) OVER (PARTITION BY doc, page) AS last_no FROM l)),
     r AS (SELECT doc, key FROM e WHERE edge AND key IS NOT NULL GROUP BY doc, key HAVING count(DISTINCT page) >= greatest(2, ceil((SELECT count(DISTINCT page) FROM l x WHERE x.doc = e.doc) / 2.0)))"""
-_NOTES = "l AS (SELECT l_orderkey AS doc, l_suppkey % 3 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey) - 1 AS INT) AS line_no, CASE WHEN row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey) = 1 AND l_orderkey % 2 = 0 THEN 'Page ' || (l_suppkey % 3) || ' of  3' ELSE 'line ' || l_returnflag || ' ' || l_linestatus END AS text FROM lineitem)"
+_NOTES = "l AS (SELECT l_orderkey AS doc, l_suppkey % 3 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) - 1 AS INT) AS line_no, CASE WHEN row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) = 1 AND l_orderkey % 2 = 0 THEN 'Page ' || (l_suppkey % 3) || ' of  3' ELSE 'line ' || l_returnflag || ' ' || l_linestatus END AS text FROM lineitem)"
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
     """Lines of orders on three pages; pages of even orders start with the same heading but for its number."""
     return table(spark, d, "lineitem").selectExpr(
-        "l_orderkey AS doc", "l_suppkey % 3 AS page", "CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey) - 1 AS INT) AS line_no",
-        "IF(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey) = 1 AND l_orderkey % 2 = 0, concat('Page ', l_suppkey % 3, ' of  3'), concat('line ', l_returnflag, ' ', l_linestatus)) AS text",
+        "l_orderkey AS doc", "l_suppkey % 3 AS page", "CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) - 1 AS INT) AS line_no",
+        "IF(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) = 1 AND l_orderkey % 2 = 0, concat('Page ', l_suppkey % 3, ' of  3'), concat('line ', l_returnflag, ' ', l_linestatus)) AS text",
     )
 
 
