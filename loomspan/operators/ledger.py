@@ -60,6 +60,7 @@ def filter_year(lines: DataFrame, which: str) -> DataFrame:
 
 
 def filter_category(lines: DataFrame, which: str) -> DataFrame:
+    """``all`` or one category."""
     return lines if which == "all" else lines.where(category() == which)
 
 

@@ -10,7 +10,7 @@ GAP_SEC = 7200
 
 
 def merge_sessions(chunks: DataFrame, *keys: str) -> DataFrame:
-    """One row a session of each key.
+    """One row a session of each key.
 
     ``chunks`` has the keys, ``id``, ``started``, ``duration_sec`` and ``manual``.  The gap is measured, to the microsecond, from the last
     contact: the latest end of all chunks before; rows entered by hand stand alone and are not returned.

@@ -67,6 +67,7 @@ def missing_sizes(requested: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def owned_sizes(tools: DataFrame) -> DataFrame:
+    """Distinct sizes that some tool offers."""
     return tools.select(F.explode(sizes()).alias("size_mm")).distinct()
 
 

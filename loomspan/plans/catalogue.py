@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import catalogues, dates, numbers, text
 from loomspan.operators import activity, documents, exports, imports, layout, ledger, mutations, progress, sessionize, steps, stock, tools
 from loomspan.plans import standins as S
-from loomspan.plans.registry import query
+from loomspan.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from loomspan.plans.standins import REF, REF_DAY, sql, table
 
 LAST_YEAR = REF_DAY.year + 1

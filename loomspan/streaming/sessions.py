@@ -1,14 +1,15 @@
-"""Streaming sessions and journals (inventory J2-J5, J7, J10, J11, J15-J17).
+"""Streaming sessions and journals (inventory J1-J7, J9-J17).
 
 The batch forms live in ``loomspan.operators.sessionize``; these keep the same rules on unbounded input.  State lives in
-Spark's own session windows and deduplication and goes with the watermark.  What only one running device needs (locks,
-debouncing, discarding what was not committed) has no form here.
+Spark's own session windows and deduplication and goes with the watermark.  What only one running screen needs (dropping
+what was not committed, guarding a late read) has no form here: a batch is whole or absent, a version is read as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from loomspan.operators.sessionize import GAP_SEC
 
@@ -23,8 +24,8 @@ def session_gap() -> Column:
 def session_stream(chunks: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Closed sessions of a stream of timed chunks (project_id, section_id, id, started, duration_sec, manual).
 
-    A session closes when the watermark passes its last contact and the gap, so state is bounded by open sessions.
-    Sections keep sessions of their own; rows entered by hand are not merged.
+    A session closes when the watermark passes its last contact and the gap, so state is bounded by open sessions (J1, J2,
+    J5, J7).  A section is a hard boundary (J6); rows entered by hand are not merged.
     """
     timed = chunks.where(~F.coalesce("manual", F.lit(False))).withColumn("started", F.col("started").cast("timestamp")).withWatermark("started", lateness)
     merged = timed.groupBy("project_id", "section_id", F.session_window("started", session_gap()).alias("w")).agg(
@@ -34,6 +35,26 @@ def session_stream(chunks: DataFrame, lateness: str = "10 minutes") -> DataFrame
     return merged.select("project_id", "section_id", F.col("begun").alias("started"), ended.alias("ended"), "duration_sec", "chunks")
 
 
+def commit_batches(rows: DataFrame, path: str, checkpoint: str, every: str | None = "8 seconds") -> StreamingQuery:
+    """Write a stream to ``path`` batch by batch, one after the other.
+
+    Each batch has a folder of its own that a retry overwrites whole, so rows are there once or not at all.  Batches start
+    ``every`` so often, which gathers changes (J12, J13); without it, what is there is written and the query ends, as a job
+    that must not be disturbed by further changes does (J14).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """What commit_batches has written."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def day_journal(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Distinct active days of a stream; a day repeats only after its state has gone with the watermark."""
     days = events.select(F.date_trunc("day", F.col("started").cast("timestamp")).alias("day_start")).withWatermark("day_start", lateness)

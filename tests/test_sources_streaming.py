@@ -77,6 +77,33 @@ def test_stream_and_batch_find_the_same_sessions(spark, tmp_path):
     assert got == want and (1, 1, t(8), 6 * 3600 + 660, 3) in got and len([r for r in got if r[0] == 2]) == 2 and (3, 1, t(1, 0, 0, 900_000), 5, 2) in got
 
 
+def test_batches_are_committed_once(spark, tmp_path):
+    path, mark, source = (str(tmp_path / x) for x in ("out", "mark", "in"))
+    for part in range(2):
+        spark.range(part * 10, part * 10 + 10).coalesce(1).write.mode("append").parquet(source)
+        streams.commit_batches(spark.readStream.schema("id long").parquet(source), path, mark, every=None).awaitTermination()
+        assert sorted(r["id"] for r in streams.committed(spark, path).collect()) == list(range(part * 10 + 10))
+    streams.commit_batches(spark.readStream.schema("id long").parquet(source), path, mark, every=None).awaitTermination()
+    assert streams.committed(spark, path).count() == 20
+
+
+def test_csv_files_have_mark_and_header(spark, tmp_path):
+    from loomspan.operators.imports import write_csv
+
+    df = spark.createDataFrame([(1, "=a"), (2, "b;c")], "id long, name string").coalesce(1)
+    write_csv(df, ["id", "name"], str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("part-*")).read_bytes().decode("utf-8")
+    assert text == "\ufeffid;name\r\n1;'=a\r\n2;\"b;c\"\r\n"
+
+
+def test_sheet_columns_go_by_their_headers(spark):
+    from loomspan.operators.imports import rename_sheet
+
+    sheet = spark.createDataFrame([("Drops", "in stash", "x"), (" ", "", "")], "`Brand ` string, `STATUS` string, `Mood` string")
+    (row,) = rename_sheet(sheet).collect()
+    assert row["brand"] == "Drops" and row["status"] == "in stash" and row["notes"] is None
+
+
 def test_day_journal_and_once_only(spark, tmp_path):
     spark.createDataFrame([(datetime(2026, 1, 1, h), "a" if h < 3 else "b") for h in range(5)], "started timestamp, tap_id string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema("started timestamp, tap_id string").parquet(str(tmp_path / "in"))
