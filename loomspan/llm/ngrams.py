@@ -6,8 +6,8 @@ q(hw) = c(hw) / (c(h) + k) is the smoothed probability a trie level stores, quan
 g(h) = k / (c(h) + k) the mass the prior leaves to the shorter context.  Two start tokens stand before a text.
 
 Counts cover every training document and are 64 bits wide.  A trie level holds contexts, a monotone pointer sequence from
-a context to its successors, the successors, and running totals of counts; all four are Elias-Fano sequences in one memory
-map.  They are searched as they lie: the high bits by select over sampled counts, the low bytes in place, and a
+a context to its successors, and the successors, all three as Elias-Fano sequences, in one memory map with a byte for each
+probability.  They are searched as they lie: the high bits by select over sampled counts, the low bytes in place, and a
 successor within the pointer range of its context.
 
 Documents are dealt into chunks, packed and compressed, and shuffled once; every later pass reads that shuffle.  For each
@@ -39,21 +39,27 @@ from loomspan.llm.common import remainder, text_bytes, width
 
 U64 = np.uint64
 END, START, BEFORE = U64(0x8A5CD789635D2DFF), U64(0x121FD2155C472F96), U64(0x6C62272E07BB0142)
-#: A key has 24 bits of its context and 32 of the whole n-gram; 32 more bits choose the shard.
-_SUCCESSOR = U64(32)
+#: A key has 24 bits of its context and 24 of the whole n-gram, within a shard that 32 more bits choose: of the absent n-grams
+#: a shard of 3 million is asked for, about one in 10**8 is taken for another.
+_SUCCESSOR = U64(24)
+_LOW_BITS = (U64(1) << _SUCCESSOR) - U64(1)
 _STEPS = 254 / 48
 
 
+#: Place of set bit number n (from 0) in a byte: 256 rows of 8.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.int64).ravel()
+_ONES, _HIGH = U64(0x0101010101010101), U64(0x8080808080808080)
+
+
 def _nth_bit(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Place of set bit number n (from 0) in each 64-bit word."""
-    place, word, n = np.zeros(len(word), np.int64), word.copy(), n.copy()
-    for half in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & U64((1 << half) - 1)).astype(np.int64)
-        up = n >= low
-        n -= np.where(up, low, 0)
-        place += np.where(up, half, 0)
-        word = np.where(up, word >> U64(half), word)
-    return place
+    """Place of set bit number n (from 0) in each 64-bit word: bits up to each byte, the byte it falls in, its place there."""
+    s = word - ((word >> U64(1)) & U64(0x5555555555555555))
+    s = (s & U64(0x3333333333333333)) + ((s >> U64(2)) & U64(0x3333333333333333))
+    s = ((s + (s >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    n = n.astype(U64)
+    before = np.bitwise_count((((n * _ONES) | _HIGH) - s) & _HIGH).astype(U64) * U64(8)
+    rank = n - np.where(before > 0, (s >> (before - U64(8) * (before > 0).astype(U64))) & U64(0xFF), U64(0))
+    return before.astype(np.int64) + _IN_BYTE[(((word >> before) & U64(0xFF)) * U64(8) + rank).astype(np.int64)]
 
 
 class EliasFano:
@@ -62,7 +68,7 @@ class EliasFano:
 
     def __init__(self, n: int, nbytes: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.nbytes, self.low, self.high, self.ones = n, nbytes, low, high, ones
-        self.shift = U64(8 * nbytes)
+        self.shift, self.zeros = U64(8 * nbytes), None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -96,7 +102,9 @@ class EliasFano:
 
     def below(self, part: np.ndarray) -> np.ndarray:
         """Elements whose high part is below ``part``: what stands before the clear bit that ends part - 1."""
-        zeros = np.arange(len(self.ones)) * 64 - self.ones
+        if self.zeros is None:
+            self.zeros = np.arange(len(self.ones)) * 64 - self.ones
+        zeros = self.zeros
         want = part - 1
         here = (want >= 0) & (want < zeros[-1])
         word = np.searchsorted(zeros, want[here], "right") - 1
@@ -108,21 +116,31 @@ class EliasFano:
         """Index of the first element that is at least x, within [lo, hi)."""
         if not self.n:
             return np.zeros(len(x), np.int64)
-        part = (x >> self.shift).astype(np.int64)
-        a, b = self.below(part), self.below(part + 1)
-        if lo is not None:
-            a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
+        if lo is None:
+            a, b, few = np.zeros(len(x), np.int64), np.full(len(x), self.n), np.zeros(len(x), bool)
+        else:
+            a, b, few = lo.copy(), hi.copy(), hi - lo <= 4
+        # short ranges are searched by whole values, longer ones are first cut to the elements of the same high part
+        many = np.flatnonzero(~few)
+        part = (x[many] >> self.shift).astype(np.int64)
+        a[many], b[many] = np.clip(self.below(part), a[many], b[many]), np.clip(self.below(part + 1), a[many], b[many])
         want = x & ((U64(1) << self.shift) - U64(1))
-        while (go := np.flatnonzero(a < b)).size:
-            mid = (a[go] + b[go]) >> 1
-            small = self._low(mid) < want[go]
-            a[go[small]] = mid[small] + 1
-            b[go[~small]] = mid[~small]
+        for go, value in ((many, self._low), (np.flatnonzero(few), self.at)):
+            asked = want if value == self._low else x
+            while (go := go[a[go] < b[go]]).size:
+                mid = (a[go] + b[go]) >> 1
+                small = value(mid) < asked[go]
+                a[go[small]] = mid[small] + 1
+                b[go[~small]] = mid[~small]
         return a
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each x, and whether it is there."""
-        i = self.successor(x, lo, hi)
+        """Index of each x, and whether it is there; a range of one element needs no search."""
+        if lo is None:
+            i = self.successor(x)
+        else:
+            i, more = lo.copy(), np.flatnonzero(hi - lo > 1)
+            i[more] = self.successor(x[more], lo[more], hi[more])
         there = i < (self.n if hi is None else hi)
         there[there] = self.at(i[there]) == x[there]
         return i, there
@@ -143,10 +161,10 @@ class Trie:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, prior: float):
         """``keys`` ascend and differ, ``counts`` are positive, ``totals`` are the counts of the contexts."""
         context = keys >> _SUCCESSOR
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        first = _runs(context)
         rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys)))).astype(U64)
-        levels = [EliasFano.of(context[first]), EliasFano.of(np.append(first, len(keys)).astype(U64)), EliasFano.of((rank << _SUCCESSOR) | (keys & U64(0xFFFFFFFF))), EliasFano.of(np.cumsum(counts).astype(U64))]
-        arrays = [a for s in levels for a in s.arrays()] + [quantise(counts / (totals + prior))]
+        levels = [EliasFano.of(context[first]), EliasFano.of(np.append(first, len(keys)).astype(U64)), EliasFano.of((rank << _SUCCESSOR) | (keys & _LOW_BITS))]
+        arrays = [a for s in levels for a in s.arrays()] + [counts.astype(np.min_scalar_type(int(counts.max(initial=0)))), quantise(counts / (totals + prior))]
         self.map = mmap.mmap(-1, sum(a.nbytes + 8 for a in arrays) + 8)
         at, mapped = 0, []
         for a in arrays:
@@ -154,25 +172,32 @@ class Trie:
             view[...] = a
             mapped.append(view)
             at += -(-a.nbytes // 8) * 8
-        self.contexts, self.pointers, self.successors, self.running = (EliasFano(s.n, s.nbytes, *mapped[3 * i : 3 * i + 3]) for i, s in enumerate(levels))
-        self.codes = mapped[-1]
+        self.contexts, self.pointers, self.successors = (EliasFano(s.n, s.nbytes, *mapped[3 * i : 3 * i + 3]) for i, s in enumerate(levels))
+        self.counts, self.codes = mapped[-2:]
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code and count of each key: the context, its pointer range, then the successor within that range."""
+        """Code and count of each key, ascending: the context, its pointer range, then the successor within that range."""
         codes, counts = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.int64)
-        c, there = self.contexts.find(keys >> _SUCCESSOR)
-        known = np.flatnonzero(there)
-        if len(known):
-            c = c[known]
-            ends = self.pointers.at(np.concatenate([c, c + 1])).astype(np.int64)
-            i, there = self.successors.find((c.astype(U64) << _SUCCESSOR) | (keys[known] & U64(0xFFFFFFFF)), ends[: len(c)], ends[len(c) :])
-            known, i = known[there], i[there]
-            codes[known] = self.codes[i]
-            running = self.running.at(np.concatenate([i, np.maximum(i - 1, 0)])).astype(np.int64)
-            counts[known] = running[: len(i)] - np.where(i > 0, running[len(i) :], 0)
+        context = keys >> _SUCCESSOR
+        first = _runs(context)
+        c, there = self.contexts.find(context[first])
+        known, c = np.flatnonzero(there), c[there]
+        if not len(known):
+            return codes, counts
+        ends = self.pointers.at(np.concatenate([c, c + 1])).astype(np.int64)
+        size = np.diff(np.append(first, len(keys)))[known]
+        at = np.repeat(first[known] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        spread = lambda x: np.repeat(x, size)
+        i, there = self.successors.find((spread(c.astype(U64)) << _SUCCESSOR) | (keys[at] & _LOW_BITS), spread(ends[: len(c)]), spread(ends[len(c) :]))
+        codes[at[there]], counts[at[there]] = self.codes[i[there]], self.counts[i[there]]
         return codes, counts
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 def _squeeze(a: np.ndarray) -> bytes:
     """Integers byte by byte, lowest bytes first, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
@@ -234,14 +259,16 @@ class Chunk:
             self.ids += p["ids"]
             train.append(np.frombuffer(p["train"], bool))
         self.train, self.text = np.concatenate(train), np.concatenate(texts)
-        self.words, self.word = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.words, self.word = _numbered(np.concatenate(hashes))
+        self.made: dict[int, Grams] = {}
         self.weight = self.train[self.text].astype(np.float64)
         self.count, self.rest = self._counts(self.word, len(self.words))
         self.starts = np.flatnonzero(np.diff(self.text, prepend=-1))
-        self.end = int(np.searchsorted(self.words, END))
+        self.end = int(np.flatnonzero(self.words == END)[0])
 
     def _counts(self, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(of, self.weight, n).astype(np.int64), np.bincount(of, 1 - self.weight, n).astype(np.int64)
+        train = np.bincount(of, self.weight, n).astype(np.int64)
+        return train, np.bincount(of, minlength=n) - train
 
     def _previous(self, of: np.ndarray, none: int) -> np.ndarray:
         """What stands one token before, ``none`` before a text."""
@@ -251,34 +278,42 @@ class Chunk:
 
     def _grams(self, context: np.ndarray, hashes: np.ndarray) -> Grams:
         n = len(self.words)
-        both, of = np.unique(context * n + self.word, return_inverse=True)
+        both, of = _numbered(context.astype(np.int64) * n + self.word)
         c, w = np.divmod(both, n)
         full = textops.mix(hashes[c] * U64(0x9E3779B97F4A7C15) + textops.mix(self.words[w]))
-        key = ((textops.mix(hashes[c]) >> U64(40)) << _SUCCESSOR) | (full >> U64(32))
+        key = ((textops.mix(hashes[c]) >> U64(40)) << _SUCCESSOR) | (full >> U64(40))
         return Grams(c, key, (full & U64(0xFFFFFFFF)).astype(np.int64), full, *self._counts(of, len(both)), of)
 
     def grams(self, order: int) -> Grams:
-        if order == 2:
-            return self._grams(self._previous(self.word, len(self.words)), np.append(self.words, START))
-        two = self.grams(2)
-        return self._grams(self._previous(two.of, len(two.full)), np.append(two.full, BEFORE))
+        if order not in self.made:
+            if order == 2:
+                self.made[2] = self._grams(self._previous(self.word, len(self.words)), np.append(self.words, START))
+            else:
+                two = self.grams(2)
+                self.made[order] = self._grams(self._previous(two.of, len(two.full)), np.append(two.full, BEFORE))
+        return self.made[order]
 
 
 def _split(keys: np.ndarray, deal: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with any key, and the places of its keys in order."""
     shard = deal % shards
-    order = np.lexsort((keys, shard))
+    order = np.argsort(keys)
+    order = order[np.argsort(shard[order].astype(np.min_scalar_type(shards)), kind="stable")]
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         yield s, order[cuts[s] : cuts[s + 1]]
 
 
-def _same(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, the sums of the first column, and the first value of the others."""
-    found, first, of = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.zeros(len(found), np.int64)
-    np.add.at(total, of, sums[0])
-    return found, total, *(c[first] for c in sums[1:])
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order of first occurrence, and the number of each value among them."""
+    coded = pa.array(values.view(np.int64)).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).view(values.dtype), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _sums(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by group; exact, as 32 bits are summed at a time."""
+    low = np.bincount(of, (values & 0xFFFFFFFF).astype(np.float64), n).astype(np.int64)
+    return low + (np.bincount(of, (values >> 32).astype(np.float64), n).astype(np.int64) << 32)
 
 
 def _answered(rows: list[dict], of_shard: list[tuple[int, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,8 +346,9 @@ class Scheme(NamedTuple):
     prior: float
 
 
-def _knowledge(chunk: Chunk, row: dict, scheme: Scheme, upto: int) -> tuple[np.ndarray, list[Known]]:
-    """Word counts, and the n-grams of orders 2 to ``upto``; of the last one what is to be asked if ``row`` has no answers."""
+def _knowledge(chunk: Chunk, row: dict, scheme: Scheme, upto: int, scoring: bool = False) -> tuple[np.ndarray, list[Known]]:
+    """Word counts, and the n-grams of orders 2 to ``upto``; of the last one what is to be asked if ``row`` has no answers.
+    Codes are only filled for ``scoring``."""
     counts, rests, _ = _answered(row["answers1"], list(_split(chunk.words, (chunk.words >> U64(3)).astype(np.int64), scheme.shards)), len(chunk.words))
     out: list[Known] = []
     # counts of the contexts, the start of a text last, which is met as often as the end
@@ -327,10 +363,12 @@ def _knowledge(chunk: Chunk, row: dict, scheme: Scheme, upto: int) -> tuple[np.n
         if row.get(f"answers{order}") is not None:
             shared = _split(g.key[asked], g.deal[asked], scheme.shards)
             n[asked], rest[asked], codes[asked] = _answered(row[f"answers{order}"], list(shared), len(asked))
+            mine = mine[np.argsort(g.key[mine])] if scoring else mine
             trained = mine[g.count[mine] > 0]
-            if len(trained):
-                keys, sums, totals = _same(g.key[trained], g.count[trained], total[trained])
-                codes[mine] = Trie(keys, sums, totals, scheme.prior).look_up(g.key[mine])[0]
+            if scoring and len(trained):
+                first = _runs(g.key[trained])
+                trie = Trie(g.key[trained[first]], np.add.reduceat(g.count[trained], first), total[trained[first]], scheme.prior)
+                codes[mine] = trie.look_up(g.key[mine])[0]
         out.append(Known(g, total, asked, n, codes))
         here, everywhere = ([np.append(c, e[-1]) for c, e in zip(now, before, strict=True)] for now, before in (((g.count, g.rest), here), ((n, rest), everywhere)))
     return counts, out
@@ -361,30 +399,24 @@ def _ask(order: int, scheme: Scheme):
     return run
 
 
-def _looked(names: EliasFano, values: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
-    return [values[names.successor(x)] for x in keys]
-
-
 def _answer(order: int, scheme: Scheme):
     """One shard: sum the counts, build the trie, look every request up in it."""
 
     def run(asked: pa.Table) -> pa.Table:
-        read = lambda c: [_loosen(b).astype(np.int64) for b in asked.column(c).to_pylist()]
         keys = [_unpack(b) for b in asked.column("keys").to_pylist()]
-        k, c, last = np.concatenate(keys), np.concatenate(read("counts")), order == scheme.order
-        codes: list = [b""] * len(keys)
+        read = lambda c: np.concatenate([_loosen(b).astype(np.int64) for b in asked.column(c).to_pylist()])
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+        k, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        back = lambda values, pack: [pack(values[of[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        none, last = [b""] * len(keys), order == scheme.order
+        count = _sums(of, read("counts"), len(k))
+        codes = none
         if order > 1:
-            t, some = np.concatenate(read("totals")), c > 0
-            trie = Trie(*_same(k[some], c[some], t[some]), scheme.prior)
-            found = [trie.look_up(x) for x in keys]
-            codes = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x, _ in found]
-        if not last:
-            # held-out texts ask too: what they hold only tells a chunk whether it is alone with a context
-            known, rest = _same(k, np.concatenate(read("rests")))
-            names = EliasFano.of(known)
-            counts = [_squeeze(n) for _, n in found] if order > 1 else [_squeeze(x) for x in _looked(names, _same(k, c)[1], keys)]
-            rests = [_squeeze(x) for x in _looked(names, rest, keys)]
-        columns = [counts, rests, codes] if not last else [[b""] * len(keys), [b""] * len(keys), codes]
+            total, some = read("totals")[first], count > 0
+            code, count = Trie(k[some], count[some], total[some], scheme.prior).look_up(k)
+            codes = back(code, lambda x: zstandard.ZstdCompressor(level=1).compress(x.tobytes()))
+        # held-out texts ask too: what they hold only tells a chunk whether it is alone with a context
+        columns = [none, none, codes] if last else [back(count, _squeeze), back(_sums(of, read("rests"), len(k)), _squeeze), codes]
         return pa.table([asked.column("chunk"), asked.column("shard"), *(pa.array(x, pa.binary()) for x in columns)], names=["chunk", "shard", "counts", "rests", "codes"])
 
     return run
@@ -394,7 +426,7 @@ def _score(scheme: Scheme, total: int, distinct: int, id_type: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
         (row,) = table.to_pylist()
         chunk = Chunk(row["parts"])
-        counts, known = _knowledge(chunk, row, scheme, scheme.order)
+        counts, known = _knowledge(chunk, row, scheme, scheme.order, scoring=True)
         c = counts[chunk.word]
         alone = (c + 0.1) / (total + 0.1 * (distinct + 1))
         model = alone

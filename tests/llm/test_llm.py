@@ -319,14 +319,19 @@ def test_elias_fano_and_quantisation():
 
 def test_trie_finds_by_context_and_counts_beyond_32_bits():
     rng = np.random.default_rng(2)
-    keys = np.unique((rng.integers(0, 200, 5000).astype(np.uint64) << np.uint64(32)) | rng.integers(0, 1 << 20, 5000).astype(np.uint64))
+    some = lambda n: np.unique((rng.integers(0, n, 5000).astype(np.uint64) << ngrams._SUCCESSOR) | rng.integers(0, 1 << 20, 5000).astype(np.uint64))
+    keys = some(200)
     counts = rng.integers(1, 1 << 40, len(keys))
     counts[7] = (1 << 32) + 7
     totals = counts * 3
     trie = ngrams.Trie(keys, counts, totals, 20.0)
     codes, found = trie.look_up(keys)
     assert (found == counts).all() and (codes == ngrams.quantise(counts / (totals + 20.0))).all()
-    other = np.setdiff1d((rng.integers(0, 300, 5000).astype(np.uint64) << np.uint64(32)) | rng.integers(0, 1 << 20, 5000).astype(np.uint64), keys)
+    other = np.setdiff1d(some(300), keys)
+    word = rng.integers(0, 1 << 62, 999, dtype=np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+    nth = rng.integers(0, np.bitwise_count(word))
+    assert ngrams._nth_bit(word, nth).tolist() == [[b for b in range(64) if int(w) >> b & 1][n] for w, n in zip(word, nth, strict=True)]
+    assert (ngrams._sums(np.array([0, 1, 0]), np.array([(1 << 60) + 3, 5, 1 << 60]), 2) == [(1 << 61) + 3, 5]).all()
     assert not trie.look_up(other)[1].any() and not ngrams.Trie(keys[:0], counts[:0], totals[:0], 1.0).look_up(keys)[0].any()
 
 
