@@ -8,7 +8,7 @@ g(h) = k / (c(h) + k) the mass the prior leaves to the shorter context.  Two sta
 Counts cover every training document and are 64 bits wide.  A trie level holds contexts, a monotone pointer sequence from
 a context to its successors, and the successors, all three as Elias-Fano sequences, in one memory map with a byte for each
 probability.  They are searched as they lie: the high bits by select over sampled counts, the low bytes in place, and a
-successor within the pointer range of its context.
+successor by its low bytes within the pointer range of its context.
 
 Documents are dealt into chunks, packed and compressed, and shuffled once; every later pass reads that shuffle.  For each
 order in turn a chunk asks the shards of that order for its distinct n-grams, one packed row for each shard that has any,
@@ -71,12 +71,14 @@ class EliasFano:
         self.shift, self.zeros = U64(8 * nbytes), None
 
     @classmethod
-    def of(cls, values: np.ndarray) -> EliasFano:
+    def of(cls, values: np.ndarray, nbytes: int | None = None) -> EliasFano:
+        """``nbytes`` are the low bytes of each value, about as many as leave two bits of high part a value if not given."""
         n = len(values)
         if not n:
-            return cls(0, 0, np.zeros((0, 0), np.uint8), np.zeros(1, U64), np.zeros(2, np.int64))
+            return cls(0, nbytes or 0, np.zeros((0, nbytes or 0), np.uint8), np.zeros(1, U64), np.zeros(2, np.int64))
         top = int(values[-1])
-        nbytes = min(7, -(-max(0, (top // n).bit_length() - 1) // 8))
+        if nbytes is None:
+            nbytes = min(7, (max(0, (top // n).bit_length() - 1) + 3) // 8)
         part = (values >> U64(8 * nbytes)).astype(np.int64)
         bits = np.zeros(-(-(n + int(part[-1]) + 2) // 64) * 64, np.uint8)
         bits[part + np.arange(n)] = 1
@@ -88,9 +90,9 @@ class EliasFano:
         return [self.low, self.high, self.ones]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), U64)
+        out, rows = np.zeros(len(i), U64), self.low[i]
         for k in range(self.nbytes):
-            out |= self.low[i, k].astype(U64) << U64(8 * k)
+            out |= rows[:, k].astype(U64) << U64(8 * k)
         return out
 
     def _part(self, i: np.ndarray) -> np.ndarray:
@@ -112,39 +114,51 @@ class EliasFano:
         out[here] = np.minimum(word * 64 + _nth_bit(~self.high[word], want[here] - zeros[word]) - want[here], self.n)
         return out
 
-    def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """Index of the first element that is at least x, within [lo, hi)."""
+    def _high(self, x: np.ndarray) -> np.ndarray:
+        return np.minimum(x >> self.shift, U64(1 << 62)).astype(np.int64)
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first element that is at least x."""
         if not self.n:
             return np.zeros(len(x), np.int64)
-        if lo is None:
-            a, b, few = np.zeros(len(x), np.int64), np.full(len(x), self.n), np.zeros(len(x), bool)
-        else:
-            a, b, few = lo.copy(), hi.copy(), hi - lo <= 4
-        # short ranges are searched by whole values, longer ones are first cut to the elements of the same high part
-        many = np.flatnonzero(~few)
-        part = (x[many] >> self.shift).astype(np.int64)
-        a[many], b[many] = np.clip(self.below(part), a[many], b[many]), np.clip(self.below(part + 1), a[many], b[many])
-        want = x & ((U64(1) << self.shift) - U64(1))
-        for go, value in ((many, self._low), (np.flatnonzero(few), self.at)):
-            asked = want if value == self._low else x
-            while (go := go[a[go] < b[go]]).size:
-                mid = (a[go] + b[go]) >> 1
-                small = value(mid) < asked[go]
-                a[go[small]] = mid[small] + 1
-                b[go[~small]] = mid[~small]
+        part = self._high(x)
+        return self._first(x & ((U64(1) << self.shift) - U64(1)), self.below(part), self.below(part + 1))
+
+    def _first(self, low: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Index of the first element of [lo, hi), which share their high part, whose low part is at least ``low``."""
+        a, b = lo.copy(), hi.copy()
+        go = np.flatnonzero(a < b)
+        while go.size:
+            mid = (a[go] + b[go]) >> 1
+            small = self._low(mid) < low[go]
+            a[go[small]] = mid[small] + 1
+            b[go[~small]] = mid[~small]
+            go = go[a[go] < b[go]]
         return a
 
-    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each x, and whether it is there; a range of one element needs no search."""
-        if lo is None:
-            i = self.successor(x)
-        else:
-            i, more = lo.copy(), np.flatnonzero(hi - lo > 1)
-            i[more] = self.successor(x[more], lo[more], hi[more])
-        there = i < (self.n if hi is None else hi)
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each x, and whether it is there."""
+        if self.n and not self.nbytes:
+            # a set bit right after the clear bit that ends the part before says that there is one
+            i = self.below(self._high(x))
+            there = np.flatnonzero(i < self.n)
+            bit = i[there].astype(U64) + x[there]
+            out = np.zeros(len(x), bool)
+            out[there] = self.high[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63)) & U64(1) > 0
+            return i, out
+        i = self.successor(x)
+        there = i < self.n
         there[there] = self.at(i[there]) == x[there]
         return i, there
 
+    def find_within(self, low: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same among the elements of [lo, hi), which share their high part; one element needs no search."""
+        i, more = lo.copy(), np.flatnonzero(hi - lo > 1)
+        i[more] = self._first(low[more], lo[more], hi[more])
+        there = i < hi
+        there[there] = self._low(i[there]) == low[there]
+        return i, there
+
 
 def quantise(p: np.ndarray) -> np.ndarray:
     """Probability to a code of 1 to 255 (0: none), even on a logarithmic scale down to 2**-48."""
@@ -163,7 +177,7 @@ class Trie:
         context = keys >> _SUCCESSOR
         first = _runs(context)
         rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys)))).astype(U64)
-        levels = [EliasFano.of(context[first]), EliasFano.of(np.append(first, len(keys)).astype(U64)), EliasFano.of((rank << _SUCCESSOR) | (keys & _LOW_BITS))]
+        levels = [EliasFano.of(context[first]), EliasFano.of(np.append(first, len(keys)).astype(U64)), EliasFano.of((rank << _SUCCESSOR) | (keys & _LOW_BITS), 3)]
         arrays = [a for s in levels for a in s.arrays()] + [counts.astype(np.min_scalar_type(int(counts.max(initial=0)))), quantise(counts / (totals + prior))]
         self.map = mmap.mmap(-1, sum(a.nbytes + 8 for a in arrays) + 8)
         at, mapped = 0, []
@@ -188,7 +202,7 @@ class Trie:
         size = np.diff(np.append(first, len(keys)))[known]
         at = np.repeat(first[known] - np.cumsum(size) + size, size) + np.arange(size.sum())
         spread = lambda x: np.repeat(x, size)
-        i, there = self.successors.find((spread(c.astype(U64)) << _SUCCESSOR) | (keys[at] & _LOW_BITS), spread(ends[: len(c)]), spread(ends[len(c) :]))
+        i, there = self.successors.find_within(keys[at] & _LOW_BITS, spread(ends[: len(c)]), spread(ends[len(c) :]))
         codes[at[there]], counts[at[there]] = self.codes[i[there]], self.counts[i[there]]
         return codes, counts
 
