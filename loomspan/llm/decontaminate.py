@@ -33,11 +33,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from loomspan.llm import textops
 
 #: Units that are recognised as words of their own or after a number.
-UNITS = (
-    "mm cm m km in ft yd mi mg g kg lb oz ml cl l gal s sec min h hr ms kb mb gb tb hz khz mhz ghz w kw v a j kj cal kcal n pa kpa "
-    "metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms litre litres liter liters "
-    "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
-).split()
+UNITS = [
+    "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "lb", "oz", "ml",
+    "cl", "l", "gal", "s", "sec", "min", "h", "hr", "ms", "kb", "mb", "gb", "tb", "hz",
+    "khz", "mhz", "ghz", "w", "kw", "v", "a", "j", "kj", "cal", "kcal", "n", "pa", "kpa",
+    "metre", "metres", "meter", "meters", "kilometre", "kilometres", "kilometer", "kilometers", "gram", "grams", "kilogram", "kilograms", "litre", "litres",
+    "liter", "liters", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months",
+    "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees",
+]
 _DIGIT, _CORE, _ALPHA, _UPPER = (np.zeros(256, bool) for _ in range(4))
 _DIGIT[48:58] = True
 _ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
@@ -88,7 +91,9 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
         unit = np.isin(textops.hash_ranges(low, tail, end[mixed]), _UNIT_HASHES)
         kind[mixed[only & unit]] = QUANTITY
     unit = np.isin(value, _UNIT_HASHES)
-    kind[unit & (np.concatenate([[False], kind[:-1] == NUMBER]))] = UNIT
+    follows = np.zeros(len(start), bool)
+    follows[1:] = (kind[:-1] == NUMBER) & (text[1:] == text[:-1])
+    kind[unit & follows] = UNIT
     # a name: capitalised, and the token before it in the same text ends no sentence and no line
     upper = _UPPER[buf[start]] & ~has_digit
     stop = count((buf == 46) | (buf == 33) | (buf == 63) | (buf == 58) | (buf == 10) | (buf == 13))

@@ -2,6 +2,7 @@
 empty and long texts, ties and repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -305,11 +306,14 @@ def test_elias_fano_and_quantisation():
             assert (level.at(np.arange(n)) == v).all()
             x = np.concatenate([v, v + np.uint64(1), rng.integers(0, 1 << 62, 500, dtype=np.int64).astype(np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
             assert (level.successor(x) == np.searchsorted(v, x)).all()
-            lo = rng.integers(0, n + 1, len(x))
-            hi = rng.integers(lo, n + 1)
-            assert (level.successor(x, lo, hi) == np.clip(np.searchsorted(v, x), lo, hi)).all()
             there = level.find(x)[1]
             assert (there == np.isin(x, v)).all()
+    v = np.unique((rng.integers(0, 300, 4000).astype(np.uint64) << np.uint64(24)) | rng.integers(0, 1 << 24, 4000).astype(np.uint64))
+    level, high = ngrams.EliasFano.of(v, 3), v >> np.uint64(24)
+    x = np.concatenate([v[::3], v[::5] ^ np.uint64(1)])
+    lo, hi = (np.searchsorted(high, x >> np.uint64(24), side) for side in ("left", "right"))
+    i, there = level.find_within(x & np.uint64((1 << 24) - 1), lo, hi)
+    assert (there == np.isin(x, v)).all() and (v[i[there]] == x[there]).all()
     p = np.array([0, 1, 0.5, 1e-9, 1 / 21])
     q = ngrams.dequantise(ngrams.quantise(p))
     assert q[0] == 0 and q[1] == 1 and (abs(q[1:] / p[1:] - 1) < 0.07).all()
@@ -546,6 +550,28 @@ def test_isotonic():
     assert x.tolist() == [1.0, 2.5, 4.0] and (np.diff(p) > 0).all()
 
 
+def test_quality_scores_recomputed(spark):
+    """Gains block by block, and the isotonic map by its minimax formula."""
+    import zstandard
+
+    rng = random.Random(3)
+    sample = [(" ".join(rng.choice(["river", "stone", "of", "the"] if y else ["###", "$$", "buy", "now!!"]) for _ in range(rng.randrange(5, 300))), y) for y in (0, 1) * 60]
+    model = quality.fit(sample, share=0.25)
+    texts = [None, "", "of the river " * 200, "buy now!! " * 7, "é" * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score_quality(df, model).collect():
+        t = (texts[r["doc_id"]] or "").encode()
+        size = lambda d, x: len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+        gain = sum(size(model.bad, t[i : i + model.block]) - size(model.good, t[i : i + model.block]) for i in range(0, max(len(t), 1), model.block)) / (len(t) + 20)
+        assert abs(r["raw_gain"] - gain) < 1e-12 and abs(r["score"] - np.interp(gain, model.raw, model.probability)) < 1e-12
+    x, y, w = np.sort(np.random.default_rng(1).normal(size=40)), np.random.default_rng(2).integers(0, 2, 40).astype(float), np.random.default_rng(3).uniform(0.5, 2, 40)
+    mean = lambda a, b: (y[a:b] * w[a:b]).sum() / w[a:b].sum()
+    fitted = [max(min(mean(a, b) for b in range(i + 1, 41)) for a in range(i + 1)) for i in range(40)]
+    pools = [list(g) for _, g in itertools.groupby(range(40), key=lambda i: round(fitted[i], 12))]
+    got_x, got_p = quality.isotonic(x, y, w)
+    assert np.allclose(got_x, [(x[g] * w[g]).sum() / w[g].sum() for g in pools]) and np.allclose(got_p, [((y[g] * w[g]).sum() + 0.5) / (w[g].sum() + 1) for g in pools])
+
+
 # 9 decontamination
 
 
@@ -573,6 +599,90 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.contaminated(odd, bench.where("false")).count() == 0
 
 
+def plain_tokens(text):
+    """(kind, value) of every token, read character by character."""
+    out, last = [], None
+    for m in WORD.finditer(text or ""):
+        core = [i for i, c in enumerate(m[0]) if c.isascii() and c.isalnum() or ord(c) > 127]
+        if not core:
+            continue
+        word = m[0][core[0] : core[-1] + 1]
+        digit, letter = [bool(re.search(x, word)) for x in ("[0-9]", "[A-Za-z\x80-\U0010ffff]")]
+        value, kind = lower(word), decontaminate.WORD
+        measured = re.fullmatch(r"([0-9][^A-Za-z\x80-\U0010ffff]*)([A-Za-z\x80-\U0010ffff][^0-9]*)", word)
+        if digit and not letter:
+            kind = decontaminate.NUMBER
+        elif measured and lower(measured[2]) in decontaminate.UNITS:
+            kind = decontaminate.QUANTITY
+        elif value in decontaminate.UNITS and out and out[-1][0] == decontaminate.NUMBER:
+            kind = decontaminate.UNIT
+        begin = m.start() + core[0]
+        if "A" <= word[0] <= "Z" and not digit and last is not None and not re.search("[.!?:\n\r]", text[last:begin]):
+            kind = decontaminate.NAME
+        last = m.start() + core[-1] + 1
+        out.append((kind, value))
+    return out
+
+
+def plain_most(pairs_):
+    seen = {}
+    for k, v, same in pairs_:
+        n, _ = seen.setdefault(k, {}).get(v, (0, same))
+        seen[k][v] = (n + 1, same)
+    return {k: max(per, key=per.get) for k, per in seen.items()}
+
+
+def plain_holds(item, doc, size=5, share=0.8):
+    """Whether a document holds an item, every window against every window."""
+    a, b = plain_tokens(item), plain_tokens(doc)
+    if not a:
+        return False
+    if len(a) < size:
+        return any([v for _, v in b[j : j + len(a)]] == [v for _, v in a] for j in range(len(b) - len(a) + 1))
+    word = decontaminate.WORD
+    template = lambda t: [v if k == word else k for k, v in t]
+    good, diagonals = set(), defaultdict(list)
+    for i in range(len(a) - size + 1):
+        for j in range(len(b) - size + 1):
+            x, y = a[i : i + size], b[j : j + size]
+            if [v for _, v in x] == [v for _, v in y]:
+                good.add(i)
+            if template(x) == template(y) and any(k == word for k, _ in x):
+                diagonals[j - i].append(i)
+    for d, at in diagonals.items():
+        slots = sorted({p for i in at for p in range(i, i + size) if a[p][0] != word})
+        asked, given = [a[p] for p in slots], [(a[p][0], b[p + d][1]) for p in slots]
+        same = [x == y for x, y in zip(asked, given, strict=True)]
+        there, back = plain_most(zip(asked, given, same, strict=True)), plain_most(zip(given, asked, same, strict=True))
+        agrees = {p: there[x] == y and back[y] == x for p, x, y in zip(slots, asked, given, strict=True)}
+        verbatim = dict(zip(slots, same, strict=True))
+        good |= {i for i in at if any(all(f[p] for p in slots if i <= p < i + size) for f in (verbatim, agrees))}
+    windows = range(len(a) - size + 1)
+    literal = [i for i in windows if any(k == word for k, _ in a[i : i + size])]
+    found = [(len(good & set(literal)), len(literal)), (len(good), len(windows))]
+    return any(n and n >= share * of for n, of in found)
+
+
+def test_templates_against_every_window(spark):
+    """Questions with other numbers, names, units and words, and whole ones, in a table of documents."""
+    rng = random.Random(11)
+    names, units = ["Alice", "Bob", "Carol", "Dana"], ["kg", "km", "hours", "dollars"]
+    question = lambda: " ".join(rng.choice([rng.choice(names), str(rng.randrange(20)), rng.choice(units), f"{rng.randrange(9)}kg", "has", "gives", "how", "many", "apples", "left.", "the", "to", "Then"]) for _ in range(rng.randrange(2, 25)))
+    items = [question() for _ in range(25)] + ["12 34 56 78 90", "7 kg", "?!", ""]
+
+    def changed(text):
+        swap = {**dict(zip(names, rng.sample(names, 4), strict=True)), **{str(i): str(rng.randrange(20)) for i in range(20)}}
+        return " ".join(rng.choice(names) if rng.random() < 0.02 else swap.get(w, w) for w in text.split())
+
+    docs = [f"{question()} {rng.choice([changed, str])(rng.choice(items))} {question()}" for _ in range(150)] + [None, "", "has"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    want = {(i, k) for i, t in enumerate(docs) for k, x in enumerate(items) if plain_holds(x, t)}
+    assert got == want and len(want) > 60
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()) == sorted(set(range(len(docs))) - {i for i, _ in want})
+
+
 def test_one_changed_slot_and_short_or_numeric_items(spark):
     find = lambda item, doc: [x[2:] for x in decontaminate.find_all(decontaminate.prepare([(1, item)], 5), pa.array([doc]), 5, 0.8)]
     item = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59)]
@@ -636,6 +746,12 @@ def test_pipeline(spark):
     for n, stage in corpus_pipeline.STAGES:
         at[n] = before = stage(spark, before, sf).cache()
     rows = {n: pairs(at[n]) for n in names[:-1]}
+    net = toxicity.fit_toxicity(docs, table(spark, sf, "labels"))
+    scores = {}
+    for i, t in pairs(docs):
+        buf, offsets = textops.buffers(pa.array([t or ""]))
+        scores[i, t] = toxicity.text_scores(net, textops.find_words(buf, offsets))[0]
+    assert sorted(rows["toxicity"]) == sorted(k for k, v in scores.items() if v < 0.7) and len(rows["toxicity"]) < len(scores)
     texts = defaultdict(list)
     for i, t in rows["toxicity"]:
         texts[t].append(i)
