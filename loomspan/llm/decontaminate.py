@@ -239,17 +239,37 @@ def find_all(items: Items, column: pa.Array, size: int, share: float) -> Iterato
                 yield from ((begin + doc, i, 1, 1, False) for i in item[a:b].tolist())
 
 
-def _by_windows(items: Items, t: Tokens, size: int, share: float) -> Iterator[tuple[int, int, int, int, bool]]:
-    parts = []
+def _hits(items: Items, t: Tokens, size: int, most: int) -> Iterator[np.ndarray]:
+    """Rows (text, item, position, item position, exact) of windows that meet, by text and item.
+
+    Many items may share a template.  Where over ``most`` rows would meet, items are taken in turns, and windows in runs, so that
+    about ``most`` rows are held at a time."""
+    found = []
     for exact, (h, text, pos) in enumerate((template_windows(t, size), exact_windows(t, size))):
         near = np.flatnonzero(items.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        h, text, pos = h[near], text[near], pos[near]
-        lo, hi = np.searchsorted(items.hashes, h), np.searchsorted(items.hashes, h, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        parts.append(np.stack([np.repeat(text, n), items.item[at], np.repeat(pos, n), items.pos[at], np.full(len(at), exact)], 1))
-    rows = np.concatenate(parts)
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        lo, hi = (np.searchsorted(items.hashes, h[near], side) for side in ("left", "right"))
+        some = np.flatnonzero(hi > lo)
+        found.append((exact, text[near][some], pos[near][some], lo[some], (hi - lo)[some]))
+    turns = max(1, -(-int(sum(n.sum() for *_, n in found)) // most))
+    for turn in range(turns):
+        parts = [np.zeros((0, 5), np.int64)]
+        for exact, text, pos, lo, n in found:
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // most, prepend=0)) if turns > 1 else np.zeros(0, np.int64)
+            for i in np.split(np.arange(len(n)), cuts):
+                m = n[i]
+                at = np.repeat(lo[i] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                rows = np.stack([np.repeat(text[i], m), items.item[at], np.repeat(pos[i], m), items.pos[at], np.full(len(at), exact)], 1)
+                parts.append(rows[rows[:, 1] % turns == turn] if turns > 1 else rows)
+        rows = np.concatenate(parts)
+        yield rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+
+
+def _by_windows(items: Items, t: Tokens, size: int, share: float, most: int = 1 << 22) -> Iterator[tuple[int, int, int, int, bool]]:
+    for rows in _hits(items, t, size, most):
+        yield from _judged(items, t, rows, size, share)
+
+
+def _judged(items: Items, t: Tokens, rows: np.ndarray, size: int, share: float) -> Iterator[tuple[int, int, int, int, bool]]:
     cuts = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], 1)) + 1
     for group in np.split(rows, cuts) if len(rows) else ():
         doc, item = int(group[0, 0]), int(group[0, 1])

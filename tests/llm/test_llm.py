@@ -683,6 +683,16 @@ def test_templates_against_every_window(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()) == sorted(set(range(len(docs))) - {i for i, _ in want})
 
 
+def test_many_items_of_one_template_meet_in_turns():
+    items = [(i, f"how many apples does Alice have when Bob gives her {i} more of them and {i + 1} pears") for i in range(60)]
+    column = pa.array([f"So how many apples does Carol have when Dave gives her {i} more of them and {i + 1} pears" for i in range(0, 60, 7)])
+    prepared = decontaminate.prepare(items, 5)
+    buf, offsets = textops.buffers(column)
+    t = decontaminate.tokens(buf, offsets)
+    whole, parts = (sorted(decontaminate._by_windows(prepared, t, 5, 0.8, most)) for most in (1 << 22, 100))
+    assert whole == parts and {(d, i) for d, i, *_ in whole} >= {(k, i) for k, i in enumerate(range(0, 60, 7))}
+
+
 def test_one_changed_slot_and_short_or_numeric_items(spark):
     find = lambda item, doc: [x[2:] for x in decontaminate.find_all(decontaminate.prepare([(1, item)], 5), pa.array([doc]), 5, 0.8)]
     item = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59)]
