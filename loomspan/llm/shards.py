@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import width
+from loomspan.llm.common import cut, width
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
 
     id_type = dict(base.dtypes)["doc_id"]
     placed = base.mapInArrow(place, f"doc_id {id_type}, size long, text_crc32 long, shard int, grown_shard int")
-    placed = placed.withColumn("piece", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces)).cast("int"))
+    placed = cut(placed.withColumn("piece", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces)).cast("int")))  # both uses below read this
     in_shard = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("rows"))
