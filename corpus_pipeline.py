@@ -62,8 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between two stages is a table in the shared checkpoint folder."""
-    root = shared_folder(spark)
+    """All stages over ``documents``; what lies between two stages is a table in the shared checkpoint folder, which goes when
+    the stage after has been written.  The table before the last stage stays, as the result reads it."""
+    root, before = shared_folder(spark), None
     docs = table(spark, sf_dir, "documents")  # each stage ships the package first, so the last one's plan can run too
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -71,4 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = f"{root}/pipeline-{uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(before)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            before = path
     return docs
