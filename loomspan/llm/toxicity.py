@@ -101,6 +101,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def _sums(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by group."""
+    return np.stack([np.bincount(of, c, n) for c in rows.T], 1).astype(rows.dtype) if len(rows) else np.zeros((n, rows.shape[1]), rows.dtype)
+
+
 class Network:
     """Weights: table (5 BUCKETS x DEPTH), byte filters T (3 x 256 x FILTERS) and P (FILTERS x DEPTH), per direction W (DEPTH x
     3 HIDDEN), U, b; attention A, v; output o, c."""
@@ -198,22 +203,20 @@ class Network:
             g["U"][d] += h.T @ gu
             dx[:, t] += gx @ p["W"][d].T
             dh[d] = np.where(m, live * z, dn) + gu @ p["U"][d].T
-        spelled = np.zeros((len(best), DEPTH), x.dtype)
-        np.add.at(spelled, place.ravel(), dx.reshape(-1, DEPTH))
-        spelled *= there
+        spelled = _sums(place.ravel(), dx.reshape(-1, DEPTH), len(best)) * there
         g["P"] = best.T @ spelled
         size = np.diff(few.begin)
         word = np.repeat(np.arange(len(size)), size)
         # a filter's gradient goes to the places of its highest response, in equal shares
         top = np.tanh(responses) == best[word]
-        share = np.zeros_like(best)
-        np.add.at(share, word, top)
+        share, some = np.zeros_like(best), np.flatnonzero(size)
+        if len(some):
+            share[some] = np.add.reduceat(top, few.begin[some], axis=0, dtype=best.dtype)
         each = top * ((spelled @ p["P"].T) * (1 - best**2) / np.maximum(share, 1))[word]
         for k, b in enumerate(few.threes()):
-            np.add.at(g["T"][k], b, each)
+            g["T"][k] = _sums(b, each, 256)
         used, back = np.unique(rows[:, :, :_FEATURES], return_inverse=True)
-        grad = np.zeros((len(used), DEPTH), np.float32)
-        np.add.at(grad, back.reshape(-1), np.repeat(dx.reshape(-1, DEPTH), _FEATURES, 0))
+        grad = _sums(back.reshape(-1), np.repeat(dx.reshape(-1, DEPTH), _FEATURES, 0), len(used))
         grad[used == 0] = 0
         g["table"] = (used, grad)
         return g
@@ -329,7 +332,7 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
         starts = np.maximum(0, np.minimum(best - rng.integers(0, SPAN, len(best)), n[toxic] - 1))
         starts = np.minimum(starts, best)
         chosen = batch(starts)
-        net.train(*chosen, passes=max(2, -(-examples // len(chosen[2]))), rate=0.01 if turn < 5 else 0.003, rng=rng)
+        net.train(*chosen, passes=max(1, round(examples / len(chosen[2]))), rate=0.01 if turn < 5 else 0.003, rng=rng)
         if turn in (2, 5):
             logits = np.concatenate([net.forward(*_gather(rows, words.first, n, text[b : b + 4096], at[b : b + 4096]), letters) for b in range(0, len(text), 4096)])
     return net
