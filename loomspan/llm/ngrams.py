@@ -414,7 +414,8 @@ def _ask(order: int, scheme: Scheme):
 
 
 def _answer(order: int, scheme: Scheme):
-    """One shard: sum the counts, build the trie, look every request up in it."""
+    """One shard: sum the counts, build the trie, look every request up in it.  Of words it also says, in one row, how many
+    training tokens (n) and how many different ones (v) it holds."""
 
     def run(asked: pa.Table) -> pa.Table:
         keys = [_unpack(b) for b in asked.column("keys").to_pylist()]
@@ -429,16 +430,20 @@ def _answer(order: int, scheme: Scheme):
             total, some = read("totals")[first], count > 0
             code, count = Trie(k[some], count[some], total[some], scheme.prior).look_up(k)
             codes = back(code, lambda x: zstandard.ZstdCompressor(level=1).compress(x.tobytes()))
+        known = (k[:0], 0) if order > 1 else (k[count > 0], int(count.sum()))
         # held-out texts ask too: what they hold only tells a chunk whether it is alone with a context
         columns = [none, none, codes] if last else [back(count, _squeeze), back(_sums(of, read("rests"), len(k)), _squeeze), codes]
-        return pa.table([asked.column("chunk"), asked.column("shard"), *(pa.array(x, pa.binary()) for x in columns)], names=["chunk", "shard", "counts", "rests", "codes"])
+        first_row = [i == 0 for i in range(len(keys))]
+        sums = [pa.array([x if f else 0 for f in first_row], pa.int64()) for x in (known[1], len(known[0]))]
+        return pa.table([asked.column("chunk"), asked.column("shard"), *(pa.array(x, pa.binary()) for x in columns), *sums], names=["chunk", "shard", "counts", "rests", "codes", "n", "v"])
 
     return run
 
 
-def _score(scheme: Scheme, total: int, distinct: int, id_type: pa.DataType):
+def _score(scheme: Scheme, id_type: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
         (row,) = table.to_pylist()
+        total, distinct = row["n"], row["v"]
         chunk = Chunk(row["parts"])
         counts, known = _knowledge(chunk, row, scheme, scheme.order, scoring=True)
         c = counts[chunk.word]
@@ -452,52 +457,13 @@ def _score(scheme: Scheme, total: int, distinct: int, id_type: pa.DataType):
         whole = lambda x: pa.array(sums(x).astype(np.int64))
         score, many = sums(np.log10(np.minimum(model, 1))), sums(np.ones(len(c)))
         return pa.table(
-            [pa.array(chunk.ids, id_type), pa.array(~chunk.train), pa.array(many.astype(np.int64)), whole(c > 0), pa.array(np.full(n, total)), pa.array(sums(np.log10(alone))), pa.array(score), pa.array(score / many)],
+            [pa.array(chunk.ids, id_type), pa.array(~chunk.train), pa.array(many.astype(np.int64)), whole(c > 0), pa.array(np.full(n, total), pa.int64()), pa.array(sums(np.log10(alone))), pa.array(score), pa.array(score / many)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_per_token"],
         )
 
     return run
 
 
-def totals(docs: DataFrame, shards: int) -> tuple[int, int]:
-    """Training tokens N and distinct training tokens V: each task sends its distinct words to their shards."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        many = size = 0
-
-        def out() -> pa.RecordBatch:
-            found = np.unique(np.concatenate(held))
-            rows = list(_split(found, (found >> U64(3)).astype(np.int64), shards))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in rows], pa.int32()), pa.array([_pack(found[at]) for _, at in rows], pa.binary()), pa.array([many if not i else 0 for i in range(len(rows))], pa.int64())],
-                names=["shard", "words", "tokens"],
-            )
-
-        for b in batches:
-            for begin in range(0, b.num_rows, 1000):
-                token, _ = tokens(b.column("text").slice(begin, 1000))
-                many += len(token)
-                held.append(np.unique(token))
-                size += len(held[-1])
-                if size > 1 << 21:
-                    held = [np.unique(np.concatenate(held))]
-                    size = len(held[0])
-                    if size > 1 << 20:
-                        yield out()
-                        held, size, many = [], 0, 0
-        if held:
-            yield out()
-
-    def count(asked: pa.Table) -> pa.Table:
-        found = np.unique(np.concatenate([_unpack(b) for b in asked.column("words").to_pylist()]))
-        return pa.table([pa.array([len(found)]), pa.array([sum(asked.column("tokens").to_pylist())])], names=["v", "n"])
-
-    parts = docs.where("train").select("text").mapInArrow(local, "shard int, words binary, tokens long").groupBy("shard").applyInArrow(count, "v long, n long")
-    row = parts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return int(row["n"] or 0), int(row["v"] or 0)
-
-
 def _packing(chunks: int, most: int = 32 << 20):
     """Map side: texts of one task by chunk, compressed, in rows for at most ``most`` bytes of text."""
 
@@ -528,10 +494,10 @@ def _packing(chunks: int, most: int = 32 << 20):
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float = 20.0, order: int = 3, chunk_bytes: int = 8 << 20, shard_tokens: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float = 20.0, order: int = 3, chunk_bytes: int = 8 << 20, shard_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), score_per_token.
 
-    ``chunk_bytes`` of text and ``shard_tokens`` training tokens bound what one task holds at a time.
+    ``chunk_bytes`` of text, and the n-grams of about ``shard_bytes`` of text, are what one task holds at a time.
     """
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
@@ -543,17 +509,19 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float =
         (remainder(F.col(id_col), folds) != held).alias("train"),
         F.pmod(F.xxhash64(F.col(text_col), F.col(id_col)), F.lit(chunks)).cast("int").alias("chunk"),
     )
-    total, distinct = totals(rows, max(n, -(-size // chunk_bytes)))
-    scheme = Scheme(max(-(-total // shard_tokens), min(n, -(-total // 200_000)), 1), order, prior)
+    scheme = Scheme(max(-(-size // shard_bytes), min(n, -(-size // (1 << 20))), 1), order, prior)
     id_type = dict(rows.dtypes)["doc_id"]
     packed = rows.mapInArrow(_packing(chunks), f"chunk int, ids array<{id_type}>, train binary, sizes binary, texts binary")
     known = packed.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("ids", "train", "sizes", "texts")).alias("parts"))
+    totals = None
     for k in range(1, order + 1):
         asked = known.groupBy("chunk").applyInArrow(_ask(k, scheme), _REQUEST)
-        answered = asked.repartition(n, "shard").groupBy("shard").applyInArrow(_answer(k, scheme), "chunk int, shard int, counts binary, rests binary, codes binary")
+        answered = asked.repartition(n, "shard").groupBy("shard").applyInArrow(_answer(k, scheme), "chunk int, shard int, counts binary, rests binary, codes binary, n long, v long")
+        totals = answered.agg(F.sum("n").alias("n"), F.sum("v").alias("v")) if k == 1 else totals
         by_chunk = answered.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("shard", "counts", "rests", "codes")).alias(f"answers{k}"))
         known = known.join(by_chunk, "chunk", "left").withColumn(f"answers{k}", F.coalesce(f"answers{k}", F.array()))
     arrow_type = to_arrow_type(rows.schema["doc_id"].dataType)
-    return known.groupBy("chunk").applyInArrow(
-        _score(scheme, total, distinct, arrow_type), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double"
+    # N and V are one row, sent to every task
+    return known.crossJoin(F.broadcast(totals)).groupBy("chunk").applyInArrow(
+        _score(scheme, arrow_type), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double"
     )

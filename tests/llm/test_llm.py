@@ -373,7 +373,7 @@ def brute_lm(rows, order=3, prior=20.0):
 def test_language_model(spark, odd, nothing, chunk, order):
     for df in (table(spark, SF, "documents"), odd):
         key = lambda r: (repr(r[0]), r[2], r[5])
-        got, want = (sorted(x, key=key) for x in ([tuple(r) for r in ngrams.score_texts(df, chunk_bytes=chunk, order=order, shard_tokens=20_000).collect()], brute_lm(pairs(df), order)))
+        got, want = (sorted(x, key=key) for x in ([tuple(r) for r in ngrams.score_texts(df, chunk_bytes=chunk, order=order, shard_bytes=130_000).collect()], brute_lm(pairs(df), order)))
         assert [g[:5] for g in got] == [w[:5] for w in want]
         assert all(abs(g[k] - w[k]) <= 1e-9 * abs(w[k]) + 1e-9 for g, w in zip(got, want, strict=True) for k in (5, 6, 7))
     assert ngrams.score_texts(nothing).count() == 0
