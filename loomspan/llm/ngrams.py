@@ -15,7 +15,8 @@ order in turn a chunk asks the shards of that order for its distinct n-grams, on
 along with its own training counts; a shard sums the counts of all chunks, builds its trie and answers from it.  A
 request carries the count of the context, which the order before has answered, so a shard smooths by itself.  Shards are
 dealt by n-gram, so no context gathers in one place.  N-grams whose context occurs in no other chunk need no request: the
-chunk, which knows it from the counts of all texts, builds the trie of these itself.  Rows between chunks and shards never outnumber the distinct n-grams of the chunks.
+chunk, which knows it from the counts of all texts, builds the trie of these itself.  Rows between chunks and shards never
+outnumber the distinct n-grams of the chunks.
 
 Cases: a null text is the empty text (one token, the end); ids may be null (crc of the empty text decides the fold)
 or repeat; without training documents all counts are 0; an empty table gives no rows; other columns are ignored.

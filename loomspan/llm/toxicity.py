@@ -30,7 +30,7 @@ from loomspan.llm import textops
 from loomspan.llm.common import remainder
 from loomspan.llm.sampling import labelled_sample
 
-SPAN, STRIDE, BLOCK = 32, 16, 16
+SPAN, STRIDE, BLOCK = 32, 16, 4
 BUCKETS, DEPTH, HIDDEN = 1 << 15, 8, 8
 _FEATURES = 5
 #: Filters over three bytes.
@@ -89,12 +89,10 @@ def windows(n: np.ndarray, span: int = SPAN, stride: int = STRIDE) -> tuple[np.n
 
 
 def _gather(rows: np.ndarray, first: np.ndarray, n: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows (windows x span x 6, zeros beyond the text) and the mask of words."""
+    """Feature rows (windows x span x 6) and the mask of words; the last of ``rows`` stands for what is beyond a text."""
     pos = at[:, None] + np.arange(SPAN)
     mask = pos < n[text][:, None]
-    index = np.where(mask, first[text][:, None] + pos, len(rows))
-    padded = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
-    return padded[index], mask
+    return rows[np.where(mask, first[text][:, None] + pos, len(rows) - 1)], mask
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -245,7 +243,7 @@ class Network:
 
 def states(net: Network, x: np.ndarray, words: textops.Words, d: int, most: int = 4096) -> np.ndarray:
     """State after each word in direction ``d`` (0 forward, 1 backward), of a GRU that starts with the block of BLOCK
-    words before the word's own (with the text, in its first block), so it has read as much as in training."""
+    words before the word's own (with the text, in its first block).  Short histories do better on held-out rows than long ones."""
     p, H = net.p, HIDDEN
     gx = x @ p["W"][d] + p["b"][d]
     out = np.zeros((len(x), H), np.float32)
@@ -311,8 +309,13 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
     telling = odds[rows[:, 0]]
     for f in range(1, _FEATURES):
         np.maximum(telling, odds[rows[:, f]], out=telling)
+    rows = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+    del buf, offsets, owner, pos, neg
     text, at = windows(n)
     toxic = np.flatnonzero((y == 1) & (n > 0))
+    if not len(toxic):  # toxic texts without a word teach nothing
+        net.prior = float(y.mean())
+        return net
     best = np.array([words.first[i] + telling[words.first[i] : words.first[i + 1]].argmax() - words.first[i] for i in toxic])
     clean = np.flatnonzero(y[text] == 0)
     most = max(1, examples // (1 + 4 * negatives))
@@ -320,7 +323,7 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
     def batch(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Letters]:
         some = np.sort(rng.permutation(len(toxic))[:most])
         other = rng.choice(clean, min(len(clean), negatives * 3 * len(some)), replace=False)
-        hard = clean[np.argsort(-logits[clean])[: negatives * len(some)]] if logits is not None else other[:0]
+        hard = clean[np.argsort(-logits)[: negatives * len(some)]] if logits is not None else other[:0]
         t = np.concatenate([toxic[some], text[other], text[hard]])
         a = np.concatenate([starts[some], at[other], at[hard]])
         r, m = _gather(rows, words.first, n, t, a)
@@ -334,7 +337,7 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
         chosen = batch(starts)
         net.train(*chosen, passes=max(1, round(examples / len(chosen[2]))), rate=0.01 if turn < 5 else 0.003, rng=rng)
         if turn in (2, 5):
-            logits = np.concatenate([net.forward(*_gather(rows, words.first, n, text[b : b + 4096], at[b : b + 4096]), letters) for b in range(0, len(text), 4096)])
+            logits = np.concatenate([net.forward(*_gather(rows, words.first, n, text[i], at[i]), letters) for i in np.split(clean, range(4096, len(clean), 4096))])
     return net
 
 

@@ -290,7 +290,7 @@ def test_toxicity_held_out(spark, odd, nothing):
     net = toxicity.fit([("bad idiot", 1), ("good day", 0)] * 20)
     assert toxicity.score_toxicity(odd, net).count() == odd.count() and toxicity.score_toxicity(nothing, net).count() == 0
     assert toxicity.drop_toxic(odd, net).columns == odd.columns
-    for sample, prior in (([], 0.0), ([("x", 0)], 0.0), ([("x", 1)], 1.0)):
+    for sample, prior in (([], 0.0), ([("x", 0)], 0.0), ([("x", 1)], 1.0), ([(" ", 1), ("x", 0)], 0.5)):
         assert toxicity.batch_scores(toxicity.fit(sample), pa.array(["a", None])).tolist() == [prior] * 2
 
 
