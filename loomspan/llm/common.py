@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.lineage import cut, shared_folder
 
-__all__ = ["cut", "keep_one", "remainder", "shared_folder", "table", "text_bytes", "text_digest", "width"]
+__all__ = ["cut", "keep_one", "remainder", "remove", "shared_folder", "table", "text_bytes", "text_digest", "width"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -96,8 +96,9 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         row = end
 
 
-def find_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
-    word = _WORD_BYTE[buf]
+def find_words(buf: np.ndarray, offsets: np.ndarray, of: np.ndarray = _WORD_BYTE) -> Words:
+    """Maximal runs of the bytes marked in ``of`` (by default, of all but separators) within each text."""
+    word = of[buf]
     begin, end = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]
@@ -108,6 +109,16 @@ def find_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(buf, offsets, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets))
 
 
+def strings(words: Words) -> pa.LargeStringArray:
+    """The words themselves, one after the other."""
+    inside = np.zeros(len(words.buf) + 1, np.int8)
+    inside[words.starts] = 1
+    inside[words.ends] -= 1
+    flat = words.buf[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(words.starts), pa.py_buffer(offsets), pa.py_buffer(flat))
+
+
 def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 11) -> np.ndarray:
     """64-bit hash of each byte range; ranges must be ascending and may not overlap."""
     base = _BASES[seed]
