@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "@" in text:
         out += [(0, s, e) for s, e in _matches(EMAIL, "@", text)]
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     out += [(2, *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 16 and _card(m[0])]
     if "+" in text:
         out += [(3, s, e) for s, e in _matches(PHONE, "+", text) if 8 <= sum(c.isdigit() for c in text[s:e]) <= 15]
