@@ -5,11 +5,13 @@ and its last three, all lower-cased and hashed into tables).  Character input: e
 filters, each filter's highest response over the word enters, so a word is read byte by byte whatever its length.
 The sum of both runs through a forward and a backward GRU.  Every window of ``SPAN`` consecutive words, one starting at
 each word, is pooled by attention and scored by a logistic output; a text's score is that of its highest window.
-Windows share the states: a state is that of a GRU started at the block of ``BLOCK`` words before its own block, and the
+Windows share the states: a state is that of a GRU started at the block of ``BLOCK`` words before its own block, so it has
+read the 8 to 15 words before its own, those beyond the window's edge included; training runs the same recurrence.  The
 two sums of the attention come from running totals, so all overlapping windows cost no more than the words.
 
-Training is multiple-instance: of a toxic text the window holding the word most telling for the class is the positive
-example, of other texts random windows and those scored highest so far are negative.  At most ``fit_rows`` labelled rows
+Training is multiple-instance: of a toxic text one window is the positive example, at first that around the word most
+telling for the class, later, twice, the window the network itself scores highest; of other texts random windows and
+those scored highest so far are negative.  At most ``fit_rows`` labelled rows
 of at most ``fit_chars`` characters are used; scoring reads whole texts.
 
 Cases: a null or empty text is scored as one empty window; ids may be null or repeat; without both classes in the
@@ -30,13 +32,15 @@ from loomspan.llm import textops
 from loomspan.llm.common import remainder
 from loomspan.llm.sampling import labelled_sample
 
-SPAN, STRIDE, BLOCK = 32, 16, 4
+SPAN, STRIDE, BLOCK = 32, 16, 8
+#: Blocks that a window may touch.
+BLOCKS = SPAN // BLOCK + 1
 BUCKETS, DEPTH, HIDDEN = 1 << 15, 8, 8
 _FEATURES = 5
 #: Filters over three bytes.
 FILTERS = 12
-#: Share of words hidden in training from the table of whole words and from the filters.
-HIDE = {0: 0.5, _FEATURES: 0.3}
+#: Share of words hidden in training from the table of whole words, from that of their first seven bytes and from the filters.
+HIDE = {0: 0.7, 3: 0.3, _FEATURES: 0.3}
 
 
 class Letters(NamedTuple):
@@ -88,11 +92,37 @@ def windows(n: np.ndarray, span: int = SPAN, stride: int = STRIDE) -> tuple[np.n
     return text, (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * stride
 
 
-def _gather(rows: np.ndarray, first: np.ndarray, n: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows (windows x span x 6) and the mask of words; the last of ``rows`` stands for what is beyond a text."""
-    pos = at[:, None] + np.arange(SPAN)
-    mask = pos < n[text][:, None]
-    return rows[np.where(mask, first[text][:, None] + pos, len(rows) - 1)], mask
+class Windows(NamedTuple):
+    """Windows laid out as the states are read: for either direction the words of the blocks a window touches and of the one before.
+
+    ``rows``: windows x 2 x words x 6 features; ``mask``: which of them are words of the text; ``place``: where among the words of
+    the blocks after the first each word of the window stands (windows x 2 x span); ``real``: windows x span, words of the
+    text; ``at``: windows x 2 x words, positions in the text.
+    """
+
+    rows: np.ndarray
+    mask: np.ndarray
+    place: np.ndarray
+    real: np.ndarray
+    at: np.ndarray
+
+    def some(self, i: np.ndarray) -> Windows:
+        return Windows(*(x[i] for x in self))
+
+
+def _gather(rows: np.ndarray, first: np.ndarray, n: np.ndarray, text: np.ndarray, at: np.ndarray) -> Windows:
+    """Windows from words ``at`` of texts; the last of ``rows`` stands for what is beyond a text.  The backward direction counts
+    words, and blocks, from the end of the text."""
+    size = n[text]
+    begin = np.stack([at, size - at - SPAN], 1)  # first word of the window, in either direction
+    block = begin // BLOCK - 1
+    pos = (block * BLOCK)[:, :, None] + np.arange((BLOCKS + 1) * BLOCK)
+    mask = (pos >= 0) & (pos < size[:, None, None])
+    pos = np.stack([pos[:, 0], size[:, None] - 1 - pos[:, 1]], 1)
+    span = at[:, None] + np.arange(SPAN)
+    own = np.stack([span, size[:, None] - 1 - span], 1) - ((block + 1) * BLOCK)[:, :, None]
+    index = np.where(mask, first[text][:, None, None] + pos, len(rows) - 1)
+    return Windows(rows[index], mask, own, span < size[:, None], pos)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -100,8 +130,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _sums(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by group."""
-    return np.stack([np.bincount(of, c, n) for c in rows.T], 1).astype(rows.dtype) if len(rows) else np.zeros((n, rows.shape[1]), rows.dtype)
+    """Sums of rows by group; the groups are sorted once for all columns."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(rows):
+        order = np.argsort(of, kind="stable")
+        at = np.flatnonzero(np.diff(of[order], prepend=-1))
+        out[of[order[at]]] = np.add.reduceat(rows[order], at, axis=0)
+    return out
 
 
 class Network:
@@ -135,71 +170,79 @@ class Network:
             x = x + self.p["table"][rows[..., i]]
         return x
 
-    def forward(self, rows: np.ndarray, mask: np.ndarray, letters: Letters, keep: bool = False):
-        """Logit of every window by itself; with ``keep`` also what the backward pass needs."""
-        p, n, H = self.p, len(rows), HIDDEN
-        used, place = np.unique(rows[:, :, _FEATURES], return_inverse=True)
+    def forward(self, some: Windows, letters: Letters, keep: bool = False):
+        """Logit of every window from states as ``states`` gives them; with ``keep`` also what the backward pass needs."""
+        p, n, H = self.p, len(some.rows), HIDDEN
+        used, place = np.unique(some.rows[..., _FEATURES], return_inverse=True)
         few = letters.some(used)
         best, responses = self.read(few)
         there = (used > 0)[:, None]
-        x = ((best @ p["P"]) * there)[place.reshape(rows.shape[:2])]
+        x = ((best @ p["P"]) * there)[place.reshape(some.mask.shape)]
         for i in range(_FEATURES):
-            x = x + p["table"][rows[:, :, i]]
-        states = np.zeros((n, SPAN, 2 * H), np.float32)
+            x = x + p["table"][some.rows[..., i]]
+        every = np.zeros((n, SPAN, 2 * H), x.dtype)
         cache = []
         for d in (0, 1):
-            gx = x.reshape(-1, DEPTH) @ p["W"][d] + p["b"][d]
-            gx = gx.reshape(n, SPAN, 3 * H)
-            h = np.zeros((n, H), np.float32)
-            for t in range(SPAN) if d == 0 else range(SPAN - 1, -1, -1):
-                m = mask[:, t, None]
+            gx = (x[:, d].reshape(-1, DEPTH) @ p["W"][d] + p["b"][d]).reshape(n, BLOCKS + 1, BLOCK, 3 * H)
+            live = some.mask[:, d].reshape(n, BLOCKS + 1, BLOCK, 1)
+            h, out = np.zeros((n, BLOCKS, H), x.dtype), np.zeros((n, BLOCKS, BLOCK, H), x.dtype)
+            for t in range(2 * BLOCK):  # all blocks side by side: the words of the block before, then its own
+                g, m = (v[:, t // BLOCK : t // BLOCK + BLOCKS, t % BLOCK] for v in (gx, live))
                 gu = h @ p["U"][d]
-                zr = _sigmoid(gx[:, t, : 2 * H] + gu[:, : 2 * H])
-                z, r = zr[:, :H], zr[:, H:]
-                c = np.tanh(gx[:, t, 2 * H :] + r * gu[:, 2 * H :])
-                new = np.where(m, z * h + (1 - z) * c, h)
+                zr = _sigmoid(g[..., : 2 * H] + gu[..., : 2 * H])
+                z, r = zr[..., :H], zr[..., H:]
+                c = np.tanh(g[..., 2 * H :] + r * gu[..., 2 * H :])
                 if keep:
-                    cache.append((d, t, m, h, z, r, c, gu[:, 2 * H :]))
-                h = new
-                states[:, t, d * H : (d + 1) * H] = h
-        a = np.tanh(states.reshape(-1, 2 * H) @ p["A"]).reshape(n, SPAN, H)
-        e = np.where(mask, a @ p["v"], -1e9)
+                    cache.append((d, t, m, h, z, r, c, gu[..., 2 * H :]))
+                h = np.where(m, z * h + (1 - z) * c, h)
+                if t >= BLOCK:
+                    out[:, :, t - BLOCK] = h
+            every[..., d * H : (d + 1) * H] = np.take_along_axis(out.reshape(n, -1, H), some.place[:, d, :, None], 1)
+        a = np.tanh(every.reshape(-1, 2 * H) @ p["A"]).reshape(n, SPAN, H)
+        e = np.where(some.real, a @ p["v"], -1e9)
         e = e - e.max(1, keepdims=True)
-        w = np.exp(e) * mask
+        w = np.exp(e) * some.real
         w /= np.maximum(w.sum(1, keepdims=True), 1e-9)
-        pooled = (w[:, None, :] @ states)[:, 0]
+        pooled = (w[:, None, :] @ every)[:, 0]
         logit = pooled @ p["o"] + p["c"][0]
-        return (logit, (x, states, cache, a, w, pooled, few, place, there, best, responses)) if keep else logit
+        return (logit, (x, every, cache, a, w, pooled, few, place, there, best, responses)) if keep else logit
 
-    def gradients(self, rows: np.ndarray, mask: np.ndarray, y: np.ndarray, letters: Letters) -> dict[str, np.ndarray]:
-        p, H, n = self.p, HIDDEN, len(rows)
-        logit, (x, states, cache, a, w, pooled, few, place, there, best, responses) = self.forward(rows, mask, letters, keep=True)
+    def gradients(self, some: Windows, y: np.ndarray, letters: Letters) -> dict[str, np.ndarray]:
+        p, H, n = self.p, HIDDEN, len(some.rows)
+        logit, (x, every, cache, a, w, pooled, few, place, there, best, responses) = self.forward(some, letters, keep=True)
         g = {k: np.zeros_like(v) for k, v in p.items() if k != "table"}
-        dl = ((_sigmoid(logit) - y) / n).astype(np.float32)
-        g["o"], g["c"] = pooled.T @ dl, np.array([dl.sum()], np.float32)
+        dl = ((_sigmoid(logit) - y) / n).astype(x.dtype)
+        g["o"], g["c"] = pooled.T @ dl, np.array([dl.sum()], x.dtype)
         dp = dl[:, None] * p["o"]
         ds = w[:, :, None] * dp[:, None, :]
-        dw = (states @ dp[:, :, None])[:, :, 0]
+        dw = (every @ dp[:, :, None])[:, :, 0]
         de = w * (dw - (w * dw).sum(1, keepdims=True))
         g["v"] = (a * de[:, :, None]).sum((0, 1))
         da = de[:, :, None] * p["v"] * (1 - a**2)
-        g["A"] = states.reshape(-1, 2 * H).T @ da.reshape(-1, H)
+        g["A"] = every.reshape(-1, 2 * H).T @ da.reshape(-1, H)
         ds += da @ p["A"].T
-        dx = np.zeros_like(x)
-        dh: dict[int, np.ndarray] = {}
+        dx = np.zeros((n, 2, BLOCKS + 1, BLOCK, DEPTH), x.dtype)
+        back, dh = {}, {}
+        for d in (0, 1):
+            back[d] = np.zeros((n, BLOCKS * BLOCK, H), x.dtype)
+            np.put_along_axis(back[d], some.place[:, d, :, None], ds[..., d * H : (d + 1) * H], 1)
+            back[d] = back[d].reshape(n, BLOCKS, BLOCK, H)
+        by_block = x.reshape(dx.shape)
+        flat = lambda v: v.reshape(-1, v.shape[-1])
         for d, t, m, h, z, r, c, uc in reversed(cache):
-            dn = dh.get(d, 0) + ds[:, t, d * H : (d + 1) * H]
+            dn = dh.get(d, 0) + (back[d][:, :, t - BLOCK] if t >= BLOCK else 0)
             live = dn * m
             dz, dc = live * (h - c), live * (1 - z)
             dc = dc * (1 - c**2)
             dr = dc * uc
-            gate = np.concatenate([dz * z * (1 - z), dr * r * (1 - r)], 1)
-            gx = np.concatenate([gate, dc], 1)
-            gu = np.concatenate([gate, dc * r], 1)
-            g["W"][d] += x[:, t].T @ gx
-            g["b"][d] += gx.sum(0)
-            g["U"][d] += h.T @ gu
-            dx[:, t] += gx @ p["W"][d].T
+            gate = np.concatenate([dz * z * (1 - z), dr * r * (1 - r)], -1)
+            gx = np.concatenate([gate, dc], -1)
+            gu = np.concatenate([gate, dc * r], -1)
+            blocks = slice(t // BLOCK, t // BLOCK + BLOCKS)
+            g["W"][d] += flat(by_block[:, d, blocks, t % BLOCK]).T @ flat(gx)
+            g["b"][d] += gx.sum((0, 1))
+            g["U"][d] += flat(h).T @ flat(gu)
+            dx[:, d, blocks, t % BLOCK] += gx @ p["W"][d].T
             dh[d] = np.where(m, live * z, dn) + gu @ p["U"][d].T
         spelled = _sums(place.ravel(), dx.reshape(-1, DEPTH), len(best)) * there
         g["P"] = best.T @ spelled
@@ -207,19 +250,19 @@ class Network:
         word = np.repeat(np.arange(len(size)), size)
         # a filter's gradient goes to the places of its highest response, in equal shares
         top = np.tanh(responses) == best[word]
-        share, some = np.zeros_like(best), np.flatnonzero(size)
-        if len(some):
-            share[some] = np.add.reduceat(top, few.begin[some], axis=0, dtype=best.dtype)
+        share, spelt = np.zeros_like(best), np.flatnonzero(size)
+        if len(spelt):
+            share[spelt] = np.add.reduceat(top, few.begin[spelt], axis=0, dtype=best.dtype)
         each = top * ((spelled @ p["P"].T) * (1 - best**2) / np.maximum(share, 1))[word]
         for k, b in enumerate(few.threes()):
             g["T"][k] = _sums(b, each, 256)
-        used, back = np.unique(rows[:, :, :_FEATURES], return_inverse=True)
-        grad = _sums(back.reshape(-1), np.repeat(dx.reshape(-1, DEPTH), _FEATURES, 0), len(used))
+        used, group = np.unique(some.rows[..., :_FEATURES], return_inverse=True)
+        grad = _sums(group.reshape(-1), np.repeat(dx.reshape(-1, DEPTH), _FEATURES, 0), len(used))
         grad[used == 0] = 0
         g["table"] = (used, grad)
         return g
 
-    def train(self, rows: np.ndarray, mask: np.ndarray, y: np.ndarray, letters: Letters, passes: int, rate: float, rng: np.random.Generator, size: int = 64) -> None:
+    def train(self, some: Windows, y: np.ndarray, letters: Letters, passes: int, rate: float, rng: np.random.Generator, size: int = 64) -> None:
         """Adam; the table's moments are kept for touched rows only.  In each batch words are hidden from the table of whole
         words and others from the filters, so that neither learns a word by heart."""
         if not hasattr(self, "m"):
@@ -228,13 +271,14 @@ class Network:
             self.step = 0
         for _ in range(passes):
             order = rng.permutation(len(y))
-            for at in range(0, len(y), size):
-                i = order[at : at + size]
+            for begin in range(0, len(y), size):
+                i = order[begin : begin + size]
                 self.step += 1
-                seen = rows[i]
-                for column, share in HIDE.items():
-                    seen[..., column][rng.random(seen.shape[:2]) < share] = 0
-                for k, grad in self.gradients(seen, mask[i], y[i], letters).items():
+                seen = some.some(i)
+                for column, share in HIDE.items():  # a word is hidden from both directions alike
+                    draw = rng.random((len(i), 256)) < share
+                    seen.rows[..., column][np.take_along_axis(draw, (seen.at % 256).reshape(len(i), -1), 1).reshape(seen.at.shape)] = 0
+                for k, grad in self.gradients(seen, y[i], letters).items():
                     where, grad = grad if k == "table" else (slice(None), grad)
                     m = self.m[k][where] = 0.9 * self.m[k][where] + 0.1 * grad
                     s = self.s[k][where] = 0.99 * self.s[k][where] + 0.01 * grad**2
@@ -268,23 +312,32 @@ def states(net: Network, x: np.ndarray, words: textops.Words, d: int, most: int
     return out
 
 
-def text_scores(net: Network, words: textops.Words) -> np.ndarray:
-    """Probability of the highest of all windows of every text."""
-    p, n = net.p, np.diff(words.first)
-    rows, letters = word_features(words)
+def readings(net: Network, rows: np.ndarray, letters: Letters, words: textops.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Attention (not yet normalised) of every word and what its state says for the class."""
+    p = net.p
     spelled = net.read(letters)[0] @ p["P"]
     spelled[0] = 0
     x = net.inputs(rows, spelled)
     s = np.concatenate([states(net, x, words, d) for d in (0, 1)], 1)
-    e = np.exp((np.tanh(s @ p["A"]) @ p["v"]).astype(np.float64))
-    totals = [np.concatenate([[0.0], np.cumsum(c)]) for c in (e, e * (s @ p["o"]))]
+    return np.exp((np.tanh(s @ p["A"]) @ p["v"]).astype(np.float64)), s @ p["o"]
+
+
+def window_logits(net: Network, attention: np.ndarray, says: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Logit of the windows of words begin to end (exclusive; none: the bias alone), from running totals."""
+    weight, pooled = (c[end] - c[begin] for c in (np.concatenate([[0.0], np.cumsum(x)]) for x in (attention, attention * says)))
+    return np.where(end > begin, pooled / np.maximum(weight, 1e-12), 0) + net.p["c"][0]
+
+
+def text_scores(net: Network, words: textops.Words) -> np.ndarray:
+    """Probability of the highest of all windows of every text."""
+    n = np.diff(words.first)
+    if not len(n):
+        return np.zeros(0)
     many = np.maximum(1, n - SPAN + 1)
     text = np.repeat(np.arange(len(n)), many)
     begin = words.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    end = np.minimum(begin + SPAN, words.first[text + 1])
-    weight, pooled = (c[end] - c[begin] for c in totals)
-    logit = np.where(end > begin, pooled / np.maximum(weight, 1e-12), 0) + p["c"][0]
-    return _sigmoid(np.maximum.reduceat(logit, np.cumsum(many) - many)) if len(n) else np.zeros(0)
+    logit = window_logits(net, *readings(net, *word_features(words), words), begin, np.minimum(begin + SPAN, words.first[text + 1]))
+    return _sigmoid(np.maximum.reduceat(logit, np.cumsum(many) - many))
 
 
 def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns: int = 8, examples: int = 10_240) -> Network:
@@ -309,25 +362,24 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
     telling = odds[rows[:, 0]]
     for f in range(1, _FEATURES):
         np.maximum(telling, odds[rows[:, f]], out=telling)
-    rows = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
     del buf, offsets, owner, pos, neg
+    padded = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
     text, at = windows(n)
     toxic = np.flatnonzero((y == 1) & (n > 0))
     if not len(toxic):  # toxic texts without a word teach nothing
         net.prior = float(y.mean())
         return net
-    best = np.array([words.first[i] + telling[words.first[i] : words.first[i + 1]].argmax() - words.first[i] for i in toxic])
+    best = np.array([telling[words.first[i] : words.first[i + 1]].argmax() for i in toxic])
     clean = np.flatnonzero(y[text] == 0)
     most = max(1, examples // (1 + 4 * negatives))
 
-    def batch(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Letters]:
+    def batch(starts: np.ndarray) -> tuple[Windows, np.ndarray, Letters]:
         some = np.sort(rng.permutation(len(toxic))[:most])
         other = rng.choice(clean, min(len(clean), negatives * 3 * len(some)), replace=False)
         hard = clean[np.argsort(-logits)[: negatives * len(some)]] if logits is not None else other[:0]
         t = np.concatenate([toxic[some], text[other], text[hard]])
         a = np.concatenate([starts[some], at[other], at[hard]])
-        r, m = _gather(rows, words.first, n, t, a)
-        return r, m, y[t], letters
+        return _gather(padded, words.first, n, t, a), y[t], letters
 
     logits = None
     for turn in range(turns):
@@ -335,12 +387,22 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
         starts = np.maximum(0, np.minimum(best - rng.integers(0, SPAN, len(best)), n[toxic] - 1))
         starts = np.minimum(starts, best)
         chosen = batch(starts)
-        net.train(*chosen, passes=max(1, round(examples / len(chosen[2]))), rate=0.01 if turn < 5 else 0.003, rng=rng)
+        net.train(*chosen, passes=max(1, round(examples / len(chosen[1]))), rate=0.01 if turn < 5 else 0.003, rng=rng)
         if turn in (2, 5):
-            logits = np.concatenate([net.forward(*_gather(rows, words.first, n, text[i], at[i]), letters) for i in np.split(clean, range(4096, len(clean), 4096))])
+            attention, says = readings(net, rows, letters, words)
+            begin = words.first[text[clean]] + at[clean]
+            logits = window_logits(net, attention, says, begin, np.minimum(begin + SPAN, words.first[text[clean] + 1]))
+            best = np.array([elected(net, attention[a:b], says[a:b]) for a, b in zip(words.first[toxic], words.first[toxic + 1])])
     return net
 
 
+def elected(net: Network, attention: np.ndarray, says: np.ndarray) -> int:
+    """The word that counts most in the highest window of one text."""
+    begin = np.arange(max(1, len(says) - SPAN + 1))
+    at = int(window_logits(net, attention, says, begin, np.minimum(begin + SPAN, len(says))).argmax())
+    return at + int((attention * says)[at : at + SPAN].argmax())
+
+
 def _weights(net: Network) -> dict:
     """What is sent to the tasks: about 3 MB, whatever the sample."""
     return {"prior": net.prior, **{k: v.astype(np.float16) if k == "table" else v for k, v in net.p.items()}}

@@ -140,6 +140,23 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(t) == brute_base(t)
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.base_spans("1" * 200_000 + ".2.3.4") == []
+    for place in range(4):  # more digits than Python reads as a number
+        for last, ok in (("7", True), ("255", True), ("256", False), ("", True)):
+            parts = ["1", "2", "3", "4"]
+            parts[place] = "0" * 5000 + last
+            ip = ".".join(parts)
+            assert pii.base_spans(f"x {ip} y") == [(1, 2, 2 + len(ip))] * ok
+
+
+def test_pii_of_long_zeros_in_query_and_redaction(spark):
+    parts = [["0" * 5000 + p if i == j else p for j, p in enumerate("1234")] for i in range(4)]
+    texts = ["x " + ".".join(p) + " y" for p in parts] + ["x 1.2.3." + "0" * 5000 + "256"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest_pii(df).collect()}
+    assert [got[i]["n_ip"] for i in range(5)] == [1, 1, 1, 1, 0]
+    assert [got[i]["base_sha256"] for i in range(4)] == [hashlib.sha256(f"ip:2:{len(t) - 2}".encode()).hexdigest() for t in texts[:4]]
+    hidden = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.fit_field(df)).collect()}
+    assert [hidden[i] for i in range(4)] == ["x <ip> y"] * 4
 
 
 def test_pii_query_and_added_spans(spark, odd, nothing):
@@ -208,15 +225,17 @@ def test_hidden_spans_come_back_and_long_texts_are_linear(spark):
 def test_gradients():
     net, rng = toxicity.Network(1), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    mask = np.arange(toxicity.SPAN) < np.array([[32], [5], [1]])
-    rows = rng.integers(1, 50, (3, toxicity.SPAN, toxicity._FEATURES + 1)) * mask[:, :, None]
+    n, at = np.array([70, 5, 1]), np.array([21, 0, 0])
+    rows = rng.integers(1, 50, (n.sum() + 1, toxicity._FEATURES + 1))
+    rows[-1] = 0
+    some = toxicity._gather(rows, np.array([0, 70, 75]), n, np.arange(3), at)
     begin = np.concatenate([[0, 0], np.cumsum(rng.integers(1, 12, 49))])
     letters = toxicity.Letters(rng.integers(97, 123, begin[-1]).astype(np.uint8), begin)
     y = np.array([1.0, 0, 1])
-    g = net.gradients(rows, mask, y, letters)
+    g = net.gradients(some, y, letters)
 
     def loss():
-        z = net.forward(rows, mask, letters)
+        z = net.forward(some, letters)
         return np.mean(np.log1p(np.exp(z)) - y * z)
 
     for k in net.p:
@@ -277,6 +296,24 @@ def test_every_window_is_scored():
     assert np.allclose(toxicity.text_scores(net, found), want, atol=1e-5)
 
 
+def test_the_trained_network_is_the_served_one():
+    """The training pass gives every window of every text the logit that scoring gives it."""
+    net, rng = toxicity.Network(4), random.Random(8)
+    net.p = {k: v * (40 if k in ("table", "P") else 1) for k, v in net.p.items()}
+    texts = [" ".join(rng.choice(["bad", "good", "Fool!", "x", "...", "éa", "w" * 40, str(i)]) for i in range(n)) for n in (0, 1, 3, 4, 5, 31, 32, 33, 64, 65, 97, 150)]
+    buf, offsets = textops.buffers(pa.array(texts))
+    found = textops.find_words(buf, offsets)
+    rows, letters = toxicity.word_features(found)
+    n = np.diff(found.first)
+    text, at = toxicity.windows(n, stride=1)
+    trained = net.forward(toxicity._gather(np.concatenate([rows, np.zeros_like(rows[:1])]), found.first, n, text, at), letters)
+    begin = found.first[text] + at
+    served = toxicity.window_logits(net, *toxicity.readings(net, rows, letters, found), begin, np.minimum(begin + toxicity.SPAN, found.first[text + 1]))
+    assert np.ptp(served) > 0.1 and np.allclose(trained, served, atol=1e-4)
+    highest = [trained[text == i].max() for i in range(len(texts))]
+    assert np.allclose(toxicity.text_scores(net, found), 1 / (1 + np.exp(-np.array(highest))), atol=1e-5)
+
+
 def held_out_accuracy(scored, labels, column):
     rows = scored.where("held_out").join(labels.groupBy("doc_id").agg(F.max(column).alias("y")), "doc_id").select("score", "predicted", "y").collect()
     return np.array([r["score"] for r in rows]), np.array([r["predicted"] for r in rows]), np.array([r["y"] for r in rows])
@@ -813,5 +850,5 @@ def test_near_stage_keeps_one_row_of_repeated_and_null_ids(spark):
         assert {(1, t[0]), (2, t[1]), (3, t[2]), (None, t[4])} < set(kept) and ((None, t[3]) in kept) != ((None, t[3] + " y") in kept)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
