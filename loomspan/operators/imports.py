@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import catalogues
@@ -70,10 +72,13 @@ def classify(rows: DataFrame, existing: DataFrame, pos: str = "pos") -> DataFram
     family = F.coalesce("color_from_family", F.lit(False)) if "color_from_family" in rows.columns else F.lit(False)
     exact = stored.select(F.col("stored").alias("key"), F.lit(True).alias("known"))
     bare = stored.select(F.col("stored").alias("bare"), F.lit(True).alias("known_bare"))
-    seen = F.row_number().over(Window.partitionBy("key", "in_stash").orderBy(pos)) > 1
-    joined = keyed.withColumn("in_stash", stash).join(exact, "key", "left").join(bare, "bare", "left")
+    keyed = keyed.withColumn("in_stash", stash)
+    # one row a key, so that rows without any name, which share one, need no window of their own
+    first = keyed.where("NOT in_stash").groupBy("key").agg(F.min(pos).alias("first_pos")), keyed.where("in_stash").groupBy("key").agg(F.min(pos).alias("first_stash"))
+    seen = F.col(pos) > F.when(F.col("in_stash"), F.col("first_stash")).otherwise(F.col("first_pos"))
+    joined = keyed.join(exact, "key", "left").join(bare, "bare", "left").join(first[0], "key", "left").join(first[1], "key", "left")
     kind = F.when(~F.col("in_stash"), "status").when(F.col("known") | (F.col("known_bare") & family) | seen, "present").otherwise("new")
-    return joined.withColumn("class", kind).drop("bare", "known", "known_bare", "in_stash")
+    return joined.withColumn("class", kind).drop("bare", "known", "known_bare", "in_stash", "first_pos", "first_stash")
 
 
 def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -83,9 +88,20 @@ def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
-    """Export as part files with CRLF ends, each with a byte order mark and the header line before its rows."""
-    header = ";".join(columns)
-    out = csv_lines(df, columns).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    first = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) == 1
-    out = out.withColumn("_first", first).withColumn("line", F.when(F.col("_first"), F.concat(F.lit(f"\ufeff{header}\r\n"), "line")).otherwise(F.col("line")))
-    out.sortWithinPartitions("_part", "_at").select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    """Export as part files with CRLF ends, each with a byte order mark and the header line before its rows.
+
+    The last stage writes the lines as they come, one file a task, so every file begins with them however ``df`` is
+    partitioned; a task without rows writes none.
+    """
+    head = "\ufeff" + ";".join(columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            if b.num_rows:
+                lines = b.column("line")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([head], lines.type), lines]) if first else lines], names=["line"])
+                first = False
+
+    # one record a file must not be split again by the writer's own limit
+    csv_lines(df, columns).mapInArrow(headed, "line string").write.mode("overwrite").option("lineSep", "\r\n").option("maxRecordsPerFile", 0).text(path)

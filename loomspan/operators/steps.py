@@ -78,7 +78,7 @@ def document_title(lines: DataFrame, most_chars: int = 80) -> DataFrame:
 
 def paper_notation(values: Column) -> Column:
     """80 (90, 100): the first number and the others in brackets."""
-    return F.when(F.size(values) <= 1, F.array_join(values, "")).otherwise(F.concat(values[0], F.lit(" ("), F.array_join(F.slice(values, 2, 1000), ", "), F.lit(")")))
+    return F.when(F.size(values) <= 1, F.array_join(values, "")).otherwise(F.concat(values[0], F.lit(" ("), F.array_join(F.slice(values, 2, F.size(values) - 1), ", "), F.lit(")")))
 
 
 def markdown_type(line: Column) -> Column:
@@ -128,7 +128,7 @@ def row_start(line: Column) -> Column:
 
 def glossary(lines: DataFrame) -> DataFrame:
     """Abbreviation and meaning from "k2tog = knit two together", "k: knit" or columns two blanks apart."""
-    pattern = r"^\s*([\p{L}0-9][\p{L}0-9./-]{0,11})\s*(?:=|:|\s{2,}|–)\s*(\p{L}.{2,200})$"
+    pattern = r"^\s*([\p{L}0-9][\p{L}0-9./-]{0,11})\s*(?:=|:|\s{2,}|–)\s*(\p{L}.{2,})$"
     short = F.when(F.length("text") <= LONGEST, F.regexp_extract("text", pattern, 1)).otherwise("")
     out = lines.withColumn("abbreviation", short).withColumn("meaning", F.trim(F.regexp_extract("text", pattern, 2)))
     return out.where("abbreviation <> '' AND meaning <> ''")

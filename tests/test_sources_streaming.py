@@ -96,6 +96,18 @@ def test_csv_files_have_mark_and_header(spark, tmp_path):
     assert text == "\ufeffid;name\r\n1;'=a\r\n2;\"b;c\"\r\n"
 
 
+def test_every_csv_file_has_one_mark_and_header_whatever_the_partitions(spark, tmp_path):
+    from loomspan.operators.imports import write_csv
+
+    df = spark.range(80).selectExpr("id", "concat('n', id) AS name").repartition(8)
+    write_csv(df, ["id", "name"], str(tmp_path / "csv"))
+    files = [f.read_bytes().decode("utf-8") for f in (tmp_path / "csv").glob("part-*")]
+    assert len(files) == 8 and all(t.startswith("\ufeffid;name\r\n") and t.count("\ufeff") == t.count("id;name") == 1 and t.endswith("\r\n") for t in files)
+    assert sorted(int(x.split(";")[0]) for t in files for x in t.split("\r\n")[1:-1]) == list(range(80))
+    write_csv(df.where("id < 0"), ["id", "name"], str(tmp_path / "none"))
+    assert all(not f.read_bytes() for f in (tmp_path / "none").glob("part-*"))
+
+
 def test_sheet_columns_go_by_their_headers(spark):
     from loomspan.operators.imports import rename_sheet
 
