@@ -85,6 +85,29 @@ def word_features(words: textops.Words) -> tuple[np.ndarray, Letters]:
     return out, letters
 
 
+def all_features(column: pa.Array, most: int = 1 << 20) -> tuple[np.ndarray, Letters, np.ndarray]:
+    """``word_features`` of all texts of a column, found slice by slice (a word has a number in each slice that holds it), and where
+    each text's words start.  A last row stands for no word."""
+    rows, some, first = [], [], [np.zeros(1, np.int64)]
+    for _, _, buf, offsets in textops.slices(column, most):
+        words = textops.find_words(buf, offsets)
+        found, letters = word_features(words)
+        rows.append(found)
+        some.append(letters)
+        first.append(first[-1][-1] + words.first[1:])
+    size = sum(map(len, rows))
+    out = np.zeros((size + 1, _FEATURES + 1), np.int32)
+    bytes_, begin, number, at = [np.zeros(0, np.uint8)], [np.zeros(2, np.int64)], 0, 0
+    for r, letters in zip(rows, some):
+        out[at : at + len(r)] = r
+        part = out[at : at + len(r), _FEATURES]
+        part[part > 0] += number
+        bytes_.append(letters.flat)
+        begin.append(begin[-1][-1] + letters.begin[2:])
+        number, at = number + len(letters.begin) - 2, at + len(r)
+    return out, Letters(np.concatenate(bytes_), np.concatenate(begin)), np.concatenate(first)
+
+
 def windows(n: np.ndarray, span: int = SPAN, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Text and first word of every window, for texts of n words each; every text has one at least."""
     many = np.maximum(1, -(-(n - span) // stride) + 1)
@@ -163,6 +186,14 @@ class Network:
             best[some] = np.maximum.reduceat(all_of, letters.begin[some], axis=0)
         return np.tanh(best), all_of
 
+    def spelled(self, letters: Letters, most: int = 1 << 14) -> np.ndarray:
+        """What the bytes of each distinct word add to its input; nothing for no word."""
+        size = len(letters.begin) - 1
+        parts = [self.read(letters.some(np.arange(i, min(i + most, size))))[0] @ self.p["P"] for i in range(0, size, most)]
+        out = np.concatenate(parts)
+        out[0] = 0
+        return out
+
     def inputs(self, rows: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         """Input vectors of words from their table rows and what ``spelled`` says of their bytes."""
         x = spelled[rows[..., _FEATURES]]
@@ -285,13 +316,13 @@ class Network:
                     self.p[k][where] -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(s / (1 - 0.99**self.step)) + 1e-6)
 
 
-def states(net: Network, x: np.ndarray, words: textops.Words, d: int, most: int = 4096) -> np.ndarray:
+def states(net: Network, x: np.ndarray, starts: np.ndarray, d: int, most: int = 4096) -> np.ndarray:
     """State after each word in direction ``d`` (0 forward, 1 backward), of a GRU that starts with the block of BLOCK
     words before the word's own (with the text, in its first block).  Short histories do better on held-out rows than long ones."""
     p, H = net.p, HIDDEN
     gx = x @ p["W"][d] + p["b"][d]
     out = np.zeros((len(x), H), np.float32)
-    n, first = np.diff(words.first), words.first[:-1]
+    n, first = np.diff(starts), starts[:-1]
     blocks = -(-n // BLOCK)
     text = np.repeat(np.arange(len(n)), blocks)
     block = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -312,14 +343,19 @@ def states(net: Network, x: np.ndarray, words: textops.Words, d: int, most: int
     return out
 
 
-def readings(net: Network, rows: np.ndarray, letters: Letters, words: textops.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Attention (not yet normalised) of every word and what its state says for the class."""
+def readings(net: Network, rows: np.ndarray, spelled: np.ndarray, starts: np.ndarray, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Attention (not yet normalised) of every word and what its state says for the class; text i has words ``starts[i]`` to
+    ``starts[i + 1]``.  Texts are taken in runs of about ``most`` words, so that little is held beside the answer."""
     p = net.p
-    spelled = net.read(letters)[0] @ p["P"]
-    spelled[0] = 0
-    x = net.inputs(rows, spelled)
-    s = np.concatenate([states(net, x, words, d) for d in (0, 1)], 1)
-    return np.exp((np.tanh(s @ p["A"]) @ p["v"]).astype(np.float64)), s @ p["o"]
+    attention, says, i = np.empty(len(rows)), np.empty(len(rows), np.float32), 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + most, "right")) - 1)
+        run = slice(starts[i], starts[j])
+        x = net.inputs(rows[run], spelled)
+        s = np.concatenate([states(net, x, starts[i : j + 1] - starts[i], d) for d in (0, 1)], 1)
+        attention[run], says[run] = np.exp((np.tanh(s @ p["A"]) @ p["v"]).astype(np.float64)), s @ p["o"]
+        i = j
+    return attention, says
 
 
 def window_logits(net: Network, attention: np.ndarray, says: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -336,7 +372,8 @@ def text_scores(net: Network, words: textops.Words) -> np.ndarray:
     many = np.maximum(1, n - SPAN + 1)
     text = np.repeat(np.arange(len(n)), many)
     begin = words.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    logit = window_logits(net, *readings(net, *word_features(words), words), begin, np.minimum(begin + SPAN, words.first[text + 1]))
+    rows, letters = word_features(words)
+    logit = window_logits(net, *readings(net, rows, net.spelled(letters), words.first), begin, np.minimum(begin + SPAN, words.first[text + 1]))
     return _sigmoid(np.maximum.reduceat(logit, np.cumsum(many) - many))
 
 
@@ -347,9 +384,8 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
     if not 0 < y.sum() < len(y):
         net.prior = float(y.mean()) if len(y) else 0.0
         return net
-    buf, offsets = textops.buffers(pa.array([t for t, _ in sample]))
-    words = textops.find_words(buf, offsets)
-    (rows, letters), n = word_features(words), np.diff(words.first)
+    padded, letters, first = all_features(pa.array([t for t, _ in sample], pa.large_string()))
+    rows, n = padded[:-1], np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
     # how telling each table row is: log odds of texts that hold it, smoothed
     pos, neg = np.zeros(_FEATURES * BUCKETS), np.zeros(_FEATURES * BUCKETS)
@@ -362,14 +398,13 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
     telling = odds[rows[:, 0]]
     for f in range(1, _FEATURES):
         np.maximum(telling, odds[rows[:, f]], out=telling)
-    del buf, offsets, owner, pos, neg
-    padded = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+    del owner, pos, neg
     text, at = windows(n)
     toxic = np.flatnonzero((y == 1) & (n > 0))
     if not len(toxic):  # toxic texts without a word teach nothing
         net.prior = float(y.mean())
         return net
-    best = np.array([telling[words.first[i] : words.first[i + 1]].argmax() for i in toxic])
+    best = np.array([telling[first[i] : first[i + 1]].argmax() for i in toxic])
     clean = np.flatnonzero(y[text] == 0)
     most = max(1, examples // (1 + 4 * negatives))
 
@@ -379,7 +414,7 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
         hard = clean[np.argsort(-logits)[: negatives * len(some)]] if logits is not None else other[:0]
         t = np.concatenate([toxic[some], text[other], text[hard]])
         a = np.concatenate([starts[some], at[other], at[hard]])
-        return _gather(padded, words.first, n, t, a), y[t], letters
+        return _gather(padded, first, n, t, a), y[t], letters
 
     logits = None
     for turn in range(turns):
@@ -389,10 +424,10 @@ def fit(sample: list[tuple[str, int]], negatives: int = 2, seed: int = 5, turns:
         chosen = batch(starts)
         net.train(*chosen, passes=max(1, round(examples / len(chosen[1]))), rate=0.01 if turn < 5 else 0.003, rng=rng)
         if turn in (2, 5):
-            attention, says = readings(net, rows, letters, words)
-            begin = words.first[text[clean]] + at[clean]
-            logits = window_logits(net, attention, says, begin, np.minimum(begin + SPAN, words.first[text[clean] + 1]))
-            best = np.array([elected(net, attention[a:b], says[a:b]) for a, b in zip(words.first[toxic], words.first[toxic + 1])])
+            attention, says = readings(net, rows, net.spelled(letters), first)
+            begin = first[text[clean]] + at[clean]
+            logits = window_logits(net, attention, says, begin, np.minimum(begin + SPAN, first[text[clean] + 1]))
+            best = np.array([elected(net, attention[a:b], says[a:b]) for a, b in zip(first[toxic], first[toxic + 1])])
     return net
 
 
