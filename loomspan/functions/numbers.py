@@ -34,6 +34,13 @@ def to_number(raw: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
+def measures(text: Column) -> Column:
+    """Numbers that a unit follows, as an array of value and unit (lower case; a quotation mark counts as one)."""
+    pattern = F.lit(r"([0-9]+(?:[.,][0-9]+)?)\s*([\p{L}]+|\")")
+    value, unit = (F.regexp_extract_all(F.lower(text), pattern, F.lit(i)) for i in (1, 2))
+    return F.transform(F.arrays_zip(value.alias("v"), unit.alias("u")), lambda m: F.struct(F.replace(m["v"], F.lit(","), F.lit(".")).cast("double").alias("value"), m["u"].alias("unit")))
+
+
 def round2(x: Column) -> Column:
     """Half-up on the binary value times 100; not the same as ROUND for 1.005 (H6, H7)."""
     return F.floor(x * 100 + 0.5).cast("double") / 100

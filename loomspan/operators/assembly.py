@@ -47,7 +47,7 @@ def promote_grids(sections: DataFrame, anchors: DataFrame, grids: DataFrame) ->
     placed = titles.unionByName(places).withColumn("_after", F.last("_after", ignorenulls=True).over(so_far)).where("_grid = 1")
     kind = dict(sections.dtypes)["section"]
     inserts = placed.select("doc", F.col("_after").isNull().cast("int").alias("_last"), "_after", F.lit(1).alias("_grid"), "page", "_down", F.lit(None).cast(kind).alias("section"), F.lit("chart").alias("kind"), "grid")
-    own = sections.select("doc", F.lit(0).alias("_last"), F.col("position").alias("_after"), F.lit(0).alias("_grid"), F.lit(0).alias("page"), F.lit(0.0).alias("_down"), "section", "kind", F.lit(None).cast(dict(grids.dtypes)["grid"]).alias("grid"))
+    own = sections.select("doc", F.lit(0).alias("_last"), F.col("position").alias("_after"), F.lit(0).alias("_grid"), F.lit(None).cast(dict(grids.dtypes)["page"]).alias("page"), F.lit(None).cast("double").alias("_down"), "section", "kind", F.lit(None).cast(dict(grids.dtypes)["grid"]).alias("grid"))
     ordered = renumber(own.unionByName(inserts), "doc", ["_last", "_after", "_grid", "page", "_down", "grid"])
     return ordered.select("doc", "position", "section", "kind", "grid")
 
@@ -73,8 +73,8 @@ def place_images(lines: DataFrame, steps: DataFrame, anchors: DataFrame, images:
     several steps have the line, that with the longest run of neighbouring lines of its own wins, then one of the active
     section, then the first.
     """
-    flat = lines.select("doc", "page", F.coalesce("y", F.lit(0.0)).alias("y"), _normal(F.col("text")).alias("exact"), _folded(F.col("text")).alias("folded"), F.row_number().over(Window.partitionBy("doc").orderBy("page", "line_no")).alias("pos"))
-    flat = cut(flat)
+    said = lines.select("doc", "page", "line_no", F.coalesce("y", F.lit(0.0)).alias("y"), _normal(F.col("text")).alias("exact"), _folded(F.col("text")).alias("folded"))
+    flat = cut(renumber(said, "doc", ["page", "line_no"], "pos").drop("line_no"))
     own = cut(steps.select("doc", "section", "step", _normal(F.col("line")).alias("exact"), _folded(F.col("line")).alias("folded")).distinct())
     keep = ~F.coalesce(F.col("repeated"), F.lit(False)) if "repeated" in images.columns else F.lit(True)
     asked = images.where(keep).select("doc", "image", "page", F.coalesce("y", F.lit(0.0)).alias("top"))

@@ -784,28 +784,6 @@ def supply_headings(spark: SparkSession, d: str) -> DataFrame:
 
 # what a document says about itself ------------------------------------------------------------------------------------
 
-_SAID = "CASE l_orderkey % 6 WHEN 0 THEN CASE l_linenumber WHEN 1 THEN 'Sizes: S (M, L) XL' ELSE 'Knit 10 rows' END WHEN 1 THEN CASE l_linenumber WHEN 2 THEN 'Sizes' WHEN 3 THEN '2 4 6' ELSE 'text' END WHEN 2 THEN CASE l_linenumber WHEN 1 THEN 'xs s m' ELSE 'Sizes of wool differ' END WHEN 3 THEN CASE WHEN l_linenumber <= 2 THEN 'S: 20 cm' WHEN l_linenumber <= 4 THEN 'M: 30 cm' ELSE 'K: x' END WHEN 4 THEN 'Cast on 80 (90, 100) sts' ELSE 'knit on' END"
-_SAID_DOCS = "d AS (SELECT l_orderkey AS doc, list(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1)"
-
-
-def _said(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").selectExpr("l_orderkey AS doc", "0 AS page", "CAST(l_linenumber AS INT) AS line_no", f"{_SAID} AS text").distinct()
-
-
-@query(f"WITH {_SAID_DOCS}, k AS (SELECT doc, CASE WHEN doc % 6 = 0 AND list_contains(n, 1) THEN 'line' WHEN doc % 6 = 1 AND list_contains(n, 2) AND list_contains(n, 3) THEN 'line' WHEN doc % 6 = 2 AND list_contains(n, 1) THEN 'header' WHEN doc % 6 = 3 AND list_contains(n, 1) AND list_contains(n, 2) AND list_contains(n, 3) AND list_contains(n, 4) THEN 'prefix' WHEN doc % 6 = 4 AND len(n) >= 3 THEN 'modal' ELSE 'none' END AS source FROM d) SELECT doc, source, CASE source WHEN 'none' THEN '' WHEN 'prefix' THEN 'S|M' WHEN 'modal' THEN 'T1|T2|T3' WHEN 'header' THEN 'XS|S|M' ELSE CASE WHEN doc % 6 = 0 THEN 'S|M|L|XL' ELSE '2|4|6' END END AS labels FROM k")
-def size_label_sources(spark: SparkSession, d: str) -> DataFrame:
-    return reference.size_labels(_said(spark, d)).select("doc", "source", _text(F.col("labels")).alias("labels"))
-
-
-_TOLD = "CASE l_linenumber WHEN 1 THEN '20 sts and 28 rows = 10 cm' WHEN 2 THEN 'Needles: 4 mm and 4,5 mm' WHEN 3 THEN 'Wool yarn, 100 g / 200 m' WHEN 4 THEN 'k2tog = knit two together' WHEN 5 THEN 'k2tog = knit two sts' ELSE 'Knit to end' END"
-
-
-@query("WITH d AS (SELECT l_orderkey AS doc, list(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT doc, CASE WHEN list_contains(n, 1) THEN '20 sts and 28 rows = 10 cm' ELSE '' END AS gauge, CASE WHEN list_contains(n, 2) THEN 'Needles: 4 mm and 4,5 mm' ELSE '' END AS needles, CASE WHEN list_contains(n, 3) THEN 'Wool yarn, 100 g / 200 m' ELSE '' END AS yarns, CASE WHEN list_contains(n, 4) THEN 'k2tog = knit two together' WHEN list_contains(n, 5) THEN 'k2tog = knit two sts' ELSE '' END AS abbreviations, CASE WHEN list_contains(n, 4) AND list_contains(n, 5) THEN 'k2tog = knit two sts' ELSE '' END AS notes FROM d WHERE list_contains(n, 1) OR list_contains(n, 2) OR list_contains(n, 3) OR list_contains(n, 4) OR list_contains(n, 5)")
-def reference_blocks(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").selectExpr("l_orderkey AS doc", "0 AS page", "CAST(l_linenumber AS INT) AS line_no", f"{_TOLD} AS text").distinct()
-    return reference.reference_block(li).select("doc", "gauge", *(_text(F.col(c)).alias(c) for c in ("needles", "yarns", "abbreviations", "notes")))
-
-
 _BOOK = "array('Materials', 'yarn a', 'yarn b', 'Row 1', 'Row 2', 'filler', 'filler', 'filler', 'filler')"
 
 

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from loomspan.plans import catalogue, inventory, registry
+from loomspan.plans import catalogue, folds, inventory, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,7 +33,7 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_query_agrees_with_its_sql(spark, views, name):
-    assert catalogue and inventory
+    assert catalogue and folds and inventory
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=repr)
