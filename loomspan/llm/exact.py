@@ -167,7 +167,9 @@ def _settle(budget: int):
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 48 << 20) -> DataFrame:
-    """One row per distinct text: digest, first (smallest id), last (largest id), rows."""
+    """One row per distinct text: digest, first (smallest id), last (largest id), rows.  Ids are whole numbers; others are an error."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{id_col} must be a whole number")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     folded = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(_fold(budget), "text binary, first long, last long, rows long")
     return (

@@ -495,6 +495,17 @@ def _packing(chunks: int, most: int = 32 << 20):
     return run
 
 
+def dealt(docs: DataFrame, folds: int, held: int, chunks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, train, chunk.  A row's place in its input partition is part of what deals it, so rows that repeat text and id
+    are spread like all others; a partition that is read again gives the same rows in the same places."""
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        (remainder(F.col(id_col), folds) != held).alias("train"),
+        F.pmod(F.xxhash64(F.col(text_col), F.col(id_col), F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"),
+    )
+
+
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float = 20.0, order: int = 3, chunk_bytes: int = 8 << 20, shard_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), score_per_token.
 
@@ -504,12 +515,7 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, prior: float =
         raise ValueError("the order is 2 or 3")
     n, size = width(docs.sparkSession), text_bytes(docs, text_col)
     chunks = max(-(-size // chunk_bytes), min(n, -(-size // (1 << 20))), 1)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        (remainder(F.col(id_col), folds) != held).alias("train"),
-        F.pmod(F.xxhash64(F.col(text_col), F.col(id_col)), F.lit(chunks)).cast("int").alias("chunk"),
-    )
+    rows = dealt(docs, folds, held, chunks, id_col, text_col)
     scheme = Scheme(max(-(-size // shard_bytes), min(n, -(-size // (1 << 20))), 1), order, prior)
     id_type = dict(rows.dtypes)["doc_id"]
     packed = rows.mapInArrow(_packing(chunks), f"chunk int, ids array<{id_type}>, train binary, sizes binary, texts binary")

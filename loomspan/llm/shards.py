@@ -43,6 +43,8 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     table of piece sizes (shards x shuffle partitions rows) turns positions in a piece into positions in the shard,
     so no task holds a whole shard.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{id_col} must be a whole number, as it is the key")
     spark = docs.sparkSession
     pieces = width(spark)
     base = docs.select(

@@ -419,6 +419,21 @@ def test_language_model(spark, odd, nothing, chunk, order):
 # 5 exact dedup
 
 
+def test_repeated_rows_are_dealt_over_all_chunks(spark):
+    same = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a text that repeats").alias("text"))
+    sizes = [r["count"] for r in ngrams.dealt(same, 10, 0, 50).groupBy("chunk").count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 2 * 100_000 / 50
+    got = ngrams.score_texts(same.limit(5000), chunk_bytes=4000).groupBy("n_tokens", "n_known", "train_tokens", "base_score", "score").count().collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["count"]) for r in got] == [(5, 5, 25_000, 5000)]
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    named = spark.createDataFrame([("a", "t")], "doc_id string, text string")
+    for f in (lambda: exact.exact_groups(named), lambda: shards.assign_shards(named, 4)):
+        with pytest.raises(TypeError):
+            f()
+
+
 def test_patricia_trie_and_spill():
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(2000)] + [b"x" * 5000, b"x" * 4999 + b"y", b"x" * 5000]
