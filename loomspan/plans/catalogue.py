@@ -424,7 +424,15 @@ def marker_score(spark: SparkSession, d: str) -> DataFrame:
     return documents.marker_score(table(spark, d, "documents"), _MARKERS).select("doc_id", "score")
 
 
-@query()
+#: The longest common subsequence of the lists a and b of a relation p (id, a, b): a row of the table for each element of a.
+LCS = """r AS (SELECT id, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS row FROM p
+        UNION ALL SELECT r.id, i + 1, list_transform(range(1, len(b) + 2), lambda j: greatest(row[j], coalesce(list_max(list_transform(list_filter(range(1, j), lambda k: b[k] = a[i + 1]), lambda k: row[k] + 1)), 0))) FROM r JOIN p ON p.id = r.id AND i < len(a)),
+    n AS (SELECT p.id, len(a) AS la, len(b) AS lb, row[len(b) + 1] AS n FROM p JOIN r ON r.id = p.id AND r.i = len(a))"""
+_OWN_LINES = "list_filter(list_transform(string_split(coalesce({}, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT x.doc_id AS id, {_OWN_LINES.format('x.text')} AS a, {_OWN_LINES.format('y.text')} AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1), {LCS}
+    SELECT id AS doc_id, CASE WHEN la + lb = 0 THEN 1.0 ELSE floor(200000 * n / (la + lb) + 0.5) / 100000 END AS ratio, CAST(lb - n AS BIGINT) AS missing, CAST(la - n AS BIGINT) AS extra FROM n""")
 def doc_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Each document with the one whose id is the next number; the pairs meet by a join on the id."""
     docs = table(spark, d, "documents")

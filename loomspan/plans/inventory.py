@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import catalogues, dates, fibres, numbers, text
 from loomspan.operators import activity, documents, exports, imports, layout, ledger, mutations, progress, reference, steps, stock, tools
 from loomspan.plans import standins as S
+from loomspan.plans.catalogue import LCS
 from loomspan.plans.registry import query
 from loomspan.plans.standins import REF, REF_DAY, sql, table
 
@@ -504,9 +505,11 @@ def unexplained_days(spark: SparkSession, d: str) -> DataFrame:
     return activity.unexplained_days(activity.day_set(S.active_days(spark, d)), some)
 
 
-@query(f"SELECT CAST(unnest(generate_series(date_trunc('week', {REF}) - INTERVAL 21 DAY, date_trunc('week', {REF}) + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS DATE) AS day")
+@query(sql("SELECT d AS day, CAST(total_sec AS BIGINT) AS total_sec FROM by_day WHERE date_trunc('week', d) IN (SELECT DISTINCT date_trunc('week', d) FROM by_day ORDER BY 1 DESC LIMIT 2)", "sessions", "by_day"))
 def recent_weeks(spark: SparkSession, d: str) -> DataFrame:
-    return activity.recent_weeks(activity.activity_calendar(S.sessions(spark, d), REF_DAY, "quarter"), 4).select("day")
+    """Days of the last two weeks that have sessions, with their seconds."""
+    days = activity.by_day(S.sessions(spark, d), REF_DAY.year + 1)
+    return activity.recent_weeks(days.withColumn("week", F.date_trunc("week", "day")), 2).select("day", F.col("total_sec").cast("long").alias("total_sec"))
 
 
 @query(sql("SELECT id FROM projects WHERE status = 'wip' ORDER BY name DESC LIMIT 1", "projects"))
@@ -514,9 +517,10 @@ def last_project(spark: SparkSession, d: str) -> DataFrame:
     return activity.last_project(S.projects(spark, d).selectExpr("id", "status", "name AS last_worked_at", "'' AS updated_at")).select("id")
 
 
-@query("SELECT TRUE AS any")
+@query(sql("SELECT (SELECT count(*) > 0 FROM sessions WHERE duration_sec > 86400) OR (SELECT count(*) > 0 FROM active_days WHERE d > DATE '2024-01-29') AS any", "sessions", "active_days"))
 def has_activity(spark: SparkSession, d: str) -> DataFrame:
-    return activity.has_any(S.sessions(spark, d).where("false"), S.active_days(spark, d))
+    """Whether there is a session of over a day, or an active day at the very end."""
+    return activity.has_any(S.sessions(spark, d).where("duration_sec > 86400"), S.active_days(spark, d).where("day > DATE '2024-01-29'"))
 
 
 @query("SELECT event_id AS id, CASE WHEN value * 60 - event_id % 5 >= 1 THEN CAST(floor(value * 60 - event_id % 5) AS BIGINT) END AS chunk FROM events")
@@ -593,15 +597,29 @@ def page_genres(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", documents.is_spaced(t).alias("spaced"), documents.is_tabular(t).alias("tabular"))
 
 
-_TABLE = "CASE p_size % 4 WHEN 0 THEN repeat('a b c d e f ', 60) WHEN 1 THEN repeat('12 3,5 40% ', 20) WHEN 2 THEN 'knit two rows of wool' ELSE 'take the kettle and boil' END"
+#: French texts with blanks between all their letters, so that some documents are letter-spaced.
+_GATED = r"""d AS (SELECT doc_id, source = 'src0' AS several, CASE WHEN lang = 'fr' THEN regexp_replace(coalesce(text, ''), '([^ \n])', '\1 ', 'g') ELSE coalesce(text, '') END AS t FROM documents),
+    w AS (SELECT *, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS w FROM d),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d),
+    p AS (SELECT doc_id, n, line, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') AS w FROM l),
+    a AS (SELECT doc_id, sum(length(line)) AS size, coalesce(sum(length(line)) FILTER (len(w) >= 6 AND len(list_filter(w, lambda x: length(x) = 1)) >= 0.7 * len(w)), 0) AS apart,
+            coalesce(string_agg(array_to_string(w, ''), chr(10) ORDER BY n) FILTER (len(w) >= 6 AND len(list_filter(w, lambda x: length(x) = 1)) >= 0.7 * len(w)), '') AS letters FROM p GROUP BY doc_id),
+    g AS (SELECT *, len(w) >= 6 AND len(list_filter(w, lambda x: length(x) = 1)) >= len(w) * 0.7 AS spaced,
+            len(list_filter(w, lambda x: regexp_matches(x, '^\pL{3,}[.,:;!?)]*$'))) AS n_plain, len(list_filter(w, lambda x: regexp_matches(x, '^\(?[0-9¼½¾.,/%-]+\)?$'))) AS n_number,
+            2.0 * contains(t, 'the')::INT + 1.0 * contains(t, 'tion')::INT AS score, 2.0 * regexp_matches(lower(t), 'licen[sc]e')::INT + 1.0 * contains(t, '@')::INT AS contra FROM w),
+    v AS (SELECT *, CASE WHEN spaced THEN NULL WHEN n_plain < 60 AND n_number >= 40 AND n_number >= n_plain * 2 AND contra = 0 THEN NULL WHEN contra > 0 AND contra >= score + 1 THEN 'other'
+            WHEN score < 2 THEN CASE WHEN contra > 0 THEN 'other' ELSE 'no_markers' END END AS reason FROM g JOIN a USING (doc_id))"""
 
 
-@query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 3 THEN 'other' WHEN 2 THEN NULL END AS reason, p_size % 4 = 0 AS illegible, CASE p_size % 4 WHEN 3 THEN 'not_pattern' ELSE '' END AS rejected, CASE WHEN p_size % 4 = 3 AND p_size % 3 = 0 THEN 'not_pattern|several' WHEN p_size % 4 = 3 THEN 'not_pattern' WHEN p_size % 3 = 0 THEN 'several' ELSE '' END AS reasons FROM part WHERE p_size % 3 > 0 OR p_size % 4 = 3")
+@query(f"""WITH {_GATED} SELECT doc_id AS id, reason, size > 0 AND apart >= 300 AND apart >= size * 0.6 AND regexp_matches(letters, '(?i)tion') AS illegible, CASE WHEN reason IS NOT NULL THEN 'not_pattern' WHEN several THEN 'several' ELSE '' END AS rejected,
+    concat_ws('|', CASE WHEN reason IS NOT NULL THEN 'not_pattern' END, CASE WHEN several THEN 'several' END) AS reasons FROM v""")
 def genre_gates(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_size % 3 > 0 OR p_size % 4 = 3").select(F.col("p_partkey").alias("id"), "p_size", F.expr(_TABLE).alias("text"))
-    gated = documents.genre(p, [("knit", "knit", 2.0), ("wool", "wool", 1.0)], [("cook", "kettle|boil", 2.0)], 2.0, 1.0)
-    out = documents.rejection(gated.withColumn("scanned", F.lit(False)).withColumn("several", F.expr("p_size % 3 = 0")))
-    return out.select("id", "reason", documents.illegible(F.col("text"), "abcdef").alias("illegible"), F.coalesce("rejected", F.lit("")).alias("rejected"), _text(F.col("reasons")).alias("reasons"))
+    """Documents that speak of licences or addresses are of another genre than those that say "the" or "-tion"."""
+    apart = F.when(F.col("lang") == "fr", F.regexp_replace(F.coalesce("text", F.lit("")), r"([^ \n])", "$1 ")).otherwise(F.coalesce("text", F.lit("")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), apart.alias("text"), (F.col("source") == "src0").alias("several"))
+    gated = documents.genre(docs, [("the", "the", 2.0), ("tion", "tion", 1.0)], [("licence", "(?i)licen[sc]e", 2.0), ("mail", "@", 1.0)], 2.0, 1.0)
+    out = documents.rejection(gated.withColumn("scanned", F.lit(False)).withColumn("several", F.coalesce("several", F.lit(False))))
+    return out.select("id", "reason", documents.illegible(F.col("text"), "tion").alias("illegible"), F.coalesce("rejected", F.lit("")).alias("rejected"), _text(F.col("reasons")).alias("reasons"))
 
 
 _EDGE = """e AS (SELECT *, line_no < greatest(floor((last_no + 1) * 0.12), 1) OR line_no > last_no - greatest(floor((last_no + 1) * 0.12), 1) AS edge, CASE WHEN length(text) <= 4000 THEN trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) END AS key
@@ -670,10 +688,13 @@ def reflowed_lines(spark: SparkSession, d: str) -> DataFrame:
     return documents.reflow(li).select("doc", "paragraph", "text")
 
 
-@query("SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 0.66667 WHEN 1 THEN 1.0 ELSE 0.0 END AS ratio, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 3 END AS missing FROM part")
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, list_filter(list_transform(string_split(replace(coalesce(text, ''), ' ', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS w FROM conversations),
+    p AS (SELECT x.id, x.w AS a, y.w AS b FROM t x JOIN t y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1), {LCS}
+    SELECT id, CASE WHEN la + lb = 0 THEN 1.0 ELSE floor(200000 * n / (la + lb) + 0.5) / 100000 END AS ratio, CAST(lb - n AS BIGINT) AS missing FROM n""")
 def text_similarity(spark: SparkSession, d: str) -> DataFrame:
-    other = F.when(F.col("p_size") % 3 == 0, "a\nx\nc").when(F.col("p_size") % 3 == 1, " a \n\nb\nc").otherwise("p\nq\nr")
-    pairs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("a\nb\nc").alias("a"), other.alias("b"))
+    """Each turn of a conversation with the next, word by word."""
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.replace("text", F.lit(" "), F.lit("\n")).alias("a"))
+    pairs = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
     return documents.similarity(pairs).select("id", "ratio", "missing")
 
 

@@ -1,5 +1,7 @@
 """Operators on small hand-written relations, expectations literal."""
 
+import itertools
+import random
 from datetime import date, datetime
 
 import pytest
@@ -182,6 +184,13 @@ def test_documents(spark):
     texts = spark.createDataFrame([(1, "das ist ein Text und der Text ist nicht für die Katz " * 3), (2, "the cat sat on the mat " * 5), (3, "der die das")], "id int, t string")
     assert rows(texts.select("id", documents.is_german(F.col("t")).alias("g")), "id", "g") == [(1, True), (2, False), (3, False)]
     assert documents.common_lines(list("abcde"), list("axcye")) == 3
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(zip(row, row[1:], b), lambda left, c: max(left, c[1], c[0] + (c[2] == x)), initial=0)][1:]
+        assert documents.common_lines(a, b) == row[-1]
     pair = spark.createDataFrame([("a\n b\nc", "a\nc\nd"), (None, "")], "a string, b string")
     assert rows(documents.similarity(pair), "ratio", "missing", "extra") == [(0.66667, 1, 1), (1.0, 0, 0)]
     med = spark.sql("SELECT array(3.0D, 1.0D, 2.0D, 9.0D) AS x, array() AS y").select(documents.upper_median(F.col("x")).alias("m"))
