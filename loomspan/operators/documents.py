@@ -33,7 +33,7 @@ def line_key(text: Column) -> Column:
     return F.when(F.length(text) <= LONGEST_LINE, F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "#"), r"\s+", " ")))
 
 
-def _with_edge(lines: DataFrame, band: float = 0.12) -> DataFrame:
+def with_edge(lines: DataFrame, band: float = 0.12) -> DataFrame:
     """Lines with ``_edge``: whether they are within the outer bands of their page, by position."""
     page = Window.partitionBy("doc", "page")
     last, reach = F.max("line_no").over(page), F.floor((F.max("line_no").over(page) + 1) * band)
@@ -42,7 +42,7 @@ def _with_edge(lines: DataFrame, band: float = 0.12) -> DataFrame:
 
 def edge_lines(lines: DataFrame, band: float = 0.12) -> DataFrame:
     """Lines within the outer bands of their page, by position."""
-    return _with_edge(lines, band).where("_edge").drop("_edge")
+    return with_edge(lines, band).where("_edge").drop("_edge")
 
 
 def repeated_lines(lines: DataFrame, one_in: int = 2) -> DataFrame:
@@ -54,7 +54,7 @@ def repeated_lines(lines: DataFrame, one_in: int = 2) -> DataFrame:
 
 def strip_boilerplate(lines: DataFrame, one_in: int = 2) -> DataFrame:
     """Lines without those that repeat in the outer bands; the same words inside a page stay."""
-    marked = _with_edge(lines)
+    marked = with_edge(lines)
     edge = marked.where("_edge").withColumn("key", line_key(F.col("text"))).join(repeated_lines(lines, one_in).select("doc", "key"), ["doc", "key"], "left_anti")
     return marked.where("NOT _edge").select(lines.columns).unionByName(edge.select(lines.columns))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import assembly, pages, reference, reflow, vectors
+from loomspan.operators import assembly, headings, pages, reference, reflow, vectors
 from loomspan.operators.documents import lines_of
 from loomspan.plans import standins as S
 from loomspan.plans.registry import query
@@ -184,3 +184,43 @@ def reference_blocks(spark: SparkSession, d: str) -> DataFrame:
     )
     lines = table(spark, d, "part").selectExpr("CAST(floor(p_retailprice / 5) AS BIGINT) AS doc", "0 AS page", "p_partkey AS line_no", f"{_TOLD} AS text")
     return reference.reference_block(lines, words).select("doc", "gauge", *(F.array_join(c, "|").alias(c) for c in ("needles", "yarns", "abbreviations", "notes")))
+
+
+# titles, sections, noise ----------------------------------------------------------------------------------------------
+
+
+def set_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents, set the larger the shorter they are; those that begin with a capital D are bold, with an E italic."""
+    lines = lines_of(table(spark, d, "documents"), "doc_id", "doc_id", "text")
+    t = F.col("text")
+    return lines.withColumn("size", 20.0 - F.least(F.floor(F.length(t) / 10), F.lit(10)).cast("double")).withColumn("bold", t.startswith("D")).withColumn("italic", t.startswith("E")).withColumn("y", 100_000.0 - F.col("line_no") * 15)
+
+
+_SET = r"""l AS (SELECT doc_id AS doc, doc_id AS page, n - 1 AS line_no, body AS text, 20.0 - least(floor(length(body) / 10), 10) AS size FROM (SELECT doc_id, trim(unnest(string_split_regex(coalesce(text, ''), '\r?\n')), ' ') AS body,
+        generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS n FROM documents) WHERE body <> ''),
+    b AS (SELECT doc, arg_max(size, (n, -size)) AS body FROM (SELECT doc, size, sum(length(text)) AS n FROM l GROUP BY ALL) GROUP BY doc),
+    t AS (SELECT l.*, length(text) BETWEEN 3 AND 42 AND NOT regexp_matches(text, '[.!?]$') AND length(regexp_replace(text, '[^\pL]', '', 'g')) >= 2 AND NOT regexp_matches(lower(text), '[0-9]\s*mm\b.*:$')
+            AND NOT (text LIKE '(%' AND text LIKE '%)') AND NOT text LIKE 'E%' AND (text LIKE 'D%' OR (text = upper(text) AND text <> lower(text)) OR size >= body * 1.15)
+            AND NOT regexp_matches(text, '(?i)^(rows?|rnds?|rounds?|rangs?|tours?|reihen?|runden?|vueltas?|hileras?)\s*\d+')
+            AND NOT (len(regexp_extract_all(text, '\d+(?:[.,]\d+)?')) >= 3 AND length(regexp_replace(text, '[^\pL]', '', 'g')) <= 4 * len(regexp_extract_all(text, '\d+(?:[.,]\d+)?'))) AS title FROM l JOIN b ON b.doc = l.doc),
+    a AS (SELECT *, title AND coalesce(lag(title) OVER w, FALSE) AND line_no = lag(line_no) OVER w + 1 AND 15 <= 2.0 * size AND abs(size - lag(size) OVER w) <= 0.1 * size AS more FROM t WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+    s AS (SELECT *, sum((title AND NOT coalesce(more, FALSE))::INT) OVER (PARTITION BY doc ORDER BY line_no) AS section FROM a),
+    g AS (SELECT doc, section, coalesce(string_agg(text, ' ' ORDER BY line_no) FILTER (title), '') AS title, count_if(NOT title) AS lines FROM s GROUP BY doc, section)"""
+
+
+@query(f"WITH {_SET} SELECT doc, section, title, lines FROM g x WHERE lines > 0 OR section = (SELECT max(section) FROM g y WHERE y.doc = x.doc AND lower(y.title) = lower(x.title))")
+def section_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of all documents by the size of their lines."""
+    return headings.section_list(headings.sections(set_lines(spark, d))).select("doc", F.col("section").cast("decimal(38,0)").cast("long").alias("section"), "title", F.col("lines").cast("long").alias("lines"))
+
+
+def noisy_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a source as a document's: lines of up to 40 characters stand in the right column, all of them 15 units apart."""
+    lines = S.document_lines(spark, d)
+    return lines.withColumn("right", F.length("text") <= 40).withColumn("y", 100_000.0 - F.col("line_no") * 15)
+
+
+@query()
+def noiseless_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents without heads, captions and broken addresses."""
+    return headings.strip_noise(noisy_lines(spark, d), one_in=10, tails=[("here", "click")]).select("doc", "page", "line_no", "text")
