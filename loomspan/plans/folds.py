@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import assembly, headings, pages, reference, reflow, vectors
+from loomspan.operators import assembly, dialect, headings, pages, reference, reflow, vectors
 from loomspan.operators.documents import lines_of
 from loomspan.plans import standins as S
 from loomspan.plans.registry import query
@@ -224,3 +224,32 @@ def noisy_lines(spark: SparkSession, d: str) -> DataFrame:
 def noiseless_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents without heads, captions and broken addresses."""
     return headings.strip_noise(noisy_lines(spark, d), one_in=10, tails=[("here", "click")]).select("doc", "page", "line_no", "text")
+
+
+# documents as structure -----------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH l AS (SELECT doc_id AS doc, n - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS n FROM documents)),
+    f AS (SELECT *, trim(line) AS t, max((pos = 0 AND trim(line) = '---')::INT) OVER w AS fenced, sum((trim(line) = '---')::INT) OVER w AS dashes FROM l WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+    b AS (SELECT doc, pos, t, CASE WHEN regexp_matches(t, '^##\s+\S') THEN 'section' WHEN regexp_matches(t, '^#\s+\S') THEN 'title' WHEN regexp_matches(t, '^!\[[^\]]*\]\([^)]+\)$') THEN 'image' ELSE 'step' END AS type FROM f WHERE t <> '' AND NOT (fenced = 1 AND (dashes < 2 OR dashes = 2 AND t = '---'))),
+    s AS (SELECT *, sum((type = 'section')::INT) OVER (PARTITION BY doc ORDER BY pos) AS section FROM b),
+    g AS (SELECT doc, section, count_if(type = 'step') AS steps, count_if(type = 'image') AS images, bool_or(type = 'section') AS headed FROM s GROUP BY ALL),
+    k AS (SELECT doc, count(*) AS sections, sum(steps) AS steps, sum(images) AS images FROM g WHERE headed OR steps > 0 OR images > 0 GROUP BY doc)
+    SELECT doc_id AS doc, coalesce(sections, 0)::INT AS sections, coalesce(steps, 0)::INT AS steps, coalesce(images, 0)::INT AS images FROM documents LEFT JOIN k ON k.doc = doc_id""")
+def nested_sections(spark: SparkSession, d: str) -> DataFrame:
+    """How many sections, steps and images the tree of every document has."""
+    tree = dialect.nested_documents(table(spark, d, "documents"), "doc_id")
+    total = lambda part: F.aggregate("sections", F.lit(0), lambda n, s: n + F.size(s[part]))
+    return tree.select("doc", F.size("sections").alias("sections"), total("steps").alias("steps"), total("images").alias("images"))
+
+
+@query(r"""WITH l AS (SELECT doc_id AS doc, n - 1 AS line_no, trim(line, ' ') AS t FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS n FROM documents)),
+    h AS (SELECT doc, line_no, regexp_extract_all(regexp_replace(t, '[^\pL\pN_]', ' ', 'g'), '[\pL\pN_]+') AS w FROM l WHERE t <> '')
+    SELECT doc, line_no, len(list_filter(w, lambda x: x IN ('the', 'of', 'de', 'la', 'der', 'und')))::INT AS abbreviations FROM h WHERE len(list_filter(w, lambda x: x IN ('the', 'of', 'de', 'la', 'der', 'und'))) > 0""")
+def abbreviated_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents with small words in the part of abbreviations, and how many tokens these are."""
+    docs = table(spark, d, "documents")
+    keys = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array(*map(F.lit, ("the", "of", "de", "la", "der", "und")))).alias("abbreviation"))
+    lines = lines_of(docs, "doc_id", "doc_id", "text").select("doc", "line_no", F.col("text").alias("t"), F.array().cast("array<array<string>>").alias("c"))
+    found = dialect.tokenized(lines, keys)
+    return found.select("doc", "line_no", F.size(F.filter("tokens", lambda t: t["type"] == "abbr")).alias("abbreviations")).where("abbreviations > 0")
