@@ -312,8 +312,11 @@ class Chunk:
 def _split(keys: np.ndarray, deal: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with any key, and the places of its keys in order."""
     shard = deal % shards
-    order = np.argsort(keys)
-    order = order[np.argsort(shard[order].astype(np.min_scalar_type(shards)), kind="stable")]
+    if shards < 1 << 16 and len(keys) and int(keys.max()) < 1 << 48:  # keys of n-grams leave room for the shard
+        order = np.argsort((shard.astype(U64) << U64(48)) | keys)
+    else:
+        order = np.argsort(keys)
+        order = order[np.argsort(shard[order].astype(np.min_scalar_type(shards)), kind="stable")]
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         yield s, order[cuts[s] : cuts[s + 1]]
