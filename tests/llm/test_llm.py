@@ -420,7 +420,7 @@ def test_language_model(spark, odd, nothing, chunk, order):
 
 
 def test_repeated_rows_are_dealt_over_all_chunks(spark):
-    same = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a text that repeats").alias("text"))
+    same = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a text that repeats").alias("text"))
     sizes = [r["count"] for r in ngrams.dealt(same, 10, 0, 50).groupBy("chunk").count().collect()]
     assert len(sizes) == 50 and max(sizes) < 2 * 100_000 / 50
     got = ngrams.score_texts(same.limit(5000), chunk_bytes=4000).groupBy("n_tokens", "n_known", "train_tokens", "base_score", "score").count().collect()
