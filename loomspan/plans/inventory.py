@@ -672,20 +672,28 @@ def confidence_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("id", "confidence", ((F.col("level") == "low") & (F.col("total_lines") == 0)).alias("none"))
 
 
-@query("SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE -1 END AS before FROM part")
+@query(sql("""SELECT doc AS id, CASE WHEN contains(body, keys[mid + 1]) THEN list_max(list_filter(range(0, 9), lambda k: k <= mid AND contains(body, array_to_string(keys[mid - k + 1:mid + 1], ' ')))) ELSE -1 END::INT AS before
+    FROM (SELECT *, array_to_string(keys[greatest(mid - 2, 0) + 1:mid + 2], ' ') AS body FROM (SELECT doc, list(lower(text) ORDER BY page, line_no) AS keys, count(*) // 2 AS mid FROM (SELECT page AS doc, 0 AS page, line_no, text FROM doc_lines) GROUP BY doc))""", "doc_lines"))
 def continuity_counts(spark: SparkSession, d: str) -> DataFrame:
-    keys = F.array(F.lit("x"), F.lit("row one"), F.lit("knit"), F.lit("to end"), F.lit("after"))
-    body = F.when(F.col("p_size") % 3 == 0, "so row one knit to end then").when(F.col("p_size") % 3 == 1, "purl to end then").otherwise("nothing here")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), documents.continuity(keys, F.lit(3), body).alias("before"))
-
-
-_FLOW = "CASE l_linenumber WHEN 1 THEN 'First line of a long paragraph that goes on' WHEN 2 THEN 'and it still goes on to the very last word.' WHEN 3 THEN 'a line that follows a full stop' WHEN 4 THEN 'Capital start' ELSE '- item ' || l_linenumber END"
-
-
-@query(f"WITH l AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS n, {_FLOW} AS text FROM lineitem), b AS (SELECT *, lag(text) OVER (PARTITION BY doc ORDER BY n) AS before FROM l), f AS (SELECT *, CASE WHEN before LIKE 'First%' AND n IN (2, 3) OR before LIKE 'a line%' AND n = 99 THEN 0 ELSE 1 END AS fresh FROM b), p AS (SELECT doc, n, text, sum(fresh) OVER (PARTITION BY doc ORDER BY n ROWS UNBOUNDED PRECEDING) AS para FROM f) SELECT doc, CAST(para AS BIGINT) AS paragraph, string_agg(text, ' ' ORDER BY n) AS text FROM p GROUP BY 1, 2")
+    """The middle line of every document and a step made of it, the two lines before and the one after."""
+    lines = S.document_lines(spark, d).select(F.col("page").alias("id"), "line_no", F.lower("text").alias("t"))
+    held = lines.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda s: s["t"]).alias("keys")).withColumn("at", F.floor(F.size("keys") / 2).cast("int"))
+    first = F.greatest(F.col("at") - 2, F.lit(0))
+    body = F.array_join(F.slice("keys", first + 1, F.col("at") + 2 - first), " ")
+    return held.withColumn("body", body).select("id", documents.continuity(F.col("keys"), F.col("at"), F.col("body")).cast("int").alias("before"))
+
+
+@query(r"""WITH l AS (SELECT doc, line_no, text FROM (SELECT doc_id AS doc, n - 1 AS line_no, trim(body, ' ') AS text FROM (SELECT doc_id, unnest(string_split_regex(t, '\r?\n')) AS body, generate_subscripts(string_split_regex(t, '\r?\n'), 1) AS n
+            FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '([^\n]{50,60}?)[ ]', '\1' || chr(10), 'g') AS t FROM documents))) WHERE text <> ''),
+    b AS (SELECT *, lag(text) OVER (PARTITION BY doc ORDER BY line_no) AS before FROM l),
+    f AS (SELECT *, before IS NOT NULL AND NOT regexp_matches(before, '[.!?:;]$') AND NOT regexp_matches(text, '^(\p{Lu}|[-*•]|[0-9]+[.)])') AND length(before) >= 30 AS goes_on FROM b),
+    p AS (SELECT doc, line_no, text, sum((NOT coalesce(goes_on, FALSE))::INT) OVER (PARTITION BY doc ORDER BY line_no) AS paragraph FROM f)
+    SELECT doc, CAST(paragraph AS BIGINT) AS paragraph, string_agg(text, ' ' ORDER BY line_no) AS text FROM p GROUP BY doc, paragraph""")
 def reflowed_lines(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").selectExpr("l_orderkey AS doc", "0 AS page", "l_linenumber AS line_no", _FLOW.replace("'- item ' || l_linenumber", "concat('- item ', l_linenumber)") + " AS text").distinct()
-    return documents.reflow(li).select("doc", "paragraph", "text")
+    """Paragraphs of documents that are set in lines of about 60 characters, by flags alone."""
+    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"([^\n]{50,60}?)[ ]", "$1\n"))
+    lines = documents.lines_of(docs, "doc_id", "doc_id", "text")
+    return documents.reflow(lines).select("doc", "paragraph", "text")
 
 
 @query(f"""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, list_filter(list_transform(string_split(replace(coalesce(text, ''), ' ', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS w FROM conversations),
