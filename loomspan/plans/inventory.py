@@ -81,9 +81,11 @@ def stock_by_state(spark: SparkSession, d: str) -> DataFrame:
     return stock.usage_state(S.yarns(spark, d), S.stock_projects(spark, d)).where(stock.matches_state("reserved")).select("id")
 
 
-@query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'unknown' WHEN 2 THEN 'free' ELSE 'amount' END AS state, p_size % 4 > 0 AS noted FROM part")
+@query("""SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'none' WHEN 'error' THEN 'unknown' ELSE CASE WHEN regexp_extract(props, '[0-9]+')::INT = 0 THEN 'free' ELSE 'amount' END END AS state, event_type <> 'view' AS noted FROM events""")
 def price_states(spark: SparkSession, d: str) -> DataFrame:
-    y = table(spark, d, "part").selectExpr("p_partkey AS id", "CASE p_size % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'n/a' WHEN 2 THEN '0,00' ELSE '3,50' END AS price")
+    """Numbers of events as prices with a decimal comma; errors have the text they came in, views none."""
+    number = F.concat(F.regexp_extract("props", "[0-9]+", 0), F.lit(",0"))
+    y = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", " ").when(F.col("event_type") == "error", F.col("props")).otherwise(number).alias("price"))
     return y.select("id", ledger.price_state().alias("state"), numbers.has_value(F.col("price")).alias("noted"))
 
 
@@ -389,12 +391,15 @@ def content_keys(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey AS id, CAST(CASE p_size % 4 WHEN 0 THEN 1234.5 WHEN 1 THEN 7 END AS DOUBLE) AS number, CASE WHEN p_size % 4 < 2 THEN 'a|b' ELSE '' END AS lines, '3 of {1}' AS filled FROM part".replace("'3 of {1}'", "'k' || (p_size + 1) || ', p9'"))
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice * 100 AS BIGINT) / 100.0 END AS number, replace(replace(o_orderpriority, ' ', '|'), '-', '|') AS lines,
+    'k' || day(o_orderdate) || ', p' || year(o_orderdate) AS filled FROM orders""")
 def typed_cells(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_size") % 4
-    cell = F.when(k == 0, "1 234,5").when(k == 1, " 7 ").when(k == 2, "1,2,3").otherwise(" ")
-    counts = F.array(F.array(F.lit("0"), (F.col("p_size") + 1).cast("string")), F.array(F.lit("1"), F.lit("9")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), numbers.to_number(cell).alias("number"), F.array_join(text.lines(F.when(k < 2, " a \n\n b").otherwise("  ")), "|").alias("lines"), text.expand_counts(F.lit("k{{0}}, p{{1}}"), counts, F.lit(1)).alias("filled"))
+    """Prices of orders as typed, thousands apart and with a comma; those of open ones with a second comma are no numbers."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    cell = F.concat_ws("", F.floor(cents / 100_000).cast("string"), F.lit(" "), F.lpad((F.floor(cents / 100) % 1000).cast("string"), 3, "0"), F.when(F.col("o_orderstatus") == "P", ",,").otherwise(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+    counts = F.array(F.array(F.lit("0"), F.dayofmonth("o_orderdate").cast("string")), F.array(F.lit("1"), F.year("o_orderdate").cast("string")))
+    said = F.regexp_replace("o_orderpriority", "[ -]", "\n \n")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), numbers.to_number(cell).alias("number"), F.array_join(text.lines(said), "|").alias("lines"), text.expand_counts(F.lit("k{{0}}, p{{1}}"), counts, F.lit(1)).alias("filled"))
 
 
 @query(f"""SELECT event_id AS id, CAST(ts AS DATE) + 3 AS later, strftime(ts, '%Y-%m-%d') || ' 12:00:00' AS noon, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN 'someday' ELSE '' END AS shown,
@@ -770,13 +775,15 @@ def glyph_rows(spark: SparkSession, d: str) -> DataFrame:
     return layout.rows_of(g).select("doc", "text", "x", "y")
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS doc, 0.0 AS x0, 9 * 10.0 + 12 AS x1, 10 AS paths FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, u.a * 100.0, u.a * 100.0 + 4 * 10.0 + 12, 5 FROM supplier CROSS JOIN (VALUES (0), (1)) u(a) WHERE s_suppkey % 3 = 1")
+@query("""WITH b AS (SELECT l_suppkey AS doc, l_linenumber AS page, CAST(l_partkey * 40 AS DOUBLE) AS x0, CAST(l_partkey * 40 AS DOUBLE) + l_quantity AS x1 FROM lineitem),
+    r AS (SELECT *, max(x1) OVER (PARTITION BY doc, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+    n AS (SELECT *, sum(CASE WHEN x0 - reach <= 8 THEN 0 ELSE 1 END) OVER (PARTITION BY doc, page ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS region FROM r)
+    SELECT doc, page, min(x0) AS x0, max(x1) AS x1, count(*) AS paths FROM n GROUP BY doc, page, region HAVING max(x1) - min(x0) >= 40 AND count(*) >= 2""")
 def merged_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Ten boxes in a chain, or five and five with a gap, or boxes that never touch (which are too small alone)."""
-    i = F.col("i")
-    x = F.when(F.col("doc") % 3 == 0, i * 10.0).when(F.col("doc") % 3 == 1, F.floor(i / 5) * 100 + (i % 5) * 10.0).otherwise(i * 100.0)
-    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("doc", F.lit(0).alias("page"), i.cast("long").alias("box"), x.alias("x0"), F.lit(0.0).alias("y0"), (x + 12).alias("x1"), F.lit(50.0).alias("y1"))
-    return layout.merge_boxes(b, least_paths=4).select("doc", "x0", "x1", "paths")
+    """Lines of a supplier as boxes beside each other, one page a line number."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_partkey") * 40.0).alias("x0"), F.col("l_quantity").alias("w"))
+    b = li.select("doc", "page", F.monotonically_increasing_id().alias("box"), "x0", F.lit(0.0).alias("y0"), (F.col("x0") + F.col("w")).alias("x1"), F.lit(50.0).alias("y1"))
+    return layout.merge_boxes(b, least_paths=2).select("doc", "page", "x0", "x1", "paths")
 
 
 @query("WITH l AS (SELECT l_orderkey AS doc, l_partkey AS page, CAST(l_linenumber AS DOUBLE) AS y, 'Part ' || (l_suppkey % 4) AS text FROM lineitem) SELECT o_orderkey AS doc, o_orderkey % 4 AS section, m.page, m.y FROM orders JOIN (SELECT doc, text, arg_min(page, (page, y)) AS page, arg_min(y, (page, y)) AS y FROM l GROUP BY 1, 2) m ON m.doc = o_orderkey AND m.text = 'Part ' || (o_orderkey % 4)")
