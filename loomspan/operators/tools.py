@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import catalogues
 from loomspan.functions.fibres import cables
 from loomspan.functions.numbers import hundredths, with_decimal_mark
+from loomspan.operators.assembly import renumber
 
 
 def sizes() -> Column:
@@ -77,10 +78,12 @@ def group_by_size(tools: DataFrame) -> DataFrame:
 
 
 def group_by_type(tools: DataFrame, order: list[str]) -> DataFrame:
-    """Tools of each known type, types in their fixed order, smallest first size first."""
+    """Tools of each known type, types in their fixed order, smallest first size first (D37, F6).  Types are few, so they are ranked by
+    ranges of tools and not one task a type."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("type"))
-    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.asc_nulls_last(F.array_min(sizes())), "id"))
-    return tools.where(place > 0).select("type", place.cast("int").alias("place"), "id", rank.alias("rank"))
+    least = F.array_min(sizes())
+    known = tools.where(place > 0).select("type", place.cast("int").alias("place"), "id", least.isNull().alias("_none"), least.alias("_least"))
+    return renumber(known, "type", ["_none", "_least", "id"], "rank").select("type", "place", "id", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def filter_tools(tools: DataFrame, size_mm: float | None = None, query: str = "") -> DataFrame:

@@ -55,16 +55,18 @@ def read_entries(spark: SparkSession, path: str, schema: T.StructType, skip: Dat
     """
     corrupt = "_corrupt"
     full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    size, file = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("file")
+    # the size is known from the listing, so files that are too large are pruned from the scan
     raw = (
         spark.read.schema(full).option("columnNameOfCorruptRecord", corrupt).option("mode", "PERMISSIVE").option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
-        .select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        .where(size <= most_bytes).select("*", file)
     )
-    good = F.col(corrupt).isNull() & F.col("id").isNotNull() & (F.col("bytes") <= most_bytes)
-    code = F.when(F.col("bytes") > most_bytes, "too_large").when(F.col(corrupt).isNotNull(), "unreadable").otherwise("bad_id")
-    entries = raw.where(good).drop(corrupt, "bytes")
+    large = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(size > most_bytes).select(file, F.lit("too_large").alias("code"))
+    good = F.col(corrupt).isNull() & F.col("id").isNotNull()
+    entries = raw.where(good).drop(corrupt)
     if skip is not None:
         entries = entries.join(skip.select("id"), "id", "left_anti")
-    return entries, raw.where(~good).select("file", code.alias("code"))
+    return entries, raw.where(~good).select("file", F.when(F.col(corrupt).isNotNull(), "unreadable").otherwise("bad_id").alias("code")).unionByName(large)
 
 
 def write_entries(df: DataFrame, path: str) -> None:
