@@ -26,6 +26,11 @@ def test_bad_entries_are_reported_and_the_rest_is_read(spark, tmp_path):
     good, bad = tables.read_entries(spark, str(tmp_path), schema, skip=spark.createDataFrame([(2,)], "id long"))
     assert [r["name"] for r in good.collect()] == ["a"]
     assert sorted(r["code"] for r in bad.collect()) == ["bad_id", "unreadable"]
+    (tmp_path / "e9").mkdir()
+    (tmp_path / "e9" / "entry.json").write_text(json.dumps({"id": 9, "name": "x" * 5000}))
+    good, bad = tables.read_entries(spark, str(tmp_path), schema, most_bytes=4000)
+    assert sorted(r["name"] for r in good.collect()) == ["a", "b"]
+    assert sorted((r["file"].rsplit("/", 2)[-2], r["code"]) for r in bad.collect()) == [("e1", "unreadable"), ("e2", "bad_id"), ("e9", "too_large")]
 
 
 def test_defaults_do_not_hide_the_filter(spark, tmp_path):
