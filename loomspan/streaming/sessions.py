@@ -1,8 +1,8 @@
 """Streaming sessions and journals (inventory J1-J7, J9-J17).
 
 The batch forms live in ``loomspan.operators.sessionize``; these keep the same rules on unbounded input.  State lives in
-Spark's own session windows and deduplication and goes with the watermark.  What only one running screen needs (dropping
-what was not committed, guarding a late read) has no form here: a batch is whole or absent, a version is read as it is.
+Spark's own session windows and deduplication and goes with the watermark.  The timer command by command, the debounce and taps on the
+current step have keyed state: ``timer`` and ``taps``.
 """
 
 from __future__ import annotations
