@@ -2,11 +2,13 @@
 L31, L33).
 
 Profiles, rows and cells are sums and windows a page; only the merging of column starts, which goes on until nothing
-changes, runs a small loop over one page's cells at a time.
+changes, runs a small loop over one page's cells at a time, while sorted pages stream through a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -99,17 +101,58 @@ def column_of(x: np.ndarray, columns: list[float]) -> np.ndarray:
     return np.maximum(np.searchsorted(np.array(columns) - CLUSTER_GAP, x, "right") - 1, 0)
 
 
+def _page_starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where a page begins in rows that are sorted by doc and page."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for key in ("doc", "page"):
+        column = rows.column(key)
+        code = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode(null_encoding="encode")
+        new[1:] |= np.diff(code.indices.to_numpy(zero_copy_only=False)) != 0
+    return np.flatnonzero(new)
+
+
+def _page_of(rows: pa.RecordBatch, at: int) -> tuple:
+    return tuple(rows.column(key)[at].as_py() for key in ("doc", "page"))
+
+
 def columns_of(cells: DataFrame, width: float = 595.0) -> DataFrame:
-    """Cells with ``column``, from 0; null on pages of fewer than three columns (L31).  A page is one group; its cells are few."""
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in cells.dtypes)}, column int"
+    """Cells with ``column``, from 0; null on pages of fewer than three columns.
 
-    def place(page: pa.Table) -> pa.Table:
-        x, end, y = (page.column(c).to_numpy().astype(float) for c in ("x", "end_x", "y"))
-        starts = column_starts(x, end, y, width)
-        found = pa.array(column_of(x, starts), pa.int32()) if starts else pa.nulls(page.num_rows, pa.int32())
-        return page.append_column("column", found)
+    Cells are dealt by their page and stream by in its order, so a task holds a batch and the one page that goes on after it;
+    pages are many and small, and a group each would cost more than its columns do.
+    """
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in cells.dtypes)}, column int"
 
-    return cells.groupBy("doc", "page").applyInArrow(place, schema)
+    def place(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        x, end, y = (rows.column(c).to_numpy().astype(float) for c in ("x", "end_x", "y"))
+        bounds = np.append(_page_starts(rows), rows.num_rows)
+        found, none = np.zeros(rows.num_rows, np.int32), np.ones(rows.num_rows, bool)
+        for k in np.flatnonzero(np.diff(bounds) >= LEAST_PAGE_CELLS):
+            page = slice(bounds[k], bounds[k + 1])
+            starts = column_starts(x[page], end[page], y[page], width)
+            if starts:
+                found[page], none[page] = column_of(x[page], starts), False
+        yield from rows.append_column("column", pa.array(found, pa.int32(), mask=none)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the page under way
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held and _page_of(held[-1], -1) != _page_of(b, 0):
+                yield from place(held)
+                held = []
+            last = int(_page_starts(b)[-1])
+            if last:
+                yield from place([*held, b.slice(0, last)])
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from place(held)
+
+    return cells.repartition("doc", "page").sortWithinPartitions("doc", "page").mapInArrow(run, schema)
 
 
 def lines_of_columns(cells: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
@@ -117,7 +160,8 @@ def lines_of_columns(cells: DataFrame, tolerance: float = ROW_TOLERANCE) -> Data
     column = F.coalesce("column", F.lit(0))
     down = Window.partitionBy("doc", "page", "_column").orderBy(F.desc("y"), "x")
     drop = F.lag("y").over(down) - F.col("y")
-    rows = cells.withColumn("_column", column).withColumn("_row", F.sum(F.coalesce((drop > tolerance).cast("int"), F.lit(1))).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    # dealt by page, so that neither the columns nor the order of their lines need another shuffle
+    rows = cells.repartition("doc", "page").withColumn("_column", column).withColumn("_row", F.sum(F.coalesce((drop > tolerance).cast("int"), F.lit(1))).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ")
     lines = rows.groupBy("doc", "page", "_column", "_row").agg(F.max("column").alias("column"), F.max("y").alias("y"), F.trim(F.regexp_replace(said, r"\s{2,}", " ")).alias("text"))
     order = Window.partitionBy("doc", "page").orderBy("_column", "_row")

@@ -66,9 +66,10 @@ def page_strips(spark: SparkSession, d: str) -> DataFrame:
 
 def glyphs(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order's supplier as glyph runs: three columns by part, rows by order."""
-    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity").distinct()
+    page = F.floor(F.col("l_orderkey") / 4000).cast("int")
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), page.alias("page"), "l_orderkey", "l_partkey", "l_linenumber", "l_quantity").repartition("doc", "page").distinct()
     x = (F.col("l_partkey") % 4) * 140.0 + F.col("l_linenumber")
-    return li.select(F.col("l_suppkey").alias("doc"), F.floor(F.col("l_orderkey") / 4000).cast("int").alias("page"), x.alias("x"), (40_000.0 - (F.col("l_orderkey") % 4000) * 9).alias("y"), (F.col("l_quantity") * 2).alias("w"), F.lit(10.0).alias("size"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"))
+    return li.select("doc", "page", x.alias("x"), (40_000.0 - (F.col("l_orderkey") % 4000) * 9).alias("y"), (F.col("l_quantity") * 2).alias("w"), F.lit(10.0).alias("size"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"))
 
 
 @query()

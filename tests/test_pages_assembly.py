@@ -273,3 +273,18 @@ def test_three_columns_and_two_anchors(spark):
 def test_prose_and_single_entries_are_no_glossary(spark):
     assert glossary(spark, [(40, "just text")], [(40, "more text")]) == []
     assert glossary(spark, [(40, "k"), (120, "knit")], [(40, "only one")], [(40, "and prose")]) == []
+
+
+def test_columns_stream_page_by_page(spark):
+    """Pages go on over Arrow batches, none is a group of its own, and lines need no shuffle beyond those of pages."""
+    runs = [(d, p, 140.0 * k, 700.0 - 12 * r, 40.0, 10.0, f"{d}{p}{k}{r}") for d in range(3) for p in range(4) for k in range(p) for r in range(5 + d)]
+    df = spark.createDataFrame(runs, "doc int, page int, x double, y double, w double, size double, text string")
+    want = sorted(map(tuple, pages.page_lines(df).collect()))
+    assert {r[1] for r in want if r[3] is not None} == {3}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(map(tuple, pages.page_lines(df).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = pages.page_lines(df)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
