@@ -1,11 +1,14 @@
 """Putting a document together from its parts: sections of charts at their places, images next to the steps they belong to,
 glossaries set in columns (inventory C27, L25, L45).
 
-Everything is joins, sums and windows a document; only two neighbours at a time are compared, so no text is gathered.
+Everything is joins, sums and windows a document; only two neighbours at a time are compared, so no text is gathered.  Images are
+placed by 16 bytes of hash a line, so what is written and moved does not depend on how long lines are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,47 +76,84 @@ def place_images(lines: DataFrame, steps: DataFrame, anchors: DataFrame, images:
     several steps have the line, that with the longest run of neighbouring lines of its own wins, then one of the active
     section, then the first.
     """
-    said = lines.select("doc", "page", "line_no", F.coalesce("y", F.lit(0.0)).alias("y"), _normal(F.col("text")).alias("exact"), _folded(F.col("text")).alias("folded"))
-    flat = cut(renumber(said, "doc", ["page", "line_no"], "pos").drop("line_no"))
-    own = cut(steps.select("doc", "section", "step", _normal(F.col("line")).alias("exact"), _folded(F.col("line")).alias("folded")).distinct())
     keep = ~F.coalesce(F.col("repeated"), F.lit(False)) if "repeated" in images.columns else F.lit(True)
-    asked = images.where(keep).select("doc", "image", "page", F.coalesce("y", F.lit(0.0)).alias("top"))
-    titles = anchors.select("doc", F.struct(F.col("page").alias("p"), -F.coalesce("y", F.lit(0.0)).alias("d")).alias("at"), F.col("section").alias("active"))
-    here = F.struct(F.col("page").alias("p"), (-F.col("top")).alias("d"))
-    active = asked.join(titles, "doc").where(F.col("at") <= here).groupBy("doc", "image").agg(F.max_by("active", F.struct("at", "active")).alias("active"))
-    asked = cut(asked.join(active, ["doc", "image"], "left"))
-
-    def best(hits: DataFrame, by: str) -> DataFrame:
-        """One step an image; ``hits`` has doc, image, active, pos and the step."""
-        near = F.explode(F.sequence(F.lit(-AROUND), F.lit(AROUND)))
-        around = hits.withColumn("off", near).withColumn("at", F.col("pos") + F.col("off"))
-        lines_at = flat.select("doc", F.col("pos").alias("at"), F.col(by).alias("_text"))
-        steps_at = own.select("doc", "section", "step", F.col(by).alias("_text"), F.lit(True).alias("_own")).distinct()
-        told = around.join(lines_at, ["doc", "at"], "left").join(steps_at, ["doc", "section", "step", "_text"], "left")
-        ours = F.transform(F.sort_array(F.collect_list(F.struct("off", F.coalesce("_own", F.lit(False)).alias("o")))), lambda s: s["o"])
-        # the run around the line itself: as far as neighbours are of the step, on either side
-        reach = lambda flags: F.coalesce(F.nullif(F.array_position(flags, F.lit(False)), F.lit(0).cast("long")) - 1, F.size(flags).cast("long"))
-        run = reach(F.slice(F.col("_ours"), AROUND + 2, AROUND)) + reach(F.reverse(F.slice(F.col("_ours"), 1, AROUND)))
-        scored = told.groupBy("doc", "image", "active", "section", "step").agg(ours.alias("_ours")).withColumn("run", run)
-        key = F.struct((-F.col("run")).alias("run"), (~F.coalesce(F.col("section") == F.col("active"), F.lit(False))).alias("other"), "section", "step")
-        return scored.groupBy("doc", "image").agg(F.min(key).alias("k")).select("doc", "image", "k.section", "k.step")
-
-    above = asked.join(flat.select("doc", "page", "y", "exact", "pos"), ["doc", "page"]).where(F.col("y") >= F.col("top"))
-    nearest = above.groupBy("doc", "image", "active").agg(F.min_by(F.struct("exact", "pos"), F.struct("y", -F.col("pos"))).alias("l")).select("doc", "image", "active", "l.exact", "l.pos").where(F.length("exact") > 0)
-    first = cut(best(nearest.join(own, ["doc", "exact"]).drop("folded").distinct(), "exact"))
-    left = asked.join(first.select("doc", "image"), ["doc", "image"], "left_anti").where("page > 0")
-    below = left.join(flat.select("doc", F.col("page").alias("on"), "y", "pos"), "doc").where("on > page OR on = page AND y < top - 1")
-    ends = flat.groupBy("doc").agg((F.max("pos") + 1).alias("end"))
-    starts = left.join(below.groupBy("doc", "image").agg(F.min("pos").alias("start")), ["doc", "image"], "left").join(ends, "doc").withColumn("start", F.coalesce("start", "end"))
-    back = starts.withColumn("pos", F.explode(F.sequence(F.col("start") - LOOK_BACK, F.col("start") - 1))).join(flat.select("doc", "pos", "folded"), ["doc", "pos"]).where(F.length("folded") >= LEAST_KEY)
-    hits = back.join(own.select("doc", "section", "step", "folded").distinct(), ["doc", "folded"])
-    last = hits.groupBy("doc", "image").agg(F.max("pos").alias("pos"))
-    second = cut(best(hits.join(last, ["doc", "image", "pos"]), "folded"))
-    placed = first.withColumn("by", F.lit("line")).unionByName(second.withColumn("by", F.lit("folded")))
-    all_of = images.select("doc", "image", "page", F.coalesce("y", F.lit(0.0)).alias("top"), keep.alias("keep")).join(placed, ["doc", "image"], "left")
+    top = F.coalesce(F.col("y"), F.lit(0.0))
+    # the active section: the last title at or before an image's place; titles and images are merged in reading order
+    titles = anchors.select("doc", F.col("page"), (-top).alias("_down"), F.lit(0).alias("_side"), F.col("section").alias("active"), F.lit(None).cast(dict(images.dtypes)["image"]).alias("image"), F.lit(None).cast("double").alias("top"))
+    places = images.where(keep).select("doc", "page", (-top).alias("_down"), F.lit(1).alias("_side"), F.lit(None).cast(dict(anchors.dtypes)["section"]).alias("active"), "image", top.cast("double").alias("top"))
+    so_far = Window.partitionBy("doc").orderBy("page", "_down", "_side", "active").rowsBetween(Window.unboundedPreceding, 0)
+    asked = cut(titles.unionByName(places).withColumn("active", F.last("active", ignorenulls=True).over(so_far)).where("_side = 1").select("doc", "image", "page", "top", "active"))
+
+    flat = _marked_lines(lines, _normal, 1)
+    above = asked.join(flat.select("doc", "page", "y", "mark", "pos", "long"), ["doc", "page"])
+    nearest = above.where(F.col("y") >= F.col("top")).groupBy("doc", "image", "active").agg(F.min_by(F.struct("mark", "pos", "long"), F.struct("y", -F.col("pos"))).alias("l")).where("l.long").select("doc", "image", "active", "l.mark", "l.pos")
+    first = cut(_best_steps(nearest, flat, _marked_steps(steps, _normal)))
+    left = cut(asked.join(first.select("doc", "image"), ["doc", "image"], "left_anti").where("page > 0"))
+    placed = first.withColumn("by", F.lit("line"))
+    if not left.isEmpty():
+        flat, own = _marked_lines(lines, _folded, LEAST_KEY), _marked_steps(steps, _folded)
+        # where going back starts: the first line below the image on its page, else the end of the last page up to that one
+        below = left.join(flat.select("doc", "page", "y", "pos"), ["doc", "page"]).where(F.col("y") < F.col("top") - 1).groupBy("doc", "image").agg(F.min("pos").alias("start"))
+        so_many = flat.groupBy("doc", "page").agg((F.max("pos") + 1).alias("end")).select("doc", "page", F.lit(0).alias("_side"), "end", F.lit(None).cast(dict(images.dtypes)["image"]).alias("image"))
+        asks = left.select("doc", "page", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("end"), "image")
+        up_to = Window.partitionBy("doc").orderBy("page", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        ends = so_many.unionByName(asks).withColumn("end", F.coalesce(F.max("end").over(up_to), F.lit(0))).where("_side = 1").select("doc", "image", "end")
+        starts = left.join(below, ["doc", "image"], "left").join(ends, ["doc", "image"]).withColumn("start", F.coalesce("start", "end"))
+        back = starts.withColumn("pos", F.explode(F.sequence(F.col("start") - LOOK_BACK, F.col("start") - 1))).join(flat.where("long").select("doc", "pos", "mark"), ["doc", "pos"])
+        held = back.join(own.select("doc", "mark").distinct(), ["doc", "mark"], "left_semi")
+        last = held.groupBy("doc", "image", "active").agg(F.max_by("mark", "pos").alias("mark"), F.max("pos").alias("pos"))
+        placed = placed.unionByName(cut(_best_steps(last, flat, own)).withColumn("by", F.lit("folded")))
+    all_of = images.select("doc", "image", "page", top.alias("top"), keep.alias("keep")).join(placed, ["doc", "image"], "left")
     return _carry_on(all_of)
 
 
+def _mark(text: Column) -> Column:
+    """16 bytes of a text's SHA-256: what tells whether two texts are the same, whatever their length."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _marked_lines(lines: DataFrame, form: Callable[[Column], Column], least: int) -> DataFrame:
+    """doc, page, y, pos (place in the document from 0), mark and long (whether the text has ``least`` characters), written once.
+
+    Lines are numbered within their page, and pages by the lines on those before, so only small rows are moved.
+    """
+    said = form(F.col("text"))
+    own = F.row_number().over(Window.partitionBy("doc", "page").orderBy("line_no"))
+    rows = lines.select("doc", "page", "line_no", F.coalesce("y", F.lit(0.0)).alias("y"), _mark(said).alias("mark"), (F.length(said) >= least).alias("long")).withColumn("_own", own).drop("line_no")
+    before = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = lines.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("_n")).select(F.col("doc").alias("_doc"), F.col("page").alias("_page"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(pages, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")))
+    return cut(placed.select("doc", "page", "y", (F.col("_before") + F.col("_own") - 1).cast("long").alias("pos"), "mark", "long"))
+
+
+def _marked_steps(steps: DataFrame, form: Callable[[Column], Column]) -> DataFrame:
+    """doc, section, step and mark: one row for each text a step was made of."""
+    return steps.select("doc", "section", "step", _mark(form(F.col("line"))).alias("mark"))
+
+
+def _best_steps(lines: DataFrame, flat: DataFrame, own: DataFrame) -> DataFrame:
+    """doc, image, section, step: of the steps that have the line of each image (doc, image, active, pos, mark) the one with the
+    longest run of neighbours, then one of the active section, then the first.
+
+    Steps made of the same lines have the same runs, so of those only the first is compared, beside the ones of the active
+    section; copies of a text do not meet each other.
+    """
+    near = F.explode(F.sequence(F.lit(-AROUND), F.lit(AROUND)))
+    around = lines.select("doc", "image", "pos", near.alias("off")).withColumn("pos", F.col("pos") + F.col("off"))
+    context = around.join(flat.select("doc", "pos", F.col("mark").alias("_text")), ["doc", "pos"]).groupBy("doc", "image").agg(F.sort_array(F.collect_list(F.struct("off", "_text"))).alias("_near"))
+    sets = own.groupBy("doc", "section", "step").agg(F.sort_array(F.collect_set("mark")).alias("_made"))
+    kinds = sets.groupBy("doc", "_made").agg(F.min(F.struct("section", "step")).alias("s"))
+    some = lines.join(kinds.select("doc", "s", "_made", F.explode("_made").alias("mark")), ["doc", "mark"]).select("doc", "image", "active", "s", "_made")
+    active = sets.select("doc", F.col("section").alias("active"), F.struct("section", "step").alias("s"), "_made")
+    theirs = lines.join(active, ["doc", "active"]).where(F.array_contains("_made", F.col("mark"))).select("doc", "image", "active", "s", "_made")
+    # the run around the line itself: as far as neighbours are of the step, on either side
+    ours = F.transform(F.filter("_near", lambda n: F.array_contains("_made", n["_text"])), lambda n: n["off"])
+    side = lambda by: F.aggregate(F.sequence(F.lit(1), F.lit(AROUND)), F.lit(0), lambda n, k: F.when((n == k - 1) & F.array_contains("_ours", k * by), k).otherwise(n))
+    scored = some.unionByName(theirs).join(context, ["doc", "image"]).withColumn("_ours", ours).withColumn("run", side(1) + side(-1))
+    key = F.struct((-F.col("run")).alias("run"), (~F.coalesce(F.col("s.section") == F.col("active"), F.lit(False))).alias("other"), "s.section", "s.step")
+    return scored.groupBy("doc", "image").agg(F.min(key).alias("k")).select("doc", "image", "k.section", "k.step")
+
+
 def _carry_on(images: DataFrame) -> DataFrame:
     """Images without a place of their own take that of the last placed one; a chain of them may go on page by page."""
     order = Window.partitionBy("doc").orderBy("page", F.desc("top"), "image")

@@ -288,3 +288,20 @@ def test_columns_stream_page_by_page(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = pages.page_lines(df)._jdf.queryExecution().sparkPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_placing_images_writes_no_texts(spark):
+    """What is written on the way depends on how many lines there are, not on how long they are; copies keep the first step."""
+    import os
+
+    lines = [(0, p, n, -float(n), f"line {chr(97 + n)} " + "long " * 2000) for p in range(20) for n in range(6)]
+    df = spark.createDataFrame(lines, "doc int, page int, line_no int, y double, text string")
+    steps = df.selectExpr("doc", "concat('s', lpad(page, 2, '0')) AS section", "line_no div 3 AS step", "text AS line")
+    heads = df.where("line_no = 0").selectExpr("doc", "concat('s', lpad(page, 2, '0')) AS section", "page", "y")
+    images = df.where("line_no = 4").selectExpr("doc", "page * 10 AS image", "page", "y")
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    written = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+    before = written()
+    got = {r["image"]: (r["section"], r["step"], r["by"]) for r in assembly.place_images(df, steps, heads, images.union(heads.selectExpr("doc", "page * 10 + 1", "page", "9.0D"))).collect()}
+    assert {i: g for i, g in got.items() if i % 10 == 0} == {10 * p: (f"s{p:02d}", 1, "line") for p in range(20)}
+    assert written() - before < sum(len(r[4]) for r in lines) / 10
