@@ -800,7 +800,7 @@ def image_lines(spark: SparkSession, d: str) -> DataFrame:
     return layout.nearest_line(images, li)
 
 
-@query("WITH i AS (SELECT l_orderkey AS doc, l_partkey * 10 + l_linenumber AS pos, CASE WHEN l_returnflag = 'R' THEN 'grid' ELSE 'photo' END AS kind, CAST(l_quantity * 5 AS INT) AS w, 'p' || (l_suppkey % 3) AS src FROM lineitem), k AS (SELECT * FROM i WHERE kind = 'grid' OR w >= 96), o AS (SELECT doc, w, src, min(pos) AS pos, arg_min(kind, pos) AS kind, count(*) AS n FROM k GROUP BY doc, w, src) SELECT doc, pos, kind, kind <> 'grid' AND n > 1 AS repeated FROM o QUALIFY kind = 'grid' OR row_number() OVER (PARTITION BY doc, kind = 'grid' ORDER BY pos) <= 2")
+@query("WITH i AS (SELECT l_orderkey AS doc, l_partkey * 10 + l_linenumber AS pos, CASE WHEN l_returnflag = 'R' THEN 'grid' ELSE 'photo' END AS kind, CAST(l_quantity * 5 AS INT) AS w, 'p' || (l_suppkey % 3) AS src FROM lineitem), k AS (SELECT * FROM i WHERE kind = 'grid' OR w >= 96), o AS (SELECT doc, w, src, min(pos) AS pos, arg_min(kind, (pos, kind <> 'grid', kind)) AS kind, count(*) AS n FROM k GROUP BY doc, w, src) SELECT doc, pos, kind, kind <> 'grid' AND n > 1 AS repeated FROM o QUALIFY kind = 'grid' OR row_number() OVER (PARTITION BY doc, kind = 'grid' ORDER BY pos, kind, w, src) <= 2")
 def galleries(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "lineitem").selectExpr("l_orderkey AS doc", "l_partkey * 10 + l_linenumber AS pos", "IF(l_returnflag = 'R', 'grid', 'photo') AS kind", "CAST(l_quantity * 5 AS INT) AS w", "100 AS h", "concat('p', l_suppkey % 3) AS src")
     return layout.gallery(i, 96, 2).select("doc", "pos", "kind", "repeated")

@@ -7,7 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import activity, documents, imports, ledger, mutations, progress, sessionize, stock, tools
+from loomspan.operators import activity, documents, imports, layout, ledger, mutations, progress, sessionize, stock, tools
 
 REF = date(2026, 7, 15)
 
@@ -200,3 +200,10 @@ def test_documents(spark):
     assert rows(documents.active_section(ev, pts), "id", "section") == [(7, None), (8, 1), (9, 2)]
     conf = spark.createDataFrame([(4, 4, 10, 10, 0, 0, 0), (4, 0, 10, 0, 2, 0, 20)], "sections_total int, sections_known int, total_lines int, structured_lines int, vectors_seen int, vectors_ok int, warnings int")
     assert rows(documents.confidence(conf), "confidence", "level") == [(0, "low"), (100, "high")]
+
+
+def test_gallery_orders_images_at_one_place(spark):
+    images = [(1, 5, "photo", 200, 100, "b"), (1, 5, "photo", 150, 100, "a"), (1, 5, "photo", 100, 100, "c"), (2, 7, "photo", 100, 100, "x"), (2, 7, "grid", 100, 100, "x")]
+    for some in (images, images[::-1]):
+        df = spark.createDataFrame(some, "doc int, pos int, kind string, w int, h int, src string").coalesce(1)
+        assert rows(layout.gallery(df, 96, 2), "doc", "kind", "w", "src", "repeated") == [(1, "photo", 100, "c", False), (1, "photo", 150, "a", False), (2, "grid", 100, "x", False)]
