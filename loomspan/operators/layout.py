@@ -40,11 +40,17 @@ def _touch(a: str, b: str, gap: float) -> Column:
 def merge_boxes(boxes: DataFrame, gap: float = 8.0, least_side: float = 40.0, least_paths: int = 8, cell: float = 64.0) -> DataFrame:
     """Boxes (doc, page, box, x0, y0, x1, y1) that touch within ``gap``, merged; small and sparse regions go.
 
-    Neighbours are found over grid cells, so only boxes that share a cell meet.  A round joins whole components of touching
+    Boxes that no other reaches in x are done at once: what merges elsewhere stays within its own run of boxes.  Neighbours of
+    the rest are found over grid cells, so only boxes that share a cell meet.  A round joins whole components of touching
     regions; rounds repeat until no two regions touch, as the reach of a merged region is that of its outline.
     """
     at = ["doc", "page", "id"]
-    regions = boxes.select("doc", "page", F.col("box").alias("id"), "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("paths"))
+    along = Window.partitionBy("doc", "page").orderBy("x0", "x1", "id")
+    whole = boxes.select("doc", "page", F.col("box").alias("id"), "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("paths"))
+    reached = F.coalesce(F.col("x0") - gap <= F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    told = whole.withColumn("_reached", reached)
+    told = cut(told.withColumn("_alone", ~F.col("_reached") & ~F.coalesce(F.lead("_reached").over(along), F.lit(False))).drop("_reached"))
+    alone, regions = told.where("_alone").drop("_alone"), told.where("NOT _alone").drop("_alone")
     before = -1
     while True:
         regions = cut(regions)
@@ -61,7 +67,7 @@ def merge_boxes(boxes: DataFrame, gap: float = 8.0, least_side: float = 40.0, le
         to = components(edges).select(*(F.col(f"node.{k}").alias(k) for k in at), F.col("label.id").alias("to"))
         joined = regions.join(to, at, "left").withColumn("id", F.coalesce("to", "id"))
         regions = joined.groupBy(at).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("paths").alias("paths"))
-    return regions.where((F.col("x1") - F.col("x0") >= least_side) & (F.col("y1") - F.col("y0") >= least_side) & (F.col("paths") >= least_paths))
+    return regions.select(alone.columns).unionByName(alone).where((F.col("x1") - F.col("x0") >= least_side) & (F.col("y1") - F.col("y0") >= least_side) & (F.col("paths") >= least_paths))
 
 
 def overlap(a: str, b: str) -> Column:

@@ -207,3 +207,12 @@ def test_gallery_orders_images_at_one_place(spark):
     for some in (images, images[::-1]):
         df = spark.createDataFrame(some, "doc int, pos int, kind string, w int, h int, src string").coalesce(1)
         assert rows(layout.gallery(df, 96, 2), "doc", "kind", "w", "src", "repeated") == [(1, "photo", 100, "c", False), (1, "photo", 150, "a", False), (2, "grid", 100, "x", False)]
+
+
+def test_boxes_that_nothing_reaches_meet_no_grid(spark):
+    """A page with one pair among boxes of its own: the pair merges, and the grid sees nothing else."""
+    boxes = [(1, 0, i, 1000.0 * i, 0.0, 1000.0 * i + 1e12 * (i == 40), 60.0) for i in range(41)] + [(1, 0, 100, 5.0, 0.0, 90.0, 60.0), (2, 0, 0, 0.0, 0.0, 50.0, 50.0)]
+    df = spark.createDataFrame(boxes, "doc int, page int, box int, x0 double, y0 double, x1 double, y1 double")
+    got = layout.merge_boxes(df, least_side=0.0, least_paths=1)
+    assert rows(got.where("paths > 1"), "doc", "page", "x0", "x1", "paths") == [(1, 0, 0.0, 90.0, 2)]
+    assert got.count() == 42
