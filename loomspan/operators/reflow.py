@@ -29,8 +29,8 @@ DANGLING = frozenset(
 ABBREVIATIONS = frozenset("m. st. sts. rep. tog. rnd. rnds. approx. ca. bzw. env. rg. rgs. aprox. no. fig. p. pp. etc.".split())
 _ENDS = ".!?:…"
 _ITEM = re.compile(r"(?:[-*•–]\s|\d+[.)]\s|[A-Za-z][.)]\s)")
+_BRACKET = re.compile("[()]")
 _KEY_VALUE = re.compile(r"[^\W\d_][^:=]{0,30}\s?[:=](?:\s|$)")
-_LAST_WORD = re.compile(r"(\S+)\s*$")
 
 
 class Line(NamedTuple):
@@ -53,7 +53,7 @@ class Gathered:
 
     def _take(self, text: str, glue: str) -> None:
         self.parts += [glue, text] if self.parts else [text]
-        for c in text:
+        for c in _BRACKET.findall(text):
             self.open = self.open + 1 if c == "(" else max(0, self.open - 1) if c == ")" else self.open
         self.tail = (self.tail + (glue if self.tail else "") + text)[-400:]
 
@@ -62,8 +62,15 @@ class Gathered:
         self.bold, self.y = self.bold or line.bold, line.y if line.y is not None else self.y
 
     def ends_open_address(self) -> bool:
-        word = _LAST_WORD.search(self.tail)
-        return bool(word) and "://" in word[1] and "(" in word[1].split("://")[0] and ")" not in word[1]
+        if "://" not in self.tail:
+            return False
+        word = last_word(self.tail)
+        return "://" in word and "(" in word.split("://")[0] and ")" not in word
+
+
+def last_word(text: str) -> str:
+    """What stands after the last blank within the text; found from the end, whatever the text is like."""
+    return "".join(text.rsplit(None, 1)[-1:])
 
 
 def begins_anew(text: str) -> bool:
@@ -84,7 +91,7 @@ def glue(so_far: Gathered, line: Line, following: str | None, paragraphs: bool)
         return " "  # closes the bracket, so "110) stitches" is no item
     if begins_anew(text):
         return None
-    last = _LAST_WORD.search(before)[1].lower()
+    last = last_word(before).lower()
     ended = before[-1] in _ENDS and last not in ABBREVIATIONS
     if not ended:
         if so_far.open and (following is None or not begins_anew(following.strip())):

@@ -1,6 +1,8 @@
 """Logical lines by a fold, and size vectors by families: literal cases, and plain versions over whole tables."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +144,15 @@ def test_placeholders(spark):
     df = spark.createDataFrame([(1, "Cast on 80 (90, 100) sts, 4 (5) and 1/2/3", 3), (2, "80 (90)", 1), (3, None, 2), (4, "80 (90)", None)], "id int, text string, sizes int")
     got = {r["id"]: (r["t"], r["c"]) for r in vectors.placeholder_lines(df).collect()}
     assert got == {1: ("Cast on {{0}} sts, 4 (5) and {{1}}", [["80", "90", "100"], ["1", "2", "3"]]), 2: ("80 (90)", []), 3: ("", []), 4: ("80 (90)", [])}
+
+
+def test_last_word_costs_its_own_length():
+    """From the end of the text, so that words before it are not tried."""
+    from loomspan.operators.reflow import last_word
+
+    for text in ("a b", "a b \t", "word", "", "  ", "x y", "x y\n", "a(http://b"):
+        found = re.search(r"(\S+)\s*$", text)
+        assert last_word(text) == (found[1] if found else "")
+    began = time.perf_counter()
+    assert last_word("x" * 30_000 + " y" + "\t" * 30_000 + "z w") == "w"
+    assert time.perf_counter() - began < 0.5
