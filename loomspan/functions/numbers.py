@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import once
+
 #: Metres in a yard, grams in an ounce, ounces in a pound.
 METRES_PER_YARD, GRAMS_PER_OUNCE, OUNCES_PER_POUND = 0.9144, 28.349523125, 16
+#: Whole numbers below this are the same as a double with two decimals.
+EXACT = 10**15
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -15,7 +19,7 @@ def parse_decimal(raw: Column) -> Column:
     typed = raw.cast("string")
     comma = F.instr(typed, ",")
     text = F.trim(F.when(comma > 0, F.overlay(typed, F.lit("."), comma, 1)).otherwise(typed))
-    return F.when(text == "", F.lit(0.0)).when(text.rlike(_NUMBER), text.try_cast("double"))
+    return once(text, lambda t: F.when(t == "", F.lit(0.0)).when(t.rlike(_NUMBER), t.try_cast("double")))
 
 
 def is_readable(raw: Column) -> Column:
@@ -53,26 +57,38 @@ def hundredths(x: Column) -> Column:
 
 def keep_decimal_characters(raw: Column) -> Column:
     """Digits and the first separator of a typed number (H3)."""
-    kept = F.regexp_replace(raw, r"[^0-9.,]", "")
-    head, tail = F.regexp_extract(kept, r"^([0-9]*[.,]?)", 1), F.regexp_replace(F.regexp_replace(kept, r"^[0-9]*[.,]?", ""), r"[.,]", "")
-    return F.concat(head, tail)
+
+    def first_only(kept: Column) -> Column:
+        first = F.instr(F.translate(kept, ",", "."), ".")
+        return F.when(first > 0, F.concat(F.substring(kept, F.lit(1), first), F.translate(F.substring(kept, first + 1, F.length(kept)), ".,", ""))).otherwise(kept)
+
+    return once(F.regexp_replace(raw, r"[^0-9.,]", ""), first_only)
 
 
 def with_decimal_mark(raw: Column, mark: str = ",") -> Column:
     """A plain number with another decimal mark, digits untouched; other text passes through (H4)."""
-    return F.when(F.trim(raw).rlike(r"^-?\d+([.,]\d+)?$"), F.regexp_replace(F.trim(raw), "[.,]", mark)).otherwise(raw)
+    marked = F.translate(F.trim(raw), ".,", mark * 2) if len(mark) == 1 else F.regexp_replace(F.trim(raw), "[.,]", mark)
+    return F.when(F.trim(raw).rlike(r"^-?\d+([.,]\d+)?$"), marked).otherwise(raw)
 
 
 def amount_text(x: Column) -> Column:
     """No decimals for whole amounts, two otherwise."""
     r = round2(x)
-    return F.when(r == F.floor(r), F.format_string("%.0f", r)).otherwise(F.format_string("%.2f", r))
+
+    def told(cents: Column) -> Column:
+        """Put together from whole cents, which a format pattern takes several times as long for."""
+        whole = F.concat(F.when(cents < 0, "-").otherwise(""), F.floor(F.abs(cents) / 100).cast("string"))
+        return F.when(cents % 100 == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad((F.abs(cents) % 100).cast("string"), 2, "0")))
+
+    plain = F.when(r == F.floor(r), F.format_string("%.0f", r)).otherwise(F.format_string("%.2f", r))
+    return F.when(F.abs(r) < EXACT / 100, once(F.floor(x * 100 + 0.5), told)).otherwise(plain)
 
 
 def length_text(metres: Column, system: str = "metric") -> Column:
     """Metres or kilometres from 1000 on; yards in the imperial system (H9)."""
     if system == "imperial":
-        return F.concat(F.format_string("%.0f", F.floor(metres / METRES_PER_YARD + 0.5).cast("double")), F.lit(" yd"))
+        yards = F.floor(metres / METRES_PER_YARD + 0.5)
+        return F.concat(F.when(F.abs(yards) < EXACT, yards.cast("string")).otherwise(F.format_string("%.0f", yards.cast("double"))), F.lit(" yd"))
     whole = F.floor(metres + 0.5)
     return F.when(whole >= 1000, F.concat(amount_text(metres / 1000), F.lit(" km"))).otherwise(F.concat(whole.cast("string"), F.lit(" m")))
 
@@ -89,7 +105,7 @@ def weight_text(grams: Column, system: str = "metric") -> Column:
 def to_canonical(raw: Column, kind: str, system: str = "metric") -> Column:
     """Typed length or weight to metres or grams; blank stays null."""
     factor = 1.0 if system == "metric" else {"length": METRES_PER_YARD, "weight": GRAMS_PER_OUNCE}[kind]
-    return F.when(has_value(raw), parse_decimal(raw) * factor)
+    return once(raw, lambda typed: F.when(has_value(typed), parse_decimal(typed) * factor))
 
 
 def from_canonical(x: Column, kind: str, system: str = "metric") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def _accents() -> tuple[str, str]:
 _MARKED, _PLAIN = _accents()
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once, however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
 def fold(x: Column) -> Column:
     """Lower case, marks removed, trimmed."""
     return F.trim(F.regexp_replace(F.translate(F.lower(x), _MARKED, _PLAIN), r"\p{M}+", ""))

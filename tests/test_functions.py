@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomspan.functions import catalogues, dates, numbers, text
+from loomspan.functions import catalogues, dates, fibres, numbers, text
 
 
 def one(spark, expr, **values):
@@ -95,3 +95,25 @@ def test_round2_matches_the_formula(spark, xs):
     import math
 
     assert column(spark, xs, numbers.round2(F.col("v")), "double") == [math.floor(x * 100 + 0.5) / 100 for x in xs]
+
+
+def test_amounts_from_cents_are_those_of_a_pattern(spark):
+    values = [0.0, -0.001, 0.005, 1.005, -0.05, -5.0, 12.3, 99.995, -1234.567, 1e12 + 0.25, 3e15, 1e300, float("nan"), None]
+    r = numbers.round2(F.col("v"))
+    want = F.when(r == F.floor(r), F.format_string("%.0f", r)).otherwise(F.format_string("%.2f", r))
+    assert column(spark, values, numbers.amount_text(F.col("v")), "double") == column(spark, values, want, "double")
+
+
+def test_values_are_computed_once(spark):
+    """An expression over a folded token, a typed number or an amount holds it once, however often it is asked for."""
+    x = F.concat(F.lit("marker"), F.col("v"))
+    held = lambda c: c._jc.toString().count("marker")
+    assert held(numbers.keep_decimal_characters(x)) == 1 and held(numbers.to_canonical(x, "length", "imperial")) == 1
+    assert held(fibres.known_fibre(x)) == 1 and held(fibres.origin_key(F.array(x))) == 1
+    assert column(spark, ["1,2.3,4", "x", ".", "7"], numbers.keep_decimal_characters(F.col("v"))) == ["1,234", "", ".", "7"]
+    found = column(spark, ["Mérinos wool", "wool", "merino", "nothing"], F.to_json(fibres.known_fibre(F.col("v"))))
+    assert [f and '"name"' in f for f in found] == [True, True, True, None]
+
+
+def test_labels_in_catalogue_order(spark):
+    assert column(spark, ["gots"], F.array_join(fibres.ordered_labels(F.array(F.lit("rws"), F.col("v"), F.lit("vegan"), F.lit("GOTS"))), "|")) == ["vegan|gots|rws"]
