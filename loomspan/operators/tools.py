@@ -19,8 +19,9 @@ def sizes() -> Column:
 
 def linked_tools(projects: DataFrame, tools: DataFrame) -> DataFrame:
     """Tools of each project in the order it lists them; ids that do not exist go."""
-    listed = projects.select(F.col("id").alias("project_id"), F.posexplode("tool_ids").alias("place", "tool_id"))
-    first = listed.groupBy("project_id", "tool_id").agg(F.min("place").alias("place"))
+    # repeated ids are told within a project's list, so no task has to hold all pairs of its projects at once
+    listed = projects.select(F.col("id").alias("project_id"), "tool_ids", F.explode(F.array_distinct("tool_ids")).alias("tool_id"))
+    first = listed.select("project_id", "tool_id", (F.array_position("tool_ids", F.col("tool_id")) - 1).cast("int").alias("place"))
     return first.join(tools.select(F.col("id").alias("tool_id"), "name"), "tool_id")
 
 
