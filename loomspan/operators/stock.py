@@ -101,8 +101,10 @@ def project_usage(yarns: DataFrame) -> DataFrame:
 def project_cost(yarns: DataFrame, fallback: str) -> DataFrame:
     """Cost of each project a currency, and how many of its yarns have a price noted; an unreadable one counts as 0."""
     price = F.when(has_value(F.col("price")), F.coalesce(parse_decimal(F.col("price")), F.lit(0.0)))
-    side = yarns.select(F.col("id").alias("yarn_id"), price.alias("price"), F.coalesce(F.nullif(F.trim("currency"), F.lit("")), F.lit(fallback)).alias("currency"))
-    return project_usage(yarns).join(side, "yarn_id").groupBy("project_id", "currency").agg(
+    # a yarn's row has what each project holds and has used of it, so both are added there and the stock is read once
+    both = F.map_zip_with(quantities(F.col("reservations")), quantities(F.col("consumed")), lambda _, held, used: round2(F.coalesce(held, F.lit(0.0)) + F.coalesce(used, F.lit(0.0))))
+    usage = yarns.select(price.alias("price"), F.coalesce(F.nullif(F.trim("currency"), F.lit("")), F.lit(fallback)).alias("currency"), F.explode(both).alias("project_id", "skeins"))
+    return usage.where("skeins > 0").groupBy("project_id", "currency").agg(
         round2(F.sum(F.coalesce(F.col("price") * F.col("skeins"), F.lit(0.0)).cast("decimal(24,6)")).cast("double")).alias("amount"), F.count("price").alias("priced"), F.count_if(F.col("price").isNull()).alias("unpriced")
     )
 

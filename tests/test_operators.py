@@ -216,3 +216,16 @@ def test_boxes_that_nothing_reaches_meet_no_grid(spark):
     got = layout.merge_boxes(df, least_side=0.0, least_paths=1)
     assert rows(got.where("paths > 1"), "doc", "page", "x0", "x1", "paths") == [(1, 0, 0.0, 90.0, 2)]
     assert got.count() == 42
+
+
+def test_costs_and_tools_are_read_in_one_pass(spark):
+    """The stock is read once for costs, and tools of projects are not grouped; both give what a plain sum and search give."""
+    m = lambda **q: {int(k[1:]): v for k, v in q.items()}
+    yarns = spark.createDataFrame([(1, "2,5", "", m(p1=1.0, p2=0.005), m(p1=0.5)), (2, None, "USD", None, m(p1=3.0)), (3, "x", "EUR", m(p2=0.001), None)], "id long, price string, currency string, reservations map<long,double>, consumed map<long,double>")
+    cost = stock.project_cost(yarns, "EUR")
+    assert rows(cost, "project_id", "currency", "amount", "priced", "unpriced") == [(1, "EUR", 3.75, 1, 0), (1, "USD", 0.0, 0, 1), (2, "EUR", 0.03, 1, 0)]
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan(cost)
+    linked = tools.linked_tools(spark.createDataFrame([(1, [7, 8, 7, None, 9]), (2, []), (3, None)], "id int, tool_ids array<int>"), spark.createDataFrame([(7, "a"), (9, "b")], "id int, name string"))
+    assert rows(linked, "project_id", "tool_id", "place", "name") == [(1, 7, 0, "a"), (1, 9, 4, "b")]
+    assert "Aggregate" not in plan(linked)
