@@ -59,6 +59,16 @@ def strip_boilerplate(lines: DataFrame, one_in: int = 2) -> DataFrame:
     return marked.where("NOT _edge").select(lines.columns).unionByName(edge.select(lines.columns))
 
 
+def strip_short(lines: DataFrame, one_in: int = 2) -> DataFrame:
+    """As ``strip_boilerplate``, for documents that are short beside a task: rows dealt once by document, and sorted once by page and
+    once by key, tell all counts.  A document is one task's here; those of any length take ``strip_boilerplate``."""
+    fresh = lambda *by: (F.col("page").isNotNull() & ~F.col("page").eqNullSafe(F.lag("page").over(Window.partitionBy(*by).orderBy("page")))).cast("int")
+    dealt = with_edge(lines).withColumn("_fresh", fresh("doc")).withColumn("_pages", F.sum("_fresh").over(Window.partitionBy("doc")))
+    keyed = dealt.withColumn("_key", F.when(F.col("_edge"), line_key(F.col("text")))).withColumn("_fresh", fresh("doc", "_key")).withColumn("_on", F.sum("_fresh").over(Window.partitionBy("doc", "_key")))
+    repeats = F.col("doc").isNotNull() & F.col("_key").isNotNull() & (F.col("_on") >= F.greatest(F.lit(2), F.ceil(F.col("_pages") / one_in)))
+    return keyed.where(~repeats).select(*lines.columns)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import catalogues, dates, fibres, numbers, text
@@ -634,16 +634,18 @@ _NOTES = "l AS (SELECT l_orderkey AS doc, l_suppkey % 3 AS page, CAST(row_number
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of orders on three pages; pages of even orders start with the same heading but for its number."""
-    return table(spark, d, "lineitem").selectExpr(
-        "l_orderkey AS doc", "l_suppkey % 3 AS page", "CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) - 1 AS INT) AS line_no",
-        "IF(row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey) = 1 AND l_orderkey % 2 = 0, concat('Page ', l_suppkey % 3, ' of  3'), concat('line ', l_returnflag, ' ', l_linestatus)) AS text",
-    )
+    """Lines of orders on three pages; pages of even orders start with the same heading but for its number.  An order has few lines, so
+    they are dealt by orders."""
+    li = table(spark, d, "lineitem")
+    cells = li.selectExpr("l_orderkey AS doc", "l_suppkey % 3 AS page", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey", "l_returnflag", "l_linestatus")
+    at = F.row_number().over(Window.partitionBy("doc", "page").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey"))
+    text = "IF(at = 1 AND doc % 2 = 0, concat('Page ', page, ' of  3'), concat('line ', l_returnflag, ' ', l_linestatus)) AS text"
+    return S.dealt(cells, li.count(), "doc").withColumn("at", at).selectExpr("doc", "page", "CAST(at - 1 AS INT) AS line_no", text)
 
 
 @query(f"WITH {_NOTES}, {_EDGE} SELECT doc, page, line_no, text FROM e WHERE NOT edge OR key IS NULL OR (doc, key) NOT IN (SELECT doc, key FROM r)")
 def stripped_lines(spark: SparkSession, d: str) -> DataFrame:
-    return documents.strip_boilerplate(_notes(spark, d))
+    return documents.strip_short(_notes(spark, d))
 
 
 @query(f"WITH {_NOTES} SELECT doc, page, count_if(length(text) <= 8) > 0.5 * count(*) AS captions FROM l GROUP BY 1, 2 HAVING count_if(length(text) <= 8) > 0.5 * count(*)")

@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task takes where rows are dealt by their number.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows`` dealt by keys over as many tasks as ``n``, the rows of the table, asks for.  Left to itself Spark joins partitions by
+    their compressed bytes, and rows that compress well fill the memory of few tasks."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *keys)
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup"))
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("project_id"), F.col("ts").alias("started"), F.floor(F.col("value") * 60).cast("long").alias("duration_sec"), (F.col("event_type") == "signup").alias("manual"))

@@ -1,5 +1,6 @@
 """Operators on small hand-written relations, expectations literal."""
 
+import collections
 import itertools
 import random
 from datetime import date, datetime
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import activity, documents, imports, layout, ledger, mutations, progress, sessionize, stock, tools
+from loomspan.plans import inventory, standins
 
 REF = date(2026, 7, 15)
 
@@ -175,6 +177,23 @@ def test_progress(spark):
     assert rows(progress.current_step(steps, last), "pos") == [(1,)]
 
 
+def test_short_documents_are_told_as_any(spark):
+    rng = random.Random(11)
+    cells = [(rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 2, 3, None]), n, rng.choice(["Head 1", "head  2", "x" * 4001, "foot", "text", "row"])) for n in range(40) for _ in range(6)]
+    lines = spark.createDataFrame([(d, p, n // 8, t) for d, p, n, t in cells], "doc string, page int, line_no int, text string")
+    for one_in in (1, 2, 3):
+        got = collections.Counter(documents.strip_short(lines, one_in).collect())
+        assert got == collections.Counter(documents.strip_boilerplate(lines, one_in).collect()) and 0 < got.total() < len(cells)
+
+
+def test_lines_of_orders_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks grow in number with the table and not in size, and rows are shuffled once."""
+    monkeypatch.setattr(standins, "TASK_ROWS", 500, raising=False)
+    df = inventory.stripped_lines(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert df.rdd.getNumPartitions() == 12
+
+
 def test_documents(spark):
     page = lambda n: f"HEAD {n}\nrow {n}\nbody {n} unique words here\nrow x\nfoot"
     docs = spark.createDataFrame([("d", i, page(i) if i < 3 else "alone") for i in range(4)], "doc string, page int, text string")
