@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.documents import line_key, repeated_lines, with_edge
+from loomspan.operators.documents import line_key, with_edge
 from loomspan.operators.lineage import cut
 from loomspan.operators.steps import LONGEST, row_start, table_row
 
@@ -18,6 +18,11 @@ from loomspan.operators.steps import LONGEST, row_start, table_row
 # heights of their type); short captions and how often they must come; pages a tab must stand on, and how exactly.
 TITLE_RATIO, SHORTEST, LONGEST_TITLE, TITLE_GAP = 1.15, 3, 42, 2.0
 CAPTION_LENGTH, CAPTION_TIMES, TAB_PAGES, TAB_HEIGHT = 20, 3, 2, 1.0
+#: A line of numbers is no caption.
+NUMBERS = r"^[0-9][0-9.,/x×\s-]*$"
+#: At most ``CAPTION_LENGTH`` characters that are no digits or blanks; what the end of a line can be that a rule of dashes closes.
+BRIEF = rf"\A[\s0-9]*+(?:[^\s0-9][\s0-9]*+){{0,{CAPTION_LENGTH}}}+\z"
+RULE_ENDS = tuple("-–—_\t\n\x0b\f\r\x85\u2028\u2029")
 #: Codes that tabs of languages bear.
 TABS = ("FR", "EN", "GB", "UK", "US", "DE", "NL", "DA", "DK", "NO", "SV", "SE", "FI", "ES", "IT", "PT", "PL", "CS", "CZ", "HU", "IS", "ET", "LV", "LT", "RU", "JA", "JP", "ZH", "CN", "KO")
 
@@ -101,7 +106,7 @@ def caption_keys(lines: DataFrame) -> DataFrame:
     """doc, key: short lines of the right column that come three times or more on pages where most of that column is short."""
     right = lines.where("right").withColumn("key", line_key(F.col("text")))
     pages = right.groupBy("doc", "page").agg(F.count_if(F.length("key") <= CAPTION_LENGTH).alias("short"), F.count(F.lit(1)).alias("n")).where("short * 2 > n").select("doc", "page")
-    told = right.where((F.length("key") <= CAPTION_LENGTH) & ~F.col("text").rlike(r"^[0-9][0-9.,/x×\s-]*$"))
+    told = right.where((F.length("key") <= CAPTION_LENGTH) & ~F.col("text").rlike(NUMBERS))
     return told.join(pages, ["doc", "page"], "left_semi").groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CAPTION_TIMES).select("doc", "key")
 
 
@@ -126,18 +131,39 @@ def strip_noise(lines: DataFrame, one_in: int = 2, tails: list[tuple[str, str]]
     ``tails``: lines of a word (first pattern) after a line that ends in a call (second).  A rule of dashes at the end of a
     line goes as well."""
     known = _whole(lines)
-    page = Window.partitionBy("doc", "page").orderBy("line_no")
-    before = F.trim(F.lag("text").over(page))
+    on_page = Window.partitionBy("doc", "page")
+    before = F.trim(F.lag("text").over(on_page.orderBy("line_no")))
     t = F.trim("text")
     word = ~t.rlike(r"\s")
-    address = F.coalesce(before.rlike(r"(?i)(https?://|www\.)\S+[-/_.=&]$") & word & t.rlike(r"[/.=&?_-]"), F.lit(False))
+    address = F.coalesce(word & t.rlike(r"[/.=&?_-]") & before.rlike(r"(?i)(https?://|www\.)\S+[-/_.=&]$"), F.lit(False))
     tail = F.lit(False)
     for what, after in tails or []:
         tail = tail | F.coalesce(t.rlike(f"(?i)^(?:{what})$") & before.rlike(f"(?i)(?:{after})\\s*$"), F.lit(False))
-    marked = with_edge(known.withColumn("_drop", address | tail)).withColumn("_key", line_key(F.col("text")))
-    keep = marked.where("NOT _drop").join(tab_lines(known), ["doc", "page", "line_no"], "left_anti")
-    heads = repeated_lines(known, one_in).select("doc", F.col("key").alias("_key"), F.lit(True).alias("_head"))
-    told = keep.join(heads, ["doc", "_key"], "left").join(caption_keys(known).select("doc", F.col("key").alias("_key"), F.lit(True).alias("_caption")), ["doc", "_key"], "left")
-    said = told.where(~(F.coalesce("_head", F.lit(False)) & F.col("_edge") & ~F.coalesce(row_start(F.col("text")), F.lit(False))) & F.col("_caption").isNull())
-    shortened = F.when(F.length("text") <= LONGEST, F.regexp_replace("text", r"\s*[-–—_]{6,}\s*$", "")).otherwise(F.col("text"))
-    return said.withColumn("text", shortened).where(F.trim("text") != "").select(*lines.columns)
+    # Patterns that read whole lines are kept for the few that a cheaper look leaves: a rule ends in a dash or white space, a key
+    # is short only if all but its digits and blanks is.
+    ruled = (F.length("text") <= LONGEST) & F.substring(F.rtrim("text"), -1, 1).isin(*RULE_ENDS)
+    shortened = F.when(ruled, F.regexp_replace("text", r"\s*[-–—_]{6,}\s*$", "")).otherwise(F.col("text"))
+    brief = F.col("text").rlike(BRIEF)
+    looked = known.withColumn("_drop", address | tail).withColumn("_brief", F.when(brief, line_key(F.col("text"))))
+    short = F.coalesce(F.length("_brief") <= CAPTION_LENGTH, F.lit(False))
+    mostly = F.count_if(F.col("right") & short).over(on_page) * 2 > F.count_if("right").over(on_page)
+    said = F.coalesce(F.col("page").isNotNull() & F.col("right") & short & mostly & ~F.col("text").rlike(NUMBERS), F.lit(False))
+    # Only a line at an edge or a short one can repeat a head or a caption, so only these have a key and are joined.
+    key = F.when(short, F.col("_brief")).when(F.col("_edge"), line_key(F.col("text")))
+    told = with_edge(looked).select("*", said.alias("_caption"), key.alias("_key"), F.coalesce(F.trim("text").isin(*TABS), F.lit(False)).alias("_tab"), shortened.alias("_text"))
+    dropped = F.col("_drop") | ~F.coalesce(F.trim("_text") != "", F.lit(False))
+    held = cut(told.select(*(F.col("_text").alias("text") if c == "text" else c for c in known.columns), dropped.alias("_drop"), "_edge", "_caption", "_key", "_tab"))
+    tabs = cut(held.where("_tab"))
+    keyed = held.where("NOT _drop AND NOT _tab AND _key IS NOT NULL").unionByName(tabs.where("NOT _drop").join(tab_lines(tabs), ["doc", "page", "line_no"], "left_anti").select(held.columns))
+    noise = F.coalesce("_repeated", F.lit(False)) & F.col("_edge") & ~F.coalesce(row_start(F.col("text")), F.lit(False))
+    kept = keyed.join(_noise_keys(held, one_in), ["doc", "_key"], "left").where(~noise & ~F.coalesce("_told", F.lit(False)))
+    return kept.select(*lines.columns).unionByName(held.where("NOT _drop AND NOT _tab AND _key IS NULL").select(*lines.columns))
+
+
+def _noise_keys(held: DataFrame, one_in: int) -> DataFrame:
+    """doc, _key, _repeated, _told: which keys ``repeated_lines`` and ``caption_keys`` find, from lines whose pages are marked."""
+    # The last line of a page is at its edge, so edge lines tell all pages.
+    pages = held.where("_edge").groupBy("doc").agg(F.count_distinct("page").alias("_pages"))
+    keys = held.where("_key IS NOT NULL AND (_edge OR _caption)").groupBy("doc", "_key").agg(F.count_distinct(F.when(F.col("_edge"), F.col("page"))).alias("_on"), F.count_if("_caption").alias("_n")).where((F.col("_on") >= 2) | (F.col("_n") >= CAPTION_TIMES))
+    repeated = F.col("_on") >= F.greatest(F.lit(2), F.ceil(F.col("_pages") / one_in))
+    return keys.join(pages, "doc").select("doc", "_key", repeated.alias("_repeated"), (F.col("_n") >= CAPTION_TIMES).alias("_told")).where("_repeated OR _told")

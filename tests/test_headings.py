@@ -1,12 +1,14 @@
 """Titles, sections, captions, tabs and noise on small pages, expectations literal."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.operators import headings
+from loomspan.operators import documents, headings
+from loomspan.operators.steps import LONGEST, row_start
 
 SCHEMA = "doc string, page int, line_no int, text string, y double, size double, bold boolean, italic boolean, right boolean"
 
@@ -93,6 +95,41 @@ def test_noise(spark):
         }
 
 
+def plain_noise(lines, one_in, tails):
+    """``strip_noise`` by one join a rule, over the operators that find heads, captions and tabs each for itself."""
+    on_page = Window.partitionBy("doc", "page").orderBy("line_no")
+    before, t = F.trim(F.lag("text").over(on_page)), F.trim("text")
+    drop = F.coalesce(before.rlike(r"(?i)(https?://|www\.)\S+[-/_.=&]$") & ~t.rlike(r"\s") & t.rlike(r"[/.=&?_-]"), F.lit(False))
+    for what, after in tails:
+        drop = drop | F.coalesce(t.rlike(f"(?i)^(?:{what})$") & before.rlike(f"(?i)(?:{after})\\s*$"), F.lit(False))
+    key = documents.line_key(F.col("text"))
+    kept = documents.with_edge(lines.withColumn("_drop", drop)).withColumn("_key", key).where("NOT _drop").join(headings.tab_lines(lines), ["doc", "page", "line_no"], "left_anti")
+    heads = documents.repeated_lines(lines, one_in).select("doc", F.col("key").alias("_key"), F.lit(True).alias("_head"))
+    captions = headings.caption_keys(lines).select("doc", F.col("key").alias("_key"), F.lit(True).alias("_caption"))
+    told = kept.join(heads, ["doc", "_key"], "left").join(captions, ["doc", "_key"], "left")
+    said = told.where(~(F.coalesce("_head", F.lit(False)) & F.col("_edge") & ~F.coalesce(row_start(F.col("text")), F.lit(False))) & F.col("_caption").isNull())
+    shortened = F.when(F.length("text") <= LONGEST, F.regexp_replace("text", r"\s*[-–—_]{6,}\s*$", "")).otherwise(F.col("text"))
+    return said.withColumn("text", shortened).where(F.trim("text") != "").select(*lines.columns)
+
+
+def test_noise_is_that_of_one_join_a_rule_and_lines_are_read_once(spark):
+    rng = random.Random(9)
+    texts = ["EN", " DE ", "EN ------", "------", "Row 5 ------", "row 5", "Head 1", "head  22", "fig. one", "FIG.  ONE", "12 x 3", "1 2 3 4 5 6 7 8 9 a", "x" * 20, "x" * 21, "İ" * 11, "1 " * 30 + "caption", "a" * 4001, "b" * 3994 + "------", "c" * 3995 + "------", "see www.a.b/c-", "d/e", "said the", "yarn.", "end --- ------\t", "end ------\u2028", "end ------\x85", "end \u2003------", "", " ", None]
+    rows = [(doc, p, n, rng.choice(texts), rng.choice([None, 10.0, 10.5, 300.0]), None, None, None, rng.choice([True, True, False, None])) for doc in ("a", "b", None) for p in (0, 1, 2, 3, 4, None) for n in range(rng.randint(1, 40))]
+    lines = spark.createDataFrame(rows, SCHEMA)
+    for one_in in (1, 2, 5):
+        got = Counter(headings.strip_noise(lines, one_in, [("yarn\\.", "said the")]).collect())
+        assert got == Counter(plain_noise(lines, one_in, [("yarn\\.", "said the")]).collect()) and 0 < got.total() < len(rows)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert headings.strip_noise(lines.mapInArrow(seen, SCHEMA)).count() > 0 and read.value == len(rows)
+
+
 def test_tabs_stand_at_one_height(spark):
     rng = random.Random(2)
     rows = [("d", p, i, rng.choice(["EN", "DE", "x"]), float(rng.choice([10, 10.4, 10.9, 11.5, 12.0, 50])), 10.0, False, False, False) for p in range(6) for i in range(5)]
